@@ -15,6 +15,8 @@ import re
 import zlib
 from collections import Counter
 from dataclasses import dataclass
+from itertools import islice
+from operator import eq
 
 import numpy as np
 import pandas as pd
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import prepare
 
-N_WORDS, N_SHAPES, N_STATS = 1024, 256, 10
+N_WORDS, N_SHAPES, N_STATS = 1024, 256, 14
 SIZE = N_WORDS + N_SHAPES + N_STATS
 #: Letters become x or X, digits 9, bytes past ASCII x; white space and signs stay.
 SHAPE = bytes(ord("x") if 97 <= b < 123 or b > 127 else ord("X") if 65 <= b < 91 else ord("9") if 48 <= b < 58 else b for b in range(256))
@@ -40,8 +42,8 @@ class Model:
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Indices and values: two parts of unit length and the statistics."""
     raw = (text or "").encode("utf-8", "replace")
-    words = Counter(raw.split())
-    total = sum(words.values())
+    order = raw.split()
+    words, total = Counter(order), len(order)
     value = np.zeros(SIZE, np.float32)
     if total:
         shapes: Counter = Counter()
@@ -56,12 +58,13 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
         value[:N_WORDS] = np.sqrt(value[:N_WORDS] / total)
         value[N_WORDS : N_WORDS + N_SHAPES] = np.sqrt(value[N_WORDS : N_WORDS + N_SHAPES] / total)
         kind = np.bincount(np.frombuffer(raw.translate(SHAPE), np.uint8), minlength=128).astype(np.float64)
-        size, lines = len(raw), raw.split(b"\n")
+        size, lines, pairs = len(raw), raw.split(b"\n"), set(zip(order, islice(order, 1, None), strict=False))
         letters = kind[ord("x")] + kind[ord("X")]
         value[-N_STATS:] = (
             np.log1p(total) / 10, size / total / 20, len(words) / total, kind[ord("X")] / size, kind[ord("9")] / size,
             (size - letters - kind[ord("9")] - kind[[32, 9, 10, 11, 12, 13]].sum()) / size, sum(kind[ord(c)] for c in "#*$%&|<>") / size,
             kind[ord("!")] / size, len(set(lines)) / len(lines), max(words.values()) / total,
+            sum(map(eq, order, islice(order, 1, None))) / total, len(words) / total**0.75, (len(pairs) + 1) / total, np.log2(total / len(pairs)) if pairs else 0.0,
         )
     at = np.flatnonzero(value)
     return at.astype(np.int16), value[at]
@@ -92,7 +95,7 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, delta: float =
     return float(np.clip(u[best] / p[best], 0.02, 0.98))
 
 
-def train(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 400, rate: float = 0.05, decay: float = 1e-4) -> Model:
+def train(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 1000, rate: float = 0.05, decay: float = 1e-4) -> Model:
     """Minimises prior * R+ + max(0, R-(unlabelled) - prior * R-(positive)) of the logistic loss."""
     if not len(positive) or not len(unlabelled):
         return Model(np.zeros(SIZE), 0.0, 0.5)
@@ -107,9 +110,18 @@ def train(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 400, rate:
         share = np.concatenate([np.full(n, 0.5 / n), np.full(k, 0.5 / k)])
         return _descend(x, lambda s: (_sigmoid(s) - sign) * share, steps // 2, rate, 1e-3)
 
-    w, b = plain(positive[::2], unlabelled[::2])
-    rest_p, rest_u = positive[1::2] if len(positive) > 1 else positive, unlabelled[1::2] if len(unlabelled) > 1 else unlabelled
-    prior = estimate_prior(rest_p @ w + b, rest_u @ w + b)
+    # statistics in deviations, so that one step size suits them all; undone in the weights at the end
+    scale = np.ones(SIZE, np.float32)
+    scale[-N_STATS:] = 1 / np.maximum(unlabelled[:, -N_STATS:].std(0), 1e-3)
+    positive, unlabelled = positive * scale, unlabelled * scale
+    # each half is scored by what the other half taught; less one standard error, as the least ratio errs upwards on small samples
+    found = []
+    for k in (0, 1):
+        w, b = plain(positive[k::2] if len(positive) > 1 else positive, unlabelled[k::2] if len(unlabelled) > 1 else unlabelled)
+        rest_p, rest_u = (x[1 - k :: 2] if len(x) > 1 else x for x in (positive, unlabelled))
+        found.append(estimate_prior(rest_p @ w + b, rest_u @ w + b))
+    prior = float(np.mean(found))
+    prior = float(np.clip(prior - np.sqrt(prior * (1 - prior) / len(unlabelled)), 0.02, 0.98))
     x, n, k = joined(positive, unlabelled)
 
     def gradient(s: np.ndarray) -> np.ndarray:
@@ -124,7 +136,7 @@ def train(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 400, rate:
         return g
 
     w, b = _descend(x, gradient, steps, rate, decay)
-    return Model(w, b, prior)
+    return Model(w * scale, b, prior)
 
 
 def held_out(doc_id) -> F.Column:
