@@ -49,7 +49,7 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
 )
 
-SPLIT = r"[^\p{L}\p{N}]+"
+OTHER = r"[^\p{L}\p{N}\n]+"
 
 
 def words_of(text: str) -> list[str]:
@@ -67,17 +67,19 @@ def _templates(templates: Sequence[tuple[str, str]]) -> Column:
 
 
 def _grams(unit: Column) -> Column:
-    """The distinct bigrams of a text, as hashes."""
-    words = F.array(F.filter(F.split(F.lower(unit), SPLIT), lambda w: w != ""))
+    """The distinct bigrams of a normalised text, as hashes."""
+    words = F.array(F.split(F.trim(unit), " "))
     hashed = F.transform(words, lambda w: F.transform(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), lambda x, k: F.xxhash64(F.concat_ws(" ", x, F.get(w, k + 1)))))
     return F.array_distinct(F.get(hashed, 0))
 
 
 def scan(docs: DataFrame, threshold: float = THRESHOLD, templates: Sequence[tuple[str, str]] = TEMPLATES) -> DataFrame:
     """docs with license, dice, line (from 1; 0: the whole text; all null: none) and n_matches, the number of matching units."""
-    text = F.coalesce("text", F.lit(""))
-    lines = F.split(text, "\n", -1)
-    units = F.when(F.size(lines) > 1, F.concat(F.array(text), lines)).otherwise(lines)
+    # normalised once as a whole, line ends kept; as columns, since each is used more than once
+    names = ("license", "dice", "line", "n_matches")
+    rows = docs.withColumn("_clean", F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), OTHER, " ")).withColumn("_lines", F.split("_clean", "\n", -1))
+    lines = F.col("_lines")
+    units = F.when(F.size(lines) > 1, F.concat(F.array(F.regexp_replace("_clean", r"[ \n]+", " ")), lines)).otherwise(lines)
     # a single line is line 1
     shift = F.when(F.size(lines) > 1, F.lit(0)).otherwise(F.lit(1))
     grams = F.transform(units, _grams)
@@ -90,7 +92,6 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, templates: Sequence[tupl
         return F.array_max(F.filter(scored, lambda s: s.dice >= threshold))
 
     found = F.filter(F.transform(grams, best), lambda s: s.isNotNull())
-    names = ("license", "dice", "line", "n_matches")
-    out = docs.withColumn("_shift", shift).withColumn("_found", found).withColumn("_best", F.array_max("_found"))
+    out = rows.withColumn("_shift", shift).withColumn("_found", found).withColumn("_best", F.array_max("_found"))
     best_ = F.col("_best")
     return out.select(*[c for c in docs.columns if c not in names], best_.license.alias("license"), best_.dice.alias("dice"), (F.col("_shift") - best_.unit).alias("line"), F.size("_found").cast("long").alias("n_matches"))
