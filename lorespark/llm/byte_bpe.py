@@ -16,17 +16,21 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import prepare
 
 CHUNK, OVERLAP = 32_768, 1_024
+ROWS = 256
 RESULT = "struct<n_tokens:long,ids:array<int>,ids_sha256:string,decoded_sha256:string>"
 
 
@@ -77,12 +81,25 @@ def _sure(text: str, p: int) -> bool:
 
 
 def _result(parts: list[list[int]], codec: tiktoken.Encoding, with_ids: bool) -> tuple:
-    ids, plain, n = hashlib.sha256(), hashlib.sha256(), 0
+    ids, plain, held = hashlib.sha256(), hashlib.sha256(), []
     for part in parts:
-        ids.update(np.array(part, "<u4").tobytes())
+        held.append(np.array(part, "<u4"))
+        ids.update(held[-1].tobytes())
         plain.update(codec.decode_bytes(part))
-        n += len(part)
-    return n, [x for part in parts for x in part] if with_ids else None, ids.hexdigest(), plain.hexdigest()
+    # four bytes an id: a batch of lists of Python integers would take ten times that
+    every = np.concatenate(held).astype(np.int32) if held else np.empty(0, np.int32)
+    return len(every), every if with_ids else None, ids.hexdigest(), plain.hexdigest()
+
+
+def _packed(found: list[tuple], with_ids: bool) -> pa.StructArray:
+    """Results as an Arrow column; ids go in as whole arrays, never as Python integers."""
+    n = pa.array([r[0] for r in found], pa.int64())
+    if with_ids:
+        ends = np.concatenate([[0], np.cumsum([r[0] for r in found])]).astype(np.int32)
+        ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int32), *(r[1] for r in found)])))
+    else:
+        ids = pa.nulls(len(found), pa.list_(pa.int32()))
+    return pa.StructArray.from_arrays([n, ids, pa.array([r[2] for r in found], pa.string()), pa.array([r[3] for r in found], pa.string())], ["n_tokens", "ids", "ids_sha256", "decoded_sha256"])
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = True, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
@@ -92,12 +109,19 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = True
     with open(ranks_path, "rb") as f:  # a vocabulary file of the driver; under a megabyte
         ranks = spark.sparkContext.broadcast(f.read())
 
-    def whole(texts: pd.Series) -> pd.DataFrame:
+    schema = T.StructType([*(f for f in docs.schema.fields if f.name != "bpe"), T.StructField("bpe", T._parse_datatype_string(RESULT))])
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(ranks.value, pattern)
-        return pd.DataFrame([_result([codec.encode_ordinary(t or "")], codec, with_ids) for t in texts], columns=["n_tokens", "ids", "ids_sha256", "decoded_sha256"])
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):  # few rows at a time go back: ids outweigh the text
+                part = batch.slice(at, ROWS)
+                found = [_result([codec.encode_ordinary(t or "")], codec, with_ids) for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in schema.names[:-1]), _packed(found, with_ids)], names=schema.names)
 
+    docs = docs.select(*schema.names[:-1])
     size = F.char_length(F.coalesce("text", F.lit("")))
-    short = docs.where(size <= chunk).withColumn("bpe", F.pandas_udf(whole, RESULT)("text"))
+    short = docs.where(size <= chunk).mapInArrow(whole, schema)
 
     long = docs.where(size > chunk).withColumn("_row", F.monotonically_increasing_id())
     starts = F.posexplode(F.sequence(F.lit(0), F.char_length("text") - 1, F.lit(chunk)))
