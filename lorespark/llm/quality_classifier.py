@@ -100,12 +100,8 @@ def train(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 1000, rate:
     if not len(positive) or not len(unlabelled):
         return Model(np.zeros(SIZE), 0.0, 0.5)
 
-    def joined(p: np.ndarray, u: np.ndarray):
-        n, k = len(p), len(u)
-        return np.concatenate([p, u]), n, k
-
     def plain(p: np.ndarray, u: np.ndarray):
-        x, n, k = joined(p, u)
+        x, n, k = np.concatenate([p, u]), len(p), len(u)
         sign = np.concatenate([np.ones(n), np.zeros(k)])
         share = np.concatenate([np.full(n, 0.5 / n), np.full(k, 0.5 / k)])
         return _descend(x, lambda s: (_sigmoid(s) - sign) * share, steps // 2, rate, 1e-3)
@@ -113,16 +109,18 @@ def train(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 1000, rate:
     # statistics in deviations, so that one step size suits them all; undone in the weights at the end
     scale = np.ones(SIZE, np.float32)
     scale[-N_STATS:] = 1 / np.maximum(unlabelled[:, -N_STATS:].std(0), 1e-3)
-    positive, unlabelled = positive * scale, unlabelled * scale
+    n, k = len(positive), len(unlabelled)
+    x = np.concatenate([positive, unlabelled])
+    x *= scale
+    positive, unlabelled = x[:n], x[n:]  # views: the sample is held once from here on
     # each half is scored by what the other half taught; less one standard error, as the least ratio errs upwards on small samples
     found = []
-    for k in (0, 1):
-        w, b = plain(positive[k::2] if len(positive) > 1 else positive, unlabelled[k::2] if len(unlabelled) > 1 else unlabelled)
-        rest_p, rest_u = (x[1 - k :: 2] if len(x) > 1 else x for x in (positive, unlabelled))
+    for half in (0, 1):
+        w, b = plain(*(rows[half::2] if len(rows) > 1 else rows for rows in (positive, unlabelled)))
+        rest_p, rest_u = (rows[1 - half :: 2] if len(rows) > 1 else rows for rows in (positive, unlabelled))
         found.append(estimate_prior(rest_p @ w + b, rest_u @ w + b))
     prior = float(np.mean(found))
     prior = float(np.clip(prior - np.sqrt(prior * (1 - prior) / len(unlabelled)), 0.02, 0.98))
-    x, n, k = joined(positive, unlabelled)
 
     def gradient(s: np.ndarray) -> np.ndarray:
         up = _sigmoid(s)  # derivative of the loss of calling a row negative; that of calling it positive is up - 1
@@ -164,7 +162,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 6000, max_unlabe
             out[k, np.frombuffer(r.f.at, np.int16)] = np.frombuffer(r.f.value, np.float32)
         return out
 
-    return train(drawn(rows.join(good, "doc_id", "left_semi"), max_positive), drawn(rows, max_unlabelled))
+    samples = [drawn(rows.join(good, "doc_id", "left_semi"), max_positive), drawn(rows, max_unlabelled)]
+    return train(samples.pop(0), samples.pop())
 
 
 def _sparse(texts: pd.Series) -> pd.DataFrame:
