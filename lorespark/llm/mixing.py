@@ -137,7 +137,8 @@ def _setup(spark: SparkSession, docs: DataFrame, block: int, weights: tuple[floa
     plan = Plan(docs.groupBy("source").agg(F.sum(size).alias("n")), block, weights, limit)
     by_source = F.broadcast(plan.frame(spark))  # a row per source
     placed = placed.join(by_source, F.col("source").eqNullSafe(F.col("_src"))).drop("_src")
-    uses = slots(spark, plan, n_shards, seed).groupBy(F.col("rank").alias("_rank"), "block").agg(F.count("*").alias("uses"))
+    # the optimizer takes the slots for as few as the rows that ask for them, and would broadcast them
+    uses = slots(spark, plan, n_shards, seed).groupBy(F.col("rank").alias("_rank"), "block").agg(F.count("*").alias("uses")).hint("merge")
     return placed, uses
 
 
