@@ -84,6 +84,27 @@ def upsert_index(index: DataFrame, change: DataFrame) -> DataFrame:
     return index.join(change.select("title"), "title", "left_anti").select(*index.columns).unionByName(new)
 
 
+def archive_page(pages: DataFrame, index: DataFrame, entities: DataFrame, mentions: DataFrame, page_no: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The page is flagged, its entry leaves the index, its mentions leave the graph."""
+    was = pages.where(F.col("page_no") == page_no)
+    flagged = pages.withColumn("archived", F.col("archived") | (F.col("page_no") == page_no))
+    return flagged, index.join(was.select("title"), "title", "left_anti").select(*index.columns), *delete_page(entities, mentions, page_no)
+
+
+def restore_page(pages: DataFrame, index: DataFrame, page_no: int) -> tuple[DataFrame, DataFrame]:
+    """An archived page is flagged no longer and gets an index entry with an empty summary; one that is not stays."""
+    back = pages.where((F.col("page_no") == page_no) & F.col("archived")).select(F.lit(0).alias("pos"), "title", F.lit("").alias("summary"))
+    return pages.withColumn("archived", F.col("archived") & (F.col("page_no") != page_no)), upsert_index(index, back)
+
+
+def insert_chunks(chunks: DataFrame, new: DataFrame, vectors: DataFrame) -> DataFrame:
+    """chunks with the new ones and their vectors by chunk_id, all or none: one without its vector, or the reverse, raises."""
+    bad = new.select("chunk_id", F.lit(1).alias("_c")).join(vectors.select("chunk_id", F.lit(1).alias("_v")), "chunk_id", "full").where("_c IS NULL OR _v IS NULL").limit(1)
+    if bad.head(1):
+        raise ValueError("chunks and vectors do not match")
+    return chunks.unionByName(new.join(vectors, "chunk_id").select(*chunks.columns))
+
+
 def reindex_plan(current: DataFrame, known: DataFrame) -> DataFrame:
     """What incremental indexing does with each source: skip, replace or new, by content hash."""
     now = current.withColumn("content_hash", F.sha2("content", 256))

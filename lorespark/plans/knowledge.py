@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..fixtures import AS_OF
 from ..operators import knowledge as K
 from ..operators import ranking
+from ..operators import shells as S
 from ..registry import query
 
 _LINKS = "links AS (SELECT page_no, title, unnest(regexp_extract_all(body, '\\[\\[([^\\[\\]]+)\\]\\]', 1)) AS target FROM fx_page)"
@@ -354,3 +355,110 @@ def sk19_apply_decisions(fx_claim: DataFrame) -> DataFrame:
     some = fx_claim.where("claim_id % 10 = 1").withColumns({"decision": kind, "target": F.col("claim_id"), "claim_id": F.col("claim_id") + 1_000_000_000, "confidence": F.lit(0.5), "text": F.lit("x")})
     out = K.apply_decisions(fx_claim.withColumn("text", F.lit("x")), some, AS_OF)
     return out.select("claim_id", F.round("confidence", 6).alias("confidence"), "valid_to")
+
+
+@query("fx_claim", sql="SELECT CASE claim_id % 4 WHEN 0 THEN 'ADD' WHEN 1 THEN 'MERGE' WHEN 2 THEN 'SUPERSEDE' ELSE 'NOOP' END AS decision, count(*) AS n FROM fx_claim GROUP BY ALL")
+def a6_decision_counts(fx_claim: DataFrame) -> DataFrame:
+    kind = F.element_at(F.array(*map(F.lit, ["ADD", "MERGE", "SUPERSEDE", "NOOP"])), (F.col("claim_id") % 4 + 1).cast("int"))
+    return fx_claim.groupBy(kind.alias("decision")).agg(F.count("*").alias("n"))
+
+
+@query("fx_page", sql=f"SELECT slug, CASE WHEN page_no % 2 = 1 THEN id ELSE 'fresh' END AS id, CASE WHEN page_no % 2 = 1 THEN updated ELSE date '2024-06-01' END AS created FROM fx_page WHERE page_no % 3 = 0")
+def sk2_reingest(fx_page: DataFrame) -> DataFrame:
+    """What is ingested again keeps id and day of creation; what is new brings its own."""
+    change = fx_page.where("page_no % 3 = 0").select("slug", F.lit("fresh").alias("id"), "title", F.lit("2024-06-01").cast("date").alias("created"), "updated")
+    out = K.upsert_pages(_state(fx_page.where("page_no % 2 = 1")), change, AS_OF)
+    return out.join(change.select("slug"), "slug", "left_semi").select("slug", "id", "created")
+
+
+@query("fx_chunk", sql="SELECT chunk_id, source_no, len(embedding)::int AS dim FROM fx_chunk WHERE chunk_id % 3 <> 2")
+def sk5_insert_chunks(fx_chunk: DataFrame) -> DataFrame:
+    cols = fx_chunk.select("chunk_id", "source_no", "embedding")
+    new = cols.where("chunk_id % 3 = 1")
+    out = K.insert_chunks(cols.where("chunk_id % 3 = 0"), new.drop("embedding"), new.select("chunk_id", "embedding"))
+    return out.select("chunk_id", "source_no", F.size("embedding").alias("dim"))
+
+
+@query("fx_claim", sql=f"""
+SELECT claim_id, confidence, valid_from FROM fx_claim UNION ALL
+SELECT claim_id + 1000000000, 0.25 * (claim_id % 7), CASE WHEN claim_id % 2 = 0 THEN valid_from ELSE date '{AS_OF}' END FROM fx_claim WHERE claim_id % 10 = 1 AND claim_id % 3 > 0 AND claim_id % 7 <= 4""")
+def sk14_add_claims(fx_claim: DataFrame) -> DataFrame:
+    """Blank texts and confidences outside 0 to 1 are turned away; a missing first day is today."""
+    new = fx_claim.where("claim_id % 10 = 1").withColumns({
+        "text": F.when(F.col("claim_id") % 3 > 0, "t").otherwise("  "), "confidence": 0.25 * (F.col("claim_id") % 7),
+        "valid_from": F.when(F.col("claim_id") % 2 == 0, F.col("valid_from")), "claim_id": F.col("claim_id") + 1_000_000_000,
+    })
+    return K.add_claims(fx_claim.withColumn("text", F.lit("t")), new, AS_OF).select("claim_id", "confidence", "valid_from")
+
+
+@query("fx_run", sql="SELECT id, eval_type, score, '{\"n\":' || chunk_count::string || '}' AS details FROM fx_run UNION ALL SELECT id + 1000000000, eval_type, score / 2, '{\"n\":0}' FROM fx_run WHERE id % 100 = 0")
+def sk20_append_runs(fx_run: DataFrame) -> DataFrame:
+    """Runs are appended, their details as JSON."""
+    old = fx_run.select("id", "eval_type", "score", F.to_json(F.struct(F.col("chunk_count").alias("n"))).alias("details"))
+    new = fx_run.where("id % 100 = 0").select((F.col("id") + 1_000_000_000).alias("id"), "eval_type", (F.col("score") / 2).alias("score"), F.to_json(F.struct(F.lit(0).alias("n"))).alias("details"))
+    return old.unionByName(new)
+
+
+@query("fx_page", "fx_index", "fx_entity", "fx_mention", sql="""
+SELECT (SELECT count(*) FROM fx_page WHERE archived OR page_no = 7) AS n_archived, (SELECT count(*) FROM fx_index WHERE title <> 'Topic 7') AS n_entries, (SELECT count(*) FROM fx_mention WHERE page_id <> 7) AS n_mentions, (SELECT count(*) FROM fx_page WHERE archived) AS n_restored, (SELECT max(pos) + 1 FROM fx_index WHERE title <> 'Topic 7') AS restored_pos""")
+def sk23_archive_restore(fx_page: DataFrame, fx_index: DataFrame, fx_entity: DataFrame, fx_mention: DataFrame) -> DataFrame:
+    """A page is archived and restored: flags, index and mentions after each."""
+    pages, index, _, mentions = K.archive_page(fx_page, fx_index, fx_entity, fx_mention, 7)
+    again, entries = K.restore_page(pages, index, 7)
+    one = pages.agg(F.count_if("archived").alias("n_archived")).crossJoin(index.agg(F.count("*").alias("n_entries"))).crossJoin(mentions.agg(F.count("*").alias("n_mentions")))
+    return one.crossJoin(again.agg(F.count_if("archived").alias("n_restored"))).crossJoin(entries.agg(F.max(F.when(F.col("title") == "Topic 7", F.col("pos"))).alias("restored_pos")))
+
+
+@query("documents", sql="SELECT doc_id, w AS name, 'person' AS type, 0 AS pos FROM (SELECT doc_id, regexp_extract(text, '[A-Za-z]{4,}') AS w FROM documents) WHERE w <> ''")
+def g1_entity_extraction(documents: DataFrame) -> DataFrame:
+    """A reply with a name of the text, the same in other case, a type that is none, and a name that the text has not."""
+    word = F.regexp_extract("text", "[A-Za-z]{4,}", 0)
+
+    def item(name: Column, kind: str) -> Column:
+        return F.struct(name.alias("name"), F.lit(kind).alias("type"), F.lit("").alias("description"), F.lit("").alias("span"))
+
+    reply = F.concat(F.lit("```json\n"), F.to_json(F.array(item(word, " Person"), item(F.upper(word), "concept"), item(word, "planet"), item(F.lit("\u2603\u2604\u2605\u2606"), "concept"))), F.lit("\n```"))
+    return S.extracted_entities(documents.select("doc_id", "text", reply.alias("reply")), "doc_id").select("doc_id", "name", "type", "pos")
+
+
+_SEED = f"""
+p AS (SELECT page_no, title, {_FOLD('title')} AS k, body FROM fx_page WHERE NOT archived), l AS (SELECT page_no, unnest(regexp_extract_all(body, '\\[\\[([^\\[\\]]+)\\]\\]', 1)) AS target FROM p),
+m AS (SELECT {_FOLD('target')} AS k, EXISTS (SELECT 1 FROM p WHERE p.k = {_FOLD('l.target')}) AS has_page FROM l)"""
+
+
+@query("fx_page", sql=f"WITH {_SEED.strip()} SELECT (SELECT count(*) FROM p) AS pages, (SELECT count(*) FROM p) AS page_entities, count(*) FILTER (WHERE has_page) AS linked_mentions, count(DISTINCT k) FILTER (WHERE NOT has_page) AS broken_link_entities, count(*) AS total_mentions FROM m")
+def g2_wiki_seed(fx_page: DataFrame) -> DataFrame:
+    return S.seed_report(fx_page.where("NOT archived"))
+
+
+@query("fx_entity", sql="SELECT ((row_number() OVER (ORDER BY canonical, entity_id) - 1) // 20)::bigint AS batch, entity_id FROM (SELECT * FROM fx_entity WHERE type = 'concept' ORDER BY canonical, entity_id LIMIT 10000)".replace("entity_id FROM (", "'- ' || canonical AS line FROM ("))
+def g3_classify_batches(fx_entity: DataFrame) -> DataFrame:
+    out = S.classify_batches(fx_entity.withColumn("description", F.lit("")))
+    return out.select("batch", F.explode(F.split("prompt", "\n")).alias("line"))
+
+
+@query("fx_entity", sql="SELECT min(entity_id) AS entity_id, 'person' AS type, 'a1,a2' AS aliases FROM fx_entity WHERE type = 'concept' GROUP BY lower(canonical)")
+def g4_classify_replies(fx_entity: DataFrame) -> DataFrame:
+    """A reply for each name, once with a type that is none, once sound with aliases too many."""
+    some = fx_entity.where("type = 'concept'")
+    item = F.struct(F.col("canonical").alias("name"), F.lit("Person ").alias("type"), F.array(F.lit(" a1 "), F.upper("canonical"), F.lit("a2"), F.lit("a3")).alias("aliases"))
+    bad = F.struct(F.col("canonical").alias("name"), F.lit("planet").alias("type"), F.array(F.lit("b")).alias("aliases"))
+    replies = some.select(F.col("entity_id").alias("batch"), F.to_json(F.array(item, bad)).alias("reply"))
+    return S.classified(replies, some).select("entity_id", "type", F.array_join("aliases", ",").alias("aliases"))
+
+
+@query("fx_page", sql="""
+WITH p AS (SELECT page_no, slug, regexp_extract_all(lower(body), '[\\p{L}\\p{N}_]+') AS t FROM fx_page WHERE NOT archived), c AS (SELECT page_no AS case_id, slug AS expected, string_split('topic ' || page_no::string || ' zzz', ' ') AS q FROM p WHERE page_no % 50 = 7),
+s AS (SELECT case_id, expected, slug, row_number() OVER (PARTITION BY case_id ORDER BY round(list_sum(list_transform(q, w -> ln(1 + 1 / (1 + len(list_filter(t, x -> x = w))::double)) * len(list_filter(t, x -> x = w)) * 2.5 / (len(list_filter(t, x -> x = w)) + 1.5))), 9) DESC, p.page_no) AS r FROM c, p)
+SELECT case_id, CASE WHEN r <= 5 THEN r END::int AS rank FROM s WHERE slug = expected""")
+def j20_search_cases(fx_page: DataFrame) -> DataFrame:
+    pages = fx_page.where("NOT archived").withColumnRenamed("page_no", "pos")
+    cases = pages.where("pos % 50 = 7").select(F.col("pos").alias("case_id"), F.concat(F.lit("topic "), F.col("pos").cast("string"), F.lit(" zzz")).alias("query"), F.col("slug").alias("expected_slug"))
+    return S.search_ranks(cases, pages)
+
+
+@query("fx_shared", sql="WITH e AS (SELECT DISTINCT entity_id AS a, page_id AS b, CASE WHEN entity_id % 2 = 0 THEN 'link' ELSE 'shared' END AS kind FROM fx_shared) SELECT a, b, kind FROM e WHERE kind = 'link' AND a % 5 > 0 AND b % 5 > 0 AND a < 100")
+def g5_visible_edges(fx_shared: DataFrame) -> DataFrame:
+    edges = fx_shared.select(F.col("entity_id").alias("a"), F.col("page_id").alias("b"), F.when(F.col("entity_id") % 2 == 0, "link").otherwise("shared").alias("kind")).distinct()
+    nodes = fx_shared.select(F.explode(F.array(F.col("entity_id").cast("long"), F.col("page_id").cast("long"))).alias("node")).distinct().where("node % 5 > 0")
+    return S.visible_edges(edges.where("a < 100"), nodes, ["link"])

@@ -103,6 +103,14 @@ def rk10_claim_knn(fx_chunk: DataFrame) -> DataFrame:
     return ranking.claim_search(claims, PROBE, 5, 0.05, without_page=2).select("claim_id", F.round("similarity", 6).alias("similarity"))
 
 
+@query("fx_chunk", sql=f"""
+SELECT chunk_id AS candidate, section_no AS page_id, round(array_cosine_similarity({_V}, {_P}), 6) AS similarity FROM fx_chunk WHERE array_cosine_similarity({_V}, {_P}) >= 0.05 AND label <> 3 ORDER BY 3 DESC LIMIT 3""")
+def rk11_candidates(fx_chunk: DataFrame) -> DataFrame:
+    """Claims that a proposition may repeat: a projection of the claim search."""
+    claims = fx_chunk.select(F.col("chunk_id").alias("claim_id"), F.col("section_no").alias("page_id"), "embedding", F.when(F.col("label") == 3, F.lit("2024-01-01")).alias("valid_to"))
+    return ranking.claim_search(claims, PROBE, 3, 0.05).select(F.col("claim_id").alias("candidate"), "page_id", F.round("similarity", 6).alias("similarity"))
+
+
 _RK12 = f"""
 SELECT chunk_id, label, round(distance, 6) AS distance FROM (
   SELECT *, CASE WHEN page_title IS NULL THEN concat('[pdf] source ', source_no::string) ELSE concat('[wiki] ', page_title) END AS label, row_number() OVER (PARTITION BY source_no, section_no ORDER BY distance, chunk_id) AS r

@@ -5,10 +5,97 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..fixtures import AS_OF
+from ..functions.text import slugify
 from ..registry import query
 from ..sources import files
 
 
+def _wiki_files(fx_page: DataFrame) -> DataFrame:
+    """(path, content): the pages as files, beside an index, a log and a dotfile."""
+    n = F.col("page_no").cast("string")
+    meta = {"tags": F.concat(F.lit("[A b, a-b, x"), n, F.lit("]")), "domain": F.concat(F.lit(" "), F.upper("domain")), "updated": F.date_format("updated", "yyyy-MM-dd"), "archived": F.when(F.col("archived"), "true"), "id": files.yaml_scalar(F.col("id"))}
+    name = F.when(F.col("page_no") % 50 == 1, F.lit("index.md")).when(F.col("page_no") % 50 == 2, F.lit("log.md")).when(F.col("page_no") % 50 == 3, F.concat(F.lit("."), "slug", F.lit(".md"))).otherwise(F.concat("slug", F.lit(".md")))
+    return fx_page.select(F.concat(F.lit("/wiki/"), name).alias("path"), files.render_page(F.col("title"), F.concat("body", F.lit("\n\n")), **meta).alias("content"))
+
+
+_PAGES = "SELECT '/wiki/' || slug || '.md' AS path, title, md5(rtrim(body, chr(10))) AS body_md5, 'a-b,x' || page_no::string AS tags, domain, updated, id FROM fx_page WHERE page_no % 50 NOT IN (1, 2, 3)"
+
+
+def _page_rows(pages: DataFrame) -> DataFrame:
+    return pages.select("path", "title", F.md5(F.col("body").cast("binary")).alias("body_md5"), F.array_join("tags", ",").alias("tags"), "domain", "updated", "id")
+
+
+@query("fx_page", sql=f"{_PAGES} AND NOT archived")
+def sc1_wiki_scan(fx_page: DataFrame) -> DataFrame:
+    return _page_rows(files.wiki_pages(_wiki_files(fx_page), AS_OF))
+
+
+@query("fx_page", sql=f"{_PAGES} AND archived")
+def sc2_archived_scan(fx_page: DataFrame) -> DataFrame:
+    return _page_rows(files.wiki_pages(_wiki_files(fx_page), AS_OF, archived=True))
+
+
+@query("fx_page", sql="SELECT '/wiki/' || slug || '.md' AS path, title, updated, NOT archived AS active FROM fx_page WHERE page_no % 50 NOT IN (1, 2, 3)")
+def sc3_page_parse(fx_page: DataFrame) -> DataFrame:
+    return files.wiki_pages(_wiki_files(fx_page), AS_OF, archived=None).select("path", "title", "updated", (~F.col("archived")).alias("active"))
+
+
+@query("fx_page", sql="SELECT page_no, title, 'A b,a-b,x' || page_no::string AS tags, strftime(updated, '%Y-%m-%d') AS updated, md5(ltrim(body || chr(10) || chr(10), chr(10) || chr(32) || chr(9))) AS body_md5 FROM fx_page WHERE page_no % 50 NOT IN (1, 2, 3)")
+def sc4_chunker_frontmatter(fx_page: DataFrame) -> DataFrame:
+    got = files.chunk_frontmatter(_wiki_files(fx_page)).where(F.rlike("path", F.lit(r"/topic-\d+\.md$")))
+    return got.select(F.regexp_extract("path", r"(\d+)\.md$", 1).cast("long").alias("page_no"), F.col("meta")["title"].alias("title"), F.col("meta")["tags"].alias("tags"), F.col("meta")["updated"].alias("updated"), F.md5(F.col("body").cast("binary")).alias("body_md5"))
+
+
+@query("fx_claim", "fx_trace", sql="SELECT 'claims' AS store, count(*) AS n, min(claim_id) AS low, max(claim_id) AS high FROM fx_claim UNION ALL SELECT 'traces', count(*), min(id), max(id) FROM fx_trace")
+def sc9_store_scan(fx_claim: DataFrame, fx_trace: DataFrame) -> DataFrame:
+    def of(name: str, df: DataFrame, key: str) -> DataFrame:
+        return df.agg(F.lit(name).alias("store"), F.count("*").alias("n"), F.min(key).alias("low"), F.max(key).alias("high"))
+
+    return of("claims", fx_claim, "claim_id").union(of("traces", fx_trace, "id"))
+
+
+@query("fx_page", sql=f"SELECT 'topic-' || page_no::string || '.md' AS path, title, CASE WHEN page_no % 7 = 0 THEN 'misc' ELSE domain END AS domain, updated, CASE WHEN page_no % 7 = 0 THEN 'runbook' ELSE '' END AS tags FROM fx_page WHERE page_no % 4 > 0 AND page_no % 50 <> 1")
+def sc19_bundle_scan(fx_page: DataFrame) -> DataFrame:
+    """Exported concepts read again: every fourth has lost its type, some bear a reserved name, every seventh has a type of its own."""
+    made = files.export_concepts(fx_page.withColumn("domain", F.when(F.col("page_no") % 7 == 0, "Runbook").otherwise(F.col("domain"))))
+    path = F.when(F.col("page_no") % 50 == 1, F.lit("b/index.md")).otherwise(F.concat(F.lit("b/c/"), "path"))
+    content = F.when(F.col("page_no") % 4 == 0, F.regexp_replace("content", r"(?m)^type: .*$", "kind: none")).otherwise(F.col("content"))
+    got = files.concept_pages(files.scan_bundle(made.select(path.alias("path"), content.alias("content"))), AS_OF)
+    return got.select("path", "title", "domain", "updated", F.array_join("tags", ",").alias("tags"))
+
+
+@query("fx_page", sql=f"SELECT title, CASE WHEN page_no % 7 = 0 THEN 'misc' ELSE domain END AS domain, CASE WHEN page_no % 3 = 0 THEN date '{AS_OF}' ELSE updated END AS updated, CASE WHEN page_no % 2 = 0 THEN 's1,s2' ELSE 'r' END AS sources, CASE WHEN page_no % 7 = 0 THEN 'x,my-type' ELSE 'x' END AS tags FROM fx_page")
+def tx12_field_mapping(fx_page: DataFrame) -> DataFrame:
+    """Concept fields to page fields: own types, days that do not parse, sources or a resource."""
+    no = F.col("page_no")
+    fields = fx_page.select(
+        F.lit("a.md").alias("path"), F.lit("").alias("body"), F.when(no % 7 == 0, "My type").otherwise(F.upper("domain")).alias("type"), "title", F.array(F.lit(" X ")).alias("tags"),
+        F.when(no % 3 == 0, "soon").otherwise(F.concat(F.date_format("updated", "yyyy-MM-dd"), F.lit("T00:00:00+00:00"))).alias("timestamp"), F.lit(None).cast("string").alias("domain"),
+        F.when(no % 2 == 0, F.array(F.lit("s1"), F.lit("s2"))).alias("sources"), F.lit("r").alias("resource"), F.lit("").alias("created"), "archived", "id",
+    )
+    return files.concept_pages(fields, AS_OF).select("title", "domain", "updated", F.array_join("sources", ",").alias("sources"), F.array_join("tags", ",").alias("tags"))
+
+
+@query("fx_page", sql=f"SELECT updated AS day, max(updated::timestamp + interval 9 hour + interval 5 minute) AS generated_at, 2 AS n_suggestions, 'Topic' AS first_word FROM fx_page WHERE NOT archived GROUP BY updated ORDER BY updated DESC LIMIT 14")
+def sc21_daily_summaries(fx_page: DataFrame) -> DataFrame:
+    day = F.date_format("updated", "yyyy-MM-dd")
+    text = F.concat(F.lit("---\ntitle: d\n---\n# "), day, F.lit(" till 09:05\n\nmuch read\n\n## Reading Suggestions\n- [[Topic 1]] — old\n- [[Topic 2]] - older\n- no link\n"))
+    made = fx_page.where("NOT archived").select(F.concat(F.lit("/wiki/daily/"), day, F.lit(".md")).alias("path"), text.alias("content")).distinct()
+    return files.daily_summaries(made).select("day", "generated_at", F.size("suggestions").alias("n_suggestions"), F.regexp_extract(F.col("suggestions")[0]["title"], r"(\w+)", 1).alias("first_word"))
+
+
+@query("conversations", sql="SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'query' ELSE 'ingest' END AS operation, CASE WHEN turn % 2 = 0 THEN 0 ELSE 2 END AS n_pages FROM conversations WHERE turn < 1440")
+def sk4_log_append(conversations: DataFrame) -> DataFrame:
+    """Entries appended to a log for each conversation, and read again."""
+    ts = F.to_timestamp(F.lit("2024-01-01 00:00")) + F.make_dt_interval(mins=F.col("turn").cast("int"))
+    pages = F.when(F.col("turn") % 2 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("a"), F.lit("b c")))
+    entries = conversations.where("turn < 1440").select("conv_id", "turn", ts.alias("ts"), F.when(F.col("turn") % 2 == 0, "query").otherwise("ingest").alias("operation"), F.concat("conv_id", F.lit("/"), "turn").alias("description"), pages.alias("pages"))
+    logs = files.render_log(entries).groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "content"))), lambda x: x.content), "").alias("content"))
+    at = F.split("description", "/")
+    return files.parse_log(logs).select(F.get(at, 0).cast("long").alias("conv_id"), F.get(at, 1).cast("long").alias("turn"), "operation", F.size("pages").alias("n_pages"))
+
+
 @query("fx_index", sql="SELECT pos, title, summary_md5, n AS source_count, category FROM (SELECT pos::int AS pos, title, md5(trim(regexp_replace(left(summary, 60), '[\\n\\r—()\\[\\]]', ' ', 'g'), ' ')) AS summary_md5, (pos % 3)::int AS n, CASE WHEN pos % 2 = 0 THEN 'tech' ELSE 'misc' END AS category FROM fx_index)")
 def sc5_index_scan(fx_index: DataFrame) -> DataFrame:
     """Entries rendered to two index pages and read again."""
@@ -34,8 +121,6 @@ def sc7_log_slice(events: DataFrame) -> DataFrame:
 
 @query("fx_page", sql="SELECT page_no, id FROM fx_page WHERE slug = 'topic-5' OR id = '01000000000000000000000007' OR slug = 'topic-9'")
 def sc8_resolve_page(fx_page: DataFrame) -> DataFrame:
-    from ..functions.text import slugify
-
     hit = F.col("slug").isin("topic-5") | F.col("id").isin("01000000000000000000000007") | (slugify(F.col("title")) == "topic-9")
     return fx_page.where(hit).select("page_no", "id")
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import DOMAINS, first_paragraph, normalize_tags, slugify
+from ..functions.text import DOMAINS, first_paragraph, links_to_wiki, normalize_tags, slugify
 
 PAGE = "path string, title string, body string, tags array<string>, sources array<string>, domain string, created date, updated date, archived boolean, id string"
 
@@ -26,14 +26,14 @@ def frontmatter(content: Column) -> tuple[Column, Column]:
 
 
 def parse_pages(files: DataFrame, as_of: str) -> DataFrame:
-    """Typed pages of (path, content). YAML is read leniently: what does not parse is empty."""
+    """Typed pages of (path, content). Front matter that does not parse is empty; one that is no mapping, or holds an impossible day, makes the page unreadable, and it goes."""
     head, body = frontmatter(F.col("content"))
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import yaml
 
         def listed(x) -> list[str]:
-            return [str(v) for v in x] if isinstance(x, list) else [t.strip() for t in x.split(",")] if isinstance(x, str) else []
+            return [str(v) for v in x] if isinstance(x, list) else []
 
         def day(x):
             return pd.to_datetime(str(x), errors="coerce").date() if x and not pd.isna(pd.to_datetime(str(x), errors="coerce")) else pd.Timestamp(as_of).date()
@@ -45,7 +45,11 @@ def parse_pages(files: DataFrame, as_of: str) -> DataFrame:
                     m = yaml.safe_load(top) if top else {}
                 except yaml.YAMLError:
                     m = {}
-                m = m if isinstance(m, dict) else {}
+                except ValueError:
+                    continue
+                m = m or {}
+                if not isinstance(m, dict):
+                    continue
                 stem = re.sub(r"\.md$", "", path.rsplit("/", 1)[-1])
                 tags = list(dict.fromkeys(t for t in (str(x).strip().lower().replace(" ", "-") for x in listed(m.get("tags"))) if t))
                 domain = str(m.get("domain", "")).strip().lower()
@@ -55,20 +59,96 @@ def parse_pages(files: DataFrame, as_of: str) -> DataFrame:
     return files.select("path", head.alias("head"), body.alias("body")).mapInPandas(each, PAGE)
 
 
-def list_pages(spark: SparkSession, path: str, as_of: str, archived: bool | None = False) -> DataFrame:
-    """Pages of a wiki folder but index, log and dotfiles; archived=None: all, True: those alone."""
+def wiki_pages(files: DataFrame, as_of: str, archived: bool | None = False) -> DataFrame:
+    """Pages of (path, content) but index, log and dotfiles; archived=None: all, True: those alone."""
     name = F.element_at(F.split("path", "/"), -1)
-    files = scan_text(spark, path).where(~name.isin("index.md", "log.md") & ~name.startswith("."))
-    pages = parse_pages(files, as_of)
+    pages = parse_pages(files.where(name.endswith(".md") & ~name.isin("index.md", "log.md") & ~name.startswith(".")), as_of)
     return pages if archived is None else pages.where(F.col("archived") == archived)
 
 
+def list_pages(spark: SparkSession, path: str, as_of: str, archived: bool | None = False) -> DataFrame:
+    """Pages of a wiki folder, its subfolders left out."""
+    return wiki_pages(scan_text(spark, path), as_of, archived)
+
+
+def chunk_frontmatter(files: DataFrame) -> DataFrame:
+    """(path, meta, body) as the chunker reads them: every value as text, tags joined by commas; the body is trimmed.
+
+    A block that is not closed leaves the content as it is; one that does not parse is empty, its body still cut off.
+    """
+    end = F.when(F.startswith("content", F.lit("---")), F.locate("\n---", F.col("content"), 4))
+    closed = F.coalesce(end, F.lit(0)) > 0
+    top = F.when(closed, F.substring("content", F.lit(4), end - 4))
+    body = F.when(closed, F.ltrim(F.substring("content", end + 4, F.char_length("content")), F.lit(" \t\n\r\f\x0b"))).otherwise(F.col("content"))
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import yaml
+
+        for pdf in batches:
+            found = []
+            for head in pdf["head"]:
+                try:
+                    values = yaml.safe_load(head) if head else None
+                except (yaml.YAMLError, ValueError):
+                    values = None
+                if isinstance(values, dict):
+                    tags = values.get("tags") or ""
+                    texts = {str(k): str(v) for k, v in values.items() if v is not None}
+                    found.append(texts | {"tags": ",".join(map(str, tags)) if isinstance(tags, list) else str(tags)})
+                else:
+                    found.append({})
+            yield pd.DataFrame({"path": pdf["path"], "meta": found, "body": pdf["body"]})
+
+    return files.select("path", top.alias("head"), body.alias("body")).mapInPandas(each, "path string, meta map<string,string>, body string")
+
+
+def yaml_scalar(value: Column) -> Column:
+    """A YAML scalar: plain where it is a word or words of letters, digits and blanks, else in double quotes."""
+    plain = F.rlike(value, F.lit(r"^[A-Za-z][A-Za-z0-9 ]*[A-Za-z0-9]$")) & ~F.lower(value).isin("true", "false", "yes", "no", "on", "off", "null")
+    return F.when(plain, value).otherwise(F.regexp_replace(F.to_json(F.array(value)), r"^\[|\]$", ""))
+
+
 def render_page(title: Column, body: Column, **meta: Column) -> Column:
-    """A page with its front matter, keys sorted."""
-    lines = [F.concat(F.lit(f"{k}: "), v) for k, v in sorted({"title": title, **meta}.items())]
+    """A page with its front matter, keys sorted; arrays as flow lists, nulls left out."""
+    lines = [F.concat(F.lit(f"{k}: "), v) for k, v in sorted({"title": yaml_scalar(title), **meta}.items())]
     return F.concat(F.lit("---\n"), F.concat_ws("\n", *lines), F.lit("\n---\n"), body)
 
 
+def render_log(entries: DataFrame) -> DataFrame:
+    """entries (ts, operation, description, pages) with the text that each appends to the log."""
+    head = F.concat(F.lit("## ["), F.date_format("ts", "yyyy-MM-dd HH:mm"), F.lit("] "), F.col("operation"), F.lit(" | "), F.col("description"))
+    updated = F.when(F.size("pages") > 0, F.concat(F.lit("Updated: "), F.array_join("pages", ", ")))
+    return entries.withColumn("content", F.concat(F.concat_ws("\n", head, updated), F.lit("\n\n")))
+
+
+def load_cases(spark: SparkSession, path: str, most: int = 512 * 1024) -> DataFrame:
+    """(query, expected_slug, domain) of a YAML list, at most 512 KB; items without query or slug are left out."""
+    import yaml
+
+    found = spark.read.format("binaryFile").load(path).where(F.col("length") <= most).select("content").first()
+    if found is None:
+        raise ValueError(f"{path} is missing or larger than {most} bytes")
+    raw = yaml.safe_load(bytes(found[0]).decode("utf-8")) or []
+    if not isinstance(raw, list):
+        raise ValueError(f"cases are a list, not {type(raw).__name__}")
+    rows = [(str(x["query"]), str(x["expected_slug"]), str(x.get("domain", ""))) for x in raw if isinstance(x, dict) and "query" in x and "expected_slug" in x]
+    return spark.createDataFrame(rows, "query string, expected_slug string, domain string")
+
+
+def daily_summaries(files: DataFrame, newest: int = 14) -> DataFrame:
+    """(day, generated_at, summary, suggestions) of daily/<day>.md, newest first; suggestions are (title, reason)."""
+    day = F.try_to_timestamp(F.regexp_extract("path", r"(\d{4}-\d{2}-\d{2})\.md$", 1), F.lit("yyyy-MM-dd")).cast("date")
+    some = files.withColumn("day", day).where("day IS NOT NULL").orderBy(F.desc("day")).limit(newest)
+    body = F.regexp_replace("content", r"(?s)\A---\n.*?\n---\n?", "")
+    parts = F.split(body, r"(?m)^## Reading Suggestions[ \t]*$", 2)
+    at = F.coalesce(F.nullif(F.regexp_extract(body, r"till (\d{2}:\d{2})", 1), F.lit("")), F.lit("00:00"))
+    line = r"(?m)^-\s+\[\[(.+?)\]\]\s+[—–-]\s+(.+)$"
+    tail = F.coalesce(F.get(parts, 1), F.lit(""))
+    suggested = F.zip_with(F.regexp_extract_all(tail, F.lit(line), F.lit(1)), F.regexp_extract_all(tail, F.lit(line), F.lit(2)), lambda t, r: F.struct(t.alias("title"), F.trim(r).alias("reason")))
+    stamp = F.try_to_timestamp(F.concat(F.date_format("day", "yyyy-MM-dd "), at), F.lit("yyyy-MM-dd HH:mm"))
+    return some.select("day", stamp.alias("generated_at"), F.btrim(F.get(parts, 0), F.lit(" \t\n\r")).alias("summary"), suggested.alias("suggestions"))
+
+
 def parse_index(content: DataFrame, text: str = "content") -> DataFrame:
     """(pos, category, title, path, summary, source_count) of an index page; the category runs on until the next heading.
 
@@ -162,11 +242,69 @@ def export_concepts(pages: DataFrame) -> DataFrame:
     each = links.join(known, "title").groupBy("page_no").agg(F.array_sort(F.collect_list(F.struct("title", "slug"))).alias("_l"))
     out = pages.join(each, "page_no", "left")
     body = F.aggregate(F.coalesce("_l", F.array().cast("array<struct<title:string,slug:string>>")), F.col("body"), lambda t, x: F.replace(t, F.concat(F.lit("[["), x.title, F.lit("]]")), F.concat(F.lit("["), x.title, F.lit("](/"), x.slug, F.lit(".md)"))))
+    has = set(pages.columns)
+    meta = {k: yaml_scalar(F.col(k)) for k in ("id", "domain") if k in has} | {k: F.to_json(F.col(k)) for k in ("tags", "sources") if k in has}
+    meta |= {"created": yaml_scalar(F.date_format("created", "yyyy-MM-dd"))} if "created" in has else {}
+    meta |= {"archived": F.when(F.col("archived"), "true")} if "archived" in has else {}
     stamp = F.concat(F.date_format("updated", "yyyy-MM-dd"), F.lit("T00:00:00+00:00"))
-    content = render_page(F.col("title"), body, type=F.col("domain"), timestamp=stamp, description=first_paragraph(F.col("body")))
+    meta |= {"type": yaml_scalar(F.col("domain")), "timestamp": yaml_scalar(stamp), "description": yaml_scalar(F.nullif(F.trim(first_paragraph(F.col("body"))), F.lit("")))}
+    content = render_page(F.col("title"), body, **meta)
     return out.select("page_no", F.concat(slugify(F.col("title")), F.lit(".md")).alias("path"), content.alias("content"), (F.col("domain") != "").alias("conforms"))
 
 
+BUNDLE = "path string, body string, type string, title string, tags array<string>, timestamp string, domain string, sources array<string>, resource string, created string, archived boolean, id string"
+
+
+def scan_bundle(files: DataFrame) -> DataFrame:
+    """Concepts of (path, content), any depth: reserved names and files without a type that is text and not empty are left out."""
+    name = F.element_at(F.split("path", "/"), -1)
+    head, body = frontmatter(F.col("content"))
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import yaml
+
+        def texts(x) -> list[str] | None:
+            return [str(v) for v in x] if isinstance(x, list) else None
+
+        def iso(x) -> str | None:
+            return None if x is None else x.isoformat() if hasattr(x, "isoformat") else str(x)
+
+        for pdf in batches:
+            rows = []
+            for path, top, text in zip(pdf["path"], pdf["head"], pdf["body"], strict=True):
+                try:
+                    m = yaml.safe_load(top) if top else {}
+                except (yaml.YAMLError, ValueError):
+                    m = {}
+                if not isinstance(m, dict) or not isinstance(m.get("type"), str) or not m["type"].strip():
+                    continue
+                resource = str(m["resource"]) if m.get("resource") else None
+                rows.append((path, text, m["type"], str(m.get("title", "")), texts(m.get("tags")), iso(m.get("timestamp")), str(m["domain"]) if m.get("domain") else None, texts(m.get("sources")), resource, iso(m.get("created")), bool(m.get("archived", False)), str(m.get("id", ""))))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in BUNDLE.split(", ")])
+
+    some = files.where(name.endswith(".md") & ~name.isin("index.md", "log.md"))
+    return some.select("path", head.alias("head"), body.alias("body")).mapInPandas(each, BUNDLE)
+
+
+def concept_pages(concepts: DataFrame, as_of: str) -> DataFrame:
+    """Pages of scanned concepts. A type that is no domain makes the domain misc and stays as a tag; of days the first ten characters count."""
+
+    def day(c: str) -> Column:
+        return F.try_to_timestamp(F.left(c, F.lit(10)), F.lit("yyyy-MM-dd")).cast("date")
+
+    kind, today, nothing = F.trim("type"), F.lit(as_of).cast("date"), F.array().cast("array<string>")
+    placed = F.lower(F.trim(F.coalesce(F.nullif("domain", F.lit("")), kind)))
+    domain = F.when(placed.isin(*DOMAINS), placed).otherwise("misc")
+    tags = F.coalesce("tags", nothing)
+    tags = F.when((domain == "misc") & (kind != "") & (F.lower(kind) != "misc"), F.array_append(tags, kind)).otherwise(tags)
+    title = F.coalesce(F.nullif(F.trim("title"), F.lit("")), F.lit("Untitled"))
+    updated = F.coalesce(day("timestamp"), today)
+    created = F.when(F.coalesce("created", F.lit("")) == "", today).otherwise(F.coalesce(day("created"), updated))
+    sources = F.coalesce("sources", F.when(F.col("resource").isNotNull(), F.array("resource")), nothing)
+    body = F.btrim(links_to_wiki(F.col("body")), F.lit("\n"))
+    return concepts.select(F.concat(slugify(title), F.lit(".md")).alias("path"), title.alias("title"), body.alias("body"), normalize_tags(tags).alias("tags"), sources.alias("sources"), domain.alias("domain"), created.alias("created"), updated.alias("updated"), "archived", "id")
+
+
 def import_concepts(concepts: DataFrame, pages: DataFrame, overwrite: bool = False) -> DataFrame:
     """Pages after the concepts came in: an existing slug is kept unless overwritten."""
     keep, new = (pages.join(concepts.select("slug"), "slug", "left_anti"), concepts) if overwrite else (pages, concepts.join(pages.select("slug"), "slug", "left_anti"))

@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.knowledge import reindex_plan
+from ..sources.files import parse_log
 
 
 def event_time(df: DataFrame, column: str = "ts") -> DataFrame:
@@ -84,3 +85,25 @@ def reconcile(propositions: DataFrame, state: Callable[[], DataFrame], apply: Ca
             save(apply(state(), df.where(F.col("ordinal") == k)))
 
     return propositions.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def log_entries(files: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+    """Entries of each micro-batch of log segments (content), parsed as the batch reader does."""
+    return files.writeStream.foreachBatch(lambda df, n: write(parse_log(df), n)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def fan_out(pages: DataFrame, jobs: dict[str, Callable[[DataFrame], None]], failed: Callable[[str, Exception], None], checkpoint: str) -> StreamingQuery:
+    """Background work on each micro-batch (index, evaluation, graph): jobs are independent, one that fails is reported and stops no other."""
+
+    def batch(df: DataFrame, _: int) -> None:
+        df.persist()
+        try:
+            for name, job in jobs.items():
+                try:
+                    job(df)
+                except Exception as e:  # noqa: BLE001  a job may fail in any way
+                    failed(name, e)
+        finally:
+            df.unpersist()
+
+    return pages.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
