@@ -27,7 +27,8 @@ from .common import WORD, Workspace
 
 WEIGHTS = (5, 2, 1)
 LIMIT = 3.0
-PIECES = 256  # each source's stream is numbered in so many pieces, so that no source meets in one task
+#: Each source's stream is numbered in so many pieces, or in as many as hold PIECE_ROWS of the largest source's rows, so that none meets in one task.
+PIECES, PIECE_ROWS = 256, 1_000_000
 
 
 def targets(sizes: list[int], weights: list[float], limit: float = LIMIT) -> list[float]:
@@ -78,11 +79,11 @@ def permute(index: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def number(docs: DataFrame) -> DataFrame:
+def number(docs: DataFrame, pieces: int = PIECES) -> DataFrame:
     """docs with _size, _s (the source's rank) and _start (words before it in its source's stream)."""
     text = F.coalesce("text", F.lit(""))
-    rows = docs.withColumns({"_size": F.regexp_count(text, F.lit(WORD)).cast("long"), "_h": F.xxhash64("text"), "_p": F.pmod(F.xxhash64(F.lit("piece"), "doc_id", "text"), F.lit(PIECES)).cast("int")})
-    # by source and piece, at most PIECES rows for each source
+    rows = docs.withColumns({"_size": F.regexp_count(text, F.lit(WORD)).cast("long"), "_h": F.xxhash64("text"), "_p": F.pmod(F.xxhash64(F.lit("piece"), "doc_id", "text"), F.lit(pieces)).cast("int")})
+    # by source and piece, at most `pieces` rows for each source
     sums = rows.groupBy("source", "_p").agg(F.sum("_size").alias("_n"))
     before = sums.select(F.col("source").alias("_src"), F.col("_p").alias("_q"), (F.sum("_n").over(Window.partitionBy("source").orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_before"))
     inside = F.sum("_size").over(Window.partitionBy("source", "_p").orderBy("doc_id", "_h", "_size").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_size")
@@ -96,6 +97,7 @@ class Plan:
     def __init__(self, sizes: DataFrame, block: int, weights: tuple[float, ...], limit: float):
         found = sorted(sizes.collect(), key=lambda r: (r.source is None, r.source or ""))
         self.block, self.sources, self.sizes = block, [r.source for r in found], [r.n or 0 for r in found]
+        self.most_rows = max((r.n_rows for r in found), default=0)
         self.targets = targets(self.sizes, [w for w, _ in zip(cycle(weights), found)], limit)  # noqa: B905
         self.blocks = [-(-n // block) for n in self.sizes]
         # a slot holds size / blocks words on average: the last block is shorter
@@ -132,9 +134,9 @@ def _parts(placed: DataFrame, block: int) -> DataFrame:
 
 
 def _setup(spark: SparkSession, docs: DataFrame, block: int, weights: tuple[float, ...], limit: float, n_shards: int, seed: int) -> tuple[DataFrame, DataFrame]:
-    placed = number(docs)
     size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
-    plan = Plan(docs.groupBy("source").agg(F.sum(size).alias("n")), block, weights, limit)
+    plan = Plan(docs.groupBy("source").agg(F.sum(size).alias("n"), F.count("*").alias("n_rows")), block, weights, limit)
+    placed = number(docs, max(PIECES, plan.most_rows // PIECE_ROWS))
     by_source = F.broadcast(plan.frame(spark))  # a row per source
     placed = placed.join(by_source, F.col("source").eqNullSafe(F.col("_src"))).drop("_src")
     # the optimizer takes the slots for as few as the rows that ask for them, and would broadcast them
