@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 #: The multiplier of the published generator, in two halves of 32 bits.
 HIGH, LOW = 2862933555777941757 >> 32, 2862933555777941757 & 0xFFFFFFFF
 MASK = 0xFFFFFFFF
-PIECES = 512
+#: A shard's slots are numbered in so many pieces, or in as many as hold PIECE_ROWS rows each.
+PIECES, PIECE_ROWS = 512, 1_000_000
 #: Jumps follow a key from shard to shard upwards, about ln(n) of them; so many are never reached.
 MAX_JUMPS = 256
 
@@ -61,12 +62,13 @@ def shards(docs: DataFrame, n_shards: int = 8, key: str = "doc_id") -> DataFrame
     here, grown = jump(F.coalesce(F.col(key).cast("long"), F.lit(0).cast("long")), n_shards, n_shards + 1)
     out = docs.withColumns({"size": F.octet_length(text).cast("long") + 1, "text_crc32": F.crc32(text), "law": F.lit("key"), "shard": here, "grown_shard": grown})
     # slots: numbered within pieces of a shard, so that a shard is never sorted in one task
-    piece = F.pmod(F.xxhash64(F.lit("slot"), key, "text_crc32"), F.lit(PIECES)).cast("int")
+    pieces = max(PIECES, docs.count() // (n_shards * PIECE_ROWS))
+    piece = F.pmod(F.xxhash64(F.lit("slot"), key, "text_crc32"), F.lit(pieces)).cast("int")
     out = out.withColumn("_piece", piece)
-    counts = out.groupBy("shard", "_piece").agg(F.count("*").alias("_n"))  # n_shards x PIECES rows at most
+    counts = out.groupBy("shard", "_piece").agg(F.count("*").alias("_n"))  # n_shards x pieces rows at most
     before = counts.select("shard", "_piece", (F.sum("_n").over(Window.partitionBy("shard").orderBy("_piece").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_before"))
     inside = F.row_number().over(Window.partitionBy("shard", "_piece").orderBy(key, "text_crc32", "size")) - 1
-    out = out.withColumn("_inside", inside).join(F.broadcast(before) if n_shards <= 1024 else before, ["shard", "_piece"])
+    out = out.withColumn("_inside", inside).join(F.broadcast(before) if n_shards * pieces <= 1 << 19 else before, ["shard", "_piece"])
     slot = (F.col("_before") + F.col("_inside")).cast("long").alias("slot")
     added = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
     return out.select(*[c for c in docs.columns if c not in added], "size", "text_crc32", "law", "shard", slot, "grown_shard")
