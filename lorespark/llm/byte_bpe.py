@@ -103,7 +103,10 @@ def _packed(found: list[tuple], with_ids: bool) -> pa.StructArray:
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = True, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """docs with `bpe`: n_tokens, ids (null unless with_ids), ids_sha256, decoded_sha256."""
+    """docs with `bpe`: n_tokens, ids (null unless with_ids), ids_sha256, decoded_sha256.
+
+    docs is read from files: long rows are told apart by where they stand, which must be the same each time they are read.
+    """
     spark = docs.sparkSession
     prepare(spark)
     with open(ranks_path, "rb") as f:  # a vocabulary file of the driver; under a megabyte

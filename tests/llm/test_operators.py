@@ -508,3 +508,24 @@ def test_licenses_edges(spark, odd, empty):
     got = [(r.license, r.line) for r in license_scan.scan(spark.createDataFrame(made, "doc_id long, text string")).orderBy("doc_id").collect()]
     assert got == [("MIT", 0), ("MIT", 1), ("MIT", 1), (None, None)]
     assert license_scan.scan(empty).count() == 0
+
+
+# pieces grow with the rows
+
+
+def test_more_pieces_keep_the_laws(spark, monkeypatch):
+    for module in (sharding, mixing):
+        monkeypatch.setattr(module, "PIECES", 2)
+        monkeypatch.setattr(module, "PIECE_ROWS", 7)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "source", "text")
+    slots: dict[int, list[int]] = {}
+    for r in sharding.shards(docs.select("doc_id", "text")).collect():
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert sorted(slots) == list(range(8)) and all(sorted(x) == list(range(len(x))) for x in slots.values())
+    starts: dict[str, list] = {}
+    for r in mixing.number(docs, 40).collect():
+        starts.setdefault(r.source, []).append((r["_start"], r["_size"]))
+    for spans in starts.values():
+        ends = sorted((a, a + n) for a, n in spans)
+        assert ends[0][0] == 0 and all(a[1] == b[0] for a, b in zip(ends, ends[1:], strict=False) if b[0] != b[1])
+    assert sum(r.taken for r in mixing.taken(spark, docs).collect()) > 0
