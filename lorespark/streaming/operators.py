@@ -43,14 +43,18 @@ def running_cost(traces: DataFrame, alert: float = 1.0) -> DataFrame:
 
 
 def decayed_interest(events: DataFrame, rate: float = 0.1) -> DataFrame:
-    """The stored weight of each (domain, tag) after each batch; the state is (weight, last second seen)."""
+    """The stored weight of each (domain, tag) after each batch; the state is (weight, latest microsecond seen).
+
+    An event earlier than the latest of former batches adds 1 without decay, and the latest stays.
+    """
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         weight, last = state.get if state.exists else (0.0, None)
         times = sorted(t for pdf in batches for t in pdf["at"].tolist())
         for t in times:
-            weight = 1.0 + (weight * math.exp(-rate * ((t - last) // 86_400_000_000)) if last is not None else 0.0)
-            last = t
+            last = t if last is None else last
+            weight = 1.0 + weight * math.exp(-rate * (max(t - last, 0) // 86_400_000_000))
+            last = max(t, last)
         state.update((weight, last))
         yield pd.DataFrame([(*key, weight, last)], columns=["domain", "tag", "weight", "last_us"])
 

@@ -1,5 +1,7 @@
 """Streams run to their end give what their batch twins give."""
 
+import datetime
+import math
 from collections import Counter
 
 import pytest
@@ -14,10 +16,13 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="module")
 def stream(spark, tmp_path_factory):
-    """The curiosity view in three files, in order of time."""
+    """The curiosity view in three files, written one after the other in order of time: a file stream goes by the time of writing."""
     at = str(tmp_path_factory.mktemp("events"))
     rows = table(spark, SF, "fx_curiosity").withColumn("user_id", F.col("event_id") % 7)
-    rows.repartitionByRange(3, "ts").write.mode("overwrite").parquet(at)
+    cuts = [r.ts for r in rows.orderBy("ts").collect()][:: rows.count() // 3 + 1]
+    for low, high in zip(cuts, [*cuts[1:], None], strict=True):
+        part = rows.where((F.col("ts") >= F.lit(low)) & (F.lit(True) if high is None else F.col("ts") < F.lit(high)))
+        part.coalesce(1).write.mode("append").parquet(at)
     schema = spark.read.parquet(at).schema
     return lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(at)
 
@@ -45,6 +50,18 @@ def test_decayed_interest(spark, stream, tmp_path):
     assert set(want) == set(last) and all(abs(last[k].weight - want[k]) < 1e-4 for k in want)
 
 
+def test_late_interest_adds_without_decay(spark, tmp_path):
+    day = datetime.datetime(2024, 1, 1)
+    times = [[10, 30], [0, 29], [40]]  # days by batch; the second is late
+    for batch in times:
+        rows = [("d", "t", day + datetime.timedelta(days=k)) for k in batch]
+        spark.createDataFrame(rows, "domain string, tag string, ts timestamp").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("domain string, tag string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = [r.weight for r in run(S.decayed_interest(stream), "late", "update", tmp_path).collect()]
+    first = 1 + math.exp(-2)
+    assert sorted(got) == pytest.approx(sorted([first, first + 2, 1 + (first + 2) * math.exp(-1)]))
+
+
 def test_running_cost_and_trailing(spark, stream, tmp_path):
     costs = stream().select(F.col("user_id").alias("run_id"), F.lit(0.5).alias("cost_usd"))
     rows = run(S.running_cost(costs), "costs", "complete", tmp_path).collect()
