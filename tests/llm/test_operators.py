@@ -375,6 +375,27 @@ def test_html_edges(spark):
     assert html_wrappers.extract(df).count() == len(made) and html_wrappers.extract(df.where("false")).count() == 0
 
 
+def test_every_template_of_a_host_has_a_wrapper(spark):
+    made, want = [], {}
+    for t in range(20):
+        for k in range(3):
+            words = f"{'abc'[k]}{t:02d}"  # of one length
+            extra = "<table><tr><td>rare</td></tr></table>" if k == 2 else ""
+            html = f'<html><body><div class="top{t}"><p>The same for all {t}</p></div><div class="x{t}"><h2>{words}</h2><p>{words} text</p>{extra}</div><div class="end{t}"><p>All rights kept</p></div></body></html>'
+            made.append((3 * t + k, "http://hot/", html))
+            want[3 * t + k] = "\n".join([words, f"{words} text", *(["rare"] if extra else [])])
+    got = {r.page_id: r.text for r in html_wrappers.extract(spark.createDataFrame(made, "page_id long, url string, html string")).collect()}
+    assert got == want
+
+
+def test_streams_meet_across_tasks(spark, monkeypatch):
+    page = '<html><body><div class="a"><p>Kept by all</p></div><div class="b"><p>Text {}</p></div></body></html>'
+    df = spark.createDataFrame([(k, "http://a/", page.format(k)) for k in range(40)], "page_id long, url string, html string").repartition(20)
+    monkeypatch.setattr(html_wrappers, "BROADCAST_BYTES", -1)
+    assert html_wrappers.wrappers(df).count() == 1
+    assert {(r.page_id, r.text) for r in html_wrappers.extract(df).collect()} == {(k, f"Text {k}") for k in range(40)}
+
+
 # 8: SimHash
 
 
