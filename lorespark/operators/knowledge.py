@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ascii_fold, heading_count, title_slug, wikilinks
+from . import ranking
 
 # pages and links
 
@@ -132,6 +133,22 @@ def find_entities(names: DataFrame, entities: DataFrame, aliases: DataFrame) ->
     return names.withColumn("key", ascii_fold(F.col("name"))).join(best, "key", "left").select("name", F.col("b.entity_id").alias("entity_id"))
 
 
+def fuzzy_entities(names: DataFrame, entities: DataFrame, aliases: DataFrame, accept: float = 92.0) -> DataFrame:
+    """(name, entity_id, score): the best entity by token_sort_ratio over canonical names and aliases, from `accept` on.
+
+    Names of two or more tokens score 100 where one side's tokens are all in the other's. Of equal scores the first
+    entity by canonical name, then id, wins. Names without an entity at that score are left out.
+    """
+    own = entities.select("entity_id", "canonical")
+    texts = own.withColumn("text", F.col("canonical")).unionByName(aliases.select("entity_id", F.col("alias").alias("text")).join(own, "entity_id"))
+    known = texts.withColumn("key", ranking.token_key("text")).where("key <> ''").groupBy("key").agg(F.min(F.struct("canonical", "entity_id")).alias("first"))
+    keyed = names.select("name", ranking.token_key("name").alias("key")).where("key <> ''")
+    ours = keyed.select("key").distinct()
+    pairs = ranking.near_keys(ours, known, accept).union(ranking.covering_keys(ours, known).withColumn("score", F.lit(100.0)))
+    best = pairs.join(known.withColumnRenamed("key", "b"), "b").groupBy("a").agg(F.min(F.struct((-F.col("score")).alias("s"), "first")).alias("best"))
+    return keyed.join(best, F.col("key") == F.col("a")).select("name", F.col("best.first.entity_id").alias("entity_id"), (-F.col("best.s")).alias("score"))
+
+
 def pages_by_entity(mentions: DataFrame) -> DataFrame:
     return mentions.groupBy("entity_id").agg(F.count_distinct("page_id").alias("n_pages"))
 

@@ -233,6 +233,64 @@ def token_sort_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([ratio(" ".join(sorted(_processed(x).split())), " ".join(sorted(_processed(y).split()))) for x, y in zip(a, b, strict=True)])
 
 
+@F.pandas_udf(T.StringType())
+def token_key(s: pd.Series) -> pd.Series:
+    """What token_sort_ratio compares: the processed tokens, sorted."""
+    return pd.Series([" ".join(sorted(_processed(x).split())) for x in s])
+
+
+@F.pandas_udf(T.DoubleType())
+def key_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([ratio(x, y) for x, y in zip(a, b, strict=True)])
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _bigrams(s: pd.Series) -> pd.Series:
+    """Character bigrams, each with its number among equal ones; a text of one character stands for itself."""
+    out = []
+    for x in s:
+        seen: dict[str, int] = {}
+        grams = []
+        for g in [x[k : k + 2] for k in range(max(1, len(x) - 1))]:
+            seen[g] = seen.get(g, 0) + 1
+            grams.append(f"{g}{seen[g]}")
+        out.append(grams)
+    return pd.Series(out)
+
+
+def near_keys(ours: DataFrame, known: DataFrame, accept: float) -> DataFrame:
+    """(a, b, score): all pairs of keys of ours and known with a ratio of `accept` (over 85) or more.
+
+    Such keys of n characters differ by at most d insertions and deletions, each of which takes at most two bigrams.
+    So the 2 d + 1 rarest bigrams of one meet those of the other; no pair is lost.
+    """
+    part = accept / 200
+    n = F.length("key")
+    d = F.floor((1 - 2 * part) * (n + F.floor(n * (1 - part) / part + 1e-9)) + 1e-9)
+    grams = ours.select("key").union(known.select("key")).distinct().select("key", F.explode(_bigrams("key")).alias("gram"))
+    rare = grams.join(grams.groupBy("gram").agg(F.count("*").alias("n")), "gram").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("g"))
+    first = rare.select("key", F.explode(F.slice("g", 1, (2 * d + 1).cast("int"))["gram"]).alias("gram"))
+    a = ours.select("key").distinct().join(first, "key").withColumnRenamed("key", "a")
+    b = known.select("key").distinct().join(first, "key").withColumnRenamed("key", "b")
+    x, y = F.length("a"), F.length("b")
+    pairs = a.join(b, "gram").where(F.least(x, y) >= part * (x + y) - 1e-9).select("a", "b").distinct()
+    return pairs.withColumn("score", key_ratio("a", "b")).where(F.col("score") >= accept)
+
+
+def covering_keys(ours: DataFrame, known: DataFrame) -> DataFrame:
+    """(a, b): all pairs in which the tokens of one key are all in the other, a having two tokens or more.
+
+    The rarest token of the smaller side is in the other, so each key is looked up by that one token only.
+    """
+    words = lambda df, name: df.select(F.col("key").alias(name), F.explode(F.array_distinct(F.split("key", " "))).alias("w"))
+    a, b = words(ours.where(F.size(F.split("key", " ")) >= 2).distinct(), "a"), words(known.select("key").distinct(), "b")
+    df = a.select("w").union(b.select("w")).groupBy("w").agg(F.count("*").alias("n"))
+    rarest = lambda side, name: side.join(df, "w").groupBy(name).agg(F.min(F.struct("n", "w"))["w"].alias("w"))
+    pairs = rarest(a, "a").join(b, "w").select("a", "b").union(a.join(rarest(b, "b"), "w").select("a", "b")).distinct()
+    x, y = F.split("a", " "), F.split("b", " ")
+    return pairs.where((F.size(F.array_except(x, y)) == 0) | (F.size(F.array_except(y, x)) == 0))
+
+
 @F.pandas_udf(T.DoubleType())
 def partial_ratio_of(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([partial_ratio(_processed(x), _processed(y)) for x, y in zip(a, b, strict=True)])

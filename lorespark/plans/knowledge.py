@@ -112,29 +112,23 @@ def j15_pairs_within_group(part: DataFrame) -> DataFrame:
 
 @query("part")
 def j16_fuzzy_best(part: DataFrame) -> DataFrame:
-    """For each distinct name the best other catalogue name that shares a token, the first of equals."""
-    from ..functions.text import tokens
-
-    names = part.select(F.col("p_name").alias("name")).distinct()
-    words = names.select("name", F.explode(F.array_distinct(tokens(F.col("name")))).alias("w"))
-    pairs = words.join(words.withColumnRenamed("name", "other"), "w").where("name <> other").select("name", "other").distinct()
-    scored = pairs.withColumn("s", F.round(ranking.token_sort_ratio(F.col("name"), F.col("other")), 6))
+    """For each distinct name the best other catalogue name, the first of equals."""
+    names = part.select(F.col("p_name").alias("name")).distinct().withColumn("key", ranking.token_key("name"))
+    x, y = F.split("key", " "), F.split("other_key", " ")
+    # a best match may share nothing but letters, so all distinct names meet, as in the reference
+    pairs = names.crossJoin(names.select(F.col("name").alias("other"), F.col("key").alias("other_key"))).where("name <> other AND key <> '' AND other_key <> ''")
+    covers = (F.size(x) >= 2) & ((F.size(F.array_except(x, y)) == 0) | (F.size(F.array_except(y, x)) == 0))
+    scored = pairs.withColumn("s", F.round(F.when(covers, 100.0).otherwise(ranking.key_ratio("key", "other_key")), 6)).where("s > 0")
     best = scored.groupBy("name").agg(F.max("s").alias("score"), F.min_by("other", F.struct(-F.col("s"), "other")).alias("best"))
     return best
 
 
 @query("fx_entity", "fx_alias", "part")
 def j17_resolution(fx_entity: DataFrame, fx_alias: DataFrame, part: DataFrame) -> DataFrame:
-    """Exact by name or alias, else the first entity whose words cover the name's or are covered, else new; a row per name."""
-    from ..functions.text import tokens
-
+    """Exact by name or alias, else the best fuzzy score over names and aliases, else new; a row per name."""
     names = part.select(F.concat("p_name", F.when(F.col("p_partkey") % 3 == 0, F.lit(" new word")).otherwise("")).alias("name")).distinct()
     exact = K.find_entities(names, fx_entity, fx_alias)
-    open_ = exact.where("entity_id IS NULL").select("name", F.explode(F.array_distinct(tokens(F.col("name")))).alias("w"))
-    catalogue = fx_entity.groupBy("canonical").agg(F.min("entity_id").alias("entity_id"))
-    known = catalogue.select("canonical", "entity_id", F.explode(F.array_distinct(tokens(F.col("canonical")))).alias("w"))
-    near = open_.join(known, "w").select("name", "canonical", "entity_id").distinct().where(ranking.token_set_accept(F.col("name"), F.col("canonical")))
-    fuzzy = near.groupBy("name").agg(F.min("entity_id").alias("fuzzy_id"))
+    fuzzy = K.fuzzy_entities(exact.where("entity_id IS NULL").select("name"), fx_entity, fx_alias).select("name", F.col("entity_id").alias("fuzzy_id"))
     out = exact.join(fuzzy, "name", "left")
     tier = F.when(F.col("entity_id").isNotNull(), "exact").when(F.col("fuzzy_id").isNotNull(), "fuzzy").otherwise("new")
     return out.select("name", F.coalesce("entity_id", "fuzzy_id").alias("entity_id"), tier.alias("tier"))
