@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -22,18 +23,30 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: What Python workers are started with: buffers of a batch go back to the system at its end, else each worker keeps its largest.
+WORKER_ENV = {"MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": "131072", "MALLOC_TRIM_THRESHOLD_": "1048576", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+#: Rows of a batch that goes to a Python worker, unless the session has its own number: whole texts are long.
+BATCH_ROWS = 1000
+
+
 def prepare(spark: SparkSession) -> None:
-    """Lets Python workers import this package from where the driver has it."""
+    """Lets Python workers import this package from where the driver has it, and bounds what they hold."""
     root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH"), root) if x)
+    for name, value in WORKER_ENV.items():
+        env.setdefault(name, value)
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset (tests, one machine), a temporary one."""
+    """The folder of spark.checkpoint.dir; on one machine that has none, as in tests, a temporary one. A cluster must name it."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         defined = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not defined.isDefined() and not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that all executors share")
         at = defined.get() if defined.isDefined() else f"file://{tempfile.mkdtemp(prefix='lorespark-')}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
