@@ -254,6 +254,44 @@ def test_mixing_deal():
     assert d.sum(0).tolist() == slots and d.sum(1).max() - d.sum(1).min() <= 1
 
 
+def test_mixing_deal_beyond_a_thousand_million():
+    slots = [5 * 10**9, 3, 0, 10**9 + 7, 40]
+    d = mixing.deal(slots, 64, 1)
+    assert d.sum(0).tolist() == slots and d.sum(1).max() - d.sum(1).min() <= 1 and (d >= 0).all()
+    share = d[:, 0] / d.sum(1)
+    assert abs(share - slots[0] / sum(slots)).max() < 1e-3
+
+
+def test_mixing_taken_against_a_plain_count(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "source", "text")
+    sized = mixing.measured(docs).drop("text")
+    plan = mixing.Plan(sized.groupBy("source").agg(mixing.F.sum("_size").alias("n"), mixing.F.count("*").alias("n_rows")), 128, mixing.WEIGHTS, mixing.LIMIT)
+    drawn = mixing.slots(spark, plan).collect()
+    by_source, by_shard = defaultdict(list), Counter(r.shard for r in drawn)
+    for r in drawn:
+        by_source[r["rank"]].append((r.slot, r.block))
+    uses: Counter = Counter()
+    for k, found in by_source.items():
+        found.sort()
+        assert [j for j, _ in found] == list(range(plan.slots[k]))
+        for at in range(0, len(found), plan.blocks[k]):  # no block again before all have been taken
+            assert len({b for _, b in found[at : at + plan.blocks[k]]}) == len(found[at : at + plan.blocks[k]])
+        uses.update((k, b) for _, b in found)
+    assert len(by_shard) == 256 and max(by_shard.values()) - min(by_shard.values()) <= 1
+    rank, want = {s: k for k, s in enumerate(plan.sources)}, Counter()
+    for r in mixing.number(sized).collect():
+        for w in range(r["_start"], r["_start"] + r["_size"]):
+            want[r.doc_id] += uses[(rank[r.source], w // 128)]
+    got = {r.doc_id: r.taken for r in mixing.taken(spark, docs).collect()}
+    assert got == {k: want[k] for k in got}
+
+
+def test_mix_keeps_clashing_columns(spark):
+    docs = spark.createDataFrame([(k, f"some words {k} " * (k % 9), "ab"[k % 2], *("x" * 9)) for k in range(40)], "doc_id long, text string, source string, target string, source_size string, _size string, _rank string, _start string, _pass string, _h string, uses string, block string")
+    out = mixing.mix(spark, docs)
+    assert out.columns == docs.columns and {r.target for r in out.collect()} == {"x"}
+
+
 def test_mixing_edges(spark, odd, empty):
     out = rows(mixing.taken(spark, odd))
     assert len(out) == len(ODD) and all(r["taken"] <= 3 * r["size"] for r in out)
