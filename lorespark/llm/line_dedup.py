@@ -1,9 +1,12 @@
 """Line dedup over levelled sorted runs of line hashes.
 
-Documents arrive in batches, in the order of doc_id. A batch's lines are reduced to (key hash, documents, largest
-doc_id), sorted by hash and kept as a run of level 0; when a level holds `fan_in` runs they are merged into one of
-the next level. A key seen in at least `min_docs` documents is a repeated one; a batch is then cleaned by joining
-its lines with the runs and leaving out those of repeated keys, except in the largest doc_id that holds the key.
+Documents are taken in batches, ranges of doc_id. Lines are hashed once and kept as (key, doc_id, place). A run is a
+table of distinct keys sorted by key; when a level holds `fan_in` runs they are merged into one of the next level.
+
+The first pass counts: each batch adds a run of (key, documents), from which the keys of at least `min_docs` documents
+follow. The second pass goes through the batches by descending doc_id: a batch merge-anti-joins its repeated keys with
+the runs of keys already placed; those left are placed here, at their largest doc_id, and form the batch's own run. All
+other lines of repeated keys go.
 
 Keys are MD5 hashes (128 bits) of the stripped, ASCII-lower-cased line; only lines of `min_chars` code points count.
 Counting combines within each task before any shuffle, so a line that all documents share costs a row a task.
@@ -42,7 +45,10 @@ class LineRuns:
 
     def add(self, keys: DataFrame) -> None:
         """keys: (key, doc_id) of a batch whose doc_ids no earlier batch had."""
-        run = keys.groupBy("key").agg(F.count_distinct("doc_id").alias("n_docs"), F.max("doc_id").alias("last_doc"))
+        self.add_run(keys.groupBy("key").agg(F.count_distinct("doc_id").alias("n_docs"), F.max("doc_id").alias("last_doc")))
+
+    def add_run(self, run: DataFrame) -> None:
+        """run: distinct keys with n_docs and last_doc."""
         self.levels[0].append(self.work.table(run, ["key"]))
         level = 0
         while len(self.levels[level]) >= self.fan_in:
@@ -68,10 +74,10 @@ class LineRuns:
         return runs[0] if len(runs) == 1 else self._merged(runs)
 
     def unseen(self, keys: DataFrame) -> DataFrame:
-        """Rows of keys whose key is in no run: what a purely incremental caller keeps of a new batch."""
+        """Rows of keys whose key is in no run, by a merge with each run."""
         for level in self.levels:
             for run in level:
-                keys = keys.join(run.select("key"), "key", "left_anti")
+                keys = keys.join(run.select("key").hint("merge"), "key", "left_anti")
         return keys
 
 
@@ -82,26 +88,45 @@ def batches_of(docs: DataFrame, n: int) -> list[Column]:
     return [doc.isNotNull() & (F.lit(True) if a is None else doc > a) & (F.lit(True) if b is None else doc <= b) for a, b in zip(ends, ends[1:], strict=False)]
 
 
+def dropped(work: Workspace, lines: DataFrame, min_docs: int, n_batches: int, fan_in: int) -> DataFrame:
+    """lines: a table (key, doc_id, ...). Its rows that go: repeated keys anywhere but in the largest doc_id that has them."""
+    counts, batches = LineRuns(work, fan_in), batches_of(lines, n_batches)
+    for batch in batches:
+        counts.add(lines.where(batch).select("key", "doc_id"))
+    again = counts.merged().where(F.col("n_docs") >= min_docs).select("key")
+    lines = work.table(lines.join(again, "key", "left_semi"))
+    placed, out = LineRuns(work, fan_in), []
+    for batch in reversed(batches):
+        own = lines.where(batch)
+        top = own.groupBy("key").agg(F.max("doc_id").alias("last_doc"))
+        here = work.table(placed.unseen(top), ["key"])
+        out.append(own.join(here, "key", "left").where(F.col("last_doc").isNull() | (F.col("doc_id") < F.col("last_doc"))).drop("last_doc"))
+        if len(out) < len(batches):
+            placed.add_run(here.select("key", F.lit(1).cast("long").alias("n_docs"), "last_doc"))
+    every = out[0]
+    for some in out[1:]:
+        every = every.unionByName(some)
+    return every
+
+
 def dedup_lines(spark: SparkSession, docs: DataFrame, min_chars: int = 20, min_docs: int = 3, n_batches: int = 4, fan_in: int = 2) -> DataFrame:
     """docs with the text cleaned, and n_lines, n_dropped (columns of these names are replaced)."""
     work = Workspace(spark, "line-dedup")
-    runs = LineRuns(work, fan_in)
-    for batch in batches_of(docs, n_batches):
-        keys = docs.where(batch).select("doc_id", F.explode(F.transform(lines_of("text"), lambda x: key_of(x, min_chars))).alias("key"))
-        runs.add(keys.where("key IS NOT NULL"))
-    repeated = runs.merged().where(F.col("n_docs") >= min_docs).select("key", "last_doc")
-
     # h tells rows of one doc_id and unlike texts apart
     h = F.xxhash64("text")
     lines = docs.where("doc_id IS NOT NULL").select("doc_id", h.alias("_h"), F.posexplode(F.transform(lines_of("text"), lambda x: key_of(x, min_chars))).alias("pos", "key"))
-    gone = lines.where("key IS NOT NULL").join(repeated, "key").where("doc_id < last_doc").groupBy("doc_id", "_h").agg(F.collect_set("pos").alias("_gone"))
+    lines = work.table(lines.where("key IS NOT NULL"))
+    gone = dropped(work, lines, min_docs, n_batches, fan_in).groupBy("doc_id", "_h").agg(F.collect_set("pos").alias("_gone"))
     gone = gone.select(F.col("doc_id").alias("_doc"), F.col("_h").alias("_h2"), "_gone")
-    rest = docs.withColumn("_h", h).join(gone, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_h") == F.col("_h2")), "left")
+    names = {c: c if c in ("doc_id", "text") else f"c{k}" for k, c in enumerate(docs.columns)}  # own names cannot clash
+    rest = docs.toDF(*names.values()).withColumn("_h", h).join(gone, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_h") == F.col("_h2")), "left")
     each = lines_of("text")
     # bound to a variable, else each kept line would split the text anew
     kept = F.transform(F.array(each), lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("_gone")), lambda k: F.get(x, k)), "\n"))
-    return rest.withColumns({
-        "n_lines": F.size(each).cast("long"),
-        "n_dropped": F.coalesce(F.size("_gone"), F.lit(0)).cast("long"),
+    rest = rest.withColumns({
+        "_n_lines": F.size(each).cast("long"),
+        "_n_dropped": F.coalesce(F.size("_gone"), F.lit(0)).cast("long"),
         "text": F.when(F.col("_gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.get(kept, 0)),
-    }).select(*[c for c in docs.columns if c not in ("n_lines", "n_dropped")], "n_lines", "n_dropped")
+    })
+    out = [F.col(own).alias(c) for c, own in names.items() if c not in ("n_lines", "n_dropped")]
+    return rest.select(*out, F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"))

@@ -188,6 +188,14 @@ def test_lines_against_plain(spark, texts):
     assert got == plain_lines(texts.items()) and sum(k[2] for k in got) > 0
 
 
+def test_lines_whatever_the_batches(spark, texts):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    want = plain_lines(texts.items())
+    for n_batches, fan_in in ((2, 2), (7, 3)):
+        out = line_dedup.dedup_lines(spark, docs, n_batches=n_batches, fan_in=fan_in)
+        assert Counter((r["doc_id"], r["n_lines"], r["n_dropped"], hashlib.sha256(r["text"].encode()).hexdigest()) for r in rows(out)) == want
+
+
 @pytest.mark.parametrize("n_batches", [1, 3])
 def test_lines_edges(spark, odd, empty, n_batches):
     out = line_dedup.dedup_lines(spark, odd, n_batches=n_batches)
