@@ -17,12 +17,16 @@ from pyspark.sql import functions as F
 
 from .common import prepare
 
-#: (bytes below which the band holds, least ratio, largest ratio), ratio = compressed / plain at level 3.
-BANDS = ((128, 0.45, 9.0), (256, 0.38, 1.05), (512, 0.34, 0.92), (1024, 0.30, 0.82), (4096, 0.26, 0.76), (16384, 0.22, 0.70), (1 << 62, 0.18, 0.66))
-CHUNK = 4096
-CHUNK_BAND = (0.22, 0.78)
+#: Length classes end at these numbers of bytes.
+EDGES = (128, 256, 512, 1024, 2048, 4096, 8192, 16384, 1 << 62)
+#: (bytes below which the band holds, least ratio, largest ratio), ratio = compressed / plain at level 3. By fit_bands on
+#: documents of good quality outside the held-out fold, at sf0.1.
+BANDS = ((128, 0.45, 9.0), (256, 0.586, 0.926), (512, 0.526, 0.758), (1024, 0.493, 0.702), (2048, 0.459, 0.59), (4096, 0.435, 0.539), (8192, 0.409, 0.492), (16384, 0.396, 0.469), (1 << 62, 0.336, 0.469))
+#: Chunks have so many bytes; the last one ends with the text, so that every byte of a longer text is in a chunk.
+CHUNK = 1024
+CHUNK_BAND = (0.47, 0.625)
 #: The share of chunks out of band at which a document is rejected.
-CHUNK_SHARE = 0.3
+CHUNK_SHARE = 0.1
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
 SCHEMA = "struct<n_words:long,word_chars:long,n_symbols:long,n_dup_lines:long,n_repeat_words:long,ratio:double,n_chunks:int,n_bad_chunks:int>"
@@ -62,9 +66,10 @@ def measure(text: str | None, compress) -> tuple:
     ratio, bad, n = None, 0, 0
     if raw:
         ratio = len(compress(raw)) / len(raw)
-        if len(raw) >= 2 * CHUNK:
-            for k in range(0, len(raw) - CHUNK + 1, CHUNK):
-                part = len(compress(raw[k : k + CHUNK])) / CHUNK
+        if len(raw) > CHUNK:
+            for k in range(0, len(raw), CHUNK):
+                low = min(k, len(raw) - CHUNK)
+                part = len(compress(raw[low : low + CHUNK])) / CHUNK
                 n, bad = n + 1, bad + (not CHUNK_BAND[0] <= part <= CHUNK_BAND[1])
     return len(words), chars, sum(map(raw.count, (bytes([c]) for c in SYMBOLS))), len(lines) - len(set(lines)), repeated_words(words), ratio, n, bad
 
@@ -88,3 +93,28 @@ def screen(docs: DataFrame, bands: tuple = BANDS, share: float = CHUNK_SHARE) ->
     out = docs.withColumn("_m", F.pandas_udf(_measured, SCHEMA)("text"))
     kept = ~base & F.coalesce(fits, F.lit(False)) & (m.n_bad_chunks <= share * m.n_chunks)
     return out.select(*[c for c in docs.columns if c not in names], *[m[c].alias(c) for c in added], base.alias("base_failed"), kept.alias("kept"), m.ratio.alias("ratio"), m.n_bad_chunks.alias("n_bad_chunks"))
+
+
+def fit_bands(docs: DataFrame, labels: DataFrame, tail: float = 0.002, margin: float = 0.02, least: int = 100) -> tuple:
+    """Bands from labelled good documents that pass the base rules: the ratios at the tails of each length class, and a margin.
+
+    A row per length class comes to the driver. A class of fewer than `least` documents has three times the margin, one
+    of fewer than 20 the band of the class below and three times the margin, the first then any ratio above 0.45.
+    Held-out documents take no part.
+    """
+    good = labels.where("quality = 1").select("doc_id").distinct()
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0
+    rows = screen(docs.where(fold).join(good, "doc_id", "left_semi")).where("NOT base_failed")
+    size, edge = F.octet_length("text"), F.lit(EDGES[-1])
+    for below in reversed(EDGES):
+        edge = F.when(size < below, F.lit(below)).otherwise(edge)
+    found = {r.edge: r for r in rows.groupBy(edge.alias("edge")).agg(F.count("*").alias("n"), F.percentile("ratio", F.array(F.lit(tail), F.lit(1 - tail))).alias("at")).collect()}
+    out = []
+    for below in EDGES:
+        r = found.get(below)
+        room = margin if r and r.n >= least else 3 * margin
+        if r and r.n >= 20:
+            out.append((below, round(r.at[0] - room, 3), round(r.at[1] + room, 3)))
+        else:
+            out.append((below, round(out[-1][1] - room, 3), out[-1][2]) if out else (below, 0.45, 9.0))
+    return tuple(out)
