@@ -434,6 +434,37 @@ def test_every_template_of_a_host_has_a_wrapper(spark):
     assert got == want
 
 
+def test_wrappers_decide_without_article_or_known_names(spark):
+    """The pages of the table with <article> made a plain element, so that nothing but the wrapper tells the region."""
+    import html as h
+
+    pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url", "html")
+    bare = pages.withColumn("html", html_wrappers.F.expr("""replace(replace(replace(html, '<article>', '<div class="x1">'), '</article>', '</div>'), 'class="ad"', 'class="x2"')"""))
+    source = {r.page_id: r.html for r in pages.collect()}
+    stripped = {r.page_id: r.html for r in bare.collect()}
+    right = plain = 0
+    got = rows(html_wrappers.extract(bare))
+    for r in got:
+        article = re.search(r"(?s)<article>(.*?)(</article>|\Z)", source[r["page_id"]])[1]
+        parts = [" ".join(h.unescape(re.sub(r"</?b>|<br>", " ", b)).split()) for b in re.split(r"</?p>|</?h1>", article)]
+        want = "\n".join(p for p in parts if p)
+        right += r["text"] == want
+        plain += html_wrappers.extract_text(stripped[r["page_id"]], None) == want
+    assert right >= 0.95 * len(got) > plain
+
+
+def test_content_with_a_boilerplate_word_stays(spark):
+    kinds = ['div class="related-work"', 'div class="notice-period"', 'ul class="social history"', 'section id="search"']
+    made, want = [], {}
+    for k in range(8):
+        extra = f"<{kinds[k]}><p>Part {k}</p></{kinds[k].split()[0]}>" if k < 4 else ""
+        made.append((k, "http://h/", f'<html><body><nav>Menu</nav><article><h1>Title {k}</h1><p>Text {k} and so on</p>{extra}<div class="share"><p>Share {k}</p></div></article><footer>End</footer></body></html>'))
+        want[k] = "\n".join([f"Title {k}", f"Text {k} and so on", *([f"Part {k}"] if extra else [])])
+    got = {r.page_id: r.text for r in html_wrappers.extract(spark.createDataFrame(made, "page_id long, url string, html string")).collect()}
+    assert {k: got[k] for k in range(4, 8)} == {k: want[k] for k in range(4, 8)}
+    assert all(f"Part {k}" in got[k] for k in range(4))
+
+
 def test_streams_meet_across_tasks(spark, monkeypatch):
     page = '<html><body><div class="a"><p>Kept by all</p></div><div class="b"><p>Text {}</p></div></body></html>'
     df = spark.createDataFrame([(k, "http://a/", page.format(k)) for k in range(40)], "page_id long, url string, html string").repartition(20)
