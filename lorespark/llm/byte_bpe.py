@@ -4,8 +4,10 @@ A text of up to `chunk` code points is a chunk by itself. A longer one is cut in
 pre-tokenised in parallel, wherever they land; a match that ends before its chunk does is what the whole text has
 there, once the scan runs in step with it. Neighbours are stitched at the first pre-token boundary that both have
 in their overlap, from where they must agree, as the pattern looks forward only. The stitched text is cut at such
-boundaries and the pieces are encoded. Where an overlap has no common boundary, the scan goes on from the last
-sure one. Decoding concatenates the bytes of the ids.
+boundaries into pieces of about `chunk` code points, which are rows of their own and encoded wherever they land; the ids
+of a text meet again to be hashed in order. Where an overlap has no common boundary, the scan goes on from the last
+sure one. Decoding concatenates the bytes of the ids. Long rows are written once with a number, so that a lost
+executor cannot renumber them.
 
 Defined results: a null text is the empty one: no ids. Equal texts get equal ids; rows may repeat; further columns
 stay as they are. Special tokens are ordinary text.
@@ -16,6 +18,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,11 +30,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import prepare
+from .common import Workspace, prepare
 
 CHUNK, OVERLAP = 32_768, 1_024
 ROWS = 256
-RESULT = "struct<n_tokens:long,ids:array<int>,ids_sha256:string,decoded_sha256:string>"
+#: Chunks or pieces of a text that a task holds at once.
+AT_ONCE = 64
+RESULT = "n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string"
 
 
 @functools.lru_cache(maxsize=2)
@@ -75,9 +80,21 @@ def stitch(starts: list[int], ends: list[list[int]], text: str, pattern: str, li
     return out
 
 
+@functools.lru_cache(maxsize=1 << 16)
+def _kind(char: str) -> str:
+    """L, P and so on, where all versions of the Unicode tables agree; else empty."""
+    now = unicodedata.category(char)
+    return now[0] if char.isascii() or now == unicodedata.ucd_3_2_0.category(char) else ""
+
+
 def _sure(text: str, p: int) -> bool:
-    """A boundary that no version of the Unicode tables moves: ASCII on both sides."""
-    return 0 < p < len(text) - 1 and text[p] == " " and text[p - 1].isascii() and not text[p - 1].isspace() and text[p + 1].isascii() and not text[p + 1].isspace()
+    """A boundary that no version of the Unicode tables moves: a space between others, or a sign after a letter."""
+    if not 0 < p < len(text) - 1:
+        return False
+    before, here, after = _kind(text[p - 1]), _kind(text[p]), _kind(text[p + 1])
+    if text[p] == " ":
+        return before in ("L", "N", "P", "S") and after in ("L", "N", "P", "S")
+    return before == "L" and here in ("P", "S") and text[p] != "'"
 
 
 def _result(parts: list[list[int]], codec: tiktoken.Encoding, with_ids: bool) -> tuple:
@@ -103,16 +120,13 @@ def _packed(found: list[tuple], with_ids: bool) -> pa.StructArray:
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = True, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """docs with `bpe`: n_tokens, ids (null unless with_ids), ids_sha256, decoded_sha256.
-
-    docs is read from files: long rows are told apart by where they stand, which must be the same each time they are read.
-    """
+    """docs with `bpe`: n_tokens, ids (null unless with_ids), ids_sha256, decoded_sha256."""
     spark = docs.sparkSession
-    prepare(spark)
+    work = Workspace(spark, "byte-bpe")
     with open(ranks_path, "rb") as f:  # a vocabulary file of the driver; under a megabyte
         ranks = spark.sparkContext.broadcast(f.read())
 
-    schema = T.StructType([*(f for f in docs.schema.fields if f.name != "bpe"), T.StructField("bpe", T._parse_datatype_string(RESULT))])
+    schema = T.StructType([*(f for f in docs.schema.fields if f.name != "bpe"), T.StructField("bpe", T.StructType.fromDDL(RESULT))])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(ranks.value, pattern)
@@ -126,33 +140,49 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = True
     size = F.char_length(F.coalesce("text", F.lit("")))
     short = docs.where(size <= chunk).mapInArrow(whole, schema)
 
-    long = docs.where(size > chunk).withColumn("_row", F.monotonically_increasing_id())
-    starts = F.posexplode(F.sequence(F.lit(0), F.char_length("text") - 1, F.lit(chunk)))
-    cut = long.select("_row", "text", starts.alias("_k", "_at")).select("_row", "_k", "_at", F.char_length("text").alias("_size"), F.substring("text", F.col("_at") + 1, F.lit(chunk + overlap)).alias("_part"))
+    long = work.table(docs.where(size > chunk).withColumn("_row", F.monotonically_increasing_id()))
 
-    def scanned(batches):
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row, text in zip(pdf["_row"], pdf["text"], strict=True):
+                for low in range(0, len(text), chunk * AT_ONCE):
+                    at = list(range(low, min(len(text), low + chunk * AT_ONCE), chunk))
+                    yield pd.DataFrame({"_row": row, "_k": [k // chunk for k in at], "_at": at, "_size": len(text), "_part": [text[k : k + chunk + overlap] for k in at]})
+
+    def scanned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             spans = zip(pdf["_at"], pdf["_size"], pdf["_part"], strict=True)
             ends = [np.array(boundaries(part, pattern, at + len(part) >= n), np.int64) + at for at, n, part in spans]
             yield pdf.assign(_ends=[x.tobytes() for x in ends])
 
-    parts = cut.repartition("_row", "_k").mapInPandas(scanned, "_row long, _k int, _at int, _size int, _part string, _ends binary")
+    parts = long.select("_row", "text").mapInPandas(cut, "_row long, _k int, _at long, _size long, _part string")
+    parts = parts.repartition("_row", "_k").mapInPandas(scanned, "_row long, _k int, _at long, _size long, _part string, _ends binary")
 
-    def joined(pdf: pd.DataFrame) -> pd.DataFrame:
+    def stitched(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_k")
-        codec = _codec(ranks.value, pattern)
         text = "".join(part[:chunk] for part in pdf["_part"])
         at = pdf["_at"].tolist()
         limits = [a + len(p) for a, p in zip(at, pdf["_part"], strict=True)]
-        ends = stitch(at, [np.frombuffer(x, np.int64).tolist() for x in pdf["_ends"]], text, pattern, limits)
         cuts = [0]
-        for p in ends:
-            if p - cuts[-1] >= 4096 and _sure(text, p):
+        for p in stitch(at, [np.frombuffer(x, np.int64).tolist() for x in pdf["_ends"]], text, pattern, limits):
+            if p - cuts[-1] >= chunk and _sure(text, p):
                 cuts.append(p)
-        pieces = [codec.encode_ordinary(text[a:b]) for a, b in zip(cuts, [*cuts[1:], len(text)], strict=True)]
-        return pd.DataFrame([(pdf["_row"].iloc[0], *_result(pieces, codec, with_ids))], columns=["_row", "n_tokens", "ids", "ids_sha256", "decoded_sha256"])
+        return pd.DataFrame({"_row": pdf["_row"].iloc[0], "_k": range(len(cuts)), "_piece": [text[a:b] for a, b in zip(cuts, [*cuts[1:], len(text)], strict=True)]})
+
+    def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        codec = _codec(ranks.value, pattern)
+        for pdf in batches:
+            for at in range(0, len(pdf), AT_ONCE):
+                part = pdf.iloc[at : at + AT_ONCE]
+                yield pd.DataFrame({"_row": part["_row"], "_k": part["_k"], "_ids": [np.array(codec.encode_ordinary(t), "<u4").tobytes() for t in part["_piece"]]})
+
+    def joined(pdf: pd.DataFrame) -> pd.DataFrame:
+        pieces = [np.frombuffer(x, "<u4").tolist() for x in pdf.sort_values("_k")["_ids"]]
+        return pd.DataFrame([(pdf["_row"].iloc[0], *_result(pieces, _codec(ranks.value, pattern), with_ids))], columns=["_row", "n_tokens", "ids", "ids_sha256", "decoded_sha256"])
 
-    found = parts.groupBy("_row").applyInPandas(joined, "_row long, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string")
+    pieces = parts.groupBy("_row").applyInPandas(stitched, "_row long, _k int, _piece string")
+    ids = pieces.repartition("_row", "_k").mapInPandas(encoded, "_row long, _k int, _ids binary")
+    found = ids.groupBy("_row").applyInPandas(joined, f"_row long, {RESULT}")
     found = found.select("_row", F.struct("n_tokens", "ids", "ids_sha256", "decoded_sha256").alias("bpe"))
     return short.unionByName(long.join(found, "_row").drop("_row"))
 
