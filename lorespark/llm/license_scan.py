@@ -3,7 +3,12 @@
 Each line of a document, and the whole text, is normalised (letters and digits, lower case, one space) and compared
 with licence templates: 2 |A and B| / (|A| + |B|) over their distinct word bigrams. Bigram sets whose sizes are too
 far apart cannot reach the threshold t: |A| must lie within t / (2 - t) and (2 - t) / t times |B|, which leaves few
-templates, mostly none, to compare with. Nothing is shuffled; a document is judged where it is read.
+templates, mostly none, to compare with. Where no line nor the whole text matches, every window of as many bigrams as a
+template has is compared with it, so that a wrapped notice among other lines and a sentence of a longer line are found.
+
+A match shares at least t / (2 - t) of a template's bigrams. So texts without any of a few words, chosen so that fewer
+bigrams of every template do without them, are passed over before anything is hashed, and a template's windows are only
+looked at in texts with so many of its bigrams; both lose nothing. Nothing is shuffled; a document is judged where it is read.
 
 Bigrams stand as XXH64 hashes. The templates are a parameter of bounded size, folded into the plan as a constant.
 
@@ -15,6 +20,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections import Counter
 from collections.abc import Sequence
 
 import xxhash
@@ -47,6 +53,14 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("BSD-2-Clause", 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'),
+    ("BSD-3-Clause", 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."),
+    ("BSL-1.0", 'Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.'),
+    ("Unlicense", 'This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.'),
+    ("LGPL-3.0", 'This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.'),
+    ("AGPL-3.0", 'This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.'),
+    ("GPL-2.0", 'This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.'),
 )
 
 OTHER = r"[^\p{L}\p{N}\n]+"
@@ -56,42 +70,97 @@ def words_of(text: str) -> list[str]:
     return [w for w in re.sub(r"[\W_]+", " ", text.lower()).split(" ") if w]
 
 
+#: Words that say little: a template is known by others where it has them.
+COMMON = frozenset("a an and any are as be by for in is of on or other the this to under with you".split())
+
+
+def bigrams(text: str) -> list[tuple[str, str]]:
+    words = words_of(text)
+    return sorted(set(zip(words, words[1:], strict=False)))
+
+
+def telling(templates: Sequence[tuple[str, str]], threshold: float) -> list[str]:
+    """Words of which every text that reaches the threshold with a template has one.
+
+    Per template, words that are in most bigrams yet without one go in, until the bigrams without them are too few.
+    """
+    found: set[str] = set()
+    for _, text in templates:
+        grams = bigrams(text)
+        need, left = len(grams) * threshold / (2 - threshold) - 1e-9, [g for g in grams if not found.intersection(g)]
+        while left and len(left) >= need:
+            count = Counter(w for g in left for w in set(g))
+            word = max(count, key=lambda w: (w not in COMMON, count[w], len(w), w))
+            found.add(word)
+            left = [g for g in left if word not in g]
+    return sorted(found)
+
+
 def _templates(templates: Sequence[tuple[str, str]]) -> Column:
-    """A constant array of (rank, license, n, grams)."""
+    """A constant array of (rank, license, n, w, grams); w counts bigrams with repeats."""
     rows = []
     for rank, (name, text) in enumerate(templates):
-        words = words_of(text)
-        grams = sorted({xxhash.xxh64_intdigest(f"{a} {b}", seed=42) for a, b in zip(words, words[1:], strict=False)})
-        rows.append({"rank": rank, "license": name, "n": len(grams), "grams": [g - (1 << 64) if g >= 1 << 63 else g for g in grams]})
-    return F.from_json(F.lit(json.dumps(rows)), "array<struct<rank:int,license:string,n:int,grams:array<bigint>>>")
+        grams = sorted({xxhash.xxh64_intdigest(f"{a} {b}", seed=42) for a, b in bigrams(text)})
+        rows.append({"rank": rank, "license": name, "n": len(grams), "w": len(words_of(text)) - 1, "grams": [g - (1 << 64) if g >= 1 << 63 else g for g in grams]})
+    return F.from_json(F.lit(json.dumps(rows)), "array<struct<rank:int,license:string,n:int,w:int,grams:array<bigint>>>")
+
+
+def _hashed(words: Column) -> Column:
+    """The bigrams of an array of words, in turn, as hashes."""
+    return F.get(F.transform(F.array(words), lambda w: F.transform(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), lambda x, k: F.xxhash64(F.concat_ws(" ", x, F.get(w, k + 1))))), 0)
 
 
 def _grams(unit: Column) -> Column:
     """The distinct bigrams of a normalised text, as hashes."""
-    words = F.array(F.split(F.trim(unit), " "))
-    hashed = F.transform(words, lambda w: F.transform(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), lambda x, k: F.xxhash64(F.concat_ws(" ", x, F.get(w, k + 1)))))
-    return F.array_distinct(F.get(hashed, 0))
+    return F.array_distinct(_hashed(F.split(F.trim(unit), " ")))
 
 
 def scan(docs: DataFrame, threshold: float = THRESHOLD, templates: Sequence[tuple[str, str]] = TEMPLATES) -> DataFrame:
-    """docs with license, dice, line (from 1; 0: the whole text; all null: none) and n_matches, the number of matching units."""
+    """docs with license, dice, line (from 1; 0: the whole text), word, n_matches; all null and 0 matches where there is none.
+
+    n_matches is the number of matching units. Where only windows match, line is null, word the first word of the best
+    window (from 0) and n_matches the number of templates that have one.
+    """
     # normalised once as a whole, line ends kept; as columns, since each is used more than once
-    names = ("license", "dice", "line", "n_matches")
-    rows = docs.withColumn("_clean", F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), OTHER, " ")).withColumn("_lines", F.split("_clean", "\n", -1))
+    names = ("license", "dice", "line", "word", "n_matches")
+    own = {c: c if c == "text" else f"c{k}" for k, c in enumerate(docs.columns)}  # own names cannot clash
+    rows = docs.toDF(*own.values()).withColumn("_clean", F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), OTHER, " "))
+    rows = rows.withColumn("_words", F.split(F.trim(F.translate("_clean", "\n", " ")), " +"))
+    # all words but the telling ones are let go here
+    rows = rows.withColumn("_some", F.arrays_overlap("_words", F.array(*[F.lit(w) for w in telling(templates, threshold)])))
+    rows = rows.withColumn("_lines", F.when(F.col("_some"), F.split("_clean", "\n", -1)))
     lines = F.col("_lines")
     units = F.when(F.size(lines) > 1, F.concat(F.array(F.regexp_replace("_clean", r"[ \n]+", " ")), lines)).otherwise(lines)
     # a single line is line 1
     shift = F.when(F.size(lines) > 1, F.lit(0)).otherwise(F.lit(1))
-    grams = F.transform(units, _grams)
     known, low, high = _templates(templates), threshold / (2 - threshold), (2 - threshold) / threshold
 
+    def dice(g: Column, t: Column) -> Column:
+        return 2.0 * F.size(F.array_intersect(g, t.grams)) / (F.size(g) + t.n)
+
     def best(g: Column, k: Column) -> Column:
         """The best template of a unit; null below the threshold."""
         fit = F.filter(known, lambda t: (t.n > 0) & (F.size(g) >= F.ceil(t.n * low - 1e-9)) & (F.size(g) <= F.floor(t.n * high + 1e-9)))
-        scored = F.transform(fit, lambda t: F.struct((2.0 * F.size(F.array_intersect(g, t.grams)) / (F.size(g) + t.n)).alias("dice"), (-t["rank"]).alias("rank"), (-k).alias("unit"), t.license.alias("license")))
+        scored = F.transform(fit, lambda t: F.struct(dice(g, t).alias("dice"), (-t["rank"]).alias("rank"), (-k).alias("unit"), t.license.alias("license")))
+        return F.array_max(F.filter(scored, lambda s: s.dice >= threshold))
+
+    none = F.array().cast("array<struct<dice:double,rank:int,unit:int,license:string>>")
+    found = F.filter(F.transform(F.transform(units, _grams), best), lambda s: s.isNotNull())
+    rows = rows.withColumn("_shift", shift).withColumn("_units", F.when(F.col("_some"), found).otherwise(none))
+    rows = rows.withColumn("_turn", F.when(F.col("_some") & (F.size("_units") == 0), _hashed(F.col("_words"))))
+    rows = rows.withColumn("_set", F.array_distinct("_turn"))
+
+    def window(t: Column) -> Column:
+        """The best window of a template: windows begin where one of its bigrams does."""
+        starts = F.filter(F.transform("_turn", lambda g, k: F.when(F.array_contains(t.grams, g), k)), lambda k: k.isNotNull())
+        scored = F.transform(starts, lambda k: F.struct(dice(F.array_distinct(F.slice(F.col("_turn"), k + 1, t.w)), t).alias("dice"), (-t["rank"]).alias("rank"), (-k).alias("unit"), t.license.alias("license")))
         return F.array_max(F.filter(scored, lambda s: s.dice >= threshold))
 
-    found = F.filter(F.transform(grams, best), lambda s: s.isNotNull())
-    out = rows.withColumn("_shift", shift).withColumn("_found", found).withColumn("_best", F.array_max("_found"))
-    best_ = F.col("_best")
-    return out.select(*[c for c in docs.columns if c not in names], best_.license.alias("license"), best_.dice.alias("dice"), (F.col("_shift") - best_.unit).alias("line"), F.size("_found").cast("long").alias("n_matches"))
+    likely = F.filter(known, lambda t: (t.n > 0) & (F.size(F.array_intersect(F.col("_set"), t.grams)) >= F.ceil(t.n * low - 1e-9)))
+    rows = rows.withColumn("_windows", F.when(F.col("_turn").isNotNull(), F.filter(F.transform(likely, window), lambda s: s.isNotNull())).otherwise(none))
+    rows = rows.withColumn("_unit", F.array_max("_units")).withColumn("_window", F.array_max("_windows"))
+    unit, part = F.col("_unit"), F.col("_window")
+    return rows.select(
+        *[F.col(o).alias(c) for c, o in own.items() if c not in names], F.coalesce(unit.license, part.license).alias("license"), F.coalesce(unit.dice, part.dice).alias("dice"),
+        (F.col("_shift") - unit.unit).alias("line"), (-part.unit).alias("word"), (F.size("_units") + F.size("_windows")).cast("long").alias("n_matches"),
+    )

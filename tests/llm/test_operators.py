@@ -589,18 +589,37 @@ def plain_scan(text, threshold=0.8):
         if top:
             n += 1
             best = top if best is None or top < best else best
-    return (best[3], -best[0], best[2], n) if best else (None, None, None, 0)
+    if best:
+        return best[3], -best[0], best[2], None, n
+    words, best, n = license_scan.words_of(text or ""), None, 0
+    pairs = list(zip(words, words[1:]))
+    known = set(pairs)
+    for rank, (name, notice) in enumerate(license_scan.TEMPLATES):
+        t, top = grams(notice), None
+        if 3 * len(known & t) < 2 * len(t):  # cannot reach 0.8
+            continue
+        for k in range(len(pairs)):
+            if pairs[k] not in t:
+                continue
+            g = set(pairs[k : k + len(license_scan.words_of(notice)) - 1])
+            dice = 2 * len(g & t) / (len(g) + len(t))
+            if dice >= threshold and (top is None or (-dice, rank, k) < top[:3]):
+                top = (-dice, rank, k, name)
+        if top:
+            n += 1
+            best = top if best is None or top < best else best
+    return (best[3], -best[0], None, best[2], n) if best else (None, None, None, None, 0)
 
 
 def test_licenses(spark, texts):
     out = rows(queries.op10_license_scan(spark, SF))
-    assert len(out) == 1000 and all((r["license"], r["dice"], r["line"], r["n_matches"]) == plain_scan(texts[r["doc_id"]]) for r in out)
+    assert len(out) == 1000 and all((r["license"], r["dice"], r["line"], r["word"], r["n_matches"]) == plain_scan(texts[r["doc_id"]]) for r in out)
     marked = {k for k, t in texts.items() if re.search(r"(?m)^(Licensed under the Apache License, Version 2\.0\.|Released under the MIT License\.)$", t)}
     assert marked and all(r["license"] for r in out if r["doc_id"] in marked)
 
 
 def test_licenses_edges(spark, odd, empty):
-    assert Counter(map(str, ((r["license"], r["dice"], r["line"], r["n_matches"]) for r in rows(license_scan.scan(odd))))) == Counter(str(plain_scan(r[1])) for r in ODD)
+    assert Counter(map(str, ((r["license"], r["dice"], r["line"], r["word"], r["n_matches"]) for r in rows(license_scan.scan(odd))))) == Counter(str(plain_scan(r[1])) for r in ODD)
     mit = license_scan.TEMPLATES[4][1]
     made = [(1, mit.replace(". ", ".\n")), (2, "x " + mit.upper()), (3, "Released  under the MIT-License!"), (4, "MIT")]
     got = [(r.license, r.line) for r in license_scan.scan(spark.createDataFrame(made, "doc_id long, text string")).orderBy("doc_id").collect()]
@@ -608,6 +627,21 @@ def test_licenses_edges(spark, odd, empty):
     assert license_scan.scan(empty).count() == 0
 
 
+def test_licenses_within_texts(spark):
+    import textwrap
+
+    rng, made, want = np.random.default_rng(6), [], []
+    for k, (name, text) in enumerate(license_scan.TEMPLATES):
+        code = [" ".join(f"v{x}" for x in rng.integers(0, 999, 9)) for _ in range(30)]
+        wrapped = ["# " + x for x in textwrap.wrap(text, 60)]
+        made.append((k, "\n".join([*code[:9], *wrapped, *code[9:]]) if len(text) > 70 else f"{code[0]}. {text} {code[1]}\n{code[2]}"))
+        want.append(name)
+    docs = spark.createDataFrame(made, "doc_id long, text string")
+    got = {r.doc_id: (r.license, r.dice, r.line, r.word, r.n_matches) for r in license_scan.scan(docs).collect()}
+    assert [got[k][0] for k in range(len(made))] == want
+    assert all(got[k] == plain_scan(t) for k, t in made)
+
+
 # pieces grow with the rows
 
 
