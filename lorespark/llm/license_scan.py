@@ -3,8 +3,8 @@
 Each line of a document, and the whole text, is normalised (letters and digits, lower case, one space) and compared
 with licence templates: 2 |A and B| / (|A| + |B|) over their distinct word bigrams. Bigram sets whose sizes are too
 far apart cannot reach the threshold t: |A| must lie within t / (2 - t) and (2 - t) / t times |B|, which leaves few
-templates, mostly none, to compare with. Where no line nor the whole text matches, every window of as many bigrams as a
-template has is compared with it, so that a wrapped notice among other lines and a sentence of a longer line are found.
+templates, mostly none, to compare with. Every window of as many bigrams as a template has is compared with it too, so
+that a wrapped notice among other lines and a sentence of a longer line are found.
 
 A match shares at least t / (2 - t) of a template's bigrams. So texts without any of a few words, chosen so that fewer
 bigrams of every template do without them, are passed over before anything is hashed, and a template's windows are only
@@ -12,8 +12,8 @@ looked at in texts with so many of its bigrams; both lose nothing. Nothing is sh
 
 Bigrams stand as XXH64 hashes. The templates are a parameter of bounded size, folded into the plan as a constant.
 
-Defined results: a null or empty text and units of fewer than two words match nothing. Of equal scores the earlier
-template, then the earlier unit wins. Equal texts get equal results; further columns stay as they are.
+Defined results: a null or empty text and units of fewer than two words match nothing. Of equal scores a line or the
+whole text goes before a window, then the earlier template, then the earlier unit. Equal texts get equal results; further columns stay as they are.
 """
 
 from __future__ import annotations
@@ -82,7 +82,8 @@ def bigrams(text: str) -> list[tuple[str, str]]:
 def telling(templates: Sequence[tuple[str, str]], threshold: float) -> list[str]:
     """Words of which every text that reaches the threshold with a template has one.
 
-    Per template, words that are in most bigrams yet without one go in, until the bigrams without them are too few.
+    Per template, words go in that are in most bigrams yet without one, long ones first as they are rarer in other texts,
+    until the bigrams without them are too few.
     """
     found: set[str] = set()
     for _, text in templates:
@@ -90,7 +91,7 @@ def telling(templates: Sequence[tuple[str, str]], threshold: float) -> list[str]
         need, left = len(grams) * threshold / (2 - threshold) - 1e-9, [g for g in grams if not found.intersection(g)]
         while left and len(left) >= need:
             count = Counter(w for g in left for w in set(g))
-            word = max(count, key=lambda w: (w not in COMMON, count[w], len(w), w))
+            word = max(count, key=lambda w: (w not in COMMON, len(w) >= 7, count[w], len(w), w))
             found.add(word)
             left = [g for g in left if word not in g]
     return sorted(found)
@@ -118,14 +119,14 @@ def _grams(unit: Column) -> Column:
 def scan(docs: DataFrame, threshold: float = THRESHOLD, templates: Sequence[tuple[str, str]] = TEMPLATES) -> DataFrame:
     """docs with license, dice, line (from 1; 0: the whole text), word, n_matches; all null and 0 matches where there is none.
 
-    n_matches is the number of matching units. Where only windows match, line is null, word the first word of the best
-    window (from 0) and n_matches the number of templates that have one.
+    n_matches is the number of matching units, or where only windows match of the templates that have one. Where a window
+    is the best match, line is null and word its first word (from 0).
     """
     # normalised once as a whole, line ends kept; as columns, since each is used more than once
     names = ("license", "dice", "line", "word", "n_matches")
     own = {c: c if c == "text" else f"c{k}" for k, c in enumerate(docs.columns)}  # own names cannot clash
     rows = docs.toDF(*own.values()).withColumn("_clean", F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), OTHER, " "))
-    rows = rows.withColumn("_words", F.split(F.trim(F.translate("_clean", "\n", " ")), " +"))
+    rows = rows.withColumn("_words", F.split("_clean", r"[ \n]+"))
     # all words but the telling ones are let go here
     rows = rows.withColumn("_some", F.arrays_overlap("_words", F.array(*[F.lit(w) for w in telling(templates, threshold)])))
     rows = rows.withColumn("_lines", F.when(F.col("_some"), F.split("_clean", "\n", -1)))
@@ -147,7 +148,7 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, templates: Sequence[tupl
     none = F.array().cast("array<struct<dice:double,rank:int,unit:int,license:string>>")
     found = F.filter(F.transform(F.transform(units, _grams), best), lambda s: s.isNotNull())
     rows = rows.withColumn("_shift", shift).withColumn("_units", F.when(F.col("_some"), found).otherwise(none))
-    rows = rows.withColumn("_turn", F.when(F.col("_some") & (F.size("_units") == 0), _hashed(F.col("_words"))))
+    rows = rows.withColumn("_turn", F.when(F.col("_some"), _hashed(F.filter("_words", lambda w: w != ""))))
     rows = rows.withColumn("_set", F.array_distinct("_turn"))
 
     def window(t: Column) -> Column:
@@ -159,8 +160,11 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, templates: Sequence[tupl
     likely = F.filter(known, lambda t: (t.n > 0) & (F.size(F.array_intersect(F.col("_set"), t.grams)) >= F.ceil(t.n * low - 1e-9)))
     rows = rows.withColumn("_windows", F.when(F.col("_turn").isNotNull(), F.filter(F.transform(likely, window), lambda s: s.isNotNull())).otherwise(none))
     rows = rows.withColumn("_unit", F.array_max("_units")).withColumn("_window", F.array_max("_windows"))
+    rows = rows.withColumn("_whole", F.col("_unit").isNotNull() & (F.col("_window").isNull() | (F.col("_unit.dice") >= F.col("_window.dice"))))
     unit, part = F.col("_unit"), F.col("_window")
     return rows.select(
-        *[F.col(o).alias(c) for c, o in own.items() if c not in names], F.coalesce(unit.license, part.license).alias("license"), F.coalesce(unit.dice, part.dice).alias("dice"),
-        (F.col("_shift") - unit.unit).alias("line"), (-part.unit).alias("word"), (F.size("_units") + F.size("_windows")).cast("long").alias("n_matches"),
+        *[F.col(o).alias(c) for c, o in own.items() if c not in names],
+        *[F.when(F.col("_whole"), unit[x]).otherwise(part[x]).alias(x) for x in ("license", "dice")],
+        F.when(F.col("_whole"), F.col("_shift") - unit.unit).alias("line"), F.when(~F.col("_whole"), -part.unit).alias("word"),
+        F.when(F.size("_units") > 0, F.size("_units")).otherwise(F.size("_windows")).cast("long").alias("n_matches"),
     )

@@ -589,9 +589,7 @@ def plain_scan(text, threshold=0.8):
         if top:
             n += 1
             best = top if best is None or top < best else best
-    if best:
-        return best[3], -best[0], best[2], None, n
-    words, best, n = license_scan.words_of(text or ""), None, 0
+    words, part, n_part = license_scan.words_of(text or ""), None, 0
     pairs = list(zip(words, words[1:]))
     known = set(pairs)
     for rank, (name, notice) in enumerate(license_scan.TEMPLATES):
@@ -606,9 +604,11 @@ def plain_scan(text, threshold=0.8):
             if dice >= threshold and (top is None or (-dice, rank, k) < top[:3]):
                 top = (-dice, rank, k, name)
         if top:
-            n += 1
-            best = top if best is None or top < best else best
-    return (best[3], -best[0], None, best[2], n) if best else (None, None, None, None, 0)
+            n_part += 1
+            part = top if part is None or top < part else part
+    if best and (part is None or best[0] <= part[0]):
+        return best[3], -best[0], best[2], None, n
+    return (part[3], -part[0], None, part[2], n or n_part) if part else (None, None, None, None, 0)
 
 
 def test_licenses(spark, texts):
