@@ -12,8 +12,9 @@ looked at in texts with so many of its bigrams; both lose nothing. Nothing is sh
 
 Bigrams stand as XXH64 hashes. The templates are a parameter of bounded size, folded into the plan as a constant.
 
-Defined results: a null or empty text and units of fewer than two words match nothing. Of equal scores a line or the
-whole text goes before a window, then the earlier template, then the earlier unit. Equal texts get equal results; further columns stay as they are.
+Defined results: a null or empty text and units of fewer than two words match nothing. A line or the
+whole text goes before a window of the same licence or score; of equal scores the earlier template, then the earlier
+unit wins. Equal texts get equal results; further columns stay as they are.
 """
 
 from __future__ import annotations
@@ -160,7 +161,7 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, templates: Sequence[tupl
     likely = F.filter(known, lambda t: (t.n > 0) & (F.size(F.array_intersect(F.col("_set"), t.grams)) >= F.ceil(t.n * low - 1e-9)))
     rows = rows.withColumn("_windows", F.when(F.col("_turn").isNotNull(), F.filter(F.transform(likely, window), lambda s: s.isNotNull())).otherwise(none))
     rows = rows.withColumn("_unit", F.array_max("_units")).withColumn("_window", F.array_max("_windows"))
-    rows = rows.withColumn("_whole", F.col("_unit").isNotNull() & (F.col("_window").isNull() | (F.col("_unit.dice") >= F.col("_window.dice"))))
+    rows = rows.withColumn("_whole", F.col("_unit").isNotNull() & (F.col("_window").isNull() | (F.col("_unit.dice") >= F.col("_window.dice")) | (F.col("_unit.license") == F.col("_window.license"))))
     unit, part = F.col("_unit"), F.col("_window")
     return rows.select(
         *[F.col(o).alias(c) for c, o in own.items() if c not in names],

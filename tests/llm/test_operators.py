@@ -606,7 +606,7 @@ def plain_scan(text, threshold=0.8):
         if top:
             n_part += 1
             part = top if part is None or top < part else part
-    if best and (part is None or best[0] <= part[0]):
+    if best and (part is None or best[0] <= part[0] or best[3] == part[3]):
         return best[3], -best[0], best[2], None, n
     return (part[3], -part[0], None, part[2], n or n_part) if part else (None, None, None, None, 0)
 
