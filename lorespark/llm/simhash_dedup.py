@@ -9,6 +9,11 @@ Equal fingerprints are collapsed first. Lookups keep a row per value found, not
 within a bucket, in blocks, and leave as edges of a spanning forest, so that neither a group of many copies nor a
 common segment makes rows as the square of its size. Nothing is capped.
 
+`similar` is for similarities that 3 bits of 64 do not reach: fingerprints of 224 bits over shingles of five words, in
+eight segments of 28. Two texts of Jaccard similarity s differ in about acos(2s / (1 + s)) / pi of the bits; fingerprints
+are linked that differ in at most so many as texts of the similarity asked for, and in at most one bit of some segment.
+The latter is a filter with a recall below one, the higher the more alike the texts; the README has it measured.
+
 Defined results: a text without words has fingerprint 0 and links like any other; fewer words than a shingle are one
 shingle. A row without doc_id takes no part in naming: its component is the smallest doc_id that it links with,
 null if it has none. Repeated rows and doc_ids keep a row each. Further columns stay as they are.
@@ -28,6 +33,7 @@ from .common import Workspace, block_pairs, by_group, components, prepare, roots
 
 SHINGLE, SEED, MAX_BITS = 3, 42, 3
 N_SEGMENTS = 2
+WIDE_SHINGLE, WIDE_BITS, WIDE_SEGMENTS = 5, 224, 8
 BLOCK = 1024
 
 
@@ -56,6 +62,43 @@ def with_fingerprint(docs: DataFrame, shingle: int = SHINGLE, name: str = "fp")
     return docs.withColumn(name, F.pandas_udf(each, "long")("text"))
 
 
+def _mixed(x: np.ndarray, k: int) -> np.ndarray:
+    """Further 64 bits for each hash (the finalizer of splitmix64)."""
+    x = x + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % 2**64)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def wide_fingerprint(text: str | None, shingle: int = WIDE_SHINGLE) -> bytes:
+    """WIDE_BITS bits, of the hash and what is mixed from it; a text without words has none set."""
+    words = (text or "").encode("utf-8", "replace").lower().split()
+    if not words:
+        return bytes(WIDE_BITS // 8)
+    grams = [b" ".join(words)] if len(words) <= shingle else map(b" ".join, zip(*(words[k:] for k in range(shingle)), strict=False))
+    digest = xxhash.xxh64_intdigest
+    hashes = np.array([digest(g, SEED) for g in grams], np.uint64)
+    ones = np.zeros(WIDE_BITS, np.int64)
+    for at in range(0, len(hashes), 4096):
+        wide = np.stack([_mixed(hashes[at : at + 4096], k) for k in range(-(-WIDE_BITS // 64))], 1)
+        ones += np.unpackbits(wide.view(np.uint8), axis=1, bitorder="little")[:, :WIDE_BITS].sum(0, dtype=np.int64)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").tobytes()
+
+
+def with_wide(docs: DataFrame, shingle: int = WIDE_SHINGLE) -> DataFrame:
+    """docs with wide (the fingerprint), segments (its values by segment) and fp (its 64-bit hash, which names it)."""
+    prepare(docs.sparkSession)
+
+    def each(texts: pd.Series) -> pd.DataFrame:
+        found = [wide_fingerprint(t, shingle) for t in texts]
+        bits = np.unpackbits(np.frombuffer(b"".join(found), np.uint8).reshape(len(found), -1), axis=1, bitorder="little")
+        values = bits.reshape(len(found), WIDE_SEGMENTS, -1).astype(np.int64) @ (1 << np.arange(WIDE_BITS // WIDE_SEGMENTS, dtype=np.int64))
+        return pd.DataFrame({"wide": found, "segments": list(values.astype(np.int32))})
+
+    made = docs.withColumn("_made", F.pandas_udf(each, "wide binary, segments array<int>")("text"))
+    return made.withColumns({"wide": F.col("_made.wide"), "segments": F.col("_made.segments"), "fp": F.xxhash64("_made.wide")}).drop("_made")
+
+
 def _masks(bits: int, radius: int) -> list[int]:
     """What turns a segment into another value of its ball, itself left out."""
     return [sum(1 << k for k in some) for r in range(1, radius + 1) for some in combinations(range(bits), r)]
@@ -63,14 +106,21 @@ def _masks(bits: int, radius: int) -> list[int]:
 
 def _near(pdf: pd.DataFrame, max_bits: int) -> pd.DataFrame | None:
     """Edges of a forest over the fingerprints of a bucket: owners of the value against all."""
-    fp, owner, side = pdf.fp.to_numpy().view(np.uint64), pdf.owner.to_numpy(), pdf.side.to_numpy()
-    if len(fp) < 2:
+    owner, side, name = pdf.owner.to_numpy(), pdf.side.to_numpy(), pdf.fp.to_numpy()
+    if len(name) < 2:
         return None
+    if "wide" in pdf:
+        fp = np.frombuffer(b"".join(pdf.wide), np.uint32).reshape(len(name), -1)
+    else:
+        fp = name.view(np.uint64)[:, None]
     own, cross = np.flatnonzero(owner), pdf.i.iloc[0] != pdf.j.iloc[0]
     found_a, found_b = [], []
     for at in range(0, len(own), 256):
         some = own[at : at + 256]
-        near = np.bitwise_count(fp[some][:, None] ^ fp[None, :]) <= max_bits
+        apart = np.zeros((len(some), len(fp)), np.uint16)
+        for k in range(fp.shape[1]):
+            apart += np.bitwise_count(fp[some, k][:, None] ^ fp[None, :, k])
+        near = apart <= max_bits
         if cross:
             near &= side[some][:, None] != side[None, :]
         a, b = np.nonzero(near)
@@ -80,46 +130,78 @@ def _near(pdf: pd.DataFrame, max_bits: int) -> pd.DataFrame | None:
         return None
     label = roots(len(fp), np.concatenate(found_a), np.concatenate(found_b))
     some = np.flatnonzero(label != np.arange(len(fp)))
-    return pd.DataFrame({"a": pdf.fp.to_numpy()[some], "b": pdf.fp.to_numpy()[label[some]]}) if len(some) else None
+    return pd.DataFrame({"a": name[some], "b": name[label[some]]}) if len(some) else None
 
 
 def links(work: Workspace, fps: DataFrame, max_bits: int = MAX_BITS, n_segments: int = N_SEGMENTS) -> DataFrame:
     """Edges (a, b) over distinct fingerprints fp, whose components are those of all pairs within max_bits."""
-    width, radius = 64 // n_segments, max_bits // n_segments
+    width = 64 // n_segments
     piece = [F.shiftrightunsigned("fp", k * width).bitwiseAND((1 << width) - 1) for k in range(n_segments)]
-    table = fps.select("fp", F.posexplode(F.array(*piece)).alias("seg", "value"))
-    probes = table.withColumn("mask", F.explode(F.array(*[F.lit(m).cast("long") for m in _masks(width, radius)]))) if radius else table.where("false").withColumn("mask", F.lit(0).cast("long"))
+    return _links(work, fps.select("fp", F.posexplode(F.array(*piece)).alias("seg", "value")), None, width, max_bits // n_segments, max_bits)
+
+
+def _links(work: Workspace, table: DataFrame, wide: DataFrame | None, width: int, radius: int, max_bits: int) -> DataFrame:
+    """table: (fp, seg, value). Probes carry names alone; wide (fp, wide) joins what they have met."""
+    one = dict(table.dtypes)["value"]
+    probes = table.withColumn("mask", F.explode(F.array(*[F.lit(m).cast(one) for m in _masks(width, radius)]))) if radius else table.where("false").withColumn("mask", F.lit(0).cast(one))
     probes = probes.select("seg", F.col("value").bitwiseXOR(F.col("mask")).alias("value"), "fp")
     owners = table.groupBy("seg", "value").agg(F.count("*").alias("n"))
     hits = work.table(probes.join(owners.select("seg", "value"), ["seg", "value"]))
     busy = hits.select("seg", "value").union(owners.where("n > 1").select("seg", "value")).distinct()
     rows = table.join(busy, ["seg", "value"], "left_semi").select("seg", "value", "fp", F.lit(True).alias("owner"))
     rows = rows.union(hits.select("seg", "value", "fp", F.lit(False)))
+    if wide is not None:
+        rows = rows.join(wide, "fp")
     dealt = block_pairs(rows, ["seg", "value"], "fp", BLOCK)
     return by_group(dealt, ["seg", "value", "i", "j"], lambda pdf: _near(pdf, max_bits), "a long, b long")
 
 
+def _grouped(work: Workspace, marked: DataFrame, fps: DataFrame, edges: DataFrame) -> DataFrame:
+    group = components(work, edges)
+    named = fps.join(group.withColumnRenamed("node", "fp"), "fp", "left").withColumn("group", F.coalesce("component", "fp"))
+    lowest = named.groupBy("group").agg(F.min("low_id").alias("component_id"))
+    by_fp = named.select("fp", "group").join(lowest, "group").select("fp", "component_id")
+    return marked.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SHINGLE) -> DataFrame:
     """A row per row of docs: doc_id, fp, component_id (smallest doc_id of its group)."""
     work = Workspace(spark, "simhash")
     marked = work.table(with_fingerprint(docs.select("doc_id", "text"), shingle).select("doc_id", "fp"))
     fps = work.table(marked.groupBy("fp").agg(F.min("doc_id").alias("low_id")))
-    group = components(work, links(work, fps, max_bits))
-    named = fps.join(group.withColumnRenamed("node", "fp"), "fp", "left").withColumn("group", F.coalesce("component", "fp"))
-    lowest = named.groupBy("group").agg(F.min("low_id").alias("component_id"))
-    by_fp = named.select("fp", "group").join(lowest, "group").select("fp", "component_id")
-    return marked.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    return _grouped(work, marked, fps, links(work, fps, max_bits))
+
 
+def wide_distance(similarity: float) -> int:
+    """In how many bits texts of this Jaccard similarity differ, as wide fingerprints go."""
+    return int(WIDE_BITS * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
 
-def drop_duplicates(spark: SparkSession, docs: DataFrame, **how: int) -> DataFrame:
+
+def similar(spark: SparkSession, docs: DataFrame, similarity: float = 0.8, shingle: int = WIDE_SHINGLE) -> DataFrame:
+    """As near_duplicates, by wide fingerprints; fp names one."""
+    work = Workspace(spark, "simhash-wide")
+    marked = work.table(with_wide(docs.select("doc_id", "text"), shingle).select("doc_id", "fp", "wide", "segments"))
+    fps = work.table(marked.groupBy("fp").agg(F.min("doc_id").alias("low_id"), F.first("wide").alias("wide"), F.first("segments").alias("segments")))
+    table = fps.select("fp", F.posexplode("segments").alias("seg", "value"))
+    edges = _links(work, table, fps.select("fp", "wide"), WIDE_BITS // WIDE_SEGMENTS, 1, wide_distance(similarity))
+    return _grouped(work, marked.select("doc_id", "fp"), fps.select("fp", "low_id"), edges)
+
+
+def drop_duplicates(spark: SparkSession, docs: DataFrame, similarity: float | None = None, **how: int) -> DataFrame:
     """docs with one document of each group: that of the smallest doc_id (of rows that repeat it, one).
 
-    Rows without doc_id stay only if their group has no other.
+    Groups are those of `similar` if a similarity is given, else of near_duplicates. Rows without doc_id stay only if
+    their group has no other.
     """
-    groups = near_duplicates(spark, docs, **how).where("doc_id = component_id").select("doc_id").distinct()
+    def grouped() -> DataFrame:
+        return near_duplicates(spark, docs, **how) if similarity is None else similar(spark, docs, similarity, **how)
+
+    groups = grouped().where("doc_id = component_id").select("doc_id").distinct()
     kept = docs.join(groups, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     if not docs.where("doc_id IS NULL").head(1):
         return kept
-    nameless = with_fingerprint(docs.where("doc_id IS NULL"), name="_fp").dropDuplicates(["_fp"])
-    alone = near_duplicates(spark, docs, **how).where("component_id IS NULL").select(F.col("fp").alias("_fp")).distinct()
-    return kept.unionByName(nameless.join(alone, "_fp", "left_semi").drop("_fp"))
+    names = {c: c if c == "text" else f"c{k}" for k, c in enumerate(docs.columns)}  # own names cannot clash
+    nameless = docs.where("doc_id IS NULL").toDF(*names.values())
+    nameless = (with_fingerprint(nameless, **how) if similarity is None else with_wide(nameless, **how)).dropDuplicates(["fp"])
+    alone = grouped().where("component_id IS NULL").select("fp").distinct()
+    return kept.unionByName(nameless.join(alone, "fp", "left_semi").select(*[F.col(own).alias(c) for c, own in names.items()]))

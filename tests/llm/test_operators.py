@@ -526,6 +526,21 @@ def test_simhash_edges(spark, odd, empty):
     only = rows(simhash_dedup.drop_duplicates(spark, odd.where("doc_id IS NULL")))
     assert [r["doc_id"] for r in only] == [None]
     assert simhash_dedup.near_duplicates(spark, empty).count() == 0 and simhash_dedup.drop_duplicates(spark, empty).count() == 0
+    wide = rows(simhash_dedup.drop_duplicates(spark, odd, similarity=0.8))
+    assert Counter(r["doc_id"] for r in wide) == {1: 1, 3: 1, 4: 1, 5: 1, 6: 1, 8: 1} and set(wide[0]) == set(odd.columns)
+    assert [r["doc_id"] for r in rows(simhash_dedup.drop_duplicates(spark, odd.where("doc_id IS NULL"), similarity=0.8))] == [None]
+    assert simhash_dedup.drop_duplicates(spark, empty, similarity=0.8).count() == 0
+
+
+def test_similar_large_group_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(simhash_dedup, "BLOCK", 16)
+    rng = np.random.default_rng(8)
+    words, made = [f"w{k}" for k in range(2000)], []
+    for k in range(120):  # near copies of one text, then texts of their own
+        own = words[:400] if k < 90 else [words[x] for x in rng.integers(400, 2000, 400)]
+        made.append((k, " ".join("x" if rng.random() < 0.002 else w for w in own)))
+    out = {r.doc_id: r.component_id for r in simhash_dedup.similar(spark, spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    assert all(out[k] == 0 for k in range(90)) and all(out[k] == k for k in range(90, 120))
 
 
 # 9: byte-level BPE

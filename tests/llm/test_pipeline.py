@@ -2,10 +2,12 @@
 
 import hashlib
 import importlib
+import re
 from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 
 from lorespark.llm import common
 
@@ -34,18 +36,48 @@ def test_quality_keeps_labelled_good(spark, stages):
     assert len(good & kept) >= 0.98 * len(good) and len(bad & kept) <= 0.4 * len(bad)
 
 
-def test_lines_and_copies(stages):
-    from test_operators import near_components, plain_fingerprint, plain_lines
+def test_lines(stages):
+    from test_operators import plain_lines
 
     want = plain_lines(list(zip(stages[1].doc_id, stages[1].text)))
     empty = hashlib.sha256(b"").hexdigest()
     kept = Counter((k[0], k[3]) for k in want.elements() if k[3] != empty or k[2] == 0)
     assert Counter((i, hashlib.sha256(t.encode()).hexdigest()) for i, t in zip(stages[2].doc_id, stages[2].text)) == kept
-    ids, fps = zip(*sorted((i, plain_fingerprint(t)) for i, t in zip(stages[2].doc_id, stages[2].text)))
-    m = np.array(fps, np.uint64)
-    a, b = np.nonzero(np.triu(np.bitwise_count(m[:, None] ^ m[None, :]) <= 3, 1))
+
+
+def plain_wide(text):
+    """The eight values of 28 bits of a text's fingerprint, by the letter."""
+    words = [w.encode().lower() for w in re.findall(r"[^\x20\x09-\x0D]+", text or "")]
+    grams = [b" ".join(words[k : k + 5]) for k in range(max(1, len(words) - 4))] if words else []
+    ones = np.zeros(256, int)
+    for g in grams:
+        h, bits = xxhash.xxh64_intdigest(g, 42), 0
+        for k in range(4):
+            x = (h + (k + 1) * 0x9E3779B97F4A7C15) % 2**64
+            x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+            x = (x ^ x >> 27) * 0x94D049BB133111EB % 2**64
+            bits |= (x ^ x >> 31) << 64 * k
+        ones += np.array([bits >> k & 1 for k in range(256)])
+    most = 2 * ones > len(grams)
+    return [sum(1 << k for k in range(28) if most[28 * s + k]) for s in range(8)]
+
+
+def test_copies(stages):
+    from test_operators import near_components
+
+    texts = sorted(zip(stages[2].doc_id, stages[2].text))
+    ids, m = [i for i, _ in texts], np.array([plain_wide(t) for _, t in texts], np.uint32)
+    apart = np.stack([np.bitwise_count(m[:, None, k] ^ m[None, :, k]) for k in range(8)])
+    a, b = np.nonzero(np.triu((apart.sum(0) <= 33) & (apart.min(0) <= 1), 1))
     roots = {ids[k] for k in near_components(ids, zip(a.tolist(), b.tolist()))}
-    assert set(stages[3].doc_id) == roots and stages[3].doc_id.is_unique
+    assert set(stages[3].doc_id) == roots and stages[3].doc_id.is_unique and 0 < len(roots) < len(ids)
+    words = [t.lower().split() for _, t in texts]  # alike texts that share no segment are few
+    grams = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in words]
+    label = near_components(ids, zip(a.tolist(), b.tolist()))
+    pairs = [(x, y) for x, y in zip(*np.nonzero(np.triu(apart.sum(0) <= 60, 1))) if len(grams[x] & grams[y]) >= 0.8 * len(grams[x] | grams[y])]
+    found = [label[x] == label[y] for x, y in pairs]
+    print("near-dedup: pairs of 0.8 or more found", sum(found), "of", len(found))
+    assert np.mean(found) >= 0.85
 
 
 def test_mixture_and_tokens(stages):
@@ -56,6 +88,19 @@ def test_mixture_and_tokens(stages):
     assert abs(words(mixed) - words(before)) <= 0.02 * words(before) + 2000
 
 
+def test_stages_on_odd_and_empty_tables(spark, tmp_path):
+    from test_operators import DOCS, ODD
+
+    odd = spark.createDataFrame(ODD, DOCS)
+    spark.createDataFrame([(3, 1, 0), (8, 1, 0), (7, 0, 0), (None, 1, 0), (4, None, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, odd, str(tmp_path))
+        assert out.columns == odd.columns and 0 <= out.count() <= 3 * len(ODD)
+        assert stage(spark, odd.where("false"), str(tmp_path)).count() == 0
+    last = corpus_pipeline.STAGES[-1][1]
+    assert last(spark, odd, str(tmp_path)).count() == len(ODD) and last(spark, odd.where("false"), str(tmp_path)).count() == 0
+
+
 def test_run_gives_the_same_rows(spark, stages):
     again = corpus_pipeline.run(spark, SF).toPandas()
     key = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
