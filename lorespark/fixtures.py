@@ -17,7 +17,7 @@ SELECT d.doc_id AS page_no, concat('01', lpad(cast(d.doc_id AS string), 24, '0')
             WHEN 5 THEN 'creative' WHEN 6 THEN 'business' WHEN 7 THEN 'spiritual' WHEN 8 THEN 'reminder' ELSE 'misc' END AS domain,
        CASE WHEN d.doc_id % 6 = 0 THEN 0 ELSE d.doc_id % 4 END AS n_sources, date '2024-12-31' - cast(d.doc_id % 200 AS int) AS updated,
        d.doc_id % 23 = 0 AS archived,
-       concat('# Topic ', cast(d.doc_id AS string), chr(10), chr(10), substr(d.text, 1, CASE WHEN d.doc_id % 11 = 0 THEN 40 ELSE 4000 END), chr(10), chr(10),
+       concat('# Topic ', cast(d.doc_id AS string), chr(10), chr(10), d.text, chr(10), chr(10),
               CASE WHEN d.doc_id % 3 = 0 THEN concat('## Notes', chr(10), chr(10)) ELSE '' END,
               CASE WHEN d.doc_id % 5 = 4 THEN '' ELSE concat('See [[Topic ', cast((d.doc_id * 7 + 3) % m.k AS string), ']] and [[topic ',
                 cast((d.doc_id * 13 + 5) % m.k AS string), ']] and [[Topic ', cast(d.doc_id % 40 + m.n AS string), ']].') END) AS body
@@ -25,9 +25,10 @@ FROM documents d CROSS JOIN (SELECT count(*) AS n, cast(floor(count(*) * 1.25) A
     "fx_entity": """
 SELECT p_partkey AS entity_id, p_name AS canonical,
        CASE p_size % 5 WHEN 0 THEN 'person' WHEN 1 THEN 'project' WHEN 2 THEN 'system' WHEN 3 THEN 'organization' ELSE 'concept' END AS type,
-       CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE p_partkey END AS page_id FROM part""",
-    "fx_alias": "SELECT p_partkey AS entity_id, concat(p_brand, ' ', p_type) AS alias FROM part WHERE p_partkey % 3 = 0",
-    "fx_mention": "SELECT l_partkey AS entity_id, l_orderkey AS page_id, l_returnflag AS source_id FROM lineitem WHERE l_partkey % 7 <> 3",
+       CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE p_partkey END AS page_id FROM part
+UNION ALL SELECT s_suppkey + 1000000000000, s_name, 'organization', CAST(NULL AS BIGINT) FROM supplier""",
+    "fx_alias": "SELECT p_partkey AS entity_id, concat(p_brand, ' ', p_type) AS alias FROM part",
+    "fx_mention": "SELECT l_partkey AS entity_id, l_orderkey AS page_id, l_returnflag AS source_id FROM lineitem",
     "fx_shared": "SELECT l_orderkey AS entity_id, l_suppkey AS page_id FROM lineitem",
     "fx_claim": """
 SELECT l_orderkey * 10 + l_linenumber AS claim_id, l_partkey AS page_id, l_suppkey AS source_id, cast(1.0 - l_discount AS double) AS confidence,
@@ -40,7 +41,7 @@ SELECT vec_id AS chunk_id, vec_id % 40 AS source_no, vec_id % 7 AS section_no, l
 SELECT event_id AS id, user_id AS run_id, event_type AS task, concat('model-', cast(user_id % 4 AS string)) AS model, ts AS started_at,
        value AS latency_ms, value * 0.000001 AS cost_usd, CASE WHEN event_type = 'error' THEN 'failed' END AS error FROM events""",
     "fx_curiosity": "SELECT event_id, ts, event_type AS domain, concat('tag', cast(user_id % 20 AS string)) AS tag FROM events",
-    "fx_index": "SELECT doc_id AS pos, concat('Topic ', cast(doc_id AS string)) AS title, substr(text, 1, 120) AS summary FROM documents",
+    "fx_index": "SELECT doc_id AS pos, concat('Topic ', cast(doc_id AS string)) AS title, text AS summary FROM documents",
     "fx_run": """
 SELECT event_id AS id, ts AS run_at, event_type AS eval_type, user_id % 10 / 10.0D AS score, CASE user_id % 3 WHEN 0 THEN 'PASS' WHEN 1 THEN 'WARN' ELSE 'FAIL' END AS grade,
        user_id % 2 = 0 AS enriched, cast(floor(value) AS bigint) % 5 + 1 AS chunk_count, value FROM events""",

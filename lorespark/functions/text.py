@@ -182,3 +182,14 @@ def parse_decision(raw: Column, candidates: Column) -> Column:
     kind = F.upper(F.trim(got.decision))
     sound = kind.isin("MERGE", "SUPERSEDE", "NOOP") & F.coalesce(F.array_contains(candidates, got.target), F.lit(False))
     return F.struct(F.when(sound, kind).otherwise("ADD").alias("decision"), F.when(sound, got.target).alias("target"))
+
+
+def one_digit(x: Column) -> Column:
+    """A number from 0 to 1 with one digit after the point, rounded by its exact binary value, ties to even, as C does it.
+
+    SQL's formats round the shortest decimal that stands for the number, which differs at ties.
+    """
+    ten = (x * F.lit(2.0**59)).cast("long") * 10
+    whole, rest = F.shiftright(ten, 59), ten.bitwiseAND((1 << 59) - 1)
+    tenths = whole + F.when((rest > 1 << 58) | ((rest == 1 << 58) & (whole % 2 == 1)), 1).otherwise(0)
+    return F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"))

@@ -165,6 +165,14 @@ def cohesion(df: DataFrame, key: list[str], chunk: str = "chunk") -> DataFrame:
     return count.select(*key, F.round(icc, 3).alias("icc"))
 
 
+def hope_means(scores: DataFrame) -> DataFrame:
+    """Means of rc, icc, dcc, bi and sc over all chunks, their mean and its grade."""
+    names = ("rc", "icc", "dcc", "bi", "sc")
+    out = scores.agg(F.count("*").alias("n"), *[F.round(F.avg(c), 3).alias(c) for c in names])
+    overall = F.round(sum((F.col(c) for c in names), F.lit(0.0)) / len(names), 3)
+    return out.withColumn("overall", overall).withColumn("grade", F.when(F.col("overall") >= 0.75, "PASS").when(F.col("overall") >= 0.55, "WARN").otherwise("FAIL"))
+
+
 def match_ideas(ours: DataFrame, reference: DataFrame, threshold: float = 0.2) -> DataFrame:
     """For each idea of ours the reference idea of its source with the best ROUGE-1, the first of equals."""
     pairs = ours.join(reference, "source_id").withColumn("score", rouge1(tokens(F.col("idea")), tokens(F.col("ref_idea"))))
@@ -172,14 +180,59 @@ def match_ideas(ours: DataFrame, reference: DataFrame, threshold: float = 0.2) -
     return best.select("source_id", "idea_no", F.round("b.score", 6).alias("score"), F.when(F.col("b.score") > 0, -F.col("b.r")).alias("ref_no"), (F.col("b.score") >= threshold).alias("matched"))
 
 
-def consensus(matches: DataFrame, reference: DataFrame) -> DataFrame:
-    """Per source: matched share, unmatched reference ideas, false positives, grade."""
-    hit = matches.where("matched").select("source_id", "ref_no").distinct()
-    gaps = reference.join(hit, ["source_id", "ref_no"], "left_anti").groupBy("source_id").agg(F.count("*").alias("n_gaps"))
-    out = matches.groupBy("source_id").agg(F.count("*").alias("n"), F.count_if("matched").alias("n_matched")).join(gaps, "source_id", "left")
-    score = F.round(F.col("n_matched") / F.col("n"), 6)
-    grade = F.when(score >= 0.67, "PASS").when(score >= 0.5, "WARN").otherwise("FAIL")
-    return out.select("source_id", "n", "n_matched", F.coalesce("n_gaps", F.lit(0)).alias("n_gaps"), (F.col("n") - F.col("n_matched")).alias("n_false"), score.alias("score"), grade.alias("grade"))
+def consensus(ours: DataFrame, reference: DataFrame, threshold: float = 0.2) -> DataFrame:
+    """Per source: share matched of the longer side, gaps, false positives, thesis, evidence, duplicates and the grade.
+
+    ours: source_id, idea_no, idea, n_evidence; reference: source_id, ref_no, ref_idea, main_thesis. The thesis is captured
+    if an idea matches a reference idea marked as one; where none is marked, if the score is at least a half.
+    """
+    matches = match_ideas(ours, reference, threshold)
+    hit = matches.where("matched").select("source_id", "ref_no").distinct().withColumn("hit", F.lit(1))
+    refs = reference.join(hit, ["source_id", "ref_no"], "left").groupBy("source_id").agg(F.count("*").alias("n_ref"), (F.count("*") - F.count("hit")).alias("n_gaps"))
+    words = ours.select("source_id", "idea_no", F.array_distinct(tokens(F.col("idea"))).alias("w"))
+    marked = reference.where("main_thesis").select("source_id", tokens(F.col("ref_idea")).alias("v"))
+    thesis = words.join(marked, "source_id").groupBy("source_id").agg((F.max(rouge1(F.col("w"), F.col("v"))) >= threshold).alias("thesis"))
+    again = words.alias("a").join(words.alias("b"), (F.col("a.source_id") == F.col("b.source_id")) & (F.col("a.idea_no") < F.col("b.idea_no")))
+    twice = again.groupBy(F.col("a.source_id").alias("source_id")).agg(F.round(F.avg((rouge1(F.col("a.w"), F.col("b.w")) >= 0.6).cast("double")), 3).alias("duplicate_rate"))
+    evidence = ours.groupBy("source_id").agg(F.round(F.avg((F.col("n_evidence") >= 1).cast("double")), 3).alias("evidence_rate"))
+    out = matches.groupBy("source_id").agg(F.count("*").alias("n"), F.count_if("matched").alias("n_matched"))
+    for part in (refs, thesis, twice, evidence):
+        out = out.join(part, "source_id", "left")
+    out = out.withColumn("score", F.round(F.col("n_matched") / F.greatest("n", "n_ref"), 3))
+    out = out.withColumn("thesis_captured", F.coalesce("thesis", F.col("score") >= 0.5))
+    grade = F.when((F.col("score") >= 0.67) & F.col("thesis_captured") & (F.col("evidence_rate") >= 0.8), "PASS").when((F.col("score") >= 0.5) | F.col("thesis_captured"), "WARN").otherwise("FAIL")
+    return out.select("source_id", "n", "n_ref", "n_matched", "n_gaps", (F.col("n") - F.col("n_matched")).alias("n_false"), "score", "thesis_captured", "evidence_rate", F.coalesce("duplicate_rate", F.lit(0.0)).alias("duplicate_rate"), grade.alias("grade"))
+
+
+def idea_scores(ideas: DataFrame, by: list[str], threshold: float = 0.4) -> DataFrame:
+    """ideas (by, chunk, title, importance, n_evidence) with recurrence (chunks with a like title) and score, recurrence x importance x evidence."""
+    a = ideas.withColumns({"_w": F.array_distinct(tokens(F.col("title"))), "_k": F.monotonically_increasing_id()})
+    b = ideas.select(*by, F.col("chunk").alias("_chunk"), F.array_distinct(tokens(F.col("title"))).alias("_v"))
+    met = a.select(*by, "_k", "_w").join(b, by).where(rouge1(F.col("_w"), F.col("_v")) >= threshold).groupBy("_k").agg(F.count_distinct("_chunk").alias("recurrence"))
+    out = a.join(met, "_k", "left").withColumn("recurrence", F.coalesce("recurrence", F.lit(0)))
+    evidence = F.greatest(F.least("n_evidence", F.lit(3)) / 3.0, F.lit(0.1))
+    return out.withColumn("score", F.col("recurrence") * F.col("importance") * evidence).drop("_w", "_k")
+
+
+def decision_agreement(cases: DataFrame) -> DataFrame:
+    """Over (pipeline_decision, judge_decision, pipeline_target, judge_target): n, both rates and the grade; WARN if there is none."""
+    agree = F.col("pipeline_decision") == F.col("judge_decision")
+    target = F.when(agree & (F.col("pipeline_decision") != "ADD"), F.col("pipeline_target").eqNullSafe(F.col("judge_target")).cast("double"))
+    out = cases.agg(F.count("*").alias("n"), F.coalesce(F.round(F.avg(agree.cast("double")), 3), F.lit(0.0)).alias("agreement_rate"), F.coalesce(F.round(F.avg(target), 3), F.lit(0.0)).alias("target_agreement_rate"))
+    rate = F.col("agreement_rate")
+    return out.withColumn("grade", F.when(F.col("n") == 0, "WARN").when(rate >= 0.8, "PASS").when(rate >= 0.6, "WARN").otherwise("FAIL"))
+
+
+def answer_quality(verdicts: DataFrame, relevancy: DataFrame, key: str) -> DataFrame:
+    """Per answer: faithfulness and hallucination rate of its claims' verdicts, relevancy if judged, the mean of what there is, grades."""
+    good = (F.col("verdict") == "supported").cast("double")
+    out = verdicts.groupBy(key).agg(F.count("*").alias("n"), F.round(F.avg(good), 3).alias("faithfulness"), F.round(F.avg(1 - good), 3).alias("hallucination_rate")).join(relevancy, key, "left")
+    f, r = F.col("faithfulness"), F.col("relevancy")
+    return out.withColumns({
+        "overall": F.when(r.isNull(), f).otherwise(F.round((f + r) / 2, 3)),
+        "grade": F.when(f >= 0.75, "PASS").when(f >= 0.6, "WARN").otherwise("FAIL"),
+        "relevancy_grade": F.when(r >= 0.7, "PASS").when(r >= 0.5, "WARN").when(r.isNotNull(), "FAIL"),
+    })
 
 
 def tfidf_keywords(df: DataFrame, key: str, text: str, n: int = 10, first: int = 5) -> DataFrame:
@@ -194,9 +247,9 @@ def tfidf_keywords(df: DataFrame, key: str, text: str, n: int = 10, first: int =
 
 
 def token_set_accept(a: Column, b: Column) -> Column:
-    """One side's tokens are all in the other's."""
+    """Whether a name a of two words or more covers b, or b covers it; a single word is part of too many names."""
     x, y = F.array_distinct(tokens(a)), F.array_distinct(tokens(b))
-    return (F.size(F.array_intersect(x, y)) > 0) & ((F.size(F.array_except(x, y)) == 0) | (F.size(F.array_except(y, x)) == 0))
+    return (F.size(x) >= 2) & (F.size(F.array_intersect(x, y)) > 0) & ((F.size(F.array_except(x, y)) == 0) | (F.size(F.array_except(y, x)) == 0))
 
 
 def common_length(a: str, b: str) -> int:

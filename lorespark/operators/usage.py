@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def trace_report(traces: DataFrame, by: str) -> DataFrame:
-    return traces.groupBy(by).agg(
-        F.count("*").alias("calls"), F.round(F.avg("latency_ms"), 1).alias("avg_latency"), F.round(F.sum("cost_usd"), 8).alias("cost"),
+def trace_report(traces: DataFrame, *by: str) -> DataFrame:
+    """Calls, latency, cost and error rate by the columns given, or over all."""
+    return traces.groupBy(*by).agg(
+        F.count("*").alias("calls"), F.round(F.avg("latency_ms"), 1).alias("avg_latency"), F.round(F.sum("cost_usd"), 6).alias("cost"),
         F.round(F.avg(F.col("error").isNotNull().cast("double")), 3).alias("error_rate"),
     )
 

@@ -61,13 +61,13 @@ nm AS (SELECT grp, id, sqrt(sum(tf * tf)::double) AS norm FROM tf GROUP BY ALL)"
 
 
 @query("documents", sql=f"""
-WITH src AS (SELECT source AS grp, doc_id AS id, left(text, 300) AS t FROM documents), {_TF}
+WITH src AS (SELECT source AS grp, doc_id AS id, text AS t FROM documents), {_TF}
 SELECT a.grp AS source, a.id AS a, b.id AS b, round(sum(a.tf * b.tf) / (any_value(na.norm) * any_value(nb.norm)), 6) AS cosine
 FROM tf a JOIN tf b ON a.grp = b.grp AND a.term = b.term AND a.id < b.id JOIN nm na ON na.grp = a.grp AND na.id = a.id JOIN nm nb ON nb.grp = b.grp AND nb.id = b.id
-JOIN (SELECT source, left(text, 300) AS t, min(doc_id) AS id FROM documents GROUP BY ALL) ka ON ka.id = a.id JOIN (SELECT source, left(text, 300) AS t, min(doc_id) AS id FROM documents GROUP BY ALL) kb ON kb.id = b.id
+JOIN (SELECT source, text AS t, min(doc_id) AS id FROM documents GROUP BY ALL) ka ON ka.id = a.id JOIN (SELECT source, text AS t, min(doc_id) AS id FROM documents GROUP BY ALL) kb ON kb.id = b.id
 GROUP BY a.grp, a.id, b.id HAVING sum(a.tf * b.tf) / (any_value(na.norm) * any_value(nb.norm)) >= 0.7 - 1e-12""")
 def rk6_tf_cosine(documents: DataFrame) -> DataFrame:
-    short = documents.select("source", "doc_id", F.left("text", F.lit(300)).alias("t"))
+    short = documents.select("source", "doc_id", F.col("text").alias("t"))
     return ranking.tf_cosine_pairs(short, "source", "doc_id", "t", 0.7).select("source", "a", "b", F.round("cosine", 6).alias("cosine"))
 
 
@@ -81,13 +81,13 @@ def rk7_rouge1(conversations: DataFrame) -> DataFrame:
 
 
 @query("documents", sql=f"""
-WITH src AS (SELECT source AS grp, doc_id AS id, left(text, 300) AS t FROM documents), {_TF},
+WITH src AS (SELECT source AS grp, doc_id AS id, text AS t FROM documents), {_TF},
 p AS (SELECT a.grp, a.id AS a, b.id AS b FROM tf a JOIN tf b ON a.grp = b.grp AND a.term = b.term AND a.id < b.id JOIN nm na ON na.grp = a.grp AND na.id = a.id JOIN nm nb ON nb.grp = b.grp AND nb.id = b.id
   GROUP BY a.grp, a.id, b.id HAVING sum(a.tf * b.tf) / (any_value(na.norm) * any_value(nb.norm)) >= 0.7 - 1e-12),
 d AS (SELECT DISTINCT grp, id FROM (SELECT grp, a AS id FROM p UNION ALL SELECT grp, b FROM p))
 SELECT s.grp AS source, count(*) AS n, count(d.id) AS n_dup, round(count(d.id) / count(*)::double, 6) AS duplicate_rate FROM src s LEFT JOIN d ON d.grp = s.grp AND d.id = s.id GROUP BY s.grp""")
 def rk8_duplicate_rate(documents: DataFrame) -> DataFrame:
-    return ranking.duplicate_rate(documents.select("source", "doc_id", F.left("text", F.lit(300)).alias("t")), "source", "doc_id", "t")
+    return ranking.duplicate_rate(documents.select("source", "doc_id", F.col("text").alias("t")), "source", "doc_id", "t")
 
 
 @query("fx_chunk", sql=f"SELECT chunk_id, round(array_distance({_V}, {_P}), 6) AS distance FROM fx_chunk ORDER BY array_distance({_V}, {_P}), chunk_id LIMIT 10")
@@ -166,13 +166,13 @@ def rk15_hope(documents: DataFrame) -> DataFrame:
 
 
 @query("documents", sql=f"""
-WITH s AS (SELECT doc_id, unnest(s) AS t, generate_subscripts(s, 1) AS pos, len(s) AS n FROM (SELECT doc_id, {_SENT} AS s FROM (SELECT doc_id, left(text, 1500) AS c FROM documents))),
+WITH s AS (SELECT doc_id, unnest(s) AS t, generate_subscripts(s, 1) AS pos, len(s) AS n FROM (SELECT doc_id, {_SENT} AS s FROM (SELECT doc_id, text AS c FROM documents))),
 tf AS (SELECT doc_id, pos, term, count(*) AS tf FROM (SELECT doc_id, pos, unnest(regexp_extract_all(lower(t), '[\\p{{L}}\\p{{N}}_]+')) AS term FROM s) GROUP BY ALL), nm AS (SELECT doc_id, pos, sqrt(sum(tf * tf)::double) AS norm FROM tf GROUP BY ALL),
 pr AS (SELECT a.doc_id, sum(a.tf * b.tf / (na.norm * nb.norm)) AS t FROM tf a JOIN tf b ON a.doc_id = b.doc_id AND a.term = b.term AND a.pos < b.pos JOIN nm na ON na.doc_id = a.doc_id AND na.pos = a.pos JOIN nm nb ON nb.doc_id = b.doc_id AND nb.pos = b.pos GROUP BY a.doc_id),
 c AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id)
 SELECT d.doc_id, round(CASE WHEN coalesce(c.n, 0) < 2 THEN 1 ELSE coalesce(pr.t, 0) / (c.n * (c.n - 1) / 2) END, 3) AS icc FROM documents d LEFT JOIN c USING (doc_id) LEFT JOIN pr USING (doc_id)""")
 def rk15_cohesion(documents: DataFrame) -> DataFrame:
-    return ranking.cohesion(documents.select("doc_id", F.left("text", F.lit(1500)).alias("chunk")), ["doc_id"])
+    return ranking.cohesion(documents.select("doc_id", F.col("text").alias("chunk")), ["doc_id"])
 
 
 @query("documents")
@@ -209,29 +209,45 @@ def rk20_match_ideas(conversations: DataFrame) -> DataFrame:
 
 
 @query("conversations", sql=f"""
-WITH {_MATCH.strip()}, h AS (SELECT DISTINCT source_id, ref_no FROM mt WHERE matched), g AS (SELECT i.source_id, count(*) AS n FROM ids i WHERE role = 'assistant' AND NOT EXISTS (SELECT 1 FROM h WHERE h.source_id = i.source_id AND h.ref_no = i.turn) GROUP BY ALL)
-SELECT m.source_id, count(*) AS n, count(*) FILTER (WHERE matched) AS n_matched, coalesce(any_value(g.n), 0) AS n_gaps, count(*) FILTER (WHERE NOT matched) AS n_false,
- round(count(*) FILTER (WHERE matched) / count(*)::double, 6) AS score, CASE WHEN round(count(*) FILTER (WHERE matched) / count(*)::double, 6) >= 0.67 THEN 'PASS' WHEN round(count(*) FILTER (WHERE matched) / count(*)::double, 6) >= 0.5 THEN 'WARN' ELSE 'FAIL' END AS grade
-FROM mt m LEFT JOIN g ON g.source_id = m.source_id GROUP BY m.source_id""")
+WITH {_MATCH.strip()}, h AS (SELECT DISTINCT source_id, ref_no FROM mt WHERE matched),
+g AS (SELECT i.source_id, count(*) AS n_ref, count(h.ref_no) AS n_hit FROM ids i LEFT JOIN h ON h.source_id = i.source_id AND h.ref_no = i.turn WHERE role = 'assistant' GROUP BY ALL),
+th AS (SELECT p.source_id, count(*) AS n_thesis, max(p.s) AS best FROM pr p WHERE p.source_id % 2 = 0 AND p.ref % 3 = 1 GROUP BY ALL),
+ev AS (SELECT conv_id AS source_id, avg((len(regexp_extract_all(text, '[.!?]')) >= 1)::int) AS rate FROM conversations WHERE role = 'user' GROUP BY ALL),
+du AS (SELECT a.source_id, avg((CASE WHEN len(list_intersect(a.w, b.w)) = 0 THEN 0 ELSE 2.0 * len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w)) END >= 0.6)::int) AS rate FROM ids a JOIN ids b ON a.source_id = b.source_id AND a.turn < b.turn AND a.role = 'user' AND b.role = 'user' GROUP BY ALL),
+sc AS (SELECT m.source_id, count(*) AS n, count(*) FILTER (WHERE matched) AS n_matched, any_value(g.n_ref) AS n_ref, any_value(g.n_ref - g.n_hit) AS n_gaps, round(count(*) FILTER (WHERE matched) / greatest(count(*), any_value(g.n_ref))::double, 3) AS score,
+  any_value(th.n_thesis) AS n_thesis, any_value(th.best) AS best, round(any_value(ev.rate), 3) AS evidence_rate, round(coalesce(any_value(du.rate), 0), 3) AS duplicate_rate
+  FROM mt m JOIN g USING (source_id) LEFT JOIN th USING (source_id) LEFT JOIN ev USING (source_id) LEFT JOIN du USING (source_id) GROUP BY m.source_id),
+r AS (SELECT *, CASE WHEN n_thesis > 0 THEN best >= 0.2 ELSE score >= 0.5 END AS thesis_captured FROM sc)
+SELECT source_id, n, n_ref, n_matched, n_gaps, n - n_matched AS n_false, score, thesis_captured, evidence_rate::double AS evidence_rate, duplicate_rate::double AS duplicate_rate,
+ CASE WHEN score >= 0.67 AND thesis_captured AND evidence_rate >= 0.8 THEN 'PASS' WHEN score >= 0.5 OR thesis_captured THEN 'WARN' ELSE 'FAIL' END AS grade FROM r""")
 def rk21_consensus(conversations: DataFrame) -> DataFrame:
+    """Users' turns against assistants': every third of an even conversation's is its main thesis, sentence ends stand for evidence."""
     ours, reference = _ideas(conversations)
-    return ranking.consensus(ranking.match_ideas(ours, reference), reference)
+    ours = ours.withColumn("n_evidence", F.regexp_count("idea", F.lit("[.!?]")))
+    reference = reference.withColumn("main_thesis", (F.col("source_id") % 2 == 0) & (F.col("ref_no") % 3 == 1))
+    return ranking.consensus(ours, reference)
 
 
-@query("labels", sql="SELECT count(*) AS n, round(avg((quality = toxic)::int), 6) AS agreement, CASE WHEN avg((quality = toxic)::int) >= 0.8 THEN 'PASS' WHEN avg((quality = toxic)::int) >= 0.6 THEN 'WARN' ELSE 'FAIL' END AS grade FROM labels")
+@query("labels", sql="""
+WITH c AS (SELECT doc_id, ['ADD', 'MERGE', 'SUPERSEDE', 'NOOP'][doc_id % 4 + 1] AS p, CASE WHEN toxic = 1 THEN 'NOOP' ELSE ['ADD', 'MERGE', 'SUPERSEDE', 'NOOP'][doc_id % 4 + 1] END AS j, CASE WHEN quality = 1 THEN doc_id ELSE doc_id + 1 END AS t FROM labels)
+SELECT count(*) AS n, round(avg((p = j)::int), 3) AS agreement_rate, coalesce(round(avg((doc_id = t)::int) FILTER (WHERE p = j AND p <> 'ADD'), 3), 0) AS target_agreement_rate,
+ CASE WHEN round(avg((p = j)::int), 3) >= 0.8 THEN 'PASS' WHEN round(avg((p = j)::int), 3) >= 0.6 THEN 'WARN' ELSE 'FAIL' END AS grade FROM c""")
 def rk22_agreement(labels: DataFrame) -> DataFrame:
-    rate = F.avg((F.col("quality") == F.col("toxic")).cast("double"))
-    return labels.agg(F.count("*").alias("n"), F.round(rate, 6).alias("agreement"), F.when(rate >= 0.8, "PASS").when(rate >= 0.6, "WARN").otherwise("FAIL").alias("grade"))
+    """A judge that answers NOOP where the label says toxic, and another target where the quality is bad."""
+    own = F.element_at(F.array(*map(F.lit, ("ADD", "MERGE", "SUPERSEDE", "NOOP"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    cases = labels.select(own.alias("pipeline_decision"), F.when(F.col("toxic") == 1, "NOOP").otherwise(own).alias("judge_decision"), F.col("doc_id").alias("pipeline_target"), F.when(F.col("quality") == 1, F.col("doc_id")).otherwise(F.col("doc_id") + 1).alias("judge_target"))
+    return ranking.decision_agreement(cases)
 
 
 @query("conversations", sql="""
-WITH t AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(left(text, 60)), '[\\p{L}\\p{N}_]+')) AS w FROM conversations)
-SELECT a.conv_id, a.turn, count(DISTINCT b.turn) AS recurrence FROM t a JOIN t b ON a.conv_id = b.conv_id AND CASE WHEN len(list_intersect(a.w, b.w)) = 0 THEN 0 ELSE 2.0 * len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w)) END >= 0.4 GROUP BY ALL""")
+WITH t AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS w, len(regexp_extract_all(text, '[.!?]')) AS n_evidence, turn % 5 + 1 AS importance FROM conversations),
+r AS (SELECT a.conv_id, a.turn, any_value(a.importance) AS importance, any_value(a.n_evidence) AS n_evidence, count(DISTINCT b.turn) FILTER (WHERE CASE WHEN len(list_intersect(a.w, b.w)) = 0 THEN 0 ELSE 2.0 * len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w)) END >= 0.4) AS recurrence
+  FROM t a JOIN t b ON a.conv_id = b.conv_id GROUP BY a.conv_id, a.turn)
+SELECT conv_id, turn, recurrence, round(recurrence * importance * greatest(least(n_evidence, 3) / 3.0, 0.1), 6) AS score FROM r""")
 def rk23_recurrence(conversations: DataFrame) -> DataFrame:
-    """In how many chunks of its source an idea's title comes again."""
-    a = conversations.select("conv_id", "turn", tokens(F.left("text", F.lit(60))).alias("w"))
-    b = a.select("conv_id", F.col("turn").alias("other"), F.col("w").alias("v"))
-    return a.join(b, "conv_id").where(ranking.rouge1(F.col("w"), F.col("v")) >= 0.4).groupBy("conv_id", "turn").agg(F.count_distinct("other").alias("recurrence"))
+    """Ideas of a source by recurrence x importance x evidence: turns are chunks, sentence ends stand for items of evidence."""
+    ideas = conversations.select("conv_id", F.col("turn").alias("chunk"), "turn", F.col("text").alias("title"), (F.col("turn") % 5 + 1).alias("importance"), F.regexp_count("text", F.lit("[.!?]")).alias("n_evidence"))
+    return ranking.idea_scores(ideas, ["conv_id"]).select("conv_id", "turn", "recurrence", F.round("score", 6).alias("score"))
 
 
 @query("conversations")
@@ -258,18 +274,23 @@ def rk24_grouping(conversations: DataFrame) -> DataFrame:
 
 
 @query("conversations", sql="""
-WITH a AS (SELECT conv_id, turn, lower(left(text, 20)) AS t, role FROM conversations)
+WITH a AS (SELECT conv_id, turn, lower(text) AS t, role FROM conversations)
 SELECT u.conv_id, u.turn, min(s.turn) AS span_turn FROM a u LEFT JOIN a s ON u.conv_id = s.conv_id AND u.t = s.t AND s.role <> 'system' WHERE u.role = 'user' GROUP BY ALL""")
 def rk25_preserve_spans(conversations: DataFrame) -> DataFrame:
-    a = conversations.select("conv_id", "turn", F.lower(F.left("text", F.lit(20))).alias("t"), "role")
+    a = conversations.select("conv_id", "turn", F.lower("text").alias("t"), "role")
     spans = a.where("role <> 'system'").groupBy("conv_id", "t").agg(F.min("turn").alias("span_turn"))
     return a.where("role = 'user'").join(spans, ["conv_id", "t"], "left").select("conv_id", "turn", "span_turn")
 
 
-@query("events", sql="SELECT user_id, count(*) AS n, round(avg((event_type = 'purchase')::int), 6) AS faithfulness, CASE WHEN avg((event_type = 'purchase')::int) >= 0.75 THEN 'PASS' WHEN avg((event_type = 'purchase')::int) >= 0.6 THEN 'WARN' ELSE 'FAIL' END AS grade FROM events GROUP BY user_id")
+@query("events", sql="""
+WITH v AS (SELECT user_id, count(*) AS n, round(avg((event_type IN ('purchase', 'signup', 'click'))::int), 3) AS faithfulness, round(avg((event_type NOT IN ('purchase', 'signup', 'click'))::int), 3) AS hallucination_rate, round(max(CASE WHEN event_type = 'signup' THEN value / 500 END), 3) AS relevancy FROM events GROUP BY user_id)
+SELECT user_id, n, faithfulness, hallucination_rate, relevancy, CASE WHEN relevancy IS NULL THEN faithfulness ELSE round((faithfulness + relevancy) / 2, 3) END AS overall,
+ CASE WHEN faithfulness >= 0.75 THEN 'PASS' WHEN faithfulness >= 0.6 THEN 'WARN' ELSE 'FAIL' END AS grade, CASE WHEN relevancy IS NULL THEN NULL WHEN relevancy >= 0.7 THEN 'PASS' WHEN relevancy >= 0.5 THEN 'WARN' ELSE 'FAIL' END AS relevancy_grade FROM v""")
 def rk26_verdict_ratio(events: DataFrame) -> DataFrame:
-    rate = F.avg((F.col("event_type") == "purchase").cast("double"))
-    return events.groupBy("user_id").agg(F.count("*").alias("n"), F.round(rate, 6).alias("faithfulness"), F.when(rate >= 0.75, "PASS").when(rate >= 0.6, "WARN").otherwise("FAIL").alias("grade"))
+    """A user's events as the verdicts on an answer's claims; a signup's value stands for the relevancy score."""
+    verdict = F.when(F.col("event_type").isin("purchase", "signup", "click"), "supported").when(F.col("event_type") == "error", "contradicted").otherwise("unsupported")
+    relevancy = events.where("event_type = 'signup'").groupBy("user_id").agg(F.round(F.max(F.col("value") / 500), 3).alias("relevancy"))
+    return ranking.answer_quality(events.select("user_id", verdict.alias("verdict")), relevancy, "user_id")
 
 
 @query("part")
@@ -278,11 +299,12 @@ def fz1_token_sort(part: DataFrame) -> DataFrame:
 
 
 @query("part", sql="""
-WITH t AS (SELECT p_partkey, list_distinct(regexp_extract_all(lower(p_name), '[\\p{L}\\p{N}_]+')) AS a, list_distinct(regexp_extract_all(lower(concat(p_name, CASE WHEN p_partkey % 2 = 0 THEN ' extra' ELSE '' END)), '[\\p{L}\\p{N}_]+')) AS b FROM part)
-SELECT p_partkey, len(list_intersect(a, b)) > 0 AND (len(list_filter(a, x -> NOT list_contains(b, x))) = 0 OR len(list_filter(b, x -> NOT list_contains(a, x))) = 0) AS accepted FROM t""")
+WITH t AS (SELECT p_partkey, list_distinct(regexp_extract_all(lower(CASE WHEN p_partkey % 3 = 0 THEN string_split(p_name, ' ')[1] ELSE p_name END), '[\\p{L}\\p{N}_]+')) AS a, list_distinct(regexp_extract_all(lower(concat(p_name, CASE WHEN p_partkey % 2 = 0 THEN ' extra' ELSE '' END)), '[\\p{L}\\p{N}_]+')) AS b FROM part)
+SELECT p_partkey, len(a) >= 2 AND len(list_intersect(a, b)) > 0 AND (len(list_filter(a, x -> NOT list_contains(b, x))) = 0 OR len(list_filter(b, x -> NOT list_contains(a, x))) = 0) AS accepted FROM t""")
 def fz2_subset_accept(part: DataFrame) -> DataFrame:
+    name = F.when(F.col("p_partkey") % 3 == 0, F.get(F.split("p_name", " "), 0)).otherwise(F.col("p_name"))  # one word of a name is not enough
     other = F.concat("p_name", F.when(F.col("p_partkey") % 2 == 0, F.lit(" extra")).otherwise(""))
-    return part.select("p_partkey", ranking.token_set_accept(F.col("p_name"), other).alias("accepted"))
+    return part.select("p_partkey", ranking.token_set_accept(name, other).alias("accepted"))
 
 
 @query("part")

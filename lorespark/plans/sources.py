@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..fixtures import AS_OF
-from ..functions.text import slugify
+from ..functions.text import one_digit, slugify
 from ..registry import query
 from ..sources import files
 
@@ -85,21 +85,21 @@ def sc21_daily_summaries(fx_page: DataFrame) -> DataFrame:
     return files.daily_summaries(made).select("day", "generated_at", F.size("suggestions").alias("n_suggestions"), F.regexp_extract(F.col("suggestions")[0]["title"], r"(\w+)", 1).alias("first_word"))
 
 
-@query("conversations", sql="SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'query' ELSE 'ingest' END AS operation, CASE WHEN turn % 2 = 0 THEN 0 ELSE 2 END AS n_pages FROM conversations WHERE turn < 1440")
+@query("conversations", sql="SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'query' ELSE 'ingest' END AS operation, CASE WHEN turn % 2 = 0 THEN 0 ELSE 2 END AS n_pages FROM conversations")
 def sk4_log_append(conversations: DataFrame) -> DataFrame:
     """Entries appended to a log for each conversation, and read again."""
     ts = F.to_timestamp(F.lit("2024-01-01 00:00")) + F.make_dt_interval(mins=F.col("turn").cast("int"))
     pages = F.when(F.col("turn") % 2 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("a"), F.lit("b c")))
-    entries = conversations.where("turn < 1440").select("conv_id", "turn", ts.alias("ts"), F.when(F.col("turn") % 2 == 0, "query").otherwise("ingest").alias("operation"), F.concat("conv_id", F.lit("/"), "turn").alias("description"), pages.alias("pages"))
+    entries = conversations.select("conv_id", "turn", ts.alias("ts"), F.when(F.col("turn") % 2 == 0, "query").otherwise("ingest").alias("operation"), F.concat("conv_id", F.lit("/"), "turn").alias("description"), pages.alias("pages"))
     logs = files.render_log(entries).groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "content"))), lambda x: x.content), "").alias("content"))
     at = F.split("description", "/")
     return files.parse_log(logs).select(F.get(at, 0).cast("long").alias("conv_id"), F.get(at, 1).cast("long").alias("turn"), "operation", F.size("pages").alias("n_pages"))
 
 
-@query("fx_index", sql="SELECT pos, title, summary_md5, n AS source_count, category FROM (SELECT pos::int AS pos, title, md5(trim(regexp_replace(left(summary, 60), '[\\n\\r—()\\[\\]]', ' ', 'g'), ' ')) AS summary_md5, (pos % 3)::int AS n, CASE WHEN pos % 2 = 0 THEN 'tech' ELSE 'misc' END AS category FROM fx_index)")
+@query("fx_index", sql="SELECT pos, title, summary_md5, n AS source_count, category FROM (SELECT pos::int AS pos, title, md5(trim(regexp_replace(summary, '[\\n\\r—()\\[\\]]', ' ', 'g'), ' ')) AS summary_md5, (pos % 3)::int AS n, CASE WHEN pos % 2 = 0 THEN 'tech' ELSE 'misc' END AS category FROM fx_index)")
 def sc5_index_scan(fx_index: DataFrame) -> DataFrame:
     """Entries rendered to two index pages and read again."""
-    clean = F.trim(F.regexp_replace(F.left("summary", F.lit(60)), r"[\n\r—()\[\]]", " "))
+    clean = F.trim(F.regexp_replace("summary", r"[\n\r—()\[\]]", " "))
     entries = fx_index.select("pos", "title", F.concat(F.lit("t/"), F.col("pos").cast("string")).alias("path"), clean.alias("summary"), (F.col("pos") % 3).alias("source_count"), F.when(F.col("pos") % 2 == 0, "tech").otherwise("misc").alias("category"))
     back = files.parse_index(files.render_index(entries), "block")
     return back.select(F.regexp_extract("path", r"t/(\d+)", 1).cast("int").alias("pos"), "title", F.md5(F.col("summary").cast("binary")).alias("summary_md5"), "source_count", "category")
@@ -189,12 +189,12 @@ def tx19_parse_ideas(documents: DataFrame) -> DataFrame:
 
 
 @query("fx_claim", sql="""
-SELECT page_id, '## Claims' || chr(10) || string_agg('- claim ' || claim_id::string || ' (' || printf('%.1f', confidence) || ')', chr(10) ORDER BY claim_id) AS section FROM (SELECT DISTINCT page_id, claim_id, confidence FROM fx_claim WHERE page_id < 50 AND valid_to IS NULL AND confidence * 100 % 10 <> 5) GROUP BY page_id""")
+SELECT page_id, '## Claims' || chr(10) || string_agg('- claim ' || claim_id::string || ' (conf ' || printf('%.1f', confidence) || ')', chr(10) ORDER BY claim_id, confidence) AS section FROM (SELECT DISTINCT page_id, claim_id, confidence FROM fx_claim WHERE valid_to IS NULL) GROUP BY page_id""")
 def tx18_render_claims(fx_claim: DataFrame) -> DataFrame:
-    """A page's claims; ties of the rounding are left to neither engine."""
-    some = fx_claim.where("page_id < 50 AND valid_to IS NULL AND confidence * 100 % 10 <> 5").select("page_id", "claim_id", "confidence").distinct()
-    line = F.concat(F.lit("- claim "), F.col("claim_id").cast("string"), F.lit(" ("), F.format_string("%.1f", "confidence"), F.lit(")"))
-    each = some.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("claim_id", line.alias("line")))).alias("l"))
+    """The active claims of every page."""
+    some = fx_claim.where("valid_to IS NULL").select("page_id", "claim_id", "confidence").distinct()
+    line = F.concat(F.lit("- claim "), F.col("claim_id").cast("string"), F.lit(" (conf "), one_digit(F.col("confidence")), F.lit(")"))
+    each = some.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("claim_id", "confidence", line.alias("line")))).alias("l"))
     return each.select("page_id", F.concat(F.lit("## Claims\n"), F.array_join(F.transform("l", lambda x: x.line), "\n")).alias("section"))
 
 

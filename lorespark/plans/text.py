@@ -15,9 +15,9 @@ _HITS = {d: " + ".join(f"contains(t, '{k}')::int" for k in w) for d, w in text.D
 
 @query("documents", sql="""
 SELECT doc_id, CASE WHEN s = '' THEN 'untitled' ELSE s END AS slug FROM (
-  SELECT doc_id, left(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(strip_accents(left(text, 80))), '[\\s –—_/\\\\-]+', '-', 'g'), '[^a-z0-9-]', '', 'g'), '-+', '-', 'g'), '^-+|-+$', '', 'g'), 120) AS s FROM documents)""")
+  SELECT doc_id, left(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(strip_accents(text)), '[\\s –—_/\\\\-]+', '-', 'g'), '[^a-z0-9-]', '', 'g'), '-+', '-', 'g'), '^-+|-+$', '', 'g'), 120) AS s FROM documents)""")
 def tx1_slugify(documents: DataFrame) -> DataFrame:
-    return documents.select("doc_id", text.slugify(F.left("text", F.lit(80))).alias("slug"))
+    return documents.select("doc_id", text.slugify(F.col("text")).alias("slug"))
 
 
 @query("fx_page", sql="SELECT page_no, replace(lower(title), ' ', '-') AS slug FROM fx_page")
@@ -28,9 +28,9 @@ def tx2_title_slug(fx_page: DataFrame) -> DataFrame:
 @query("documents", sql="""
 SELECT doc_id, array_to_string(list_transform(list_filter(list_transform(list_distinct_ordered, x -> x.t), x -> x <> ''), x -> x), '|') AS tags FROM (
   SELECT doc_id, list(struct_pack(t := t, i := i) ORDER BY i) AS list_distinct_ordered FROM (
-    SELECT doc_id, t, min(i) AS i FROM (SELECT doc_id, replace(lower(trim(unnest(string_split(left(text, 60), ',')))), ' ', '-') AS t, generate_subscripts(string_split(left(text, 60), ','), 1) AS i FROM documents) GROUP BY doc_id, t) GROUP BY doc_id)""")
+    SELECT doc_id, t, min(i) AS i FROM (SELECT doc_id, replace(lower(trim(unnest(string_split(text, ',')))), ' ', '-') AS t, generate_subscripts(string_split(text, ','), 1) AS i FROM documents) GROUP BY doc_id, t) GROUP BY doc_id)""")
 def tx3_normalize_tags(documents: DataFrame) -> DataFrame:
-    return documents.select("doc_id", F.array_join(text.normalize_tags(F.split(F.left("text", F.lit(60)), ",")), "|").alias("tags"))
+    return documents.select("doc_id", F.array_join(text.normalize_tags(F.split("text", ",")), "|").alias("tags"))
 
 
 @query("fx_page", sql="SELECT page_no, CASE WHEN page_no % 3 = 0 THEN 'misc' ELSE domain END AS domain FROM fx_page")
@@ -78,9 +78,9 @@ def tx11_flatten_links(fx_page: DataFrame) -> DataFrame:
     return fx_page.select("page_no", F.md5(text.flatten_links(F.col("body")).cast("binary")).alias("flat"))
 
 
-@query("documents", sql="SELECT doc_id, md5(left(text, 200)) AS body FROM documents")
+@query("documents", sql="SELECT doc_id, md5(text) AS body FROM documents")
 def tx13_strip_frontmatter(documents: DataFrame) -> DataFrame:
-    page = F.concat(F.lit("---\ntitle: x\ntags: [a, b]\n---\n"), F.left("text", F.lit(200)))
+    page = F.concat(F.lit("---\ntitle: x\ntags: [a, b]\n---\n"), F.col("text"))
     return documents.select("doc_id", F.md5(text.strip_frontmatter(page).cast("binary")).alias("body"))
 
 

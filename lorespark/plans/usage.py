@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..fixtures import AS_OF
-from ..operators import usage
-from ..registry import query
+from ..operators import ranking, usage
+from ..registry import ORACLE, query
+from . import retrieval as retrieval  # its SQL is part of A15's
 
-_TRACE = "count(*) AS calls, round(avg(latency_ms), 1) AS avg_latency, round(sum(cost_usd), 8) AS cost, round(avg((error IS NOT NULL)::int), 3) AS error_rate"
+_TRACE = "count(*) AS calls, round(avg(latency_ms), 1) AS avg_latency, round(sum(cost_usd), 6) AS cost, round(avg((error IS NOT NULL)::int), 3) AS error_rate"
 
 
 @query("fx_trace", sql=f"SELECT model, {_TRACE} FROM fx_trace GROUP BY model")
@@ -17,6 +18,11 @@ def a7_traces_by_model(fx_trace: DataFrame) -> DataFrame:
     return usage.trace_report(fx_trace, "model")
 
 
+@query("fx_trace", sql=f"SELECT {_TRACE} FROM fx_trace")
+def a7_trace_totals(fx_trace: DataFrame) -> DataFrame:
+    return usage.trace_report(fx_trace)
+
+
 @query("fx_trace", sql=f"SELECT task, {_TRACE} FROM fx_trace GROUP BY task")
 def a7_traces_by_task(fx_trace: DataFrame) -> DataFrame:
     return usage.trace_report(fx_trace, "task")
@@ -45,9 +51,13 @@ def a14_consensus_summary(fx_run: DataFrame) -> DataFrame:
     return usage.grade_rates(fx_run)
 
 
-@query("documents", sql="SELECT round(avg(least(1.0, n_chars / 1000.0)), 6) AS mean_sc, count(*) AS n FROM documents")
+@query("documents", sql=f"""
+WITH h AS ({ORACLE['rk15_hope']}), c AS ({ORACLE['rk15_cohesion']}), m AS (SELECT count(*) AS n, round(avg(rc), 3) AS rc, round(avg(icc), 3) AS icc, round(avg(dcc), 3) AS dcc, round(avg(bi), 3) AS bi, round(avg(sc), 3) AS sc FROM h JOIN c USING (doc_id))
+SELECT *, round((rc + icc + dcc + bi + sc) / 5, 3) AS overall, CASE WHEN round((rc + icc + dcc + bi + sc) / 5, 3) >= 0.75 THEN 'PASS' WHEN round((rc + icc + dcc + bi + sc) / 5, 3) >= 0.55 THEN 'WARN' ELSE 'FAIL' END AS grade FROM m""")
 def a15_mean_score(documents: DataFrame) -> DataFrame:
-    return documents.agg(F.round(F.avg(F.least(F.lit(1.0), F.col("n_chars") / 1000.0)), 6).alias("mean_sc"), F.count("*").alias("n"))
+    """The chunk metrics' means over all chunks, here whole documents, their mean and its grade."""
+    chunks = documents.select("doc_id", F.col("text").alias("chunk"))
+    return ranking.hope_means(ranking.hope(chunks, ["doc_id"]).join(ranking.cohesion(chunks, ["doc_id"]), "doc_id"))
 
 
 @query("fx_page", sql="SELECT domain, round(avg(length(body)), 4) AS avg_chars, round(avg(len(regexp_extract_all(body, '\\[\\[([^\\[\\]]+)\\]\\]', 1))), 4) AS avg_links FROM fx_page GROUP BY domain")
