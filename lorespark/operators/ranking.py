@@ -229,7 +229,8 @@ def answer_quality(verdicts: DataFrame, relevancy: DataFrame, key: str) -> DataF
     out = verdicts.groupBy(key).agg(F.count("*").alias("n"), F.round(F.avg(good), 3).alias("faithfulness"), F.round(F.avg(1 - good), 3).alias("hallucination_rate")).join(relevancy, key, "left")
     f, r = F.col("faithfulness"), F.col("relevancy")
     return out.withColumns({
-        "overall": F.when(r.isNull(), f).otherwise(F.round((f + r) / 2, 3)),
+        # rounded as doubles are: the decimal rounding of F.round would lift a mean that lies just below a tie
+        "overall": F.when(r.isNull(), f).otherwise(F.floor((f + r) / 2 * 1000 + 0.5) / 1000),
         "grade": F.when(f >= 0.75, "PASS").when(f >= 0.6, "WARN").otherwise("FAIL"),
         "relevancy_grade": F.when(r >= 0.7, "PASS").when(r >= 0.5, "WARN").when(r.isNotNull(), "FAIL"),
     })
