@@ -163,6 +163,30 @@ def test_embeddings_large_group_in_blocks(spark, monkeypatch):
     assert sum(r["n_links"] for r in out.values()) >= 0.97 * sum(links.values()) and {out[k]["component_id"] for k in range(120)} == {0}
 
 
+@pytest.mark.parametrize("most", [4096, 16])
+def test_embeddings_windows_decide(spark, monkeypatch, most):
+    """Windows, not lists, leave most pairs out, with one set of directions or several; copies beyond HOT meet salted."""
+    monkeypatch.setattr(embedding_dedup, "MOST", most)
+    monkeypatch.setattr(embedding_dedup, "HOT", 5)
+    rng = np.random.default_rng(6)
+    made = [v.astype(np.float32).tolist() for v in rng.standard_normal((400, 32))]
+    for k in range(120):
+        made.append((np.array(made[k]) + 0.25 * rng.standard_normal(32)).astype(np.float32).tolist())
+    made += [made[0]] * 20
+    n_dir, sets = embedding_dedup.shape(len(made), 64)
+    assert (sets == 1) == (most == 4096)
+    window = embedding_dedup.WIDE * np.sqrt(0.2)
+    _, count = embedding_dedup.calibrate(32, n_dir, sets, 0.9, 0.975, window)
+    unit = embedding_dedup._unit(np.array(made[:400]))
+    assert len(embedding_dedup.collisions(embedding_dedup.projections(unit), window, count)[0]) < 0.05 * 400 * 399 / 2
+    pairs = plain_links(made)
+    df = spark.createDataFrame(list(enumerate(made)), "vec_id long, embedding array<float>")
+    out = {r["vec_id"]: r for r in rows(embedding_dedup.near_duplicates(df, per_list=64))}
+    links = Counter(k for p in pairs for k in p)
+    assert len(out) == len(made) and all(out[k]["n_links"] <= links[k] for k in out)
+    assert sum(r["n_links"] for r in out.values()) >= 0.95 * sum(links.values()) > 0
+
+
 # 3: line dedup
 
 
