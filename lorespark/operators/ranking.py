@@ -279,7 +279,7 @@ def partial_ratio(a: str, b: str) -> float:
     a, b = (a, b) if len(a) <= len(b) else (b, a)
     if not a or a in b:
         return 100.0 if a else 0.0
-    return max(ratio(a, b[k : k + len(a)]) for k in range(1 - len(a), len(b)) if b[max(0, k) : k + len(a)])
+    return max(ratio(a, b[max(0, k) : k + len(a)]) for k in range(1 - len(a), len(b)))
 
 
 @F.pandas_udf(T.DoubleType())
