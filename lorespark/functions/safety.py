@@ -148,8 +148,54 @@ def decide(text: Column, terms: Sequence[str] = (), pii: str = "redact", denylis
     return F.struct(action.alias("action"), found.alias("n_pii"), denied.alias("denied"), mod.flagged.alias("flagged"))
 
 
-def source_problems(source: Column, tags: Column) -> Column:
-    """Why a request to ingest is refused; empty if it is not."""
-    scheme = F.regexp_extract(source, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1)
-    checks = [(F.trim(source) == "", "empty source"), ((scheme != "") & ~F.lower(scheme).isin("http", "https"), "scheme"), (F.char_length(source) > 2048, "too long"), (F.size(tags) > 20, "too many tags")]
+# Bounds and allowances of requests.
+EXTENSIONS = (".md", ".txt", ".pdf", ".html", ".htm", ".rst", ".ipynb", ".json", ".csv")
+SOURCE_TYPES = ("article", "paper", "repo", "dataset", "image")
+FORMATS = ("slides", "chart", "markdown")
+MAX_TITLE, MAX_QUERY, MAX_TAG, MAX_TAGS, MAX_MB = 200, 2000, 50, 20, 50
+
+
+def _reasons(*checks: tuple[Column, str]) -> Column:
     return F.filter(F.array(*[F.when(c, F.lit(why)) for c, why in checks]), lambda x: x.isNotNull())
+
+
+def sanitize_query(text: Column, max_tokens: int = 500) -> Column:
+    """(text, level, patterns, blocked): a question between delimiters; at high risk it is blocked, and its text null."""
+    risk = injection(text)
+    blocked = risk.level == "HIGH"
+    return F.struct(F.when(~blocked, wrap(text, max_tokens)).alias("text"), risk.level.alias("level"), risk.patterns.alias("patterns"), blocked.alias("blocked"))
+
+
+def clean_tags(tags: Column) -> Column:
+    return F.filter(F.transform(tags, lambda t: F.lower(F.trim(t))), lambda t: t != "")
+
+
+def source_problems(source: Column, tags: Column, source_type: Column | None = None, title: Column | None = None) -> Column:
+    """Why a request to ingest is refused; empty if it is not. Whether a file exists is for the reader to say."""
+    s, asked = F.coalesce(F.trim(source), F.lit("")), clean_tags(tags)
+    url = F.contains(s, F.lit("://"))
+    scheme, host = F.lower(F.regexp_extract(s, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1)), F.regexp_extract(s, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
+    suffix = F.lower(F.regexp_extract(s, r"[^/.][^/]*?(\.[^./]+)/*$", 1))
+    return _reasons(
+        (s == "", "empty source"), (url & ~scheme.isin("http", "https"), "scheme"), (url & scheme.isin("http", "https") & (host == ""), "host"), ((s != "") & ~url & ~suffix.isin(*EXTENSIONS), "extension"),
+        (F.size(asked) > MAX_TAGS, "too many tags"), (F.exists(asked, lambda t: F.char_length(t) > MAX_TAG), "tag too long"),
+        (F.lit(False) if source_type is None else ~source_type.isin(*SOURCE_TYPES), "source type"), (F.lit(False) if title is None else F.char_length(title) > MAX_TITLE, "title too long"),
+    )
+
+
+def question_problems(question: Column, top_k: Column, language: Column) -> Column:
+    n = F.char_length(question)
+    return _reasons((F.coalesce(n, F.lit(0)) < 3, "too short"), (n > MAX_QUERY, "too long"), (~top_k.between(1, 20), "top_k"), (F.char_length(language) > 20, "language too long"))
+
+
+def title_problems(title: Column, format: Column | None = None) -> Column:
+    """Titles become file names: no path in them, and only plain characters."""
+    t = F.trim(title)
+    return _reasons(
+        (F.char_length(title) == 0, "empty title"), (F.char_length(title) > MAX_TITLE, "title too long"), (F.contains(t, F.lit("..")) | F.contains(t, F.lit("/")) | F.contains(t, F.lit("\\")), "path in title"),
+        (~F.rlike(t, F.lit(r"^[A-Za-z0-9_\-. ]+$")), "characters"), (F.lit(False) if format is None else ~format.isin(*FORMATS), "format"),
+    )
+
+
+def too_large(n_bytes: Column, most_mb: int = MAX_MB) -> Column:
+    return n_bytes > most_mb * 1024 * 1024

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import re
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 DOMAINS = "spiritual tech finance health reminder research personal creative business misc".split()
 
@@ -31,34 +31,25 @@ STOP_WORDS = "a an the and or but in on at to for of with by from is are was wer
 TOKEN = r"[\p{L}\p{N}_]+"
 WIKILINK = r"\[\[([^\[\]]+)\]\]"
 HEADING = r"(?m)^#{1,3}\s"
-_ACCENTED = [chr(c) for c in range(0xC0, 0x250) if len(b := unicodedata.normalize("NFKD", chr(c))) > 1 and b[0].isascii() and all(map(unicodedata.combining, b[1:]))]
-_PLAIN = "".join(unicodedata.normalize("NFKD", c)[0] for c in _ACCENTED)
+#: What a slug keeps of a character's compatibility form, by the characters themselves.
+_KEPT = re.compile(r"[^A-Za-z0-9\s–—_/\\-]")
+_FOLDED = {c: f for c in map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x20000)]) if (f := _KEPT.sub("", unicodedata.normalize("NFKD", c))) and f != c}
+_SINGLE, _SEVERAL = [{c: f for c, f in _FOLDED.items() if (len(f) == 1) == one} for one in (True, False)]
+_SPACE = r"\s\x1c-\x1f\x85\u1680\u2028\u2029"
 
 
 def slugify(text: Column, max_len: int = 120) -> Column:
-    """Accents folded (Latin), dashes for spaces, only a-z, 0-9 and dashes; cut after trimming; '' becomes untitled."""
-    plain = F.lower(F.translate(text, "".join(_ACCENTED), _PLAIN))
-    dashed = F.regexp_replace(plain, r"[\s –—_/\\-]+", "-")
+    """Compatibility forms folded (NFKD), dashes for spaces, only a-z, 0-9 and dashes; cut after trimming; '' becomes untitled."""
+    wide = F.lit("[" + "".join(_SEVERAL) + "]")
+    pairs = F.from_json(F.lit(json.dumps([{"c": c, "f": f} for c, f in _SEVERAL.items()])), "array<struct<c:string,f:string>>")
+    spread = F.when(F.rlike(text, wide), F.aggregate(pairs, text, lambda t, p: F.replace(t, p.c, p.f))).otherwise(text)
+    plain = F.lower(F.translate(spread, "".join(_SINGLE), "".join(_SINGLE.values())))
+    dashed = F.regexp_replace(plain, rf"[{_SPACE}–—_/\\-]+", "-")
     clean = F.regexp_replace(F.regexp_replace(dashed, "[^a-z0-9-]", ""), "-+", "-")
     cut = F.left(F.regexp_replace(clean, "^-+|-+$", ""), F.lit(max_len))
     return F.when(cut == "", "untitled").otherwise(cut)
 
 
-@F.pandas_udf(T.StringType())
-def slugify_any(text: pd.Series) -> pd.Series:
-    """slugify with full NFKD, for scripts beyond Latin."""
-    import re
-
-    def one(t: str | None) -> str | None:
-        if t is None:
-            return None
-        t = "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)).lower()
-        t = re.sub(r"-+", "-", re.sub(r"[^a-z0-9-]", "", re.sub(r"[\s–—_/\\-]+", "-", t)))
-        return t.strip("-")[:120] or "untitled"
-
-    return text.map(one)
-
-
 def title_slug(title: Column) -> Column:
     return F.replace(F.lower(title), F.lit(" "), F.lit("-"))
 
@@ -184,12 +175,27 @@ def parse_decision(raw: Column, candidates: Column) -> Column:
     return F.struct(F.when(sound, kind).otherwise("ADD").alias("decision"), F.when(sound, got.target).alias("target"))
 
 
-def one_digit(x: Column) -> Column:
-    """A number from 0 to 1 with one digit after the point, rounded by its exact binary value, ties to even, as C does it.
+def rewrite_links(body: Column, known: Column) -> Column:
+    """(text, unresolved): links as markdown; known maps titles to slugs, other titles are slugified and listed."""
+    links = F.array_distinct(wikilinks(body))
+    slug = lambda t: F.element_at(known, F.trim(t))
+    text = F.aggregate(links, body, lambda b, t: F.replace(b, F.concat(F.lit("[["), t, F.lit("]]")), F.concat(F.lit("["), F.trim(t), F.lit("](/"), F.coalesce(slug(t), slugify(t)), F.lit(".md)"))))
+    lost = F.transform(F.filter(wikilinks(body), lambda t: slug(t).isNull()), lambda t: F.trim(t))
+    return F.struct(text.alias("text"), lost.alias("unresolved"))
 
-    SQL's formats round the shortest decimal that stands for the number, which differs at ties.
+
+def fixed(x: Column, digits: int) -> Column:
+    """A number from 0 to 1 with one digit or two after the point, rounded by its exact binary value, ties to even, as C does it.
+
+    SQL's formats round the shortest decimal that stands for the number, which differs at ties. Small numbers take more
+    binary places, so that no bit near a tie is lost.
     """
-    ten = (x * F.lit(2.0**59)).cast("long") * 10
-    whole, rest = F.shiftright(ten, 59), ten.bitwiseAND((1 << 59) - 1)
-    tenths = whole + F.when((rest > 1 << 58) | ((rest == 1 << 58) & (whole % 2 == 1)), 1).otherwise(0)
-    return F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"))
+    times = 10**digits
+
+    def hundredths(bits: int) -> Column:
+        n = (x * F.lit(2.0**bits)).cast("long") * times
+        whole, rest, half = F.shiftright(n, bits), n.bitwiseAND((1 << bits) - 1), 1 << (bits - 1)
+        return whole + F.when((rest > half) | ((rest == half) & (whole % 2 == 1)), 1).otherwise(0)
+
+    n = hundredths(59) if digits == 1 else F.when(x >= 0.125, hundredths(56)).when(x >= 0.0078125, hundredths(59)).otherwise(hundredths(62))
+    return F.concat(F.floor(n / times).cast("string"), F.lit("."), F.lpad((n % times).cast("string"), digits, "0"))

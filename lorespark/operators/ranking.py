@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import STOP_WORDS, TOKEN, content_words, tokens
+from ..functions.text import STOP_WORDS, TOKEN, collapse, content_words, tokens
 from .chunking import sentences
 
 # Words that leave a chunk's start or sentence hanging.
@@ -214,6 +217,53 @@ def idea_scores(ideas: DataFrame, by: list[str], threshold: float = 0.4) -> Data
     return out.withColumn("score", F.col("recurrence") * F.col("importance") * evidence).drop("_w", "_k")
 
 
+def ranked_ideas(ideas: DataFrame, by: str, most: int, threshold: float = 0.55) -> DataFrame:
+    """Greedy groups of a source's ideas (by, idea_no, title, summary, domain, tags), each joining the first that its text is like.
+
+    Groups come by size, then by first idea: the idea of the longest summary, all tags and the commonest domain, first
+    met first. Order decides, so it is a fold over one source, whose ideas one text has given.
+    """
+
+    def each(pdf: pd.DataFrame) -> pd.DataFrame:
+        groups: list[tuple[set, list]] = []
+        for r in pdf.sort_values("idea_no").itertuples():
+            mine = set(re.findall(r"\w+", f"{r.title or ''} {r.summary or ''}".lower()))
+            for like, members in groups:
+                both = len(mine & like)
+                if both and 2 * both / (len(mine) + len(like)) >= threshold:
+                    members.append(r)
+                    break
+            else:
+                groups.append((mine, [r]))
+        rows = []
+        for rank, (_, members) in enumerate(sorted(groups, key=lambda g: -len(g[1]))[:most]):
+            first = max(members, key=lambda r: len(r.summary or ""))
+            tags = list(dict.fromkeys(t for r in members if r.tags is not None for t in r.tags if t))
+            domains = Counter(r.domain for r in members if r.domain)
+            rows.append((getattr(members[0], by), rank, first.idea_no, members[0].idea_no, len(members), tags, domains.most_common(1)[0][0] if domains else first.domain))
+        return pd.DataFrame(rows, columns=[by, "rank", "idea_no", "first_idea", "n", "tags", "domain"])
+
+    kind = ideas.schema[by].dataType.simpleString()
+    some = ideas.select(by, F.col("idea_no").cast("long").alias("idea_no"), "title", "summary", "domain", "tags")
+    return some.groupBy(by).applyInPandas(each, f"{by} {kind}, rank int, idea_no long, first_idea long, n int, tags array<string>, domain string")
+
+
+def preserved_spans(merged: DataFrame, candidates: DataFrame, by: str) -> DataFrame:
+    """Merged ideas (by, idea_no, title, span) with a lost span refilled from the first candidate of that title with one."""
+    title, span = F.lower(F.trim(F.coalesce("title", F.lit("")))), F.trim(F.coalesce("span", F.lit("")))
+    known = candidates.select(by, title.alias("_t"), span.alias("_s"), "idea_no").where("_t <> '' AND _s <> ''").groupBy(by, "_t").agg(F.min_by("_s", "idea_no").alias("_s"))
+    out = merged.withColumn("_t", title).join(known, [by, "_t"], "left")
+    return out.withColumn("span", F.when(span != "", F.col("span")).otherwise(F.coalesce("_s", F.lit("")))).select(*merged.columns)
+
+
+def verified_ideas(merged: DataFrame, found: DataFrame, by: str) -> DataFrame:
+    """Merged ideas and those found missing whose title none of them has, after them; a source without ideas gets none."""
+    title = F.lower(F.coalesce("title", F.lit(""))).alias("_t")
+    last = merged.groupBy(by).agg(F.max("idea_no").alias("_last"))
+    new = found.withColumn("_t", title).join(merged.select(by, title), [by, "_t"], "left_anti").join(last, by)
+    return merged.unionByName(new.withColumn("idea_no", F.col("_last") + 1 + F.col("idea_no")).select(*merged.columns))
+
+
 def decision_agreement(cases: DataFrame) -> DataFrame:
     """Over (pipeline_decision, judge_decision, pipeline_target, judge_target): n, both rates and the grade; WARN if there is none."""
     agree = F.col("pipeline_decision") == F.col("judge_decision")
@@ -282,6 +332,44 @@ def partial_ratio(a: str, b: str) -> float:
     return max(ratio(a, b[max(0, k) : k + len(a)]) for k in range(1 - len(a), len(b)))
 
 
+def near_part(a: str, b: str, least: float) -> bool:
+    """Whether partial_ratio(a, b) is `least` or more.
+
+    A window that close differs from the shorter text in at most d characters left out or put in, so one of d + 1 pieces
+    of the shorter text stands in it unchanged, at most d away from its place: other windows need no comparison.
+    """
+    a, b = (a, b) if len(a) <= len(b) else (b, a)
+    if not a or a in b:
+        return bool(a)
+    n = len(a)
+    d = int(2 * n * (1 - least / 100) + 1e-9)
+    cuts = [n * k // (d + 1) for k in range(d + 2)] if d < n else list(range(n + 1))
+    starts: set[int] = set()
+    for left, right in zip(cuts, cuts[1:]):
+        piece, at = a[left:right], b.find(a[left:right])
+        while piece and at >= 0:
+            starts.update(range(at - left - d, at - left + d + 1))
+            at = b.find(piece, at + 1)
+    return any(ratio(a, b[max(0, k) : k + n]) >= least for k in starts if -n < k < len(b))
+
+
+@F.pandas_udf(T.BooleanType())
+def _near_part(a: pd.Series, b: pd.Series, least: pd.Series) -> pd.Series:
+    return pd.Series([near_part(x, y, m) for x, y, m in zip(a, b, least, strict=True)], dtype=bool)
+
+
+def grounded_spans(rows: DataFrame, span: str, source: str, least: float = 90.0) -> DataFrame:
+    """rows with grounded: the span, white space and case apart, is in the source, or a part of the source is like it.
+
+    Spans that are contained, or empty, never leave the JVM.
+    """
+    a, b = collapse(F.coalesce(F.col(span), F.lit(""))), collapse(F.coalesce(F.col(source), F.lit("")))
+    rows = rows.withColumns({"_a": a, "_b": b})
+    easy = (F.col("_a") == "") | F.contains("_b", "_a")
+    sure = rows.where(easy).withColumn("grounded", F.col("_a") != "")
+    return sure.unionByName(rows.where(~easy).withColumn("grounded", _near_part("_a", "_b", F.lit(least)))).drop("_a", "_b")
+
+
 @F.pandas_udf(T.DoubleType())
 def token_sort_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([ratio(" ".join(sorted(_processed(x).split())), " ".join(sorted(_processed(y).split()))) for x, y in zip(a, b, strict=True)])

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import words
+
 
 def trace_report(traces: DataFrame, *by: str) -> DataFrame:
     """Calls, latency, cost and error rate by the columns given, or over all."""
@@ -60,6 +62,30 @@ def history_per_type(runs: DataFrame, n: int = 30) -> DataFrame:
     return runs.withColumn("r", F.row_number().over(w.orderBy(F.desc("id")))).where(F.col("r") <= n).withColumn("nth", F.row_number().over(w.orderBy("id"))).drop("r")
 
 
+def frames(answers: DataFrame, text: str = "text", size: int = 8) -> DataFrame:
+    """Answers with (frame_no, frame): so many words each; an answer without words has no frame."""
+    w = words(F.col(text))
+    each = F.transform(F.sequence(F.lit(0), F.greatest(F.size("_w") - 1, F.lit(0)), F.lit(size)), lambda k: F.array_join(F.slice("_w", k + 1, F.lit(size)), " "))
+    return answers.withColumn("_w", w).where(F.size("_w") > 0).select("*", F.posexplode(each).alias("frame_no", "frame")).drop("_w")
+
+
+def digest(entries: DataFrame, since: str, shown: int = 40) -> DataFrame:
+    """Of log entries (id, ts, operation, pages) since a day: distinct pages, the first of them in order of mention, queries made."""
+    recent = entries.where(F.col("ts").cast("date") >= F.lit(since).cast("date"))
+    met = recent.select("ts", "id", F.posexplode("pages").alias("pos", "title")).groupBy("title").agg(F.min(F.struct("ts", "id", "pos")).alias("at"))
+    first = met.orderBy("at").limit(shown).agg(F.array_sort(F.collect_list(F.struct("at", "title")))["title"].alias("titles"))
+    counts = met.agg(F.count("*").alias("pages_active")).crossJoin(recent.agg(F.count_if(F.col("operation") == "query").alias("queries_made")))
+    return counts.crossJoin(first)
+
+
+def revisit(pages: DataFrame, interests: DataFrame, as_of: str, top: int = 5, days: int = 14, most: int = 5) -> DataFrame:
+    """The most stale pages with a tag among the top interests (domain, tag, weight), untouched for more than `days`: with those tags and their age."""
+    best = interests.orderBy(F.desc("weight"), "domain", "tag").limit(top).agg(F.collect_set("tag").alias("_top"))
+    today = F.lit(as_of).cast("date")
+    some = pages.where(F.col("updated") < F.date_sub(today, days)).crossJoin(F.broadcast(best)).where(F.arrays_overlap("tags", "_top"))
+    return some.withColumns({"matched": F.array_sort(F.array_intersect("tags", "_top")), "age": F.date_diff(today, "updated")}).drop("_top").orderBy("updated", "page_no").limit(most)
+
+
 def comparison(runs: DataFrame) -> DataFrame:
     """Averages of enriched and plain runs and the change in percent, null where plain is 0."""
     out = runs.agg(F.count_if("enriched").alias("n_enriched"), F.count_if(~F.col("enriched")).alias("n_plain"), F.coalesce(F.avg(F.when(F.col("enriched"), F.col("value"))), F.lit(0.0)).alias("enriched"), F.coalesce(F.avg(F.when(~F.col("enriched"), F.col("value"))), F.lit(0.0)).alias("plain"))

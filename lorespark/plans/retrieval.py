@@ -252,34 +252,31 @@ def rk23_recurrence(conversations: DataFrame) -> DataFrame:
 
 @query("conversations")
 def rk24_grouping(conversations: DataFrame) -> DataFrame:
-    """Greedy first-match groups of a source's ideas, in order: a fold within one conversation."""
-    import pandas as pd
+    """A conversation's turns as ideas, their roles as domains."""
+    ideas = conversations.select("conv_id", F.col("turn").alias("idea_no"), F.lit("").alias("title"), F.col("text").alias("summary"), F.col("role").alias("domain"), F.array("role", F.concat(F.lit("turn"), (F.col("turn") % 2).cast("string"))).alias("tags"))
+    return ranking.ranked_ideas(ideas, "conv_id", 10)
 
-    def each(pdf: pd.DataFrame) -> pd.DataFrame:
-        import re
 
-        groups: list[tuple[set, list[int], str]] = []
-        for r in pdf.sort_values("turn").itertuples():
-            w = set(re.findall(r"\w+", (r.text or "").lower()))
-            for g in groups:
-                both = len(w & g[0])
-                if both and 2 * both / (len(w) + len(g[0])) >= 0.55:
-                    g[1].append(r.turn)
-                    break
-            else:
-                groups.append((w, [r.turn], r.text))
-        return pd.DataFrame([(pdf.conv_id.iloc[0], k, g[1][0], len(g[1])) for k, g in enumerate(groups)], columns=["conv_id", "group_no", "first_turn", "n"])
-
-    return conversations.select("conv_id", "turn", "text").groupBy("conv_id").applyInPandas(each, "conv_id long, group_no int, first_turn long, n int")
+def _merged(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Users' turns as merged ideas, a third with their span; what anyone but the system said, as candidates."""
+    rows = conversations.select("conv_id", "turn", F.col("turn").alias("idea_no"), F.col("text").alias("title"), "role", F.concat(F.lit("turn "), F.col("turn").cast("string")).alias("span"))
+    ours = rows.where("role = 'user'").withColumn("span", F.when(F.col("turn") % 3 == 0, F.col("span")))
+    return ours.select("conv_id", "idea_no", "title", "span"), rows.where("role <> 'system'").select("conv_id", "idea_no", "title", "span")
 
 
 @query("conversations", sql="""
 WITH a AS (SELECT conv_id, turn, lower(text) AS t, role FROM conversations)
-SELECT u.conv_id, u.turn, min(s.turn) AS span_turn FROM a u LEFT JOIN a s ON u.conv_id = s.conv_id AND u.t = s.t AND s.role <> 'system' WHERE u.role = 'user' GROUP BY ALL""")
+SELECT u.conv_id, u.turn, CASE WHEN u.turn % 3 = 0 THEN 'turn ' || u.turn::string ELSE coalesce('turn ' || min(s.turn)::string, '') END AS span FROM a u LEFT JOIN a s ON u.conv_id = s.conv_id AND u.t = s.t AND s.role <> 'system' WHERE u.role = 'user' GROUP BY u.conv_id, u.turn""")
 def rk25_preserve_spans(conversations: DataFrame) -> DataFrame:
-    a = conversations.select("conv_id", "turn", F.lower("text").alias("t"), "role")
-    spans = a.where("role <> 'system'").groupBy("conv_id", "t").agg(F.min("turn").alias("span_turn"))
-    return a.where("role = 'user'").join(spans, ["conv_id", "t"], "left").select("conv_id", "turn", "span_turn")
+    return ranking.preserved_spans(*_merged(conversations), "conv_id").select("conv_id", F.col("idea_no").alias("turn"), "span")
+
+
+@query("conversations", sql="""
+WITH u AS (SELECT conv_id, turn, lower(text) AS t FROM conversations WHERE role = 'user'), m AS (SELECT conv_id, max(turn) AS n FROM u GROUP BY 1)
+SELECT conv_id, turn AS idea_no, md5(t) AS title FROM u UNION ALL
+SELECT c.conv_id, m.n + 1 + c.turn, md5(lower(c.text)) FROM conversations c JOIN m USING (conv_id) WHERE c.role <> 'system' AND NOT EXISTS (SELECT 1 FROM u WHERE u.conv_id = c.conv_id AND u.t = lower(c.text))""")
+def rk25_verified(conversations: DataFrame) -> DataFrame:
+    return ranking.verified_ideas(*_merged(conversations), "conv_id").select("conv_id", "idea_no", F.md5(F.lower("title").cast("binary")).alias("title"))
 
 
 @query("events", sql="""

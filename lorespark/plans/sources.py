@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..fixtures import AS_OF
-from ..functions.text import one_digit, slugify
+from ..operators import rendering
 from ..registry import query
 from ..sources import files
 
@@ -119,10 +119,12 @@ def sc7_log_slice(events: DataFrame) -> DataFrame:
     return events.where((F.col("ts").cast("date") == F.lit("2024-01-10").cast("date")) & F.col("event_type").isin("click", "view")).select("event_id", "event_type")
 
 
-@query("fx_page", sql="SELECT page_no, id FROM fx_page WHERE slug = 'topic-5' OR id = '01000000000000000000000007' OR slug = 'topic-9'")
+@query("fx_page", sql="""
+SELECT page_no, ref FROM (SELECT page_no, CASE page_no % 3 WHEN 0 THEN slug WHEN 1 THEN id ELSE upper(title) || '!' END AS ref FROM fx_page)""")
 def sc8_resolve_page(fx_page: DataFrame) -> DataFrame:
-    hit = F.col("slug").isin("topic-5") | F.col("id").isin("01000000000000000000000007") | (slugify(F.col("title")) == "topic-9")
-    return fx_page.where(hit).select("page_no", "id")
+    """Every page by its file name, its id or a title of the same slug."""
+    ref = F.when(F.col("page_no") % 3 == 0, F.col("slug")).when(F.col("page_no") % 3 == 1, F.col("id")).otherwise(F.concat(F.upper("title"), F.lit("!")))
+    return files.resolve_pages(fx_page.select(ref.alias("ref")), fx_page).select("page_no", "ref")
 
 
 @query("pages", sql="""
@@ -189,15 +191,54 @@ def tx19_parse_ideas(documents: DataFrame) -> DataFrame:
 
 
 @query("fx_claim", sql="""
-SELECT page_id, '## Claims' || chr(10) || string_agg('- claim ' || claim_id::string || ' (conf ' || printf('%.1f', confidence) || ')', chr(10) ORDER BY claim_id, confidence) AS section FROM (SELECT DISTINCT page_id, claim_id, confidence FROM fx_claim WHERE valid_to IS NULL) GROUP BY page_id""")
+WITH c AS (SELECT DISTINCT page_id, claim_id, confidence, valid_to FROM fx_claim),
+g AS (SELECT page_id, string_agg(a, chr(10) ORDER BY claim_id, a) AS a, string_agg(r, chr(10) ORDER BY claim_id, r) AS r FROM (SELECT *, CASE WHEN valid_to IS NULL THEN '- claim ' || claim_id::string || ' (conf ' || printf('%.1f', confidence) || ')' END AS a,
+  CASE WHEN valid_to IS NOT NULL THEN '- ~~claim ' || claim_id::string || '~~ (retired ' || valid_to::string || ')' END AS r FROM c) GROUP BY page_id),
+s AS (SELECT *, '<!-- claims:start -->' || chr(10) || '## Knowledge Claims' || chr(10) || chr(10) || coalesce(a || chr(10), '') || coalesce(chr(10) || '### Superseded' || chr(10) || chr(10) || r || chr(10), '') || '<!-- claims:end -->' AS section FROM g)
+SELECT page_id, section, 'Prose.' || chr(10) || chr(10) || section AS synced, coalesce('# Topic ' || page_id::string || chr(10) || chr(10) || a || coalesce(chr(10) || chr(10) || '### Superseded' || chr(10) || chr(10) || r, '') || chr(10) || chr(10) || '## See Also' || chr(10) || chr(10) || '- [[A]]' || chr(10) || '- [[B]]', '') AS body FROM s""")
 def tx18_render_claims(fx_claim: DataFrame) -> DataFrame:
-    """The active claims of every page."""
-    some = fx_claim.where("valid_to IS NULL").select("page_id", "claim_id", "confidence").distinct()
-    line = F.concat(F.lit("- claim "), F.col("claim_id").cast("string"), F.lit(" (conf "), one_digit(F.col("confidence")), F.lit(")"))
-    each = some.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("claim_id", "confidence", line.alias("line")))).alias("l"))
-    return each.select("page_id", F.concat(F.lit("## Claims\n"), F.array_join(F.transform("l", lambda x: x.line), "\n")).alias("section"))
-
-
-@query("documents", sql="SELECT DISTINCT source, 'Question: what?' || chr(10) || 'Sources: ' || (count(*) OVER (PARTITION BY source))::string AS prompt FROM documents")
-def tx21_prompts(documents: DataFrame) -> DataFrame:
-    return documents.groupBy("source").agg(F.concat(F.lit("Question: what?\nSources: "), F.count("*").cast("string")).alias("prompt"))
+    """The claims of every page, as a section, put into prose twice over, and as a whole body."""
+    claims = fx_claim.select("page_id", "claim_id", F.concat(F.lit(" claim  "), F.col("claim_id").cast("string")).alias("text"), "confidence", "valid_to").distinct()
+    rows = rendering.page_claims(claims, "page_id").withColumn("section", rendering.claims_section(F.col("active"), F.col("retired")))
+    once = rendering.sync_section(F.lit("Prose.\n"), F.col("section"))
+    body = rendering.page_body(F.concat(F.lit("Topic "), F.col("page_id").cast("string")), F.col("active"), F.col("retired"), F.array(*map(F.lit, "ABA")))
+    return rows.select("page_id", "section", rendering.sync_section(once, F.col("section")).alias("synced"), body.alias("body"))
+
+
+@query("conversations", sql="""
+WITH c AS (SELECT conv_id, list(role ORDER BY turn) AS r, list(trim(text, ' ') ORDER BY turn) AS t, list(turn ORDER BY turn) AS k FROM conversations GROUP BY conv_id)
+SELECT conv_id, md5('Question: what?' || chr(10) || chr(10) || 'Context:' || chr(10) || chr(10) || array_to_string(list_transform(range(1, len(t) + 1), i -> '=== ' || r[i] || ' ===' || chr(10) || t[i]), chr(10) || chr(10))) AS qa,
+ md5('Merge these ' || len(t)::string || ' partial wiki drafts into one coherent page. The page title is: C' || conv_id::string || chr(10) || chr(10) || array_to_string(list_transform(range(1, len(t) + 1), i -> '--- PARTIAL ' || i::string || ' ---' || chr(10) || t[i]), chr(10) || chr(10))) AS merge,
+ md5('Source: C' || conv_id::string || ' (part 1 of ' || len(t)::string || ')' || chr(10) || 'Type: ' || CASE conv_id % 2 WHEN 0 THEN 'a personal note or journal entry' ELSE 'a memo' END || chr(10) || chr(10) || '---' || chr(10) || t[1] || chr(10) || '---') AS extract,
+ md5('Log entries for today:' || chr(10) || array_to_string(list_transform(range(1, len(t) + 1), i -> '- [09:' || lpad(k[i]::string, 2, '0') || '] ' || r[i] || ': turn ' || k[i]::string), chr(10)) || chr(10) || chr(10) || 'Pages touched: ' || array_to_string(r, ', ')) AS summary,
+ md5('Research topic: C' || conv_id::string || chr(10) || chr(10) || 'User''s top interests: tech/a (1.5), misc/b (0.2)' || chr(10) || chr(10) || 'Available wiki pages: ' || array_to_string(r[1:50], ', ')) AS suggest FROM c WHERE len(t) > 1""")
+def tx21_prompts(conversations: DataFrame) -> DataFrame:
+    """Prompts of a conversation's turns, of those with two or more."""
+    turns = conversations.withColumn("text", F.trim("text")).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t")).where("size(t) > 1")
+    name, t = F.concat(F.lit("C"), F.col("conv_id").cast("string")), F.col("t")
+    entries = F.transform(t, lambda x: F.struct(F.make_timestamp_ntz(F.lit(2024), F.lit(1), F.lit(1), F.lit(9), x.turn.cast("int"), F.lit(0)).alias("ts"), x.role.alias("operation"), F.concat(F.lit("turn "), x.turn.cast("string")).alias("description")))
+    interests = F.array(*[F.struct(F.lit(d).alias("domain"), F.lit(g).alias("tag"), F.lit(w).alias("weight")) for d, g, w in (("tech", "a", 1.5), ("misc", "b", 0.2))])
+    prompts = {
+        "qa": rendering.qa_prompt(F.lit("what?"), F.transform(t, lambda x: F.struct(x.role.alias("title"), x.text.alias("body")))), "merge": rendering.merge_prompt(F.col("t.text"), name),
+        "extract": rendering.extract_prompt(F.col("t.text")[0], name, F.when(F.col("conv_id") % 2 == 0, "note").otherwise("memo"), F.lit(1), F.size(t)), "summary": rendering.summary_prompt(entries, F.col("t.role")), "suggest": rendering.suggest_prompt(name, interests, F.col("t.role")),
+    }
+    return turns.select("conv_id", *[F.md5(p.cast("binary")).alias(k) for k, p in prompts.items()])
+
+
+@query("fx_page", sql="""
+SELECT page_no, '- [' || title || '](/topic-' || page_no::string || '.md)' || CASE WHEN f <> '' THEN ' — ' || f ELSE '' END AS line FROM (SELECT page_no, title,
+ trim(left(regexp_replace(regexp_replace(coalesce(list_filter(list_transform(string_split(body, chr(10)), x -> trim(x, ' ')), x -> x <> '' AND NOT starts_with(x, '#'))[1], ''), '^[*\\-> ]+|[*\\-> ]+$', '', 'g'), '\\[\\[([^\\[\\]]+)\\]\\]', '\\1', 'g'), 200), ' ') AS f FROM fx_page)""")
+def sk21_index(fx_page: DataFrame) -> DataFrame:
+    return files.export_index(fx_page).select("page_no", "line")
+
+
+@query("fx_page", sql="SELECT '# Log' || chr(10) || chr(10) || '## 2024-12-31' || chr(10) || '**Exported**: ' || count(*)::string || ' concepts from the wiki.' || chr(10) AS content FROM fx_page")
+def sk21_log(fx_page: DataFrame) -> DataFrame:
+    return files.export_log(fx_page, "2024-12-31")
+
+
+@query("fx_page", sql="SELECT count(*) AS total, count(*) FILTER (WHERE page_no % 5 = 0) AS n_violations, count(*) FILTER (WHERE page_no % 5 = 0) = 0 AS conformant FROM fx_page")
+def sk21_conformance(fx_page: DataFrame) -> DataFrame:
+    """The exported bundle, a fifth of its concepts without their type."""
+    out = files.export_concepts(fx_page)
+    return files.conformance(out.withColumn("content", F.when(F.col("page_no") % 5 == 0, F.regexp_replace("content", r"(?m)^type: .*\n", "")).otherwise(F.col("content"))))

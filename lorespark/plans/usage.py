@@ -67,10 +67,14 @@ def a16_ingest_record(fx_page: DataFrame) -> DataFrame:
     return fx_page.groupBy("domain").agg(F.round(F.avg(F.char_length("body")), 4).alias("avg_chars"), F.round(F.avg(F.size(wikilinks(F.col("body")))), 4).alias("avg_links"))
 
 
-@query("fx_curiosity", sql="SELECT domain, count(*) AS n, count(DISTINCT tag) AS n_tags, min(event_id) AS first_event FROM fx_curiosity WHERE ts >= timestamp '2024-01-24' GROUP BY domain")
-def a17_digest(fx_curiosity: DataFrame) -> DataFrame:
-    recent = fx_curiosity.where(F.col("ts") >= F.lit("2024-01-24").cast("timestamp_ntz"))
-    return recent.groupBy("domain").agg(F.count("*").alias("n"), F.count_distinct("tag").alias("n_tags"), F.min("event_id").alias("first_event"))
+@query("events", sql="""
+WITH e AS (SELECT event_id, ts, event_type, 'Topic ' || (user_id)::string AS title FROM events WHERE ts::date >= date '2024-01-24'), f AS (SELECT title, min(struct_pack(t := ts, i := event_id)) AS a FROM e GROUP BY title)
+SELECT (SELECT count(*) FROM f) AS pages_active, (SELECT count(*) FROM e WHERE event_type = 'view') AS queries_made, (SELECT string_agg(title, '|' ORDER BY a) FROM (SELECT * FROM f ORDER BY a LIMIT 40)) AS titles""")
+def a17_digest(events: DataFrame) -> DataFrame:
+    """Events as log entries: a view is a query, and its user's topic the page that it touches."""
+    kind = F.when(F.col("event_type") == "view", "query").otherwise("ingest")
+    entries = events.select(F.col("event_id").alias("id"), "ts", kind.alias("operation"), F.array(F.concat(F.lit("Topic "), F.col("user_id").cast("string"))).alias("pages"))
+    return usage.digest(entries, "2024-01-24").withColumn("titles", F.array_join("titles", "|"))
 
 
 @query("fx_run", sql="SELECT eval_type, count(*) AS n, count(CASE WHEN enriched THEN score END) AS scored, round(avg(CASE WHEN enriched THEN score END), 6) AS mean_score FROM fx_run GROUP BY eval_type")
@@ -162,11 +166,13 @@ def l7_recent_pages(fx_page: DataFrame) -> DataFrame:
     return fx_page.orderBy(F.desc("updated"), "page_no").limit(10).select("page_no", "updated")
 
 
-@query("fx_page", sql=f"SELECT page_no FROM fx_page WHERE domain IN ('tech', 'finance') AND updated < date '{AS_OF}' - 14 ORDER BY updated, page_no LIMIT 5")
-def l8_revisit(fx_page: DataFrame) -> DataFrame:
-    tags = F.array("domain", F.lit("x"))
-    some = fx_page.where(F.arrays_overlap(tags, F.array(F.lit("tech"), F.lit("finance"))) & (F.col("updated") < F.date_sub(F.lit(AS_OF).cast("date"), 14)))
-    return some.orderBy("updated", "page_no").limit(5).select("page_no")
+@query("fx_page", "fx_curiosity", sql=f"""
+SELECT page_no, d AS age, g AS matched FROM (SELECT page_no, updated, date '{AS_OF}' - updated AS d, 'tag' || (page_no % 20)::string AS g FROM fx_page)
+WHERE d > 14 AND g IN (SELECT tag FROM ({_DECAY}) ORDER BY weight DESC, domain, tag LIMIT 5) ORDER BY updated, page_no LIMIT 5""")
+def l8_revisit(fx_page: DataFrame, fx_curiosity: DataFrame) -> DataFrame:
+    """Pages that match the real top interests; a page's second tag follows its number."""
+    pages = fx_page.withColumn("tags", F.array("domain", F.concat(F.lit("tag"), (F.col("page_no") % 20).cast("string"))))
+    return usage.revisit(pages, usage.decayed_interest(fx_curiosity), AS_OF).select("page_no", F.col("age").cast("long").alias("age"), F.array_join("matched", ",").alias("matched"))
 
 
 @query("fx_page", sql="SELECT page_no, title FROM fx_page WHERE domain = 'health' AND NOT archived")
@@ -228,3 +234,8 @@ def ops10_frames(conversations: DataFrame) -> DataFrame:
     w = words(F.col("text"))
     frames = F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 1, F.lit(0)), F.lit(8)), lambda k: k)
     return conversations.select("conv_id", "turn", F.when(F.size(w) == 0, 0).otherwise(F.size(frames)).cast("long").alias("n_frames"))
+
+
+@query("conversations", sql="SELECT conv_id, turn, (k // 8)::int AS frame_no, array_to_string(w[k + 1:k + 8], ' ') AS frame FROM (SELECT conv_id, turn, w, unnest(range(0, len(w), 8)) AS k FROM (SELECT conv_id, turn, regexp_extract_all(text, '\\S+') AS w FROM conversations))")
+def ops10_frame_texts(conversations: DataFrame) -> DataFrame:
+    return usage.frames(conversations.select("conv_id", "turn", "text")).select("conv_id", "turn", "frame_no", "frame")

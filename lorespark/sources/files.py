@@ -252,6 +252,35 @@ def export_concepts(pages: DataFrame) -> DataFrame:
     return out.select("page_no", F.concat(slugify(F.col("title")), F.lit(".md")).alias("path"), content.alias("content"), (F.col("domain") != "").alias("conforms"))
 
 
+def export_index(pages: DataFrame) -> DataFrame:
+    """(page_no, key, line): a line of the bundle's index for each page, in order of key (title without case, page)."""
+    told = F.trim(first_paragraph(F.col("body")))
+    line = F.concat(F.lit("- ["), F.col("title"), F.lit("](/"), slugify(F.col("title")), F.lit(".md)"), F.when(told != "", F.concat(F.lit(" — "), told)).otherwise(""))
+    return pages.select("page_no", F.struct(F.lower("title").alias("title"), "page_no").alias("key"), line.alias("line"))
+
+
+def export_log(pages: DataFrame, as_of: str) -> DataFrame:
+    """The bundle's log: one row, its content."""
+    return pages.agg(F.concat(F.lit(f"# Log\n\n## {as_of}\n**Exported**: "), F.count("*").cast("string"), F.lit(" concepts from the wiki.\n")).alias("content"))
+
+
+def conformance(files: DataFrame) -> DataFrame:
+    """(total, n_violations, conformant) of a bundle's (path, content): all but reserved names need a type that is text."""
+    name = F.element_at(F.split("path", "/"), -1)
+    some = files.where(name.endswith(".md") & ~name.isin("index.md", "log.md"))
+    total, sound = some.agg(F.count("*").alias("total")), scan_bundle(some).agg(F.count("*").alias("n"))
+    return total.crossJoin(F.broadcast(sound)).select("total", (F.col("total") - F.col("n")).alias("n_violations"), (F.col("total") == F.col("n")).alias("conformant"))
+
+
+def resolve_pages(refs: DataFrame, pages: DataFrame) -> DataFrame:
+    """(ref, page_no): a file of that name; else the first page by file name of that id, or whose title has the reference's slug."""
+    by = lambda key, tier: pages.select(key.alias("_k"), F.struct(F.lit(tier).alias("tier"), "slug", "page_no").alias("_p"))
+    named, titled = by(F.col("slug"), 0).union(by(F.col("id"), 1)), by(slugify(F.col("title")), 1)
+    some = refs.select("ref").distinct()
+    hits = some.withColumn("_k", F.col("ref")).join(named, "_k").union(some.withColumn("_k", slugify(F.col("ref"))).join(titled, "_k"))
+    return hits.groupBy("ref").agg(F.min("_p")["page_no"].alias("page_no"))
+
+
 BUNDLE = "path string, body string, type string, title string, tags array<string>, timestamp string, domain string, sources array<string>, resource string, created string, archived boolean, id string"
 
 
