@@ -28,10 +28,9 @@ from pyspark.sql import functions as F
 from .common import Workspace, prepare
 
 FAN, DEPTH = 8, 4
-BUCKET = FAN**DEPTH
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 #: Rows a task hands to DuckDB at once, at least, so that small trees share a call.
-CHUNK = 4 * BUCKET
+CHUNK = 4 * FAN**DEPTH
 #: Leaves of a range that numbers its rows.
 RANGE_ROWS = 1 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -93,51 +92,51 @@ def in_buckets(rows: DataFrame, each: Callable, schema: str) -> DataFrame:
     return rows.repartition("tree", "bucket").sortWithinPartitions("tree", "bucket").mapInArrow(run, schema)
 
 
-def _levels(con) -> list[str]:
+def _levels(con, depth: int) -> list[str]:
     """The views r1, r2, ...: of every run of a level its nodes' digests in order, `s`, with the node they become."""
     # a tree of one bucket ends when one node is left, others fill all levels
-    con.execute(f"CREATE OR REPLACE TEMP TABLE h0 AS SELECT tree, bucket, i, h, CASE WHEN n > {BUCKET} THEN {DEPTH} ELSE least({DEPTH}, ceil(log(n) / log({FAN}) - 1e-9)) END AS depth FROM t WHERE h IS NOT NULL")
-    for k in range(1, DEPTH + 1):
+    con.execute(f"CREATE OR REPLACE TEMP TABLE h0 AS SELECT tree, bucket, i, h, CASE WHEN n > {FAN**depth} THEN {depth} ELSE least({depth}, ceil(log(n) / log({FAN}) - 1e-9)) END AS depth FROM t WHERE h IS NOT NULL")
+    for k in range(1, depth + 1):
         con.execute(f"CREATE OR REPLACE TEMP TABLE r{k} AS SELECT tree, bucket, i // {FAN} AS run, string_agg(h, '' ORDER BY i) AS s FROM h{k - 1} WHERE depth >= {k} GROUP BY tree, bucket, run")
         con.execute(
             f"CREATE OR REPLACE TEMP TABLE h{k} AS SELECT r.tree, r.bucket, r.run AS i, sha256(r.s) AS h, d.depth FROM r{k} r JOIN (SELECT DISTINCT tree, bucket, depth FROM h0) d USING (tree, bucket)"
             f" UNION ALL SELECT tree, bucket, i, h, depth FROM h{k - 1} WHERE depth < {k}"
         )
-    return [f"r{k}" for k in range(1, DEPTH + 1)]
+    return [f"r{k}" for k in range(1, depth + 1)]
 
 
-def bucket_roots(nodes: DataFrame) -> DataFrame:
+def bucket_roots(nodes: DataFrame, depth: int) -> DataFrame:
     """(tree, i, n, h) of the nodes that buckets of nodes (tree, i, n, h) become."""
 
     def each(con):
-        _levels(con)
-        return con.sql(f"SELECT h.tree, h.bucket AS i, cast(ceil(any_value(t.n) / {BUCKET}) AS BIGINT) AS n, any_value(h.h) AS h FROM h{DEPTH} h JOIN t USING (tree, bucket) GROUP BY h.tree, h.bucket")
+        _levels(con, depth)
+        return con.sql(f"SELECT h.tree, h.bucket AS i, cast(ceil(any_value(t.n) / {FAN**depth}) AS BIGINT) AS n, any_value(h.h) AS h FROM h{depth} h JOIN t USING (tree, bucket) GROUP BY h.tree, h.bucket")
 
-    return in_buckets(nodes.select("tree", "i", "n", "h", bucket()), each, "tree string, i long, n long, h string")
+    return in_buckets(nodes.select("tree", "i", "n", "h", bucket(depth)), each, "tree string, i long, n long, h string")
 
 
-def bucket() -> Column:
-    return F.floor(F.col("i") / BUCKET).alias("bucket")
+def bucket(depth: int) -> Column:
+    return F.floor(F.col("i") / FAN**depth).alias("bucket")
 
 
 #: Of a leaf: the siblings left and right of it, level by level, and all of them in that order.
 PROOF = "lefts array<string>, rights array<string>, proof string"
 
 
-def with_proofs(nodes: DataFrame, outer: DataFrame, keep: str, leaves: bool) -> DataFrame:
+def with_proofs(nodes: DataFrame, outer: DataFrame, keep: str, leaves: bool, depth: int) -> DataFrame:
     """nodes (tree, i, n, h, ...) with the siblings of each from its bucket, and on by outer (tree, i, lefts, rights, proof), a row a bucket.
 
     keep: (name type, ...) of further columns. With `leaves` proofs are hashed, and each node's `other` digest, else its own, is folded.
     """
     kept = [c.split()[0] for c in keep.split(", ") if c]
-    own = nodes.select("tree", "i", "n", "h", *kept, bucket(), *[F.lit(None).cast(c.split(" ", 1)[1]).alias(c.split()[0]) for c in PROOF.split(", ")])
+    own = nodes.select("tree", "i", "n", "h", *kept, bucket(depth), *[F.lit(None).cast(c.split(" ", 1)[1]).alias(c.split()[0]) for c in PROOF.split(", ")])
     from_outer = outer.select("tree", F.lit(None).cast("long").alias("i"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("string").alias("h"), F.col("i").alias("bucket"), "lefts", "rights", "proof")
     both = own.unionByName(from_outer, allowMissingColumns=True)
 
     def each(con):
-        runs = _levels(con)
+        runs = _levels(con, depth)
         width = 64
-        place = [f"(t.i // {FAN ** (k - 1)} % {FAN})" for k in range(1, DEPTH + 1)]
+        place = [f"(t.i // {FAN ** (k - 1)} % {FAN})" for k in range(1, depth + 1)]
         left = [f"coalesce(substr({r}.s, 1, {width} * {p}), '')" for r, p in zip(runs, place, strict=True)]
         right = [f"coalesce(substr({r}.s, {width} * ({p} + 1) + 1), '')" for r, p in zip(runs, place, strict=True)]
         joins = " ".join(f"LEFT JOIN {r} ON {r}.tree = t.tree AND {r}.bucket = t.bucket AND {r}.run = t.i // {FAN**k}" for k, r in enumerate(runs, 1))
@@ -152,7 +151,7 @@ def with_proofs(nodes: DataFrame, outer: DataFrame, keep: str, leaves: bool) ->
         if not leaves:
             return con.sql("SELECT * FROM found")
         node = "coalesce(other, h)"
-        for k in range(1, con.execute("SELECT coalesce(max(len(lefts)), 0) FROM found").fetchone()[0] + 1):
+        for k in range(1, con.execute("SELECT coalesce(max(len(lefts)), 0) FROM found").fetchall()[0][0] + 1):
             con.execute(f"CREATE OR REPLACE TEMP TABLE found AS SELECT * REPLACE (CASE WHEN len(lefts) >= {k} THEN sha256(lefts[{k}] || {node} || rights[{k}]) ELSE {node} END AS other) FROM found")
             node = "other"
         names = ", ".join(c for c in ["tree", "i", "n", "h", *kept] if c != "other")
@@ -163,28 +162,28 @@ def with_proofs(nodes: DataFrame, outer: DataFrame, keep: str, leaves: bool) ->
     return in_buckets(both, each, ", ".join([*names, *further, *(["other string", "proof string"] if leaves else [PROOF])]))
 
 
-def rounds(work: Workspace, nodes: DataFrame) -> list[DataFrame]:
+def rounds(work: Workspace, nodes: DataFrame, depth: int) -> list[DataFrame]:
     """nodes, then round by round the roots of buckets, down to a node a tree."""
     found = [nodes]
     while (found[-1].agg(F.max("n")).first()[0] or 0) > 1:
-        found.append(work.table(bucket_roots(found[-1])))
+        found.append(work.table(bucket_roots(found[-1], depth)))
     return found
 
 
-def back(work: Workspace, found: list[DataFrame], outer: DataFrame, keep: str = "", leaves: bool = False) -> DataFrame:
+def back(work: Workspace, found: list[DataFrame], outer: DataFrame, depth: int, keep: str = "", leaves: bool = False) -> DataFrame:
     """The first of `rounds` with proofs; outer: those of the single nodes, the last of them."""
     for k in range(len(found) - 2, -1, -1):
-        outer = with_proofs(found[k], outer, keep if k == 0 else "", leaves and k == 0)
+        outer = with_proofs(found[k], outer, keep if k == 0 else "", leaves and k == 0, depth)
         outer = outer if k == 0 else work.table(outer)
     if len(found) == 1:  # single nodes all
-        outer = with_proofs(found[0], outer, keep, leaves)
+        outer = with_proofs(found[0], outer, keep, leaves, depth)
     return outer
 
 
-def manifest(spark: SparkSession, docs: DataFrame, other: Column | None = None) -> DataFrame:
+def manifest(spark: SparkSession, docs: DataFrame, other: Column | None = None, depth: int = DEPTH) -> DataFrame:
     """A row per document: doc_id, lang, leaf, subroot, root, proof_sha256, folded_root.
 
-    other: the leaf to fold instead of a row's own, where it is not null.
+    other: the leaf to fold instead of a row's own, where it is not null. depth: levels of a bucket.
     """
     prepare(spark)
     work = Workspace(spark, "merkle")
@@ -192,24 +191,24 @@ def manifest(spark: SparkSession, docs: DataFrame, other: Column | None = None)
     rows = docs.select("doc_id", "lang", tree.alias("tree"), leaf_of().alias("h"), (F.lit(None) if other is None else other).cast("string").alias("other"))
     rows = work.table(rows)
     leaves = work.table(numbered(work, rows, ["doc_id", "h"], rows.count()))
-    found = rounds(work, leaves.select("tree", "i", "n", "h"))
+    found = rounds(work, leaves.select("tree", "i", "n", "h"), depth)
     found[0] = leaves
     tops = found[-1].select("tree", F.col("h").alias("subroot"))
     trees = numbered(work, tops.select(F.lit("").alias("tree"), F.col("tree").alias("own"), F.col("subroot").alias("h")), ["own"], 1)
     trees = work.table(trees)
-    above = rounds(work, trees.select("tree", "i", "n", "h"))
+    above = rounds(work, trees.select("tree", "i", "n", "h"), depth)
     above[0] = trees
-    root = above[-1].select(F.col("h").alias("root"))
+    root = above[-1].select("h").first()  # one digest
     none = spark.createDataFrame([("", 0, [], [], "")], f"tree string, i long, {PROOF}")
-    subtrees = work.table(back(work, above, none, "own string"))
+    subtrees = work.table(back(work, above, none, depth, "own string"))
     outer = subtrees.select(F.col("own").alias("tree"), F.lit(0).cast("long").alias("i"), "lefts", "rights", "proof")
-    proved = back(work, found, outer, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang string, other string", True)
-    subroots = subtrees.select("tree", F.col("own").alias("_own"), F.col("h").alias("subroot")).join(root.withColumn("tree", F.lit("")), "tree").select(F.col("_own").alias("tree"), "subroot", "root")
+    proved = back(work, found, outer, depth, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang string, other string", True)
+    subroots = subtrees.select(F.col("own").alias("tree"), F.col("h").alias("subroot"), F.lit(root.h if root else None).alias("root"))
     return proved.join(subroots, "tree").select("doc_id", "lang", F.col("h").alias("leaf"), "subroot", "root", F.col("proof").alias("proof_sha256"), F.col("other").alias("folded_root"))
 
 
-def audit(spark: SparkSession, docs: DataFrame, tampered: Column) -> DataFrame:
+def audit(spark: SparkSession, docs: DataFrame, tampered: Column, depth: int = DEPTH) -> DataFrame:
     """manifest() with the rows where `tampered` holds folded from a text in lower case, and whether each still gives the root."""
     changed = F.when(tampered, leaf_of(text=F.translate("text", UPPER, LOWER)))
-    out = manifest(spark, docs, changed)
+    out = manifest(spark, docs, changed, depth)
     return out.withColumn("verified", F.col("folded_root") == F.col("root"))
