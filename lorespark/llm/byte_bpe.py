@@ -1,13 +1,15 @@
 """Byte-level BPE encoding and decoding with overlapping chunks.
 
-A text of up to `chunk` code points is a chunk by itself. A longer one is cut into chunks that overlap, which are
-pre-tokenised in parallel, wherever they land; a match that ends before its chunk does is what the whole text has
-there, once the scan runs in step with it. Neighbours are stitched at the first pre-token boundary that both have
-in their overlap, from where they must agree, as the pattern looks forward only. The stitched text is cut at such
-boundaries into pieces of about `chunk` code points, which are rows of their own and encoded wherever they land; the ids
-of a text meet again to be hashed in order. Where an overlap has no common boundary, the scan goes on from the last
-sure one. Decoding concatenates the bytes of the ids. Long rows are written once with a number, so that a lost
-executor cannot renumber them.
+A text is cut into chunks of `chunk` code points that overlap, each pre-tokenised by itself; a match that ends before
+its chunk does is what the whole text has there, once the scan runs in step with it. Neighbours are stitched at the
+first pre-token boundary that both have in their overlap, from where they must agree, as the pattern looks forward only.
+The stitched text is cut at such boundaries into pieces of about `chunk` code points, each encoded by itself. Where an overlap
+has no common boundary, the scan goes on from the last sure one. Stitching looks at overlaps alone and is linear in
+the boundaries. Decoding concatenates the bytes of the ids.
+
+Chunks and pieces of a text of up to `far` code points stay in the task of its row. Those of a longer one, by the same
+steps, are rows of their own, pre-tokenised and encoded wherever they land; the ids of a text meet again to be hashed in
+order. Such rows are written once with a number, so that a lost executor cannot renumber them.
 
 Defined results: a null text is the empty one: no ids. Equal texts get equal ids; rows may repeat; further columns
 stay as they are. Special tokens are ordinary text.
@@ -32,7 +34,9 @@ from pyspark.sql import types as T
 
 from .common import Workspace, prepare
 
-CHUNK, OVERLAP = 32_768, 1_024
+CHUNK, OVERLAP = 2_048, 256
+#: Code points from which on a text's chunks are dealt out, and chunks that then make a row.
+FAR, DEALT = 1 << 20, 16
 ROWS = 256
 #: Chunks or pieces of a text that a task holds at once.
 AT_ONCE = 64
@@ -55,29 +59,36 @@ def boundaries(chunk: str, pattern: str, last: bool) -> list[int]:
     return [m.end() for m in _pattern(pattern).finditer(chunk) if last or m.end() < len(chunk)]
 
 
-def stitch(starts: list[int], ends: list[list[int]], text: str, pattern: str, limits: list[int]) -> list[int]:
-    """Boundaries of the whole text from those of its chunks (positions in the text); limits: where the chunks end."""
-    out = [0, *ends[0]]
+def stitch(starts: list[int], ends: list[np.ndarray], text: str, pattern: str, limits: list[int]) -> np.ndarray:
+    """Boundaries of the whole text from those of its chunks (positions in the text); limits: where the chunks end.
+
+    Each pair of neighbours is stitched by their overlap alone; what lies before it is never looked at again.
+    """
+    out, now = [np.zeros(1, np.int64)], np.asarray(ends[0], np.int64)
     for at, own, limit in zip(starts[1:], ends[1:], limits[1:], strict=True):
-        known = set(own) | {at}
-        low = np.searchsorted(out, at)
-        meet = next((p for p in out[low:] if p in known), None)
+        own = np.asarray(own, np.int64)
+        low = int(np.searchsorted(now, at))
+        known = np.concatenate(([at], own)) if not len(own) or own[0] > at else own
+        both = np.intersect1d(now[low:], known[: int(np.searchsorted(known, now[-1], "right"))] if len(now) else known[:0], assume_unique=True)
+        meet = int(both[0]) if len(both) else None
         if meet is None:  # out of step over the whole overlap: scan on from the last sure boundary
-            p, last = out[-1], limit == len(text)
+            p = int(now[-1]) if len(now) else int(out[-1][-1])
+            more, sought, last = [], set(known[int(np.searchsorted(known, p)) :].tolist()), limit == len(text)
             while p < limit:
                 m = _pattern(pattern).match(text, p, limit)
                 if m is None or (m.end() == limit and not last):
                     break
                 p = m.end()
-                out.append(p)
-                if p in known:
+                more.append(p)
+                if p in sought:
                     meet = p
                     break
+            now = np.concatenate((now, np.array(more, np.int64)))
             if meet is None:
                 continue
-        out = out[: int(np.searchsorted(out, meet)) + 1]
-        out += own[int(np.searchsorted(own, meet, "right")) :]
-    return out
+        out.append(now[: int(np.searchsorted(now, meet, "right"))])
+        now = own[int(np.searchsorted(own, meet, "right")) :]
+    return np.concatenate([*out, now])
 
 
 @functools.lru_cache(maxsize=1 << 16)
@@ -97,6 +108,26 @@ def _sure(text: str, p: int) -> bool:
     return before == "L" and here in ("P", "S") and text[p] != "'"
 
 
+def cuts_of(bounds: np.ndarray, text: str, chunk: int) -> list[int]:
+    """Where the text is cut into pieces: at sure boundaries, `chunk` code points apart at least."""
+    cuts = [0]
+    for p in bounds.tolist():
+        if p - cuts[-1] >= chunk and _sure(text, p):
+            cuts.append(p)
+    return [*cuts, len(text)]
+
+
+def pieces_of(text: str, pattern: str, chunk: int, overlap: int) -> list[str]:
+    """A text cut into pieces that are encoded by themselves, by way of overlapping chunks."""
+    starts = list(range(0, max(1, len(text)), chunk))
+    if len(starts) == 1:  # a chunk without a neighbour
+        return [text]
+    limits = [min(len(text), at + chunk + overlap) for at in starts]
+    ends = [np.array(boundaries(text[a:b], pattern, b == len(text)), np.int64) + a for a, b in zip(starts, limits, strict=True)]
+    cuts = cuts_of(stitch(starts, ends, text, pattern, limits), text, chunk)
+    return [text[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
 def _result(parts: list[list[int]], codec: tiktoken.Encoding, with_ids: bool) -> tuple:
     ids, plain, held = hashlib.sha256(), hashlib.sha256(), []
     for part in parts:
@@ -119,7 +150,7 @@ def _packed(found: list[tuple], with_ids: bool) -> pa.StructArray:
     return pa.StructArray.from_arrays([n, ids, pa.array([r[2] for r in found], pa.string()), pa.array([r[3] for r in found], pa.string())], ["n_tokens", "ids", "ids_sha256", "decoded_sha256"])
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = True, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = True, chunk: int = CHUNK, overlap: int = OVERLAP, far: int = FAR) -> DataFrame:
     """docs with `bpe`: n_tokens, ids (null unless with_ids), ids_sha256, decoded_sha256."""
     spark = docs.sparkSession
     work = Workspace(spark, "byte-bpe")
@@ -133,21 +164,23 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = True
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):  # few rows at a time go back: ids outweigh the text
                 part = batch.slice(at, ROWS)
-                found = [_result([codec.encode_ordinary(t or "")], codec, with_ids) for t in part.column("text").to_pylist()]
+                found = [_result([codec.encode_ordinary(p) for p in pieces_of(t or "", pattern, chunk, overlap)], codec, with_ids) for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in schema.names[:-1]), _packed(found, with_ids)], names=schema.names)
 
     docs = docs.select(*schema.names[:-1])
     size = F.char_length(F.coalesce("text", F.lit("")))
-    short = docs.where(size <= chunk).mapInArrow(whole, schema)
-
-    long = work.table(docs.where(size > chunk).withColumn("_row", F.monotonically_increasing_id()))
+    short = docs.where(size <= far).mapInArrow(whole, schema)
+    # own names cannot clash
+    names = {c: c if c == "text" else f"c{k}" for k, c in enumerate(docs.columns)}
+    long = work.table(docs.where(size > far).toDF(*names.values()).withColumn("_row", F.monotonically_increasing_id()))
+    wide = chunk * DEALT  # a row's share of a long text
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for row, text in zip(pdf["_row"], pdf["text"], strict=True):
-                for low in range(0, len(text), chunk * AT_ONCE):
-                    at = list(range(low, min(len(text), low + chunk * AT_ONCE), chunk))
-                    yield pd.DataFrame({"_row": row, "_k": [k // chunk for k in at], "_at": at, "_size": len(text), "_part": [text[k : k + chunk + overlap] for k in at]})
+                for low in range(0, len(text), wide * AT_ONCE):
+                    at = list(range(low, min(len(text), low + wide * AT_ONCE), wide))
+                    yield pd.DataFrame({"_row": row, "_k": [k // wide for k in at], "_at": at, "_size": len(text), "_part": [text[k : k + wide + overlap] for k in at]})
 
     def scanned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -160,14 +193,11 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = True
 
     def stitched(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_k")
-        text = "".join(part[:chunk] for part in pdf["_part"])
+        text = "".join(part[:wide] for part in pdf["_part"])
         at = pdf["_at"].tolist()
         limits = [a + len(p) for a, p in zip(at, pdf["_part"], strict=True)]
-        cuts = [0]
-        for p in stitch(at, [np.frombuffer(x, np.int64).tolist() for x in pdf["_ends"]], text, pattern, limits):
-            if p - cuts[-1] >= chunk and _sure(text, p):
-                cuts.append(p)
-        return pd.DataFrame({"_row": pdf["_row"].iloc[0], "_k": range(len(cuts)), "_piece": [text[a:b] for a, b in zip(cuts, [*cuts[1:], len(text)], strict=True)]})
+        cuts = cuts_of(stitch(at, [np.frombuffer(x, np.int64) for x in pdf["_ends"]], text, pattern, limits), text, wide)
+        return pd.DataFrame({"_row": pdf["_row"].iloc[0], "_k": range(len(cuts) - 1), "_piece": [text[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]})
 
     def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codec = _codec(ranks.value, pattern)
@@ -184,7 +214,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = True
     ids = pieces.repartition("_row", "_k").mapInPandas(encoded, "_row long, _k int, _ids binary")
     found = ids.groupBy("_row").applyInPandas(joined, f"_row long, {RESULT}")
     found = found.select("_row", F.struct("n_tokens", "ids", "ids_sha256", "decoded_sha256").alias("bpe"))
-    return short.unionByName(long.join(found, "_row").drop("_row"))
+    far_off = long.join(found, "_row")
+    return short.unionByName(far_off.select(*[F.col(own).alias(c) for c, own in names.items()], "bpe"))
 
 
 def decode(spark: SparkSession, ids: DataFrame, ranks_path: str, pattern: str, column: str = "ids") -> DataFrame:

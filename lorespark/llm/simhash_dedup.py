@@ -9,10 +9,13 @@ Equal fingerprints are collapsed first. Lookups keep a row per value found, not
 within a bucket, in blocks, and leave as edges of a spanning forest, so that neither a group of many copies nor a
 common segment makes rows as the square of its size. Nothing is capped.
 
-`similar` is for similarities that 3 bits of 64 do not reach: fingerprints of 224 bits over shingles of five words, in
-eight segments of 28. Two texts of Jaccard similarity s differ in about acos(2s / (1 + s)) / pi of the bits; fingerprints
-are linked that differ in at most so many as texts of the similarity asked for, and in at most one bit of some segment.
-The latter is a filter with a recall below one, the higher the more alike the texts; the README has it measured.
+`similar` is for similarities that 3 bits of 64 do not reach: fingerprints of 1024 bits over shingles of five words. Two
+texts of Jaccard similarity s differ in about acos(2s / (1 + s)) / pi of the bits; fingerprints are linked that differ in at
+most the 97.5 % quantile of what texts of the similarity asked for differ in, and whose numbers of distinct shingles are
+no further apart than that similarity allows. Candidates come from 24 segments of 28 bits.
+A bit that few shingles decide is the likelier to differ, so a segment's ball is enumerated over its `UNSURE` least sure
+bits, the `PROBES` likeliest values of it, its own first. That is a filter with a recall below one, the higher the more alike
+texts are: tests hold it to 0.9 of pairs at the similarity asked for, and the README has it measured.
 
 Defined results: a text without words has fingerprint 0 and links like any other; fewer words than a shingle are one
 shingle. A row without doc_id takes no part in naming: its component is the smallest doc_id that it links with,
@@ -33,7 +36,8 @@ from .common import Workspace, block_pairs, by_group, components, prepare, roots
 
 SHINGLE, SEED, MAX_BITS = 3, 42, 3
 N_SEGMENTS = 2
-WIDE_SHINGLE, WIDE_BITS, WIDE_SEGMENTS = 5, 224, 8
+WIDE_SHINGLE, WIDE_BITS, WIDE_SEGMENTS, WIDTH = 5, 1024, 24, 28
+UNSURE, PROBES = 4, 12
 BLOCK = 1024
 
 
@@ -70,33 +74,48 @@ def _mixed(x: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def wide_fingerprint(text: str | None, shingle: int = WIDE_SHINGLE) -> bytes:
-    """WIDE_BITS bits, of the hash and what is mixed from it; a text without words has none set."""
+def wide_votes(text: str | None, shingle: int = WIDE_SHINGLE) -> tuple[np.ndarray, int]:
+    """For each of WIDE_BITS bits, of the hash and what is mixed from it: shingles that have it set, less those that have not; and distinct shingles."""
     words = (text or "").encode("utf-8", "replace").lower().split()
+    ones = np.zeros(WIDE_BITS, np.int64)
     if not words:
-        return bytes(WIDE_BITS // 8)
+        return ones, 0
     grams = [b" ".join(words)] if len(words) <= shingle else map(b" ".join, zip(*(words[k:] for k in range(shingle)), strict=False))
     digest = xxhash.xxh64_intdigest
     hashes = np.array([digest(g, SEED) for g in grams], np.uint64)
-    ones = np.zeros(WIDE_BITS, np.int64)
-    for at in range(0, len(hashes), 4096):
-        wide = np.stack([_mixed(hashes[at : at + 4096], k) for k in range(-(-WIDE_BITS // 64))], 1)
-        ones += np.unpackbits(wide.view(np.uint8), axis=1, bitorder="little")[:, :WIDE_BITS].sum(0, dtype=np.int64)
-    return np.packbits(2 * ones > len(hashes), bitorder="little").tobytes()
+    for at in range(0, len(hashes), 255):  # so many that counts of a byte do not run over
+        wide = np.stack([_mixed(hashes[at : at + 255], k) for k in range(WIDE_BITS // 64)], 1)
+        ones += np.add.reduce(np.unpackbits(wide.view(np.uint8), axis=1, bitorder="little"), 0, np.uint8)
+    return 2 * ones - len(hashes), len(np.unique(hashes))
+
+
+#: Subsets of the least sure bits, none first.
+_SUBSETS = (np.arange(1 << UNSURE)[:, None] >> np.arange(UNSURE)) & 1
+
+
+def probes_of(votes: np.ndarray) -> np.ndarray:
+    """(rows, WIDE_SEGMENTS, PROBES) of votes (rows, WIDE_BITS): the likeliest values of each segment, marked by its number."""
+    votes = votes[:, : WIDE_SEGMENTS * WIDTH].reshape(len(votes), WIDE_SEGMENTS, WIDTH)
+    own = ((votes > 0) << np.arange(WIDTH, dtype=np.int64)).sum(-1)
+    unsure = np.argsort(np.abs(votes), -1, "stable")[..., :UNSURE]
+    cost = np.take_along_axis(np.abs(votes), unsure, -1) @ _SUBSETS.T
+    likeliest = np.argsort(cost, -1, "stable")[..., :PROBES]
+    flips = np.take_along_axis((1 << unsure.astype(np.int64)) @ _SUBSETS.T, likeliest, -1)
+    return (own[..., None] ^ flips) | (np.arange(WIDE_SEGMENTS, dtype=np.int64) << WIDTH)[:, None]
 
 
 def with_wide(docs: DataFrame, shingle: int = WIDE_SHINGLE) -> DataFrame:
-    """docs with wide (the fingerprint), segments (its values by segment) and fp (its 64-bit hash, which names it)."""
+    """docs with wide (the fingerprint), size (distinct shingles), probes (the values that it looks up, PROBES a segment) and fp (a hash of the first two, which names it)."""
     prepare(docs.sparkSession)
 
     def each(texts: pd.Series) -> pd.DataFrame:
-        found = [wide_fingerprint(t, shingle) for t in texts]
-        bits = np.unpackbits(np.frombuffer(b"".join(found), np.uint8).reshape(len(found), -1), axis=1, bitorder="little")
-        values = bits.reshape(len(found), WIDE_SEGMENTS, -1).astype(np.int64) @ (1 << np.arange(WIDE_BITS // WIDE_SEGMENTS, dtype=np.int64))
-        return pd.DataFrame({"wide": found, "segments": list(values.astype(np.int32))})
+        found = [wide_votes(t, shingle) for t in texts]
+        votes = np.array([v for v, _ in found]).reshape(len(texts), WIDE_BITS)
+        wide = np.packbits(votes > 0, axis=1, bitorder="little")
+        return pd.DataFrame({"wide": [x.tobytes() for x in wide], "size": [n for _, n in found], "probes": list(probes_of(votes).reshape(len(texts), -1))})
 
-    made = docs.withColumn("_made", F.pandas_udf(each, "wide binary, segments array<int>")("text"))
-    return made.withColumns({"wide": F.col("_made.wide"), "segments": F.col("_made.segments"), "fp": F.xxhash64("_made.wide")}).drop("_made")
+    made = docs.withColumn("_made", F.pandas_udf(each, "wide binary, size long, probes array<long>")("text"))
+    return made.withColumns({"wide": F.col("_made.wide"), "size": F.col("_made.size"), "probes": F.col("_made.probes"), "fp": F.xxhash64("_made.wide", "_made.size")}).drop("_made")
 
 
 def _masks(bits: int, radius: int) -> list[int]:
@@ -104,7 +123,7 @@ def _masks(bits: int, radius: int) -> list[int]:
     return [sum(1 << k for k in some) for r in range(1, radius + 1) for some in combinations(range(bits), r)]
 
 
-def _near(pdf: pd.DataFrame, max_bits: int) -> pd.DataFrame | None:
+def _near(pdf: pd.DataFrame, max_bits: int, similarity: float = 0.0) -> pd.DataFrame | None:
     """Edges of a forest over the fingerprints of a bucket: owners of the value against all."""
     owner, side, name = pdf.owner.to_numpy(), pdf.side.to_numpy(), pdf.fp.to_numpy()
     if len(name) < 2:
@@ -121,6 +140,9 @@ def _near(pdf: pd.DataFrame, max_bits: int) -> pd.DataFrame | None:
         for k in range(fp.shape[1]):
             apart += np.bitwise_count(fp[some, k][:, None] ^ fp[None, :, k])
         near = apart <= max_bits
+        if similarity:  # sets of sizes further apart cannot be so alike
+            a, b = pdf["size"].to_numpy()[some][:, None], pdf["size"].to_numpy()[None, :]
+            near &= np.minimum(a, b) >= similarity * np.maximum(a, b)
         if cross:
             near &= side[some][:, None] != side[None, :]
         a, b = np.nonzero(near)
@@ -137,23 +159,23 @@ def links(work: Workspace, fps: DataFrame, max_bits: int = MAX_BITS, n_segments:
     """Edges (a, b) over distinct fingerprints fp, whose components are those of all pairs within max_bits."""
     width = 64 // n_segments
     piece = [F.shiftrightunsigned("fp", k * width).bitwiseAND((1 << width) - 1) for k in range(n_segments)]
-    return _links(work, fps.select("fp", F.posexplode(F.array(*piece)).alias("seg", "value")), None, width, max_bits // n_segments, max_bits)
-
-
-def _links(work: Workspace, table: DataFrame, wide: DataFrame | None, width: int, radius: int, max_bits: int) -> DataFrame:
-    """table: (fp, seg, value). Probes carry names alone; wide (fp, wide) joins what they have met."""
-    one = dict(table.dtypes)["value"]
-    probes = table.withColumn("mask", F.explode(F.array(*[F.lit(m).cast(one) for m in _masks(width, radius)]))) if radius else table.where("false").withColumn("mask", F.lit(0).cast(one))
-    probes = probes.select("seg", F.col("value").bitwiseXOR(F.col("mask")).alias("value"), "fp")
-    owners = table.groupBy("seg", "value").agg(F.count("*").alias("n"))
-    hits = work.table(probes.join(owners.select("seg", "value"), ["seg", "value"]))
-    busy = hits.select("seg", "value").union(owners.where("n > 1").select("seg", "value")).distinct()
-    rows = table.join(busy, ["seg", "value"], "left_semi").select("seg", "value", "fp", F.lit(True).alias("owner"))
-    rows = rows.union(hits.select("seg", "value", "fp", F.lit(False)))
+    table = fps.select("fp", F.posexplode(F.array(*piece)).alias("seg", "value"))
+    masks = F.array(*[F.lit(m).cast("long") for m in _masks(width, max_bits // n_segments)])
+    probes = table.withColumn("mask", F.explode(masks)).select("seg", F.col("value").bitwiseXOR(F.col("mask")).alias("value"), "fp")
+    return _links(work, table, probes, ["seg", "value"], None, max_bits)
+
+
+def _links(work: Workspace, table: DataFrame, probes: DataFrame, keys: list[str], wide: DataFrame | None, max_bits: int, similarity: float = 0.0) -> DataFrame:
+    """table and probes: (keys, fp), the values that are and those that are looked up. Both carry names alone; wide (fp, wide, size) joins what has met."""
+    owners = table.groupBy(*keys).agg(F.count("*").alias("n"))
+    hits = work.table(probes.join(owners.select(*keys), keys))
+    busy = hits.select(*keys).union(owners.where("n > 1").select(*keys)).distinct()
+    rows = table.join(busy, keys, "left_semi").select(*keys, "fp", F.lit(True).alias("owner"))
+    rows = rows.union(hits.select(*keys, "fp", F.lit(False)))
     if wide is not None:
         rows = rows.join(wide, "fp")
-    dealt = block_pairs(rows, ["seg", "value"], "fp", BLOCK)
-    return by_group(dealt, ["seg", "value", "i", "j"], lambda pdf: _near(pdf, max_bits), "a long, b long")
+    dealt = block_pairs(rows, keys, "fp", BLOCK)
+    return by_group(dealt, [*keys, "i", "j"], lambda pdf: _near(pdf, max_bits, similarity), "a long, b long")
 
 
 def _grouped(work: Workspace, marked: DataFrame, fps: DataFrame, edges: DataFrame) -> DataFrame:
@@ -172,18 +194,21 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, max_bits: int = MAX_BI
     return _grouped(work, marked, fps, links(work, fps, max_bits))
 
 
-def wide_distance(similarity: float) -> int:
-    """In how many bits texts of this Jaccard similarity differ, as wide fingerprints go."""
-    return int(WIDE_BITS * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+def wide_distance(similarity: float, sure: float = 1.96) -> int:
+    """In how many bits texts of this Jaccard similarity differ at most, but for the `sure` tail of the normal law (1.96: 2.5 %)."""
+    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(WIDE_BITS * p + sure * np.sqrt(WIDE_BITS * p * (1 - p)))
 
 
 def similar(spark: SparkSession, docs: DataFrame, similarity: float = 0.8, shingle: int = WIDE_SHINGLE) -> DataFrame:
     """As near_duplicates, by wide fingerprints; fp names one."""
     work = Workspace(spark, "simhash-wide")
-    marked = work.table(with_wide(docs.select("doc_id", "text"), shingle).select("doc_id", "fp", "wide", "segments"))
-    fps = work.table(marked.groupBy("fp").agg(F.min("doc_id").alias("low_id"), F.first("wide").alias("wide"), F.first("segments").alias("segments")))
-    table = fps.select("fp", F.posexplode("segments").alias("seg", "value"))
-    edges = _links(work, table, fps.select("fp", "wide"), WIDE_BITS // WIDE_SEGMENTS, 1, wide_distance(similarity))
+    marked = work.table(with_wide(docs.select("doc_id", "text"), shingle).select("doc_id", "fp", "wide", "size", "probes"))
+    fps = work.table(marked.groupBy("fp").agg(F.min("doc_id").alias("low_id"), F.first("wide").alias("wide"), F.first("size").alias("size"), F.first("probes").alias("probes")))
+    own = F.filter("probes", lambda v, k: k % PROBES == 0)
+    table = fps.select("fp", F.explode(own).alias("value"))
+    probes = fps.select("fp", F.explode(F.array_except("probes", own)).alias("value"))
+    edges = _links(work, table, probes, ["value"], fps.select("fp", "wide", "size"), wide_distance(similarity), similarity)
     return _grouped(work, marked.select("doc_id", "fp"), fps.select("fp", "low_id"), edges)
 
 
@@ -193,15 +218,14 @@ def drop_duplicates(spark: SparkSession, docs: DataFrame, similarity: float | No
     Groups are those of `similar` if a similarity is given, else of near_duplicates. Rows without doc_id stay only if
     their group has no other.
     """
-    def grouped() -> DataFrame:
-        return near_duplicates(spark, docs, **how) if similarity is None else similar(spark, docs, similarity, **how)
-
-    groups = grouped().where("doc_id = component_id").select("doc_id").distinct()
+    grouped = near_duplicates(spark, docs, **how) if similarity is None else similar(spark, docs, similarity, **how)
+    grouped = Workspace(spark, "simhash-groups").table(grouped)  # read twice
+    groups = grouped.where("doc_id = component_id").select("doc_id").distinct()
     kept = docs.join(groups, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     if not docs.where("doc_id IS NULL").head(1):
         return kept
     names = {c: c if c == "text" else f"c{k}" for k, c in enumerate(docs.columns)}  # own names cannot clash
     nameless = docs.where("doc_id IS NULL").toDF(*names.values())
     nameless = (with_fingerprint(nameless, **how) if similarity is None else with_wide(nameless, **how)).dropDuplicates(["fp"])
-    alone = grouped().where("component_id IS NULL").select("fp").distinct()
+    alone = grouped.where("component_id IS NULL").select("fp").distinct()
     return kept.unionByName(nameless.join(alone, "fp", "left_semi").select(*[F.col(own).alias(c) for c, own in names.items()]))

@@ -551,7 +551,10 @@ def test_simhash_edges(spark, odd, empty):
     assert [r["doc_id"] for r in only] == [None]
     assert simhash_dedup.near_duplicates(spark, empty).count() == 0 and simhash_dedup.drop_duplicates(spark, empty).count() == 0
     wide = rows(simhash_dedup.drop_duplicates(spark, odd, similarity=0.8))
-    assert Counter(r["doc_id"] for r in wide) == {1: 1, 3: 1, 4: 1, 5: 1, 6: 1, 8: 1} and set(wide[0]) == set(odd.columns)
+    shared = lambda a, b: len(a & b) / len(a | b)
+    grams = {r[0]: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for r in ODD if r[0] in (3, 4, 5) for w in [r[1].lower().split()]}
+    assert shared(grams[3], grams[5]) == 6 / 7 and shared(grams[3], grams[4]) == 6 / 10 and shared(grams[4], grams[5]) == 6 / 9
+    assert Counter(r["doc_id"] for r in wide) == {1: 1, 3: 1, 4: 1, 6: 1, 8: 1} and set(wide[0]) == set(odd.columns)  # 5 is like 3
     assert [r["doc_id"] for r in rows(simhash_dedup.drop_duplicates(spark, odd.where("doc_id IS NULL"), similarity=0.8))] == [None]
     assert simhash_dedup.drop_duplicates(spark, empty, similarity=0.8).count() == 0
 
@@ -590,12 +593,32 @@ def test_bpe(spark, texts, codec):
 def test_bpe_chunks(spark, texts, codec):
     long = sorted(texts.values(), key=len)[-4:]
     made = [*long, "a" * 3000 + " b", " " * 700 + "x" + " " * 900, "x'll   y\n\n\n  z " * 120, "日本語 " * 300, "é" * 999 + "  !!! 12345 " * 30, None, ""]
-    df = spark.createDataFrame([(k, t, "x") for k, t in enumerate(made * 2)], "doc_id long, text string, n_tokens string")
-    out = rows(byte_bpe.encode(df, *queries.vocabulary(), chunk=257, overlap=64))
-    assert len(out) == 2 * len(made)
-    for r in out:
-        b = r["bpe"]
-        assert (b["n_tokens"], b["ids_sha256"], b["decoded_sha256"]) == plain_bpe(codec, r["text"]) and list(b["ids"]) == codec.encode_ordinary(r["text"] or "")
+    df = spark.createDataFrame([(k, t, "x", "y", "z") for k, t in enumerate(made * 2)], "doc_id long, text string, n_tokens string, _row string, _k string")
+    for chunk, overlap, far in ((257, 64, 1 << 20), (16, 8, 900)):  # all in their rows' tasks; the longer ones dealt out
+        out = rows(byte_bpe.encode(df, *queries.vocabulary(), chunk=chunk, overlap=overlap, far=far))
+        assert len(out) == 2 * len(made) and all((r["_row"], r["_k"]) == ("y", "z") for r in out)
+        for r in out:
+            b = r["bpe"]
+            assert (b["n_tokens"], b["ids_sha256"], b["decoded_sha256"]) == plain_bpe(codec, r["text"]) and list(b["ids"]) == codec.encode_ordinary(r["text"] or "")
+
+
+def test_stitching_is_linear():
+    """Twelve million characters are stitched and cut within seconds, and the boundaries are those of the whole text."""
+    import time
+
+    pattern = queries.vocabulary()[1]
+    text = "word and 123, some other   words!\n\n " * 324_000
+    chunk, overlap = byte_bpe.CHUNK * byte_bpe.DEALT, byte_bpe.OVERLAP
+    starts = list(range(0, len(text), chunk))
+    limits = [min(len(text), a + chunk + overlap) for a in starts]
+    ends = [np.array(byte_bpe.boundaries(text[a:b], pattern, b == len(text))) + a for a, b in zip(starts, limits)]
+    began = time.process_time()
+    bounds = byte_bpe.stitch(starts, ends, text, pattern, limits)
+    assert time.process_time() - began < 2
+    assert bounds[-1] == len(text) and (np.diff(bounds) > 0).all()
+    some = len("word and 123, some other   words!\n\n ") * 3000
+    want = [0, *byte_bpe.boundaries(text[:some], pattern, False)]
+    assert bounds[: len(want)].tolist() == want
 
 
 def test_bpe_edges(spark, odd, empty, codec):
