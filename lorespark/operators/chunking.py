@@ -13,26 +13,33 @@ from pyspark.sql import types as T
 TRIM = " \t\n\r"
 
 
-def windows(df: DataFrame, text: str = "text", max_tokens: int = 1024) -> DataFrame:
-    """df with chunk_index and chunk: windows of four characters a token, stepping nine tenths of one.
+def window_chunks(text: Column, max_tokens: int | Column = 1024) -> Column:
+    """An array of the windows of a text, four characters a token, stepping nine tenths of one; blank ones are empty.
 
     A window that is not the last is cut after the later of its last blank line and last '. ', if that lies beyond
-    its half; the step does not follow the cut. Texts that fit stay whole.
+    its half; the step does not follow the cut. Texts that fit stay whole. The text is cut once into steps, and a window
+    is a step and the beginning of the next, so that work is linear in the text.
     """
-    most = 4 * max_tokens
-    step, n = int(most * 0.9), F.char_length(text)
-    starts = F.when(n <= most, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), n - 1, F.lit(step)))
-    cut = df.select("*", F.posexplode(starts).alias("_k", "_at")).withColumn("_w", F.substring(text, F.col("_at") + 1, F.lit(most)))
-
-    def last(sep: str) -> Column:
-        at = F.locate(sep[::-1], F.reverse("_w"))
-        return F.when(at > 0, F.char_length("_w") - at - len(sep) + 1).otherwise(-1)
-
-    broken = cut.withColumn("_b", F.greatest(last("\n\n"), last(". ")))
-    open_ = (F.col("_at") + most < n) & (F.col("_b") > most // 2)
-    chunk = F.btrim(F.when(open_, F.expr("substring(_w, 1, _b + 1)")).otherwise(F.col("_w")), F.lit(TRIM))
-    out = broken.withColumn("chunk", F.when(n <= most, F.col(text)).otherwise(chunk)).where("chunk <> ''")
-    return out.withColumnRenamed("_k", "chunk_index").drop("_at", "_w", "_b")
+    most = 4 * (F.lit(max_tokens) if isinstance(max_tokens, int) else max_tokens).cast("int")
+    step, n = F.floor(most * 0.9).cast("int"), F.char_length(text)
+
+    def last(w: Column, sep: str) -> Column:
+        at = F.instr(F.reverse(w), sep[::-1])
+        return F.when(at > 0, F.char_length(w) - at - len(sep) + 1).otherwise(-1)
+
+    def cut(w: Column, at: Column) -> Column:
+        end = F.greatest(last(w, "\n\n"), last(w, ". "))
+        return F.btrim(F.when((at * step + most < n) & (end > F.floor(most / 2)), F.left(w, end + 1)).otherwise(w), F.lit(TRIM))
+
+    steps = F.regexp_extract_all(text, F.concat(F.lit("(?s).{1,"), step.cast("string"), F.lit("}")), F.lit(0))
+    # bound to a variable, else each step would cut the text anew
+    whole = F.get(F.transform(F.array(steps), lambda x: F.zip_with(x, F.slice(x, F.lit(2), F.greatest(F.size(x), F.lit(1))), lambda p, q: F.concat(p, F.left(F.coalesce(q, F.lit("")), most - step)))), 0)
+    return F.when(n <= most, F.array(text)).otherwise(F.transform(whole, lambda w, k: cut(w, k)))
+
+
+def windows(df: DataFrame, text: str = "text", max_tokens: int = 1024) -> DataFrame:
+    """df with chunk_index and chunk, a row per window of the text."""
+    return df.select("*", F.posexplode(window_chunks(F.col(text), max_tokens)).alias("chunk_index", "chunk")).where("chunk <> ''")
 
 
 def paragraphs(df: DataFrame, text: str = "text", most: int = 800, carry: int = 160) -> DataFrame:

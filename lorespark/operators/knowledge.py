@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ascii_fold, heading_count, title_slug, wikilinks
-from . import ranking
+from .numbering import numbered_on, range_pieces
 
 # pages and links
 
@@ -21,6 +21,14 @@ def broken_links(pages: DataFrame) -> DataFrame:
     return link_rows(pages).join(titles, F.lower("target") == F.col("_t"), "left_anti")
 
 
+def with_known_links(pages: DataFrame) -> DataFrame:
+    """pages with known: a map of those of its links that are a page's title to that page's slug."""
+    slugs = pages.groupBy(F.col("title").alias("_t")).agg(F.min("slug").alias("_s"))
+    links = pages.select("page_no", F.explode(F.array_distinct(F.transform(wikilinks(F.col("body")), lambda t: F.trim(t)))).alias("_t"))
+    each = links.join(slugs, "_t").groupBy("page_no").agg(F.map_from_entries(F.collect_list(F.struct("_t", "_s"))).alias("known"))  # the links of one page
+    return pages.join(each, "page_no", "left").withColumn("known", F.coalesce("known", F.create_map().cast("map<string,string>")))
+
+
 def orphan_pages(pages: DataFrame) -> DataFrame:
     """Pages that no page, themselves included, links to."""
     linked = link_rows(pages).select(F.lower("target").alias("_t")).distinct()
@@ -79,7 +87,7 @@ def upsert_pages(state: DataFrame, change: DataFrame, as_of: str) -> DataFrame:
 def upsert_index(index: DataFrame, change: DataFrame) -> DataFrame:
     """Entries by exact title are replaced in place; others come after the last."""
     last = index.agg(F.coalesce(F.max("pos"), F.lit(-1)).alias("_last"))
-    numbered = change.withColumn("_n", F.row_number().over(Window.orderBy("pos")))  # a change is one ingest's entries
+    numbered = numbered_on(change, range_pieces(change, "pos"), ["pos"])
     old = index.select("title", F.col("pos").alias("_pos"))
     new = numbered.join(old, "title", "left").crossJoin(F.broadcast(last)).withColumn("pos", F.coalesce("_pos", F.col("_last") + F.col("_n"))).select(*index.columns)
     return index.join(change.select("title"), "title", "left_anti").select(*index.columns).unionByName(new)
@@ -106,6 +114,14 @@ def insert_chunks(chunks: DataFrame, new: DataFrame, vectors: DataFrame) -> Data
     return chunks.unionByName(new.join(vectors, "chunk_id").select(*chunks.columns))
 
 
+def list_sources(chunks: DataFrame, *by: str) -> DataFrame:
+    """A row per source: its chunks, its oldest chunk's created_at, and its place, newest first. Places go to sources, few beside chunks."""
+    each = chunks.groupBy(*by).agg(F.count("*").alias("n_chunks"), F.min("created_at").alias("created_at"))
+    day = F.unix_date(F.to_date("created_at"))
+    order = [F.desc("created_at"), *by]
+    return numbered_on(each.withColumn("_d", -day), range_pieces(each.withColumn("_d", -day), "_d"), order).drop("_d").withColumn("pos", F.col("_n").cast("int")).drop("_n")
+
+
 def reindex_plan(current: DataFrame, known: DataFrame) -> DataFrame:
     """What incremental indexing does with each source: skip, replace or new, by content hash."""
     now = current.withColumn("content_hash", F.sha2("content", 256))
@@ -133,22 +149,6 @@ def find_entities(names: DataFrame, entities: DataFrame, aliases: DataFrame) ->
     return names.withColumn("key", ascii_fold(F.col("name"))).join(best, "key", "left").select("name", F.col("b.entity_id").alias("entity_id"))
 
 
-def fuzzy_entities(names: DataFrame, entities: DataFrame, aliases: DataFrame, accept: float = 92.0) -> DataFrame:
-    """(name, entity_id, score): the best entity by token_sort_ratio over canonical names and aliases, from `accept` on.
-
-    Names of two or more tokens score 100 where one side's tokens are all in the other's. Of equal scores the first
-    entity by canonical name, then id, wins. Names without an entity at that score are left out.
-    """
-    own = entities.select("entity_id", "canonical")
-    texts = own.withColumn("text", F.col("canonical")).unionByName(aliases.select("entity_id", F.col("alias").alias("text")).join(own, "entity_id"))
-    known = texts.withColumn("key", ranking.token_key("text")).where("key <> ''").groupBy("key").agg(F.min(F.struct("canonical", "entity_id")).alias("first"))
-    keyed = names.select("name", ranking.token_key("name").alias("key")).where("key <> ''")
-    ours = keyed.select("key").distinct()
-    pairs = ranking.near_keys(ours, known, accept).union(ranking.covering_keys(ours, known).withColumn("score", F.lit(100.0)))
-    best = pairs.join(known.withColumnRenamed("key", "b"), "b").groupBy("a").agg(F.min(F.struct((-F.col("score")).alias("s"), "first")).alias("best"))
-    return keyed.join(best, F.col("key") == F.col("a")).select("name", F.col("best.first.entity_id").alias("entity_id"), (-F.col("best.s")).alias("score"))
-
-
 def pages_by_entity(mentions: DataFrame) -> DataFrame:
     return mentions.groupBy("entity_id").agg(F.count_distinct("page_id").alias("n_pages"))
 

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import STOP_WORDS, TOKEN, collapse, content_words, tokens
 from .chunking import sentences
+from .similarity import cohesion_of
 
 # Words that leave a chunk's start or sentence hanging.
 DANGLING = "he she it they this these those which such who whom whose".split()
@@ -20,9 +21,10 @@ CONTINUATION = "and but however therefore thus hence moreover furthermore nevert
 
 def keyword_score(question: str, text: Column) -> Column:
     """How many of the question's words, repeats included, are substrings of the text."""
-    words = question.lower().split()
-    low = F.lower(text)
-    return sum((F.contains(low, F.lit(w)).cast("int") for w in words), F.lit(0))
+    words = F.array(*[F.lit(w) for w in question.lower().split()])
+    # bound to a variable, else each word would fold the text anew
+    counted = F.transform(F.array(F.lower(text)), lambda low: F.aggregate(words, F.lit(0), lambda n, w: n + F.contains(low, w).cast("int")))
+    return F.get(counted, 0)
 
 
 def keyword_search(index: DataFrame, question: str, k: int = 5, domain: str | None = None) -> DataFrame:
@@ -60,39 +62,6 @@ def rouge1(a: Column, b: Column) -> Column:
     return F.when((both == 0) | (F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(2.0 * both / (F.size(x) + F.size(y)))
 
 
-def term_counts(df: DataFrame, keys: list[str], text: str) -> DataFrame:
-    return df.select(*keys, F.explode(tokens(F.col(text))).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
-
-
-def tf_cosine_pairs(df: DataFrame, group: str, key: str, text: str, threshold: float) -> DataFrame:
-    """(group, a, b, cosine) for texts of one group whose term-frequency cosine is at least threshold.
-
-    Equal texts are collapsed first. A prefix filter keeps the rare terms of each text: two texts can only reach the
-    threshold if they share one of the terms that are left when those carrying less than it are set aside.
-    """
-    uniq = df.groupBy(group, text).agg(F.min(key).alias(key))
-    tf = term_counts(uniq.select(group, key, text), [group, key], text)
-    freq = tf.groupBy(group, "term").agg(F.count("*").alias("df"))
-    norm = tf.groupBy(group, key).agg(F.sqrt(F.sum(F.col("tf") * F.col("tf")).cast("double")).alias("norm"))
-    weighted = tf.join(norm, [group, key]).join(freq, [group, "term"]).withColumn("w", F.col("tf") / F.col("norm"))
-    order = Window.partitionBy(group, key).orderBy(F.desc("df"), "term").rowsBetween(Window.unboundedPreceding, 0)
-    rare = weighted.withColumn("mass", F.sum(F.col("w") * F.col("w")).over(order)).where(F.col("mass") >= threshold * threshold - 1e-9)
-    left, right = rare.select(group, "term", F.col(key).alias("a")), rare.select(group, "term", F.col(key).alias("b"))
-    pairs = left.join(right, [group, "term"]).where("a < b").select(group, "a", "b").distinct()
-    wa, wb = weighted.select(group, F.col(key).alias("a"), "term", F.col("w").alias("wa")), weighted.select(group, F.col(key).alias("b"), "term", F.col("w").alias("wb"))
-    dot = pairs.join(wa, [group, "a"]).join(wb, [group, "b", "term"]).groupBy(group, "a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine"))
-    return dot.where(F.col("cosine") >= threshold - 1e-12)
-
-
-def duplicate_rate(df: DataFrame, group: str, key: str, text: str, threshold: float = 0.7) -> DataFrame:
-    """Per group: texts that have a near copy in it, and their share."""
-    low = df.withColumn("_low", F.min(key).over(Window.partitionBy(group, text))).withColumn("_n", F.count("*").over(Window.partitionBy(group, text)))
-    pairs = tf_cosine_pairs(df, group, key, text, threshold)
-    near = pairs.select(group, F.explode(F.array("a", "b")).alias("_low")).distinct().withColumn("_near", F.lit(True))
-    marked = low.join(near, [group, "_low"], "left").withColumn("dup", F.coalesce("_near", F.lit(False)) | ((F.col("_n") > 1) & (F.size(tokens(F.col(text))) > 0)))
-    return marked.groupBy(group).agg(F.count("*").alias("n"), F.count_if("dup").alias("n_dup")).withColumn("duplicate_rate", F.round(F.col("n_dup") / F.col("n"), 6))
-
-
 def l2(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda s, x: s + x))
 
@@ -139,10 +108,11 @@ def retrieval_metrics(ranks: DataFrame, k: int = 5) -> DataFrame:
     return out.withColumn("udcg", F.when(F.col("n") > 0, F.col("gain") / ideal).otherwise(0.0)).withColumn("grade", grade).drop("gain")
 
 
-def hope(df: DataFrame, key: list[str], chunk: str = "chunk", most: int = 1024) -> DataFrame:
+def hope(df: DataFrame, key: list[str], chunk: str = "chunk", most: int | Column = 1024) -> DataFrame:
     """Chunk quality without cohesion: rc, dcc, bi, sc, each rounded to 3 digits."""
     firsts = F.transform(F.slice(sentences(F.col(chunk)), 2, 1_000_000), lambda s: F.get(F.regexp_extract_all(F.lower(s), F.lit(TOKEN), F.lit(0)), 0))
-    bound = df.withColumns({"_f": firsts, "_n": F.size(tokens(F.col(chunk))), "_line": F.trim(F.get(F.split(F.ltrim(F.regexp_replace(chunk, r"^\s+", "")), "\n"), 0)), "_end": F.right(F.regexp_replace(chunk, r"\s+$", ""), F.lit(1))})
+    most = F.lit(most) if isinstance(most, int) else most
+    bound = df.withColumns({"_most": most, "_f": firsts, "_n": F.size(tokens(F.col(chunk))), "_line": F.trim(F.get(F.split(F.ltrim(F.regexp_replace(chunk, r"^\s+", "")), "\n"), 0)), "_end": F.right(F.regexp_replace(chunk, r"\s+$", ""), F.lit(1))})
     rc = F.when(F.size("_f") < 1, 1.0).otherwise(1 - F.size(F.filter("_f", lambda t: t.isin(*DANGLING))) / F.size("_f"))
     head = F.get(tokens(F.col("_line")), 0)
     one = F.left("_line", F.lit(1))
@@ -153,27 +123,19 @@ def hope(df: DataFrame, key: list[str], chunk: str = "chunk", most: int = 1024)
 
 
 def cohesion(df: DataFrame, key: list[str], chunk: str = "chunk") -> DataFrame:
-    """Mean term-frequency cosine over the sentence pairs of each chunk (1 below two sentences).
-
-    The mean over pairs follows from the length of the sum of the unit vectors: (|sum|^2 - n) / (n (n - 1)), so
-    that no pair is formed.
-    """
-    rows = df.select(*key, F.posexplode_outer(sentences(F.col(chunk))).alias("pos", "sentence"))
-    tf = rows.select(*key, "pos", F.explode(tokens(F.col("sentence"))).alias("term")).groupBy(*key, "pos", "term").agg(F.count("*").alias("tf"))
-    norm = tf.groupBy(*key, "pos").agg(F.sqrt(F.sum(F.col("tf") * F.col("tf")).cast("double")).alias("norm"))
-    total = tf.join(norm, [*key, "pos"]).groupBy(*key, "term").agg(F.sum(F.col("tf") / F.col("norm")).alias("w"))
-    square = total.groupBy(*key).agg(F.sum(F.col("w") * F.col("w")).alias("sq"))
-    count = rows.groupBy(*key).agg(F.count("sentence").alias("n")).join(norm.groupBy(*key).agg(F.count("*").alias("m")), key, "left").join(square, key, "left")
-    icc = F.when(F.col("n") < 2, 1.0).otherwise((F.coalesce("sq", F.lit(0.0)) - F.coalesce("m", F.lit(0))) / (F.col("n") * (F.col("n") - 1)))
-    return count.select(*key, F.round(icc, 3).alias("icc"))
+    """Mean term-frequency cosine over the sentence pairs of each chunk (1 below two sentences). A chunk's sums stay in its row."""
+    return df.select(*key, F.round(cohesion_of(sentences(F.col(chunk))), 3).alias("icc"))
 
 
 def hope_means(scores: DataFrame) -> DataFrame:
     """Means of rc, icc, dcc, bi and sc over all chunks, their mean and its grade."""
     names = ("rc", "icc", "dcc", "bi", "sc")
     out = scores.agg(F.count("*").alias("n"), *[F.round(F.avg(c), 3).alias(c) for c in names])
-    overall = F.round(sum((F.col(c) for c in names), F.lit(0.0)) / len(names), 3)
-    return out.withColumn("overall", overall).withColumn("grade", F.when(F.col("overall") >= 0.75, "PASS").when(F.col("overall") >= 0.55, "WARN").otherwise("FAIL"))
+    return out.withColumn("overall", F.round(sum((F.col(c) for c in names), F.lit(0.0)) / len(names), 3)).withColumn("grade", hope_grade(F.col("overall")))
+
+
+def hope_grade(overall: Column) -> Column:
+    return F.when(overall >= 0.75, "PASS").when(overall >= 0.55, "WARN").otherwise("FAIL")
 
 
 def match_ideas(ours: DataFrame, reference: DataFrame, threshold: float = 0.2) -> DataFrame:
@@ -207,14 +169,17 @@ def consensus(ours: DataFrame, reference: DataFrame, threshold: float = 0.2) ->
     return out.select("source_id", "n", "n_ref", "n_matched", "n_gaps", (F.col("n") - F.col("n_matched")).alias("n_false"), "score", "thesis_captured", "evidence_rate", F.coalesce("duplicate_rate", F.lit(0.0)).alias("duplicate_rate"), grade.alias("grade"))
 
 
-def idea_scores(ideas: DataFrame, by: list[str], threshold: float = 0.4) -> DataFrame:
-    """ideas (by, chunk, title, importance, n_evidence) with recurrence (chunks with a like title) and score, recurrence x importance x evidence."""
-    a = ideas.withColumns({"_w": F.array_distinct(tokens(F.col("title"))), "_k": F.monotonically_increasing_id()})
+def idea_scores(ideas: DataFrame, by: list[str], key: str, threshold: float = 0.4) -> DataFrame:
+    """ideas (by, key, chunk, title, importance, n_evidence) with recurrence (chunks with a like title) and score, recurrence x importance x evidence.
+
+    Within `by` key tells ideas apart. The ideas of a source meet each other: they are what a model named in it, tens.
+    """
+    a = ideas.select(*by, key, F.array_distinct(tokens(F.col("title"))).alias("_w"))
     b = ideas.select(*by, F.col("chunk").alias("_chunk"), F.array_distinct(tokens(F.col("title"))).alias("_v"))
-    met = a.select(*by, "_k", "_w").join(b, by).where(rouge1(F.col("_w"), F.col("_v")) >= threshold).groupBy("_k").agg(F.count_distinct("_chunk").alias("recurrence"))
-    out = a.join(met, "_k", "left").withColumn("recurrence", F.coalesce("recurrence", F.lit(0)))
+    met = a.join(b, by).where(rouge1(F.col("_w"), F.col("_v")) >= threshold).groupBy(*by, key).agg(F.count_distinct("_chunk").alias("recurrence"))
+    out = ideas.join(met, [*by, key], "left").withColumn("recurrence", F.coalesce("recurrence", F.lit(0)))
     evidence = F.greatest(F.least("n_evidence", F.lit(3)) / 3.0, F.lit(0.1))
-    return out.withColumn("score", F.col("recurrence") * F.col("importance") * evidence).drop("_w", "_k")
+    return out.withColumn("score", F.col("recurrence") * F.col("importance") * evidence)
 
 
 def ranked_ideas(ideas: DataFrame, by: str, most: int, threshold: float = 0.55) -> DataFrame:
@@ -381,44 +346,6 @@ def token_key(s: pd.Series) -> pd.Series:
     return pd.Series([" ".join(sorted(_processed(x).split())) for x in s])
 
 
-@F.pandas_udf(T.DoubleType())
-def key_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([ratio(x, y) for x, y in zip(a, b, strict=True)])
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _bigrams(s: pd.Series) -> pd.Series:
-    """Character bigrams, each with its number among equal ones; a text of one character stands for itself."""
-    out = []
-    for x in s:
-        seen: dict[str, int] = {}
-        grams = []
-        for g in [x[k : k + 2] for k in range(max(1, len(x) - 1))]:
-            seen[g] = seen.get(g, 0) + 1
-            grams.append(f"{g}{seen[g]}")
-        out.append(grams)
-    return pd.Series(out)
-
-
-def near_keys(ours: DataFrame, known: DataFrame, accept: float) -> DataFrame:
-    """(a, b, score): all pairs of keys of ours and known with a ratio of `accept` (over 85) or more.
-
-    Such keys of n characters differ by at most d insertions and deletions, each of which takes at most two bigrams.
-    So the 2 d + 1 rarest bigrams of one meet those of the other; no pair is lost.
-    """
-    part = accept / 200
-    n = F.length("key")
-    d = F.floor((1 - 2 * part) * (n + F.floor(n * (1 - part) / part + 1e-9)) + 1e-9)
-    grams = ours.select("key").union(known.select("key")).distinct().select("key", F.explode(_bigrams("key")).alias("gram"))
-    rare = grams.join(grams.groupBy("gram").agg(F.count("*").alias("n")), "gram").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("g"))
-    first = rare.select("key", F.explode(F.slice("g", 1, (2 * d + 1).cast("int"))["gram"]).alias("gram"))
-    a = ours.select("key").distinct().join(first, "key").withColumnRenamed("key", "a")
-    b = known.select("key").distinct().join(first, "key").withColumnRenamed("key", "b")
-    x, y = F.length("a"), F.length("b")
-    pairs = a.join(b, "gram").where(F.least(x, y) >= part * (x + y) - 1e-9).select("a", "b").distinct()
-    return pairs.withColumn("score", key_ratio("a", "b")).where(F.col("score") >= accept)
-
-
 def covering_keys(ours: DataFrame, known: DataFrame) -> DataFrame:
     """(a, b): all pairs in which the tokens of one key are all in the other, a having two tokens or more.
 

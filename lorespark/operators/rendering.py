@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import safety
 from ..functions.text import fixed, words
 
-# The marks of a claims section, and what kinds of sources are called.
+# The marks of a claims section, what kinds of sources are called, and the wordings of the prompts below.
 CLAIMS_START, CLAIMS_END = "<!-- claims:start -->", "<!-- claims:end -->"
 SOURCE_HINTS = {
     "article": "a written article or blog post",

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import words
+from .ranking import keyword_score
 
 
 def trace_report(traces: DataFrame, *by: str) -> DataFrame:
@@ -106,3 +107,30 @@ def grade_rates(runs: DataFrame, newest: int = 100) -> DataFrame:
 def staleness(runs: DataFrame, as_of: str) -> DataFrame:
     age = F.date_diff(F.lit(as_of).cast("date"), F.col("run_at").cast("date"))
     return runs.withColumn("bucket", F.when(age < 3, "fresh").when(age <= 14, "ageing").otherwise("stale"))
+
+
+def log_slice(entries: DataFrame, key: str, last: int | None = None, day: str | None = None, operation: str | None = None) -> DataFrame:
+    """Entries (key, ts, operation) of a day and an operation, the `last` of them, as far as each is asked for; key orders entries of one time."""
+    rows = entries if day is None else entries.where(F.to_date("ts") == F.lit(day).cast("date"))
+    rows = rows if operation is None else rows.where(F.col("operation") == operation)
+    return rows if last is None else rows.orderBy(F.desc("ts"), F.desc(key)).limit(last)
+
+
+def search_stubs(index: DataFrame, question: str, domain: str | None = None, limit: int = 10, redact: bool = False) -> DataFrame:
+    """(title, slug, domain, description): the best entries without bodies; twice as many are fetched before the domain filter."""
+    from ..functions.safety import redact_pii
+
+    scored = index.withColumn("score", keyword_score(question, F.concat_ws(" ", "title", "summary"))).where("score > 0").orderBy(F.desc("score"), "pos").limit(2 * limit)
+    kept = scored if domain is None else scored.where(F.col("domain") == domain)
+    text = redact_pii(F.col("summary")) if redact else F.col("summary")
+    return kept.orderBy(F.desc("score"), "pos").limit(limit).select("title", F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1).alias("slug"), "domain", text.alias("description"))
+
+
+def ingest_records(pages: DataFrame, ideas: DataFrame, by: str, key: str) -> DataFrame:
+    """(by, avg_chars, avg_links, idea_duplicate_rate): what an ingest's pages are like, and the share of its ideas (key, summary) with a near copy, 0 below two."""
+    from ..functions.text import wikilinks
+    from .similarity import duplicate_rate
+
+    like = duplicate_rate(ideas.where("summary <> ''"), by, key, "summary").select(by, F.when(F.col("n") >= 2, F.col("duplicate_rate")).otherwise(0.0).alias("idea_duplicate_rate"))
+    each = pages.groupBy(by).agg(F.round(F.avg(F.char_length("body")), 4).alias("avg_chars"), F.round(F.avg(F.size(wikilinks(F.col("body")))), 4).alias("avg_links"))
+    return each.join(like, by, "left").withColumn("idea_duplicate_rate", F.coalesce("idea_duplicate_rate", F.lit(0.0)))

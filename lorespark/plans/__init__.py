@@ -1,6 +1,6 @@
 """The registered queries; importing the modules registers them."""
 
 from ..registry import ORACLE, QUERIES
-from . import knowledge, retrieval, sources, text, usage
+from . import knowledge, retrieval, shells, sources, text, usage
 
-__all__ = ["ORACLE", "QUERIES", "knowledge", "retrieval", "sources", "text", "usage"]
+__all__ = ["ORACLE", "QUERIES", "knowledge", "retrieval", "shells", "sources", "text", "usage"]

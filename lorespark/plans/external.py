@@ -69,3 +69,28 @@ def attempt_order(tasks: DataFrame, routes: DataFrame, models: DataFrame, reserv
 
     fit = tasks.join(routes, "task").join(models, "model").where(F.col("has_key") & (F.col("n_tokens") + reserve <= F.col("context")))
     return fit.select("task_id", F.row_number().over(Window.partitionBy("task_id").orderBy("prio", "model")).alias("nth"), "model")
+
+
+#: A registry of models: room for tokens, and what a million tokens cost that go in and that come out.
+MODELS = "model string, context long, input_per_1m double, output_per_1m double"
+
+
+def costs(calls: DataFrame, models: DataFrame) -> DataFrame:
+    """calls (model, prompt, reply, ...) with input_tokens, output_tokens and cost_usd by the registry; unknown models, and calls without a reply, cost nothing."""
+    from ..functions.text import estimate_tokens
+
+    rates = models.select("model", "input_per_1m", "output_per_1m")
+    out = calls.withColumns({"input_tokens": estimate_tokens(F.coalesce("prompt", F.lit(""))).cast("long"), "output_tokens": F.when(F.col("reply").isNotNull(), estimate_tokens(F.col("reply"))).otherwise(0).cast("long")}).join(rates, "model", "left")
+    cost = F.col("input_tokens") / 1_000_000 * F.col("input_per_1m") + F.col("output_tokens") / 1_000_000 * F.col("output_per_1m")
+    return out.withColumn("cost_usd", F.when(F.col("reply").isNotNull(), F.coalesce(cost, F.lit(0.0))).otherwise(0.0)).drop("input_per_1m", "output_per_1m")
+
+
+def ledger(calls: DataFrame, alert: float = 1.0, by: str = "run_id") -> DataFrame:
+    """(by, calls, cost_usd, alert): what each run's calls cost, and whether that reaches the threshold."""
+    return calls.groupBy(by).agg(F.count("*").alias("calls"), F.sum("cost_usd").alias("cost_usd")).withColumn("alert", F.col("cost_usd") >= alert)
+
+
+def attempted(df: DataFrame, prompt: str, attempts: list[tuple[str, Ask]], models: DataFrame, run_id: str, alert: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """df with reply, model and cost, by the first attempt that does not raise, and the runs' ledger. Costs are columns of the rows, not a tally kept aside."""
+    done = costs(answered(df, prompt, attempts).withColumn("prompt", F.col(prompt)), models)
+    return done, ledger(done, alert, run_id)

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from ..fixtures import AS_OF
 from ..operators import knowledge as K
-from ..operators import ranking
+from ..operators import resolution as R
 from ..operators import shells as S
+from ..operators import similarity, stores
 from ..registry import query
+from .external import hash_embedder
 
 _LINKS = "links AS (SELECT page_no, title, unnest(regexp_extract_all(body, '\\[\\[([^\\[\\]]+)\\]\\]', 1)) AS target FROM fx_page)"
 _FOLD = lambda x: f"translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -102,36 +104,37 @@ def j14_shared_pairs(fx_shared: DataFrame) -> DataFrame:
 WITH t AS (SELECT p_partkey, p_brand, list_distinct(regexp_extract_all(lower(p_name), '[\\p{L}\\p{N}_]+')) AS w FROM part)
 SELECT a.p_partkey AS a, b.p_partkey AS b FROM t a JOIN t b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey WHERE len(list_intersect(a.w, b.w)) > 0 AND 2.0 * len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w)) >= 0.9""")
 def j15_pairs_within_group(part: DataFrame) -> DataFrame:
-    """Pairs of a group by set similarity: names are collapsed first, the pairs come from equal or near names."""
+    """Pairs of a group by set similarity: distinct sets of words meet, names follow by their sets."""
     from ..functions.text import tokens
 
-    t = part.select("p_partkey", "p_brand", F.array_distinct(tokens(F.col("p_name"))).alias("w"))
-    b = t.select(F.col("p_partkey").alias("other"), "p_brand", F.col("w").alias("v"))
-    return t.join(b, "p_brand").where((F.col("p_partkey") < F.col("other")) & (ranking.rouge1(F.col("w"), F.col("v")) >= 0.9)).select(F.col("p_partkey").alias("a"), F.col("other").alias("b"))
+    return similarity.near_sets(part, "p_brand", "p_partkey", tokens(F.col("p_name")), 0.9).select("a", "b")
 
 
-@query("part")
-def j16_fuzzy_best(part: DataFrame) -> DataFrame:
-    """For each distinct name the best other catalogue name, the first of equals."""
-    names = part.select(F.col("p_name").alias("name")).distinct().withColumn("key", ranking.token_key("name"))
-    x, y = F.split("key", " "), F.split("other_key", " ")
-    # a best match may share nothing but letters, so all distinct names meet, as in the reference
-    pairs = names.crossJoin(names.select(F.col("name").alias("other"), F.col("key").alias("other_key"))).where("name <> other AND key <> '' AND other_key <> ''")
-    covers = (F.size(x) >= 2) & ((F.size(F.array_except(x, y)) == 0) | (F.size(F.array_except(y, x)) == 0))
-    scored = pairs.withColumn("s", F.round(F.when(covers, 100.0).otherwise(ranking.key_ratio("key", "other_key")), 6)).where("s > 0")
-    best = scored.groupBy("name").agg(F.max("s").alias("score"), F.min_by("other", F.struct(-F.col("s"), "other")).alias("best"))
-    return best
+def _names(part: DataFrame) -> DataFrame:
+    """Names as texts have them: of the catalogue, with a further word, or with letters left out."""
+    kind = F.col("p_partkey") % 4
+    name = F.when(kind == 0, F.concat("p_name", F.lit(" "), F.substring("p_type", 1, 6))).when(kind == 1, F.regexp_replace("p_name", "[aeo]", "")).when(kind == 2, F.concat(F.substring("p_brand", 7, 2), F.lit(" "), "p_name")).otherwise(F.col("p_name"))
+    return part.select(name.alias("name"), F.lit("concept").alias("type"), F.lit("").alias("description")).dropDuplicates(["name"])
+
+
+@query("fx_entity", "fx_alias", "part")
+def j16_fuzzy_best(fx_entity: DataFrame, fx_alias: DataFrame, part: DataFrame) -> DataFrame:
+    """For each name its best entity over canonical names and aliases, however low the score."""
+    return R.best_entities(_names(part).select("name"), fx_entity, fx_alias).select("name", "entity_id", F.round("score", 6).alias("score"))
 
 
 @query("fx_entity", "fx_alias", "part")
 def j17_resolution(fx_entity: DataFrame, fx_alias: DataFrame, part: DataFrame) -> DataFrame:
-    """Exact by name or alias, else the best fuzzy score over names and aliases, else new; a row per name."""
-    names = part.select(F.concat("p_name", F.when(F.col("p_partkey") % 3 == 0, F.lit(" new word")).otherwise("")).alias("name")).distinct()
-    exact = K.find_entities(names, fx_entity, fx_alias)
-    fuzzy = K.fuzzy_entities(exact.where("entity_id IS NULL").select("name"), fx_entity, fx_alias).select("name", F.col("entity_id").alias("fuzzy_id"))
-    out = exact.join(fuzzy, "name", "left")
-    tier = F.when(F.col("entity_id").isNotNull(), "exact").when(F.col("fuzzy_id").isNotNull(), "fuzzy").otherwise("new")
-    return out.select("name", F.coalesce("entity_id", "fuzzy_id").alias("entity_id"), tier.alias("tier"))
+    """All tiers, with stand-ins for the embedder and for a judge that confirms candidates of the name's first word."""
+
+    def judge(prompt: str) -> str:
+        import json
+
+        lines = [x.split(": ", 1)[1].rsplit(" (", 1)[0] for x in prompt.split("\n")]
+        return json.dumps([{"name": n, "match": c if n.split()[:1] == c.split()[:1] else None} for n, c in zip(lines[::2], lines[1::2], strict=True)])
+
+    entities = fx_entity.withColumn("description", F.lit(""))
+    return R.resolve(_names(part), entities, fx_alias, hash_embedder(), judge).withColumn("score", F.round("score", 6))
 
 
 @query("fx_page", sql="""
@@ -155,9 +158,13 @@ def j21_claims_as_of(fx_claim: DataFrame) -> DataFrame:
 # aggregates
 
 
-@query("fx_chunk", sql="SELECT source_no, count(*) AS n_chunks, min(chunk_id) AS first_chunk FROM fx_chunk GROUP BY source_no")
+@query("fx_chunk", sql="""
+SELECT source_no, slug, n_chunks, created_at, row_number() OVER (ORDER BY created_at DESC, source_no, slug)::int AS pos FROM (
+ SELECT source_no, coalesce(page_title, 'pdf') AS slug, count(*) AS n_chunks, min(date '2024-01-01' + (chunk_id * 7 % 900)::int) AS created_at FROM fx_chunk GROUP BY ALL)""")
 def a1_sources(fx_chunk: DataFrame) -> DataFrame:
-    return fx_chunk.groupBy("source_no").agg(F.count("*").alias("n_chunks"), F.min("chunk_id").alias("first_chunk"))
+    """A row per source and slug, newest first by its oldest chunk."""
+    made = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("chunk_id") * 7 % 900).cast("int"))
+    return K.list_sources(fx_chunk.select("source_no", F.coalesce("page_title", F.lit("pdf")).alias("slug"), made.alias("created_at")), "source_no", "slug")
 
 
 @query("fx_chunk", sql="SELECT page_title IS NOT NULL AS is_wiki, count(*) AS n FROM fx_chunk GROUP BY ALL")
@@ -217,9 +224,12 @@ def a12_lifecycle(fx_page: DataFrame) -> DataFrame:
     return K.confidence(fx_page, AS_OF, n_tags()).groupBy("state").agg(F.count("*").alias("n"))
 
 
-@query("fx_page", sql="SELECT domain, count(*) AS n, sum(n_sources)::bigint AS n_sources FROM fx_page WHERE NOT archived GROUP BY domain")
+@query("fx_page", sql=f"""
+WITH {_LINKS}, o AS (SELECT page_no FROM fx_page p WHERE NOT EXISTS (SELECT 1 FROM links l WHERE lower(l.target) = lower(p.title)))
+SELECT domain, count(*) AS n, sum(n_sources)::bigint AS n_sources, count(o.page_no) AS n_orphans FROM fx_page p LEFT JOIN o USING (page_no) WHERE NOT archived GROUP BY domain""")
 def a13_domains(fx_page: DataFrame) -> DataFrame:
-    return fx_page.where("NOT archived").groupBy("domain").agg(F.count("*").alias("n"), F.sum("n_sources").alias("n_sources"))
+    orphans = K.orphan_pages(fx_page).select("page_no", F.lit(1).alias("orphan"))
+    return fx_page.where("NOT archived").join(orphans, "page_no", "left").groupBy("domain").agg(F.count("*").alias("n"), F.sum("n_sources").alias("n_sources"), F.count("orphan").alias("n_orphans"))
 
 
 @query("fx_page", sql=f"""
@@ -276,9 +286,20 @@ def sk7_incremental(documents: DataFrame) -> DataFrame:
     return K.reindex_plan(now, known)
 
 
-@query("fx_chunk", sql="SELECT chunk_id FROM fx_chunk WHERE source_no NOT IN (3, 5)")
+_GONE = "SELECT source_no FROM fx_chunk GROUP BY source_no HAVING min(chunk_id) % 5 = 0"
+
+
+@query("fx_chunk", sql=f"""
+WITH g AS ({_GONE}), c AS (SELECT * FROM fx_chunk WHERE source_no IN (FROM g))
+SELECT 'chunks_deleted' AS change, (SELECT count(*) FROM c) AS n UNION ALL SELECT 'vectors_deleted', (SELECT count(*) FROM c WHERE chunk_id % 3 > 0) UNION ALL
+SELECT 'chunks', (SELECT count(*) FROM fx_chunk) - (SELECT count(*) FROM c) UNION ALL SELECT 'vectors', (SELECT count(*) FROM fx_chunk WHERE chunk_id % 3 > 0 AND source_no NOT IN (FROM g))""")
 def sk8_delete_source(fx_chunk: DataFrame) -> DataFrame:
-    return fx_chunk.where(~F.col("source_no").isin(3, 5)).select("chunk_id")
+    """Sources whose first chunk bears a number that five divides go, with chunks and vectors; every third chunk has no vector."""
+    gone = fx_chunk.groupBy("source_no").agg(F.min("chunk_id").alias("c")).where("c % 5 = 0").select(F.col("source_no").alias("source_path"))
+    chunks = fx_chunk.select(F.col("chunk_id").alias("id"), F.col("source_no").alias("source_path"))
+    state, counts = stores.delete_sources(chunks, fx_chunk.where("chunk_id % 3 > 0").select("chunk_id", "embedding"), gone)
+    left = [state[t].agg(F.lit(name).alias("change"), F.count("*").alias("n")) for t, name in (("chunks", "chunks"), ("embeddings", "vectors"))]
+    return counts.unionByName(left[0]).unionByName(left[1])
 
 
 @query("part", sql=f"""
@@ -289,10 +310,35 @@ def sk9_entity_upsert(part: DataFrame) -> DataFrame:
     return K.upsert_entities(rows)
 
 
-@query("fx_alias", "fx_entity", sql="SELECT DISTINCT a.entity_id, upper(a.alias) AS alias FROM fx_alias a WHERE EXISTS (SELECT 1 FROM fx_entity e WHERE e.entity_id = a.entity_id AND e.type = 'person')")
+def _entities(fx_entity: DataFrame) -> DataFrame:
+    day = F.lit("2024-01-01").cast("timestamp")
+    return fx_entity.select(F.col("entity_id").alias("id"), "canonical", "type", F.lit("").alias("description"), F.col("page_id").cast("string").alias("page_id"), day.alias("created"), day.alias("updated"))
+
+
+@query("fx_alias", "fx_entity", sql="""
+SELECT DISTINCT a.entity_id, a.alias FROM fx_alias a UNION SELECT a.entity_id, upper(a.alias) FROM fx_alias a JOIN fx_entity e USING (entity_id) WHERE e.type = 'person'""")
 def sk10_alias_insert(fx_alias: DataFrame, fx_entity: DataFrame) -> DataFrame:
-    twice = fx_alias.union(fx_alias).select("entity_id", F.upper("alias").alias("alias"))
-    return twice.dropDuplicates(["entity_id", "alias"]).join(fx_entity.where("type = 'person'").select("entity_id"), "entity_id", "left_semi")
+    """Aliases in capitals for persons, each offered twice and with white space; those that are there stay."""
+    persons = fx_alias.join(fx_entity.where("type = 'person'").select("entity_id"), "entity_id", "left_semi")
+    new = persons.select("entity_id", F.concat(F.lit(" "), F.upper("alias"), F.lit("  ")).alias("alias"))
+    state, _ = stores.add_aliases(_entities(fx_entity), fx_alias.dropDuplicates(), new.union(new).union(persons))
+    return state["aliases"]
+
+
+@query("fx_entity", sql="SELECT CASE WHEN entity_id % 7 = 0 THEN 'system' ELSE type END AS type, entity_id % 7 = 0 AS stamped, count(*) AS n FROM fx_entity GROUP BY ALL")
+def sk10_retype(fx_entity: DataFrame) -> DataFrame:
+    state, _ = stores.retype(_entities(fx_entity), fx_entity.where("entity_id % 7 = 0").select("entity_id", F.lit("system").alias("type")), "2024-12-31")
+    return state["entities"].groupBy("type", (F.col("updated") > F.lit("2024-06-01")).alias("stamped")).agg(F.count("*").alias("n"))
+
+
+@query("fx_entity", "fx_mention", sql="SELECT count(*) * 2 AS n, 2 * count(*) AS last_id, count(DISTINCT entity_id) AS n_entities FROM fx_mention")
+def sk10_mention_insert(fx_entity: DataFrame, fx_mention: DataFrame) -> DataFrame:
+    """All mentions once more: repeats are kept, numbers go on from the last without a gap."""
+    new = fx_mention.select("entity_id", F.col("page_id").cast("string").alias("page_id"), F.lit("s").alias("span"), "source_id")
+    none = new.limit(0).withColumns({"id": F.lit(0).cast("long"), "created": F.lit("2024-01-01").cast("timestamp")}).select("id", "entity_id", "page_id", "span", "source_id", "created")
+    first = stores.add_mentions(_entities(fx_entity), none, new, "2024-01-01")[0]["mentions"]
+    both = stores.add_mentions(_entities(fx_entity), first, new, "2024-12-31")[0]["mentions"]
+    return both.agg(F.count("*").alias("n"), F.when(F.count_distinct("id") == F.count("*"), F.max("id")).alias("last_id"), F.count_distinct("entity_id").alias("n_entities"))
 
 
 @query("fx_mention", sql="SELECT entity_id, page_id, source_id FROM fx_mention WHERE source_id NOT IN ('R', 'A')")
@@ -306,6 +352,17 @@ def sk12_delete_page(fx_entity: DataFrame, fx_mention: DataFrame) -> DataFrame:
     return K.delete_page(fx_entity, fx_mention, 7)[0].select("entity_id", "page_id")
 
 
+@query("fx_entity", "fx_mention", sql="""
+WITH g AS (SELECT page_id FROM fx_mention GROUP BY page_id HAVING page_id % 9 = 0), m AS (SELECT * FROM fx_mention WHERE page_id NOT IN (FROM g)), e AS (SELECT entity_id, page_id IN (FROM g) AS was, CASE WHEN page_id NOT IN (FROM g) THEN page_id END AS page_id FROM fx_entity)
+SELECT 'mentions_deleted' AS change, (SELECT count(*) FROM fx_mention WHERE page_id IN (FROM g)) AS n UNION ALL SELECT 'entities_unlinked', (SELECT count(*) FROM e WHERE was) UNION ALL
+SELECT 'entities_deleted', (SELECT count(*) FROM e WHERE page_id IS NULL AND NOT EXISTS (SELECT 1 FROM m WHERE m.entity_id = e.entity_id))""")
+def sk12_delete_pages(fx_entity: DataFrame, fx_mention: DataFrame) -> DataFrame:
+    """Every ninth page is deleted: what goes with them, counted."""
+    mentions = fx_mention.withColumn("page_id", F.col("page_id").cast("string"))
+    pages = fx_mention.where("page_id % 9 = 0").select(F.col("page_id").cast("string").alias("page_id")).distinct()
+    return stores.delete_pages(_entities(fx_entity), mentions, pages)[1]
+
+
 @query("fx_mention", "fx_page", sql="SELECT m.entity_id, coalesce(p.id, concat('topic-', m.page_id::string)) AS anchor FROM fx_mention m LEFT JOIN fx_page p ON p.slug = concat('topic-', m.page_id::string)")
 def sk13_rekey(fx_mention: DataFrame, fx_page: DataFrame) -> DataFrame:
     anchored = fx_mention.select("entity_id", F.concat(F.lit("topic-"), F.col("page_id").cast("string")).alias("anchor"))
@@ -333,11 +390,24 @@ def sk17_replace_source(fx_claim: DataFrame) -> DataFrame:
     return K.replace_source(fx_claim, 3, new).select("claim_id", "superseded_by")
 
 
-@query("fx_chunk", sql="SELECT chunk_id, CASE WHEN chunk_id % 5 = 0 THEN 1 ELSE label END AS label FROM fx_chunk WHERE chunk_id % 7 <> 0")
+@query("fx_chunk", sql="""
+SELECT chunk_id AS claim_id, round(CASE WHEN chunk_id % 5 = 0 THEN -embedding[1] ELSE embedding[1] END::double, 6) AS first FROM fx_chunk WHERE chunk_id % 7 <> 0 AND chunk_id % 4 <> 0 OR chunk_id % 7 <> 0 AND chunk_id % 5 = 0""")
 def sk18_vector_upsert(fx_chunk: DataFrame) -> DataFrame:
-    change = fx_chunk.where("chunk_id % 5 = 0").select("chunk_id", F.lit(1).alias("label"))
-    kept = fx_chunk.select("chunk_id", "label").join(change.select("chunk_id"), "chunk_id", "left_anti").unionByName(change)
-    return kept.where("chunk_id % 7 <> 0")
+    """Three of four vectors are there; every fifth is written, turned about; every seventh is deleted."""
+    vectors = fx_chunk.select(F.col("chunk_id").alias("claim_id"), "embedding")
+    new = vectors.where("claim_id % 5 = 0").withColumn("embedding", F.transform("embedding", lambda x: -x))
+    state, _ = stores.upsert_vectors(vectors.where("claim_id % 4 <> 0"), new, vectors.where("claim_id % 7 = 0").select("claim_id"))
+    return state["claim_vectors"].select("claim_id", F.round(F.get("embedding", 0).cast("double"), 6).alias("first"))
+
+
+@query("fx_claim", "embeddings", sql="""
+WITH a AS (SELECT claim_id FROM fx_claim WHERE valid_to IS NULL AND claim_id NOT IN (SELECT vec_id FROM embeddings))
+SELECT 'vectors_backfilled' AS change, count(*) AS n FROM a UNION ALL SELECT 'vectors', (SELECT count(*) FROM a) + (SELECT count(*) FROM embeddings)""")
+def sk18_backfill(fx_claim: DataFrame, embeddings: DataFrame) -> DataFrame:
+    """Active claims without a vector get one from the injected embedder."""
+    claims = fx_claim.select(F.col("claim_id").alias("id"), F.concat(F.lit("claim "), F.col("page_id").cast("string")).alias("text"), "valid_to")
+    state, counts = stores.backfill_vectors(claims, embeddings.select(F.col("vec_id").alias("claim_id"), "embedding"), hash_embedder())
+    return counts.unionByName(state["claim_vectors"].agg(F.lit("vectors").alias("change"), F.count("*").alias("n")))
 
 
 @query("fx_claim", sql=f"""

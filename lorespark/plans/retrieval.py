@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import STOP_WORDS, tokens
-from ..operators import chunking, ranking
+from ..operators import ablation, ranking, similarity, websearch
 from ..registry import query
 
 QUESTION = "what is topic 7 the on"
@@ -56,6 +56,35 @@ def rk5_tfidf_keywords(documents: DataFrame) -> DataFrame:
     return ranking.tfidf_keywords(documents, "doc_id", "text")
 
 
+_TERMS = f"list_filter(regexp_extract_all(lower({{}}), '[\\p{{{{L}}}}\\p{{{{N}}}}_]{{{{2,}}}}'), x -> NOT list_contains([{_STOP}], x))"
+
+
+def _searches(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every fiftieth document is a page with a concept, its first long word; the documents after it are its search results."""
+    first = F.col("doc_id") - F.col("doc_id") % 50
+    asked = documents.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.regexp_extract("text", "[A-Za-z]{4,}", 0).alias("concept"), F.when(F.col("doc_id") % 100 == 0, F.col("text")).alias("page_body"))
+    results = documents.where("doc_id % 50 > 0").select(first.alias("query_id"), F.col("doc_id").alias("pos"), F.concat(F.lit("Topic "), F.col("doc_id").cast("string")).alias("title"), F.col("text").alias("body"), F.concat(F.lit("https://x/"), F.col("doc_id").cast("string")).alias("href"))
+    return asked, results
+
+
+@query("documents", sql=f"""
+WITH a AS (SELECT doc_id AS query_id, regexp_extract(text, '[A-Za-z]{{4,}}') AS concept, CASE WHEN doc_id % 100 = 0 THEN text END AS page FROM documents WHERE doc_id % 50 = 0),
+r AS (SELECT doc_id - doc_id % 50 AS query_id, doc_id AS pos, 'Topic ' || doc_id::string || ' ' || text AS t FROM documents WHERE doc_id % 50 > 0),
+kt AS (SELECT query_id, term, row_number() OVER (PARTITION BY query_id ORDER BY count(*) DESC, term) AS r FROM (SELECT query_id, unnest({_TERMS.format('page')}) AS term FROM a WHERE page IS NOT NULL) GROUP BY query_id, term),
+kw AS (SELECT query_id, array_to_string(list_sort(list(term))[1:5], ' ') AS k FROM kt WHERE r <= 10 GROUP BY query_id),
+d AS (SELECT query_id, NULL::bigint AS pos, concept || ' ' || k AS t FROM a JOIN kw USING (query_id) UNION ALL SELECT query_id, pos, t FROM r WHERE query_id IN (SELECT query_id FROM kw)),
+tf AS (SELECT query_id, coalesce(pos, -1) AS pos, term, count(*) AS tf FROM (SELECT query_id, pos, unnest({_TERMS.format('t')}) AS term FROM d) GROUP BY ALL), n AS (SELECT query_id, count(*) AS n FROM d GROUP BY query_id),
+df AS (SELECT query_id, term, count(*) AS df FROM tf GROUP BY ALL), w AS (SELECT query_id, pos, term, tf * (ln((1 + n) / (1 + df)::double) + 1) AS w FROM tf JOIN df USING (query_id, term) JOIN n USING (query_id)),
+nm AS (SELECT query_id, pos, sqrt(sum(w * w)) AS norm FROM w GROUP BY ALL),
+cs AS (SELECT x.query_id, x.pos, sum(x.w * q.w) / any_value(nx.norm * nq.norm) AS score FROM w x JOIN w q ON q.query_id = x.query_id AND q.term = x.term AND q.pos = -1 AND x.pos <> -1 JOIN nm nx ON nx.query_id = x.query_id AND nx.pos = x.pos JOIN nm nq ON nq.query_id = x.query_id AND nq.pos = -1 GROUP BY x.query_id, x.pos),
+cw AS (SELECT r.query_id, pos, list_filter(list_distinct(regexp_extract_all(lower(concept), '[a-z0-9]+')), x -> length(x) > 1 AND NOT list_contains([{_STOP}], x)) AS c, list_filter(list_distinct(regexp_extract_all(lower(t), '[a-z0-9]+')), x -> length(x) > 1 AND NOT list_contains([{_STOP}], x)) AS b FROM r JOIN a USING (query_id) WHERE query_id NOT IN (SELECT query_id FROM kw)),
+ov AS (SELECT query_id, pos, len(list_intersect(c, b)) / sqrt(len(c) * len(b)::double) AS score FROM cw WHERE len(c) > 0 AND len(b) > 0 AND len(list_intersect(c, b)) > 0),
+al AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, pos) AS rank FROM (SELECT * FROM cs UNION ALL SELECT * FROM ov))
+SELECT query_id, rank::int AS rank, pos, round(score, 6) AS score FROM al WHERE rank <= 3""")
+def rk5_enriched_cosine(documents: DataFrame) -> DataFrame:
+    return websearch.ranked_results(*_searches(documents)).select("query_id", "rank", "pos", F.round("score", 6).alias("score"))
+
+
 _TF = """tf AS (SELECT grp, id, term, count(*) AS tf FROM (SELECT grp, id, unnest(regexp_extract_all(lower(t), '[\\p{L}\\p{N}_]+')) AS term FROM src) GROUP BY ALL),
 nm AS (SELECT grp, id, sqrt(sum(tf * tf)::double) AS norm FROM tf GROUP BY ALL)"""
 
@@ -68,7 +97,7 @@ JOIN (SELECT source, text AS t, min(doc_id) AS id FROM documents GROUP BY ALL) k
 GROUP BY a.grp, a.id, b.id HAVING sum(a.tf * b.tf) / (any_value(na.norm) * any_value(nb.norm)) >= 0.7 - 1e-12""")
 def rk6_tf_cosine(documents: DataFrame) -> DataFrame:
     short = documents.select("source", "doc_id", F.col("text").alias("t"))
-    return ranking.tf_cosine_pairs(short, "source", "doc_id", "t", 0.7).select("source", "a", "b", F.round("cosine", 6).alias("cosine"))
+    return similarity.tf_cosine_pairs(short, "source", "doc_id", "t", 0.7).select("source", "a", "b", F.round("cosine", 6).alias("cosine"))
 
 
 @query("conversations", sql="""
@@ -87,7 +116,7 @@ p AS (SELECT a.grp, a.id AS a, b.id AS b FROM tf a JOIN tf b ON a.grp = b.grp AN
 d AS (SELECT DISTINCT grp, id FROM (SELECT grp, a AS id FROM p UNION ALL SELECT grp, b FROM p))
 SELECT s.grp AS source, count(*) AS n, count(d.id) AS n_dup, round(count(d.id) / count(*)::double, 6) AS duplicate_rate FROM src s LEFT JOIN d ON d.grp = s.grp AND d.id = s.id GROUP BY s.grp""")
 def rk8_duplicate_rate(documents: DataFrame) -> DataFrame:
-    return ranking.duplicate_rate(documents.select("source", "doc_id", F.col("text").alias("t")), "source", "doc_id", "t")
+    return similarity.duplicate_rate(documents.select("source", "doc_id", F.col("text").alias("t")), "source", "doc_id", "t")
 
 
 @query("fx_chunk", sql=f"SELECT chunk_id, round(array_distance({_V}, {_P}), 6) AS distance FROM fx_chunk ORDER BY array_distance({_V}, {_P}), chunk_id LIMIT 10")
@@ -177,13 +206,8 @@ def rk15_cohesion(documents: DataFrame) -> DataFrame:
 
 @query("documents")
 def rk16_ablation(documents: DataFrame) -> DataFrame:
-    """Chunk count and chunk quality at each size, over all documents."""
-    out = None
-    for size in (256, 512, 1024, 2048, 4096, 6000):
-        cut = chunking.windows(documents.select("doc_id", "text"), max_tokens=size)
-        one = ranking.hope(cut, ["doc_id", "chunk_index"], most=size).agg(F.count("*").alias("n_chunks"), *[F.round(F.avg(c), 3).alias(c) for c in ("rc", "dcc", "bi", "sc")]).withColumn("max_tokens", F.lit(size))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """For each text and size: chunks, their mean score and grade, the share of near-duplicate chunks and the verdict; one scan."""
+    return ablation.chunk_sizes(documents, "doc_id", "text")
 
 
 @query("documents", sql="SELECT doc_id, greatest(512, least(cast(floor(0.4 * n_chars) AS int), 1024)) AS best FROM documents")
@@ -247,7 +271,7 @@ SELECT conv_id, turn, recurrence, round(recurrence * importance * greatest(least
 def rk23_recurrence(conversations: DataFrame) -> DataFrame:
     """Ideas of a source by recurrence x importance x evidence: turns are chunks, sentence ends stand for items of evidence."""
     ideas = conversations.select("conv_id", F.col("turn").alias("chunk"), "turn", F.col("text").alias("title"), (F.col("turn") % 5 + 1).alias("importance"), F.regexp_count("text", F.lit("[.!?]")).alias("n_evidence"))
-    return ranking.idea_scores(ideas, ["conv_id"]).select("conv_id", "turn", "recurrence", F.round("score", 6).alias("score"))
+    return ranking.idea_scores(ideas, ["conv_id"], "turn").select("conv_id", "turn", "recurrence", F.round("score", 6).alias("score"))
 
 
 @query("conversations")

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..fixtures import AS_OF
-from ..operators import rendering
+from ..operators import rendering, stores
 from ..registry import query
-from ..sources import files
+from ..sources import files, web
 
 
 def _wiki_files(fx_page: DataFrame) -> DataFrame:
@@ -47,12 +47,33 @@ def sc4_chunker_frontmatter(fx_page: DataFrame) -> DataFrame:
     return got.select(F.regexp_extract("path", r"(\d+)\.md$", 1).cast("long").alias("page_no"), F.col("meta")["title"].alias("title"), F.col("meta")["tags"].alias("tags"), F.col("meta")["updated"].alias("updated"), F.md5(F.col("body").cast("binary")).alias("body_md5"))
 
 
-@query("fx_claim", "fx_trace", sql="SELECT 'claims' AS store, count(*) AS n, min(claim_id) AS low, max(claim_id) AS high FROM fx_claim UNION ALL SELECT 'traces', count(*), min(id), max(id) FROM fx_trace")
-def sc9_store_scan(fx_claim: DataFrame, fx_trace: DataFrame) -> DataFrame:
-    def of(name: str, df: DataFrame, key: str) -> DataFrame:
-        return df.agg(F.lit(name).alias("store"), F.count("*").alias("n"), F.min(key).alias("low"), F.max(key).alias("high"))
-
-    return of("claims", fx_claim, "claim_id").union(of("traces", fx_trace, "id"))
+_SCANS = {
+    "sources": ("documents", "doc_id % 10 = 0"), "chunks": ("fx_chunk", "chunk_id % 11 = 0"), "embeddings": ("embeddings", "vec_id % 13 = 0"), "entities": ("fx_entity", "entity_id % 9 = 0"),
+    "mentions": ("fx_claim", "claim_id % 8 = 0"), "claims": ("fx_claim", "claim_id % 6 = 0"), "claim_vectors": ("embeddings", "vec_id % 17 = 0"),
+}
+
+
+@query("documents", "fx_chunk", "embeddings", "fx_entity", "fx_alias", "fx_claim", sql=" UNION ALL ".join(f"SELECT '{s}' AS store, count(DISTINCT {bad.split()[0]}) FILTER (WHERE NOT {bad}) AS n, count(*) - count(DISTINCT {bad.split()[0]}) FILTER (WHERE NOT {bad}) AS n_rejected FROM {t}" for s, (t, bad) in _SCANS.items()) + """
+UNION ALL SELECT 'aliases', count(*), (SELECT count(*) FROM fx_alias WHERE entity_id % 4 = 0) FROM fx_alias""")
+def sc9_store_scan(documents: DataFrame, fx_chunk: DataFrame, embeddings: DataFrame, fx_entity: DataFrame, fx_alias: DataFrame, fx_claim: DataFrame) -> DataFrame:
+    """All stores under their schemas, each with some rows that it cannot take: a missing value, no number, a short vector, a rule broken, a key twice."""
+    day, text = F.lit("2024-01-01 10:00:00"), F.lit("t")
+    claim = fx_claim.select(F.col("claim_id").alias("id"), F.col("page_id").cast("string").alias("page_id"), F.col("source_id").cast("string").alias("source_id"), "confidence", "valid_from", "valid_to", "superseded_by", day.alias("created"))
+    raw = {
+        "sources": documents.select(F.col("doc_id").alias("source_path"), F.when(F.col("doc_id") % 10 > 0, "h").alias("content_hash"), day.alias("indexed_at")),
+        "chunks": fx_chunk.select(F.col("chunk_id").alias("id"), F.col("source_no").alias("source_path"), F.lit("s").alias("source_slug"), F.when(F.col("chunk_id") % 11 == 0, "x").otherwise(F.col("section_no").cast("string")).alias("chunk_index"), text.alias("text"), F.lit(1).alias("char_count"), day.alias("created_at"), "page_title"),
+        "embeddings": embeddings.select(F.col("vec_id").alias("chunk_id"), F.when(F.col("vec_id") % 13 == 0, F.slice("embedding", 1, 3)).otherwise(F.col("embedding")).alias("embedding")),
+        "entities": fx_entity.select(F.col("entity_id").alias("id"), "canonical", F.when(F.col("entity_id") % 9 == 0, "planet").otherwise(F.col("type")).alias("type"), F.lit("").alias("description"), "page_id", day.alias("created"), day.alias("updated")),
+        "aliases": fx_alias.union(fx_alias.where("entity_id % 4 = 0")),
+        "mentions": claim.select("id", F.when(F.col("id") % 8 > 0, F.col("id")).alias("entity_id"), "page_id", F.lit("").alias("span"), "source_id", "created"),
+        "claims": claim.select("id", "page_id", text.alias("text"), "source_id", F.lit("").alias("source_span"), F.when(F.col("id") % 6 == 0, 1.5).otherwise(F.col("confidence")).alias("confidence"), "valid_from", "valid_to", "superseded_by", "created"),
+        "claim_vectors": embeddings.select(F.col("vec_id").alias("claim_id"), F.when(F.col("vec_id") % 17 > 0, F.col("embedding")).alias("embedding")),
+    }
+    out = None
+    for store, rows in raw.items():
+        one = stores.scanned(store, rows, 64).agg(F.lit(store).alias("store"), F.count_if(F.col("rejected").isNull()).alias("n"), F.count_if(F.col("rejected").isNotNull()).alias("n_rejected"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("fx_page", sql=f"SELECT 'topic-' || page_no::string || '.md' AS path, title, CASE WHEN page_no % 7 = 0 THEN 'misc' ELSE domain END AS domain, updated, CASE WHEN page_no % 7 = 0 THEN 'runbook' ELSE '' END AS tags FROM fx_page WHERE page_no % 4 > 0 AND page_no % 50 <> 1")
@@ -114,11 +135,6 @@ def sc6_log_scan(conversations: DataFrame) -> DataFrame:
     return rows.select(F.regexp_extract("description", r"(\d+)", 1).cast("long").alias("conv_id"), F.minute("ts").alias("n"), "operation", "description", F.size("pages").cast("long").alias("n_pages"))
 
 
-@query("events", sql="SELECT event_id, event_type FROM events WHERE ts::date = date '2024-01-10' AND event_type IN ('click', 'view')")
-def sc7_log_slice(events: DataFrame) -> DataFrame:
-    return events.where((F.col("ts").cast("date") == F.lit("2024-01-10").cast("date")) & F.col("event_type").isin("click", "view")).select("event_id", "event_type")
-
-
 @query("fx_page", sql="""
 SELECT page_no, ref FROM (SELECT page_no, CASE page_no % 3 WHEN 0 THEN slug WHEN 1 THEN id ELSE upper(title) || '!' END AS ref FROM fx_page)""")
 def sc8_resolve_page(fx_page: DataFrame) -> DataFrame:
@@ -134,6 +150,12 @@ def sc13_html_text(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", F.md5(files.html_text(F.col("html")).cast("binary")).alias("text"))
 
 
+@query("pages")
+def sc13_main_text(pages: DataFrame) -> DataFrame:
+    """The first tier: the element that holds the page's prose, character references decoded."""
+    return pages.select("page_id", web.html_main_text("html").alias("text"))
+
+
 @query("pages", sql="SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'youtube' WHEN 1 THEN 'tweet' WHEN 2 THEN 'reddit' WHEN 3 THEN 'web' WHEN 4 THEN 'pdf' ELSE 'local' END AS kind, CASE page_id % 6 WHEN 0 THEN 'dQw4w9WgXcQ' ELSE '' END AS video, CASE page_id % 6 WHEN 1 THEN page_id::string ELSE '' END AS tweet FROM pages")
 def sc17_dispatch(pages: DataFrame) -> DataFrame:
     n = F.col("page_id").cast("string")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import safety, text
 from ..operators import chunking, ranking
+from ..operators import knowledge as K
 from ..registry import query
 
 TOK = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')"
@@ -264,8 +265,8 @@ def sf10_requests(part: DataFrame) -> DataFrame:
 
 @query("fx_page", sql="""
 SELECT page_no, md5(regexp_replace(regexp_replace(body, '\\[\\[Topic (\\d+)\\]\\]', '[Topic \\1](/topic-\\1.md)', 'g'), '\\[\\[topic (\\d+)\\]\\]', '[topic \\1](/topic-\\1.md)', 'g')) AS text,
- len(list_filter(regexp_extract_all(body, '\\[\\[([^\\[\\]]+)\\]\\]', 1), x -> x <> 'Topic ' || page_no::string)) AS n_unresolved FROM fx_page""")
+ (SELECT count(*) FROM (SELECT unnest(regexp_extract_all(q.body, '\\[\\[([^\\[\\]]+)\\]\\]', 1)) AS t FROM fx_page q WHERE q.page_no = p.page_no) WHERE t NOT IN (SELECT title FROM fx_page)) AS n_unresolved FROM fx_page p""")
 def tx11_rewrite_links(fx_page: DataFrame) -> DataFrame:
-    """Each page knows its own title only: links to others keep the slug of their title and are listed."""
-    known = F.create_map(F.col("title"), F.col("slug"))
-    return fx_page.select("page_no", text.rewrite_links(F.col("body"), known).alias("r")).select("page_no", F.md5(F.col("r.text").cast("binary")).alias("text"), F.size("r.unresolved").cast("long").alias("n_unresolved"))
+    """Links of a page against the titles of all: those of no page keep the slug of their title and are listed."""
+    out = K.with_known_links(fx_page).select("page_no", text.rewrite_links(F.col("body"), F.col("known")).alias("r"))
+    return out.select("page_no", F.md5(F.col("r.text").cast("binary")).alias("text"), F.size("r.unresolved").cast("long").alias("n_unresolved"))

@@ -60,11 +60,16 @@ def a15_mean_score(documents: DataFrame) -> DataFrame:
     return ranking.hope_means(ranking.hope(chunks, ["doc_id"]).join(ranking.cohesion(chunks, ["doc_id"]), "doc_id"))
 
 
-@query("fx_page", sql="SELECT domain, round(avg(length(body)), 4) AS avg_chars, round(avg(len(regexp_extract_all(body, '\\[\\[([^\\[\\]]+)\\]\\]', 1))), 4) AS avg_links FROM fx_page GROUP BY domain")
-def a16_ingest_record(fx_page: DataFrame) -> DataFrame:
-    from ..functions.text import wikilinks
-
-    return fx_page.groupBy("domain").agg(F.round(F.avg(F.char_length("body")), 4).alias("avg_chars"), F.round(F.avg(F.size(wikilinks(F.col("body")))), 4).alias("avg_links"))
+@query("fx_page", "documents", sql="""
+WITH src AS (SELECT p.domain AS grp, d.doc_id AS id, left(d.text, 300) AS t FROM documents d JOIN fx_page p ON p.page_no = d.doc_id), tf AS (SELECT grp, id, term, count(*) AS tf FROM (SELECT grp, id, unnest(regexp_extract_all(lower(t), '[\\p{L}\\p{N}_]+')) AS term FROM src) GROUP BY ALL),
+nm AS (SELECT grp, id, sqrt(sum(tf * tf)::double) AS norm FROM tf GROUP BY ALL),
+p AS (SELECT a.grp, a.id AS a, b.id AS b FROM tf a JOIN tf b ON a.grp = b.grp AND a.term = b.term AND a.id < b.id JOIN nm na ON na.grp = a.grp AND na.id = a.id JOIN nm nb ON nb.grp = b.grp AND nb.id = b.id GROUP BY a.grp, a.id, b.id HAVING sum(a.tf * b.tf) / (any_value(na.norm) * any_value(nb.norm)) >= 0.7 - 1e-12),
+d AS (SELECT DISTINCT grp, id FROM (SELECT grp, a AS id FROM p UNION ALL SELECT grp, b FROM p)), r AS (SELECT s.grp AS domain, CASE WHEN count(*) < 2 THEN 0 ELSE round(count(d.id) / count(*)::double, 6) END AS idea_duplicate_rate FROM src s LEFT JOIN d ON d.grp = s.grp AND d.id = s.id GROUP BY s.grp)
+SELECT domain, round(avg(length(body)), 4) AS avg_chars, round(avg(len(regexp_extract_all(body, '\\[\\[([^\\[\\]]+)\\]\\]', 1))), 4) AS avg_links, any_value(idea_duplicate_rate)::double AS idea_duplicate_rate FROM fx_page JOIN r USING (domain) GROUP BY domain""")
+def a16_ingest_record(fx_page: DataFrame, documents: DataFrame) -> DataFrame:
+    """Domains stand for ingests; the beginnings of their documents are the ideas' summaries."""
+    ideas = documents.select(F.col("doc_id").alias("page_no"), F.left("text", F.lit(300)).alias("summary")).join(fx_page.select("page_no", "domain"), "page_no")
+    return usage.ingest_records(fx_page, ideas, "domain", "page_no")
 
 
 @query("events", sql="""
