@@ -6,7 +6,7 @@ shard a key stays where it is or moves to the new shard, as 1/(n+1) of the keys
 The published generator multiplies modulo 2^64; as SQL integers do not wrap, the state is held as two halves of
 32 bits and multiplied in limbs of 16, none of whose sums leaves 63 bits.
 
-Defined results: a null key is the key 0; a null text is the empty one (size 1, checksum 0). Equal rows share a
+Defined results: keys that are no integers are hashed to 64 bits; a null key is the key 0; a null text is the empty one (size 1, checksum 0). Equal rows share a
 shard and get slots of their own. An empty table gives no rows. Further columns stay as they are.
 """
 
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The multiplier of the published generator, in two halves of 32 bits.
 HIGH, LOW = 2862933555777941757 >> 32, 2862933555777941757 & 0xFFFFFFFF
@@ -58,23 +59,20 @@ def jump(key: Column, *n_shards: int) -> list[Column]:
 
 def shards(docs: DataFrame, n_shards: int = 8, key: str = "doc_id") -> DataFrame:
     """docs with size, text_crc32, law, shard, slot and grown_shard (columns of these names are replaced)."""
-    text = F.coalesce("text", F.lit("")).cast("binary")
-    here, grown = jump(F.coalesce(F.col(key).cast("long"), F.lit(0).cast("long")), n_shards, n_shards + 1)
-    out = docs.withColumns({"size": F.octet_length(text).cast("long") + 1, "text_crc32": F.crc32(text), "law": F.lit("key"), "shard": here, "grown_shard": grown})
+    added = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    names = {c: f"c{k}" for k, c in enumerate(docs.columns)}  # own names cannot clash
+    own = names[key]
+    number = F.col(own).cast("long") if isinstance(docs.schema[key].dataType, T.IntegralType) else F.when(F.col(own).isNotNull(), F.xxhash64(own))
+    text = F.coalesce(names["text"], F.lit("")).cast("binary")
+    here, grown = jump(F.coalesce(number, F.lit(0).cast("long")), n_shards, n_shards + 1)
+    out = docs.toDF(*names.values()).withColumns({"size": F.octet_length(text).cast("long") + 1, "text_crc32": F.crc32(text), "law": F.lit("key"), "shard": here, "grown_shard": grown})
     # slots: numbered within pieces of a shard, so that a shard is never sorted in one task
     pieces = max(PIECES, docs.count() // (n_shards * PIECE_ROWS))
-    piece = F.pmod(F.xxhash64(F.lit("slot"), key, "text_crc32"), F.lit(pieces)).cast("int")
+    piece = F.pmod(F.xxhash64(F.lit("slot"), own, "text_crc32"), F.lit(pieces)).cast("int")
     out = out.withColumn("_piece", piece)
     counts = out.groupBy("shard", "_piece").agg(F.count("*").alias("_n"))  # n_shards x pieces rows at most
     before = counts.select("shard", "_piece", (F.sum("_n").over(Window.partitionBy("shard").orderBy("_piece").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("shard", "_piece").orderBy(key, "text_crc32", "size")) - 1
+    inside = F.row_number().over(Window.partitionBy("shard", "_piece").orderBy(own, "text_crc32", "size")) - 1
     out = out.withColumn("_inside", inside).join(F.broadcast(before) if n_shards * pieces <= 1 << 19 else before, ["shard", "_piece"])
     slot = (F.col("_before") + F.col("_inside")).cast("long").alias("slot")
-    added = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
-    return out.select(*[c for c in docs.columns if c not in added], "size", "text_crc32", "law", "shard", slot, "grown_shard")
-
-
-def rows_moved(sharded: DataFrame) -> DataFrame:
-    """How many rows one more shard would move: n_rows, n_moved."""
-    moved = (F.col("shard") != F.col("grown_shard")).cast("long")
-    return sharded.agg(F.count("*").alias("n_rows"), F.coalesce(F.sum(moved), F.lit(0)).alias("n_moved"))
+    return out.select(*[F.col(n).alias(c) for c, n in names.items() if c not in added], "size", "text_crc32", "law", "shard", slot, "grown_shard")

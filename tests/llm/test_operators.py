@@ -355,6 +355,17 @@ def test_sharding(spark, texts):
         assert own == list(range(len(own))) and len(own) > 80
 
 
+def test_sharding_of_any_key(spark):
+    """Keys that are no integers are hashed; one more shard takes rows only into itself; clashing names stay."""
+    made = [(f"k{k}", "t", "b", "p", "n") for k in range(3000)] + [(None, "t", "b", "p", "n")]
+    df = spark.createDataFrame(made, "name string, text string, _before string, _piece string, _n string")
+    out = rows(sharding.shards(df, key="name"))
+    assert len(out) == 3001 and all((r["_before"], r["_piece"], r["_n"]) == ("b", "p", "n") for r in out)
+    sizes = Counter(r["shard"] for r in out)
+    assert set(sizes) == set(range(8)) and max(sizes.values()) < 1.3 * 3001 / 8
+    assert all(r["grown_shard"] in (r["shard"], 8) for r in out) and 200 < sum(r["grown_shard"] == 8 for r in out) < 500
+
+
 def test_sharding_edges(spark, odd, empty):
     out = rows(sharding.shards(odd))
     assert len(out) == len(ODD) and {r["text_crc32"] for r in out if r["doc_id"] in (1, 2)} == {0}
@@ -437,6 +448,14 @@ def test_wrapper_finds_region_without_article():
         assert html_wrappers.extract_text(page, json.dumps(wrapper)) == "\n".join(want) == html_wrappers.extract_text(page, None)
 
 
+def test_html_of_a_host_with_one_page(spark):
+    """Adverts and comments go where nothing but their names tells them apart; other columns stay as they are."""
+    page = '<html><body><nav>Home</nav><article><h1>Title</h1><p>Text of the page.</p><div class="ad">Buy now</div><p>More text.</p><div class="comments"><p>First!</p></div></article></body></html>'
+    df = spark.createDataFrame([(1, "https://one/a", page, "x", "y", "z")], "page_id long, url string, html string, _key string, _wrapper string, text string")
+    out = rows(html_wrappers.extract(df))
+    assert [(r["text"], r["_key"], r["_wrapper"]) for r in out] == [("Title\nText of the page.\nMore text.", "x", "y")]
+
+
 def test_html_edges(spark):
     made = [(1, None, None), (2, "", ""), (3, "http://a/b", None), (4, "http://a/c", "plain text"), (5, "x", "<p>a<b"), (6, "http://a/d", "<p>1 < 2 &lt;3 &#65;&bogus;<script>x"), (6, "http://a/d", "<p>1 < 2 &lt;3 &#65;&bogus;<script>x"), (7, "HTTP://A/e", "<p>" * 30000 + "deep")]
     df = spark.createDataFrame([(*r, "x") for r in made], "page_id long, url string, html string, text string")
