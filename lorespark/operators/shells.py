@@ -96,6 +96,16 @@ def run_suites(spark: SparkSession, suites: dict[str, Callable[[], DataFrame]],
     return spark.createDataFrame(rows, "suite string, status string, score double, grade string, note string")
 
 
+def evaluated(cases: DataFrame, problems: Column, run: Callable[[DataFrame], DataFrame], grade: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """The evaluator's steps: validate, run, grade. Gives the grade of sound cases and the cases turned away, with their problems.
+
+    problems: an array of what is wrong with a case, as the request checks give it. A case that is turned away is not run.
+    """
+    checked = cases.withColumn("problems", problems)
+    bad = checked.where(F.size("problems") > 0)
+    return grade(run(checked.where(F.size("problems") == 0).drop("problems"))), bad
+
+
 def search_ranks(cases: DataFrame, pages: DataFrame, k: int = 5) -> DataFrame:
     """(case_id, rank): the rank of each case's page among all by the two-factor score of its words, null beyond k.
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -63,6 +64,24 @@ def answered(df: DataFrame, prompt: str, attempts: list[tuple[str, Ask]], name:
     return df.mapInPandas(each, schema)
 
 
+@dataclass(frozen=True)
+class Provider:
+    """A source of model calls: its name, whether it serves a model, and how it is asked; what it cannot serve it passes on."""
+
+    name: str
+    serves: Callable[[str], bool]
+    call: Callable[[str, str], str]
+
+    def ask(self, model: str) -> Ask:
+        return lambda prompt: self.call(model, prompt)
+
+
+def attempts_of(models: list[str], providers: list[Provider]) -> list[tuple[str, Ask]]:
+    """For `answered`: each model in order, by the first provider that serves it; models that none serves are left out."""
+    found = ((m, next((p for p in providers if p.serves(m)), None)) for m in models)
+    return [(m, p.ask(m)) for m, p in found if p is not None]
+
+
 def attempt_order(tasks: DataFrame, routes: DataFrame, models: DataFrame, reserve: int = 2048) -> DataFrame:
     """(task_id, nth, model): usable models of each task in order: keyed, and with room for the prompt."""
     from pyspark.sql import Window

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import parse_decision
 from ..operators import ideas as I
 from ..operators import questions as Q
-from ..operators import rendering, usage
+from ..operators import introspection, rendering, usage
 from ..registry import query
 from .external import MODELS, costs, ledger
 
@@ -116,3 +116,16 @@ def sc7_log_slice(events: DataFrame) -> DataFrame:
         one = rows.select(F.lit(name).alias("slice"), "event_id")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+@query("events", "fx_page", sql="""
+WITH e AS (SELECT ts::date AS day, event_id, ts FROM events), d AS (SELECT max(day) AS last FROM e), n AS (SELECT day, count(*) AS n FROM e GROUP BY day)
+SELECT day, CASE WHEN day = last THEN 'saved' ELSE 'said ' || n::string END AS summary, day = last AS cached FROM n, d UNION ALL SELECT (last + 1)::date, 'said 0', false FROM d""")
+def in_daily(events: DataFrame, fx_page: DataFrame) -> DataFrame:
+    """Every day of the log and the day after; the last is saved already. The stand-in for the model counts the entries it is shown."""
+    log = events.select("ts", F.lit("query").alias("operation"), F.concat(F.lit("event "), F.col("event_id").cast("string")).alias("description"), F.array(F.concat(F.lit("page "), (F.col("user_id") % 5).cast("string"))).alias("pages"))
+    days = events.select(F.to_date("ts").alias("day")).distinct()
+    last = days.agg(F.max("day").alias("day"))
+    days = days.union(last.select(F.date_add("day", 1)))
+    counted = F.concat(F.lit("said "), F.regexp_count("prompt", F.lit(r"(?m)^- \[")).cast("string"))
+    return introspection.daily(days, log, fx_page, lambda rows: rows.withColumn("reply", counted), last.withColumn("summary", F.lit("saved")))

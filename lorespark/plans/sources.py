@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..fixtures import AS_OF
 from ..operators import rendering, stores
 from ..registry import query
-from ..sources import files, web
+from ..sources import files, social, web
 
 
 def _wiki_files(fx_page: DataFrame) -> DataFrame:
@@ -264,3 +264,35 @@ def sk21_conformance(fx_page: DataFrame) -> DataFrame:
     """The exported bundle, a fifth of its concepts without their type."""
     out = files.export_concepts(fx_page)
     return files.conformance(out.withColumn("content", F.when(F.col("page_no") % 5 == 0, F.regexp_replace("content", r"(?m)^type: .*\n", "")).otherwise(F.col("content"))))
+
+
+@query("documents", sql="""
+SELECT doc_id, md5('[Tweet by @u' || doc_id::string || CASE WHEN doc_id % 2 = 0 THEN ' (Name)' ELSE '' END || ']' || chr(10) || chr(10) || 'see https://x/' || doc_id::string || ' now'
+ || CASE WHEN doc_id % 3 = 0 THEN chr(10) || chr(10) || 'Article: Long' || chr(10) || chr(10) || 'preview' ELSE '' END || CASE WHEN doc_id % 5 = 0 THEN chr(10) || chr(10) || 'In reply to @p: parent' ELSE '' END
+ || CASE WHEN doc_id % 7 = 0 THEN chr(10) || chr(10) || 'Quoting quoted' ELSE '' END || CASE WHEN doc_id % 11 = 0 THEN chr(10) || chr(10) || 'Image: a' || chr(10) || chr(10) || 'Image: b' ELSE '' END) AS text FROM documents""")
+def sc15_tweet_text(documents: DataFrame) -> DataFrame:
+    """Payloads with and without name, article, parent, quoted post and images."""
+    n, no = F.col("doc_id"), F.col("doc_id").cast("string")
+    who = lambda handle, name=None: F.struct(handle.alias("screen_name"), (F.lit(None).cast("string") if name is None else name).alias("name"))
+    payload = F.to_json(F.struct(
+        F.lit("  see t.co/x now ").alias("text"), who(F.concat(F.lit("u"), no), F.when(n % 2 == 0, "Name")).alias("user"),
+        F.struct(F.array(F.struct(F.lit("t.co/x").alias("url"), F.concat(F.lit("https://x/"), no).alias("expanded_url")), F.struct(F.lit("now").alias("url"), F.lit(None).cast("string").alias("expanded_url"))).alias("urls")).alias("entities"),
+        F.when(n % 3 == 0, F.struct(F.lit("Long").alias("title"), F.lit("preview ").alias("preview_text"))).alias("article"), F.when(n % 5 == 0, F.struct(F.lit("parent").alias("text"), who(F.lit("p")).alias("user"))).alias("parent"),
+        F.when(n % 7 == 0, F.struct(F.lit("quoted").alias("text"))).alias("quoted_tweet"), F.when(n % 11 == 0, F.array(*[F.struct(F.lit(a).alias("ext_alt_text")) for a in ("a", " ", "b")])).alias("mediaDetails"),
+    ))
+    return documents.select("doc_id", F.md5(social.tweet_text(payload).cast("binary")).alias("text"))
+
+
+@query("documents", sql="""
+SELECT doc_id, md5('[YouTube Video — ID: v' || doc_id::string || ']' || CASE WHEN doc_id % 2 = 0 THEN chr(10) || 'Title: T' ELSE '' END || CASE WHEN doc_id % 3 = 0 THEN chr(10) || 'Channel: C  |  Published: 2024-01-31  |  Duration: 1:01:05' ELSE '' END
+ || chr(10) || chr(10) || 'Description:' || chr(10) || left(t, 1500) || CASE WHEN length(t) > 1500 THEN '...' ELSE '' END || CASE WHEN doc_id % 5 = 0 THEN chr(10) || chr(10) || 'Chapters:' || chr(10) || '0:00  Start' || chr(10) || '2:05  End' ELSE '' END
+ || chr(10) || chr(10) || 'Transcript:' || chr(10) || 'said') AS text FROM (SELECT doc_id, 'about ' || repeat('word ', (doc_id % 400)::int) || 'end' AS t FROM documents)""")
+def sc14_video_text(documents: DataFrame) -> DataFrame:
+    n, no = F.col("doc_id"), F.col("doc_id").cast("string")
+    third = lambda v: F.when(n % 3 == 0, v)
+    info = F.to_json(F.struct(
+        F.when(n % 2 == 0, "T").alias("title"), third("").alias("uploader"), third("C").alias("channel"), third("20240131").alias("upload_date"), third(3665.9).alias("duration"),
+        F.concat(F.lit("\nabout "), F.repeat(F.lit("word "), (n % 400).cast("int")), F.lit("end ")).alias("description"),
+        F.when(n % 5 == 0, F.array(F.struct(F.lit(0).alias("start_time"), F.lit("Start").alias("title")), F.struct(F.lit(125).alias("start_time"), F.lit("End").alias("title")))).alias("chapters"),
+    ))
+    return documents.select("doc_id", F.md5(social.video_text(info, F.concat(F.lit("v"), no), F.lit("said")).cast("binary")).alias("text"))

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lorespark.functions.text import parse_decision
-from lorespark.operators import ideas, questions, rendering, websearch
-from lorespark.plans.external import MODELS, answered, attempted, costs, ledger
-from lorespark.sources import web
+from lorespark.operators import ideas, introspection, questions, rendering, websearch
+from lorespark.operators.shells import evaluated
+from lorespark.plans.external import MODELS, Provider, answered, attempted, attempts_of, costs, ledger
+from lorespark.sources import social, web
 
 A = {"title": "Transformer Architecture", "summary": "An encoder and a decoder.", "evidence": ["attention"], "importance": 5, "main_thesis": True, "tags": ["ml"], "domain": "tech", "source_span": "one two"}
 B = {"title": "Multi-Head Attention", "summary": "Heads in parallel.", "evidence": ["jointly"], "importance": 4, "tags": ["ml"], "domain": "tech"}
@@ -239,3 +240,62 @@ def test_keywords_of_a_page(spark):
     pages = spark.createDataFrame([(1, "b b b c c a a x the the the " + " ".join(f"w{k}" for k in range(20)) + " zz zz yy yy"), (2, ""), (3, "the of and")], "id long, text string")
     got = {r.id: r.keywords for r in websearch.page_keywords(pages, "id", "text").collect()}
     assert got == {1: "w0 w1 w10 w11 w12"}  # single letters are no words; the commonest are yy and zz, then by alphabet
+
+
+def test_models_go_to_the_first_provider_that_serves_them(spark):
+    def local(model, prompt):
+        raise RuntimeError("not running")
+
+    providers = [Provider("local", lambda m: m.startswith("l-"), local), Provider("cloud", lambda m: m.startswith(("l-", "c-")), lambda m, p: f"{m}: {p}")]
+    attempts = attempts_of(["l-1", "none", "c-2"], providers)
+    assert [m for m, _ in attempts] == ["l-1", "c-2"]
+    df = spark.createDataFrame([("hi",)], "text string")
+    assert tuple(answered(df, "text", attempts).select("reply", "model").first()) == ("c-2: hi", "c-2")
+
+
+def test_cases_are_validated_run_and_graded(spark):
+    cases = spark.createDataFrame([(1, "what is it"), (2, ""), (3, "why")], "case_id long, question string")
+    ran = spark.sparkContext.accumulator(0)
+
+    @F.udf(T.DoubleType())
+    def score(q):
+        ran.add(1)
+        return float(len(q))
+
+    problems = F.filter(F.array(F.when(F.col("question") == "", "empty")), lambda x: x.isNotNull())
+    graded, bad = evaluated(cases, problems, lambda rows: rows.withColumn("score", score("question")), lambda rows: rows.agg(F.avg("score").alias("mean"), F.count("*").alias("n")))
+    assert tuple(graded.first()) == (6.5, 2) and ran.value == 2
+    assert [(r.case_id, r.problems) for r in bad.collect()] == [(2, ["empty"])]
+
+
+def test_posts_without_content_are_empty(spark):
+    df = spark.createDataFrame([("{}",), ('{"text": "  "}',), ("none",), (None,), ('{"article": {"title": "A"}}',)], "p string")
+    assert [r[0] for r in df.select(social.tweet_text(F.col("p"))).collect()] == ["", "", "", "", "[Tweet]\n\nArticle: A"]
+    plain = df.select(social.video_text(F.lit(None).cast("string"), F.lit("v"), F.lit("t"))).first()[0]
+    assert plain == "[YouTube Video — ID: v]\n\nTranscript:\nt"
+
+
+def test_days_are_summarised_once(spark):
+    calls = spark.sparkContext.accumulator(0)
+    log = spark.createDataFrame([("2024-01-02 10:05:00", "ingest", "b", ["P2", "P1"]), ("2024-01-02 09:00:00", "query", "a", ["P1"]), ("2024-01-03 09:00:00", "query", "c", [])], "ts string, operation string, description string, pages array<string>").withColumn("ts", F.to_timestamp("ts"))
+    pages = spark.createDataFrame([("Old", "2023-01-01"), ("New", "2024-01-01")], "title string, updated string").withColumn("updated", F.to_date("updated"))
+    days = spark.createDataFrame([("2024-01-02",), ("2024-01-03",), ("2024-01-04",)], "day string").select(F.to_date("day").alias("day"))
+    seen = {str(r.day): (r.prompt, r.summary) for r in introspection.day_prompts(days, log, pages).collect()}
+    assert seen["2024-01-02"][0] == "Log entries for today:\n- [09:00] query: a\n- [10:05] ingest: b\n\nPages touched: P1, P2"
+    assert seen["2024-01-04"][0].startswith("No log entries for 2024-01-04.\n\nHere are the most recently updated wiki pages:\n- New\n- Old\n\nWrite a brief overview")
+    bare = introspection.day_prompts(days, log, pages.where("false")).where("day = '2024-01-04'").first()
+    assert bare.prompt is None and bare.summary == "No activity recorded for 2024-01-04 and no wiki pages found yet."
+    saved = days.where("day = '2024-01-03'").withColumn("summary", F.lit("kept"))
+    got = {str(r.day): (r.summary, r.cached) for r in introspection.daily(days, log, pages, replying(calls, lambda p: "said"), saved).collect()}
+    assert got == {"2024-01-02": ("said", False), "2024-01-03": ("kept", True), "2024-01-04": ("said", False)} and calls.value == 2
+    made = introspection.daily_pages(saved, spark.createDataFrame([("2024-01-03", "P", "old")], "day string, page_title string, reason string").withColumn("day", F.to_date("day")), "10:00").first()
+    assert made.title == "Daily Summary 2024-01-03 till 10:00" and made.body == "# Daily Summary — 2024-01-03 till 10:00\n\nkept\n\n## Reading Suggestions\n\n- [[P]] — old"
+    assert [r.title for r in introspection.quiz_pages(pages.withColumn("body", F.lit("b")), 1).collect()] == ["New"]
+
+
+def test_digests_that_cannot_be_read_say_so(spark):
+    good = '```json\n{"themes": [{"theme": "T", "pages": ["a"]}, {"theme": ""}], "serendipity": "s"}\n```'
+    df = spark.createDataFrame([(good,), ("no JSON",), (None,)], "reply string")
+    got = [r.d for r in df.select(introspection.digest_of(F.col("reply")).alias("d")).collect()]
+    assert [(t.theme, t.pages, t.insight) for t in got[0].themes] == [("T", ["a"], "")] and got[0].serendipity == "s" and got[0].knowledge_gaps == []
+    assert got[1].themes == [] and got[1].serendipity == got[2].serendipity == introspection.UNREADABLE
