@@ -70,7 +70,14 @@ class Workspace:
 
     def drop(self, df: DataFrame) -> None:
         """Removes a table that nothing reads any more."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(df._lorespark_path)
+        self._remove(df._lorespark_path)
+
+    def clear(self) -> None:
+        """Removes all tables of this call; nothing may read them any more."""
+        self._remove(self.root)
+
+    def _remove(self, path: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

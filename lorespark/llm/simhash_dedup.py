@@ -14,7 +14,9 @@ texts of Jaccard similarity s differ in about acos(2s / (1 + s)) / pi of the bit
 most the 97.5 % quantile of what texts of the similarity asked for differ in, and whose numbers of distinct shingles are
 no further apart than that similarity allows. Candidates come from 24 segments of 28 bits.
 A bit that few shingles decide is the likelier to differ, so a segment's ball is enumerated over its `UNSURE` least sure
-bits, the `PROBES` likeliest values of it, its own first. That is a filter with a recall below one, the higher the more alike
+bits, the `PROBES` likeliest values of it, its own first. What shares a value of the first `FIRST` segments is linked first; what then
+would find only members of its own component tells nothing new, and is left out, so that groups of near copies do not meet in
+every segment. The ball is a filter with a recall below one, the higher the more alike
 texts are: tests hold it to 0.9 of pairs at the similarity asked for, and the README has it measured.
 
 Defined results: a text without words has fingerprint 0 and links like any other; fewer words than a shingle are one
@@ -38,6 +40,8 @@ SHINGLE, SEED, MAX_BITS = 3, 42, 3
 N_SEGMENTS = 2
 WIDE_SHINGLE, WIDE_BITS, WIDE_SEGMENTS, WIDTH = 5, 1024, 24, 28
 UNSURE, PROBES = 4, 12
+#: Segments whose own values link first; the others are only looked at where components still differ.
+FIRST = 8
 BLOCK = 1024
 
 
@@ -162,16 +166,20 @@ def links(work: Workspace, fps: DataFrame, max_bits: int = MAX_BITS, n_segments:
     table = fps.select("fp", F.posexplode(F.array(*piece)).alias("seg", "value"))
     masks = F.array(*[F.lit(m).cast("long") for m in _masks(width, max_bits // n_segments)])
     probes = table.withColumn("mask", F.explode(masks)).select("seg", F.col("value").bitwiseXOR(F.col("mask")).alias("value"), "fp")
-    return _links(work, table, probes, ["seg", "value"], None, max_bits)
+    owners = table.groupBy("seg", "value").agg(F.count("*").alias("n"))
+    hits = work.table(probes.join(owners.select("seg", "value"), ["seg", "value"]))
+    busy = hits.select("seg", "value").union(owners.where("n > 1").select("seg", "value")).distinct()
+    return _met(table, hits, busy, ["seg", "value"], None, max_bits)
 
 
-def _links(work: Workspace, table: DataFrame, probes: DataFrame, keys: list[str], wide: DataFrame | None, max_bits: int, similarity: float = 0.0) -> DataFrame:
-    """table and probes: (keys, fp), the values that are and those that are looked up. Both carry names alone; wide (fp, wide, size) joins what has met."""
-    owners = table.groupBy(*keys).agg(F.count("*").alias("n"))
-    hits = work.table(probes.join(owners.select(*keys), keys))
-    busy = hits.select(*keys).union(owners.where("n > 1").select(*keys)).distinct()
+def _met(table: DataFrame, hits: DataFrame | None, busy: DataFrame, keys: list[str], wide: DataFrame | None, max_bits: int, similarity: float = 0.0) -> DataFrame:
+    """Edges of what meets in the busy values: table and hits are (keys, fp), the values that are and those that were looked up.
+
+    Both carry names alone; wide (fp, wide, size) joins what has met.
+    """
     rows = table.join(busy, keys, "left_semi").select(*keys, "fp", F.lit(True).alias("owner"))
-    rows = rows.union(hits.select(*keys, "fp", F.lit(False)))
+    if hits is not None:
+        rows = rows.union(hits.select(*keys, "fp", F.lit(False)))
     if wide is not None:
         rows = rows.join(wide, "fp")
     dealt = block_pairs(rows, keys, "fp", BLOCK)
@@ -186,9 +194,9 @@ def _grouped(work: Workspace, marked: DataFrame, fps: DataFrame, edges: DataFram
     return marked.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SHINGLE) -> DataFrame:
+def near_duplicates(spark: SparkSession, docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SHINGLE, work: Workspace | None = None) -> DataFrame:
     """A row per row of docs: doc_id, fp, component_id (smallest doc_id of its group)."""
-    work = Workspace(spark, "simhash")
+    work = work or Workspace(spark, "simhash")
     marked = work.table(with_fingerprint(docs.select("doc_id", "text"), shingle).select("doc_id", "fp"))
     fps = work.table(marked.groupBy("fp").agg(F.min("doc_id").alias("low_id")))
     return _grouped(work, marked, fps, links(work, fps, max_bits))
@@ -200,16 +208,26 @@ def wide_distance(similarity: float, sure: float = 1.96) -> int:
     return int(WIDE_BITS * p + sure * np.sqrt(WIDE_BITS * p * (1 - p)))
 
 
-def similar(spark: SparkSession, docs: DataFrame, similarity: float = 0.8, shingle: int = WIDE_SHINGLE) -> DataFrame:
+def similar(spark: SparkSession, docs: DataFrame, similarity: float = 0.8, shingle: int = WIDE_SHINGLE, work: Workspace | None = None) -> DataFrame:
     """As near_duplicates, by wide fingerprints; fp names one."""
-    work = Workspace(spark, "simhash-wide")
+    work = work or Workspace(spark, "simhash-wide")
     marked = work.table(with_wide(docs.select("doc_id", "text"), shingle).select("doc_id", "fp", "wide", "size", "probes"))
     fps = work.table(marked.groupBy("fp").agg(F.min("doc_id").alias("low_id"), F.first("wide").alias("wide"), F.first("size").alias("size"), F.first("probes").alias("probes")))
+    wide, bits = fps.select("fp", "wide", "size"), wide_distance(similarity)
     own = F.filter("probes", lambda v, k: k % PROBES == 0)
     table = fps.select("fp", F.explode(own).alias("value"))
-    probes = fps.select("fp", F.explode(F.array_except("probes", own)).alias("value"))
-    edges = _links(work, table, probes, ["value"], fps.select("fp", "wide", "size"), wide_distance(similarity), similarity)
-    return _grouped(work, marked.select("doc_id", "fp"), fps.select("fp", "low_id"), edges)
+    early = table.where(F.shiftright("value", WIDTH) < FIRST)
+    shared = early.groupBy("value").agg(F.count("*").alias("n")).where("n > 1").select("value")
+    first = work.table(_met(early, None, shared, ["value"], wide, bits, similarity))
+    group = components(work, first).withColumnRenamed("node", "fp")
+    named = work.table(fps.join(group, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"), "probes"))
+    owners = named.select("component", F.explode(own).alias("value")).groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    probes = named.select("fp", "component", F.explode(F.array_except("probes", own)).alias("value"))
+    new = (F.col("low") != F.col("component")) | (F.col("high") != F.col("component"))
+    hits = work.table(probes.join(owners, "value").where(new).select("value", "fp"))
+    mixed = owners.where((F.col("low") != F.col("high")) & (F.shiftright("value", WIDTH) >= FIRST))
+    more = _met(table, hits, hits.select("value").union(mixed.select("value")).distinct(), ["value"], wide, bits, similarity)
+    return _grouped(work, marked.select("doc_id", "fp"), fps.select("fp", "low_id"), first.union(more))
 
 
 def drop_duplicates(spark: SparkSession, docs: DataFrame, similarity: float | None = None, **how: int) -> DataFrame:
@@ -218,8 +236,10 @@ def drop_duplicates(spark: SparkSession, docs: DataFrame, similarity: float | No
     Groups are those of `similar` if a similarity is given, else of near_duplicates. Rows without doc_id stay only if
     their group has no other.
     """
-    grouped = near_duplicates(spark, docs, **how) if similarity is None else similar(spark, docs, similarity, **how)
-    grouped = Workspace(spark, "simhash-groups").table(grouped)  # read twice
+    work = Workspace(spark, "simhash-groups-of")
+    grouped = near_duplicates(spark, docs, work=work, **how) if similarity is None else similar(spark, docs, similarity, work=work, **how)
+    grouped = Workspace(spark, "simhash-groups").table(grouped)
+    work.clear()
     groups = grouped.where("doc_id = component_id").select("doc_id").distinct()
     kept = docs.join(groups, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     if not docs.where("doc_id IS NULL").head(1):
