@@ -723,6 +723,17 @@ def test_licenses_within_texts(spark):
     assert all(got[k] == plain_scan(t) for k, t in made)
 
 
+def test_licence_files_by_how_they_open(spark):
+    """The beginning of a licence file, laid out as its publisher does, with a body of other words after it."""
+    gpl = "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>\n Everyone is permitted to copy and distribute verbatim copies\n of this license document, but changing it is not allowed.\n\n                            Preamble\n\n  The GNU General Public License is a free, copyleft license for\nsoftware and other kinds of works.\n"
+    apache = "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n\n   1. Definitions.\n"
+    mpl = "Mozilla Public License Version 2.0\n==================================\n\n1. Definitions\n--------------\n\n1.1. \"Contributor\"\n    means each individual or legal entity that creates, contributes to\n    the creation of, or owns Covered Software.\n"
+    body = "\n".join(" ".join(f"word{k}x{j}" for j in range(9)) for k in range(200))
+    made = [(k, t + "\n" + body) for k, t in enumerate((gpl, apache, mpl, gpl.replace("GENERAL", "LESSER GENERAL", 1)))] + [(9, body)]
+    got = {r.doc_id: r.license for r in license_scan.scan(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    assert (got[0], got[1], got[2], got[9]) == ("GPL-3.0", "Apache-2.0", "MPL-2.0", None) and got[3] in ("GPL-3.0", "LGPL-3.0")
+
+
 # pieces grow with the rows
 
 
