@@ -14,9 +14,9 @@ texts of Jaccard similarity s differ in about acos(2s / (1 + s)) / pi of the bit
 most the 97.5 % quantile of what texts of the similarity asked for differ in, and whose numbers of distinct shingles are
 no further apart than that similarity allows. Candidates come from 24 segments of 28 bits.
 A bit that few shingles decide is the likelier to differ, so a segment's ball is enumerated over its `UNSURE` least sure
-bits, the `PROBES` likeliest values of it, its own first. What shares a value of the first `FIRST` segments is linked first; what then
-would find only members of its own component tells nothing new, and is left out, so that groups of near copies do not meet in
-every segment. The ball is a filter with a recall below one, the higher the more alike
+bits, the `PROBES` likeliest values of it, its own first. What shares a value of its own is linked first; a probe that then
+finds only members of its own component would tell nothing new, and is left out, so that groups of near copies do not look each
+other up once more. The ball is a filter with a recall below one, the higher the more alike
 texts are: tests hold it to 0.9 of pairs at the similarity asked for, and the README has it measured.
 
 Defined results: a text without words has fingerprint 0 and links like any other; fewer words than a shingle are one
@@ -40,8 +40,6 @@ SHINGLE, SEED, MAX_BITS = 3, 42, 3
 N_SEGMENTS = 2
 WIDE_SHINGLE, WIDE_BITS, WIDE_SEGMENTS, WIDTH = 5, 1024, 24, 28
 UNSURE, PROBES = 4, 12
-#: Segments whose own values link first; the others are only looked at where components still differ.
-FIRST = 8
 BLOCK = 1024
 
 
@@ -216,17 +214,15 @@ def similar(spark: SparkSession, docs: DataFrame, similarity: float = 0.8, shing
     wide, bits = fps.select("fp", "wide", "size"), wide_distance(similarity)
     own = F.filter("probes", lambda v, k: k % PROBES == 0)
     table = fps.select("fp", F.explode(own).alias("value"))
-    early = table.where(F.shiftright("value", WIDTH) < FIRST)
-    shared = early.groupBy("value").agg(F.count("*").alias("n")).where("n > 1").select("value")
-    first = work.table(_met(early, None, shared, ["value"], wide, bits, similarity))
+    shared = table.groupBy("value").agg(F.count("*").alias("n")).where("n > 1").select("value")
+    first = work.table(_met(table, None, shared, ["value"], wide, bits, similarity))
     group = components(work, first).withColumnRenamed("node", "fp")
     named = work.table(fps.join(group, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"), "probes"))
     owners = named.select("component", F.explode(own).alias("value")).groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     probes = named.select("fp", "component", F.explode(F.array_except("probes", own)).alias("value"))
     new = (F.col("low") != F.col("component")) | (F.col("high") != F.col("component"))
     hits = work.table(probes.join(owners, "value").where(new).select("value", "fp"))
-    mixed = owners.where((F.col("low") != F.col("high")) & (F.shiftright("value", WIDTH) >= FIRST))
-    more = _met(table, hits, hits.select("value").union(mixed.select("value")).distinct(), ["value"], wide, bits, similarity)
+    more = _met(table, hits, hits.select("value").distinct(), ["value"], wide, bits, similarity)
     return _grouped(work, marked.select("doc_id", "fp"), fps.select("fp", "low_id"), first.union(more))
 
 
