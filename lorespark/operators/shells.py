@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import ascii_fold, parse_json_list, words
 from .knowledge import link_rows
-from .ranking import partial_ratio
+from .ranking import near_part
 
 ENTITY_TYPES = "person project system organization concept".split()
 SEED_LINKED, SEED_BROKEN = "tier1-wikilink", "tier1-broken-link"
@@ -20,17 +20,18 @@ SEED_LINKED, SEED_BROKEN = "tier1-wikilink", "tier1-broken-link"
 @F.pandas_udf(T.BooleanType())
 def _grounded(name: pd.Series, span: pd.Series, source: pd.Series) -> pd.Series:
     """Name or span is in the source, or near a passage of it."""
-    return pd.Series([any(x and partial_ratio(x, s or "") >= 80 for x in (n, p)) for n, p, s in zip(name, span, source, strict=True)], dtype=bool)
+    return pd.Series([any(x and near_part(x, s or "", 80) for x in (n, p)) for n, p, s in zip(name, span, source, strict=True)], dtype=bool)
 
 
-def extracted_entities(replies: DataFrame, key: str, most: int = 20, limit: int = 8000) -> DataFrame:
+def extracted_entities(replies: DataFrame, key: str, most: int = 20, limit: int | None = 8000) -> DataFrame:
     """(key, pos, name, type, description, span) of rows (key, text, reply).
 
-    Known types only, grounded in the first `limit` characters of the text (what the model was shown), the first of
-    equal names without case, at most `most` a text.
+    Known types only, grounded in the first `limit` characters of the text (what the model was shown; None: all of it),
+    the first of equal names without case, at most `most` a text.
     """
     items = parse_json_list(F.col("reply"), "struct<name:string,type:string,description:string,span:string>")
-    shown = F.lower(F.left(F.btrim("text", F.lit(" \t\n\r\f\x0b")), F.lit(limit)))
+    trimmed = F.btrim("text", F.lit(" \t\n\r\f\x0b"))
+    shown = F.lower(trimmed if limit is None else F.left(trimmed, F.lit(limit)))
     rows = replies.select(key, shown.alias("shown"), F.posexplode(items).alias("pos", "x"))
     kind, name = F.lower(F.trim("x.type")), F.array_join(words(F.col("x.name")), " ")
     sound = rows.withColumns({"type": kind, "name": name}).where(F.col("type").isin(*ENTITY_TYPES) & (F.col("name") != ""))
