@@ -119,10 +119,10 @@ def sk4_log_append(conversations: DataFrame) -> DataFrame:
 
 @query("fx_index", sql="SELECT pos, title, summary_md5, n AS source_count, category FROM (SELECT pos::int AS pos, title, md5(trim(regexp_replace(summary, '[\\n\\r—()\\[\\]]', ' ', 'g'), ' ')) AS summary_md5, (pos % 3)::int AS n, CASE WHEN pos % 2 = 0 THEN 'tech' ELSE 'misc' END AS category FROM fx_index)")
 def sc5_index_scan(fx_index: DataFrame) -> DataFrame:
-    """Entries rendered to two index pages and read again."""
+    """Entries rendered to two index pages, in parts, and read again."""
     clean = F.trim(F.regexp_replace("summary", r"[\n\r—()\[\]]", " "))
     entries = fx_index.select("pos", "title", F.concat(F.lit("t/"), F.col("pos").cast("string")).alias("path"), clean.alias("summary"), (F.col("pos") % 3).alias("source_count"), F.when(F.col("pos") % 2 == 0, "tech").otherwise("misc").alias("category"))
-    back = files.parse_index(files.render_index(entries), "block")
+    back = files.parse_index(files.render_index(entries), "block", "category", "part")
     return back.select(F.regexp_extract("path", r"t/(\d+)", 1).cast("int").alias("pos"), "title", F.md5(F.col("summary").cast("binary")).alias("summary_md5"), "source_count", "category")
 
 

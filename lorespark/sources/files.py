@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import DOMAINS, first_paragraph, links_to_wiki, normalize_tags, slugify
+from ..operators.numbering import numbered_on, range_pieces
 
 PAGE = "path string, title string, body string, tags array<string>, sources array<string>, domain string, created date, updated date, archived boolean, id string"
 
@@ -149,27 +150,37 @@ def daily_summaries(files: DataFrame, newest: int = 14) -> DataFrame:
     return some.select("day", stamp.alias("generated_at"), F.btrim(F.get(parts, 0), F.lit(" \t\n\r")).alias("summary"), suggested.alias("suggestions"))
 
 
-def parse_index(content: DataFrame, text: str = "content") -> DataFrame:
-    """(pos, category, title, path, summary, source_count) of an index page; the category runs on until the next heading.
+def parse_index(content: DataFrame, text: str = "content", file: str | None = None, part: str | None = None) -> DataFrame:
+    """(pos, category, title, path, summary, source_count) of index pages; the category runs on until the next heading.
 
-    One index is one text: the lines of each are numbered by themselves.
+    A row is a page; with `file` and `part` it is a part of one, and a part goes on in the category that those before it end
+    with. Lines are numbered in their row.
     """
-    numbered = content.select(F.monotonically_increasing_id().alias("_file"), F.split(text, "\n").alias("_lines"))
-    rows = numbered.select("_file", F.posexplode("_lines").alias("pos", "line"))
-    w = Window.partitionBy("_file").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    head = F.regexp_extract("line", r"^## (.+)$", 1)
+    head = r"^## (.+)$"
+    row = content.select(F.monotonically_increasing_id().alias("_file") if file is None else F.col(file).alias("_file"), (F.lit(0) if part is None else F.col(part)).alias("_part"), F.col(text).alias("_text"))
+    rows = row.select("_file", "_part", F.posexplode(F.split("_text", "\n")).alias("pos", "line"))
+    w = Window.partitionBy("_file", "_part").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    named = F.when(F.regexp_extract("line", head, 1) != "", F.lower(F.trim(F.regexp_extract("line", head, 1))))
+    rows = rows.withColumn("category", F.last(named, ignorenulls=True).over(w))
     pattern = r"^- \[([^\]]+)\]\(([^)]+)\)\s*[—-]\s*(.*?)(?:\s*\((\d+) sources?\))?\s*$"
-    rows = rows.withColumn("category", F.coalesce(F.last(F.when(head != "", F.lower(F.trim(head))), ignorenulls=True).over(w), F.lit("misc")))
     rows = rows.where(F.rlike("line", F.lit(pattern)))
-    return rows.select("pos", "category", F.regexp_extract("line", pattern, 1).alias("title"), F.regexp_extract("line", pattern, 2).alias("path"), F.regexp_extract("line", pattern, 3).alias("summary"), F.coalesce(F.try_to_number(F.nullif(F.regexp_extract("line", pattern, 4), F.lit("")), F.lit("999999")).cast("int"), F.lit(0)).alias("source_count"))
+    if part is not None:
+        last = F.get(F.regexp_extract_all("_text", F.lit(r"(?m)^## (.+)$"), F.lit(1)), F.size(F.regexp_extract_all("_text", F.lit(r"(?m)^## (.+)$"), F.lit(1))) - 1)
+        before = Window.partitionBy("_file").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a part
+        ahead = row.select("_file", "_part", F.lower(F.trim(last)).alias("_last")).withColumn("_before", F.last("_last", ignorenulls=True).over(before)).drop("_last")
+        rows = rows.join(ahead, ["_file", "_part"]).withColumn("category", F.coalesce("category", "_before"))
+    return rows.select("pos", F.coalesce("category", F.lit("misc")).alias("category"), F.regexp_extract("line", pattern, 1).alias("title"), F.regexp_extract("line", pattern, 2).alias("path"), F.regexp_extract("line", pattern, 3).alias("summary"), F.coalesce(F.try_to_number(F.nullif(F.regexp_extract("line", pattern, 4), F.lit("")), F.lit("999999")).cast("int"), F.lit(0)).alias("source_count"))
 
 
-def render_index(entries: DataFrame) -> DataFrame:
-    """(category, block): entries of each category in order."""
+def render_index(entries: DataFrame, most: int = 1000) -> DataFrame:
+    """(category, part, block): entries of each category in order, `most` or fewer a part; parts joined by a line feed are the category's block."""
     plural = F.when(F.col("source_count") == 1, "1 source").otherwise(F.concat(F.col("source_count").cast("string"), F.lit(" sources")))
     line = F.concat(F.lit("- ["), "title", F.lit("]("), "path", F.lit(") — "), "summary", F.lit(" ("), plural, F.lit(")"))
-    each = entries.groupBy("category").agg(F.array_sort(F.collect_list(F.struct("pos", line.alias("line")))).alias("l"))
-    return each.select("category", F.concat(F.lit("## "), F.initcap("category"), F.lit("\n\n"), F.array_join(F.transform("l", lambda x: x.line), "\n")).alias("block"))
+    placed = numbered_on(entries.select("category", "pos", line.alias("line")), range_pieces(entries, "pos"), ["pos"]).withColumn("part", F.floor((F.col("_n") - 1) / most).cast("long"))
+    each = placed.groupBy("category", "part").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("l"))
+    first = placed.groupBy("category").agg(F.min("part").alias("_first"))
+    head = F.when(F.col("part") == F.col("_first"), F.concat(F.lit("## "), F.initcap("category"), F.lit("\n\n"))).otherwise("")
+    return each.join(first, "category").select("category", "part", F.concat(head, F.array_join(F.transform("l", lambda x: x.line), "\n")).alias("block"))
 
 
 def parse_log(content: DataFrame, text: str = "content") -> DataFrame:
