@@ -110,7 +110,8 @@ def evaluated(cases: DataFrame, problems: Column, run: Callable[[DataFrame], Dat
 def search_ranks(cases: DataFrame, pages: DataFrame, k: int = 5) -> DataFrame:
     """(case_id, rank): the rank of each case's page among all by the two-factor score of its words, null beyond k.
 
-    Scores come from the words that cases and pages share, so no case meets all pages. Pages without a score follow
+    Scores come from the words that cases and pages share; a case meets the pages of all its words but the commonest, and the
+    best pages of that one, so that a word that all pages have costs no more than its pages. Pages without a score follow
     those with one in the order of pos; of these only the first 2k can come within k.
     """
     from ..functions.text import tokens
@@ -119,8 +120,20 @@ def search_ranks(cases: DataFrame, pages: DataFrame, k: int = 5) -> DataFrame:
     asked = cases.select("case_id", F.explode(F.split(F.lower("query"), r"\s+")).alias("w")).where("w <> ''").groupBy("case_id", "w").agg(F.count("*").alias("times"))
     sought = asked.select("w").distinct()
     found = pages.select("pos", "slug", F.explode(tokens(F.col("body"))).alias("w")).join(sought, "w", "left_semi").groupBy("pos", "slug", "w").agg(F.count("*").alias("tf"))
-    score = F.sum(F.col("times") * _bm25_term(F.col("tf").cast("double"), 1.5))
-    scored = asked.join(found, "w").groupBy("case_id", "pos", "slug").agg(F.round(score, 9).alias("score"))
+    found = found.withColumn("x", _bm25_term(F.col("tf").cast("double"), 1.5)).select("w", "pos", "slug", "x")
+    # the lead is the word of a case that most pages have: of the pages with none of its other words only the lead's best k can come within k
+    df = found.groupBy("w").agg(F.count("*").alias("df"))
+    led = asked.join(df, "w").withColumn("nth", F.row_number().over(Window.partitionBy("case_id").orderBy(F.desc("df"), "w")))  # a query's words
+    lead = led.where("nth = 1").select("case_id", F.col("w").alias("lead"), F.col("times").alias("lead_times"))
+    other = led.where("nth > 1").select("case_id", "w", "times")
+    leads = lead.select(F.col("lead").alias("w"), "lead_times").distinct()
+    nth = F.row_number().over(Window.partitionBy("w", "lead_times").orderBy(F.desc(F.round(F.col("lead_times") * F.col("x"), 9)), "pos"))  # each task keeps k, then one
+    best = found.join(leads, "w").withColumn("nth", nth).where(F.col("nth") <= k).select(F.col("w").alias("lead"), "lead_times", "pos", "slug", F.lit(0.0).alias("x"))
+    near = other.join(found, "w").select("case_id", "pos", "slug", (F.col("times") * F.col("x")).alias("x"))
+    first_k = lead.join(best, ["lead", "lead_times"]).select("case_id", "pos", "slug", "x")
+    part = near.unionByName(first_k).groupBy("case_id", "pos", "slug").agg(F.sum("x").alias("x")).join(lead, "case_id")
+    full = part.join(found.select(F.col("w").alias("lead"), "pos", F.col("x").alias("lead_x")), ["lead", "pos"], "left")
+    scored = full.select("case_id", "pos", "slug", F.round(F.col("x") + F.col("lead_times") * F.coalesce("lead_x", F.lit(0.0)), 9).alias("score"))
     r = F.row_number().over(Window.partitionBy("case_id").orderBy(F.desc("score"), "pos"))
     top = scored.withColumn("r", r).where(F.col("r") <= k)
     n_top = top.groupBy("case_id").agg(F.count("*").alias("n"))
