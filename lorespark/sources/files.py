@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 
 from ..functions.text import DOMAINS, first_paragraph, links_to_wiki, normalize_tags, slugify
 from ..operators.numbering import numbered_on, range_pieces
+from ..operators.workers import bounded
 
 PAGE = "path string, title string, body string, tags array<string>, sources array<string>, domain string, created date, updated date, archived boolean, id string"
+# What front matter gives of a page.
+META = ", ".join(x.replace(" ", ": ") for x in PAGE.split(", ") if x.split()[0] not in ("path", "body"))
 
 
 def scan_text(spark: SparkSession, path: str, pattern: str = "*.md", recursive: bool = False) -> DataFrame:
@@ -27,10 +30,14 @@ def frontmatter(content: Column) -> tuple[Column, Column]:
 
 
 def parse_pages(files: DataFrame, as_of: str) -> DataFrame:
-    """Typed pages of (path, content). Front matter that does not parse is empty; one that is no mapping, or holds an impossible day, makes the page unreadable, and it goes."""
+    """Typed pages of (path, content). Front matter that does not parse is empty; one that is no mapping, or holds an impossible day, makes the page unreadable, and it goes.
+
+    Only the front matter goes to Python; bodies stay where they are.
+    """
+    bounded(files.sparkSession)
     head, body = frontmatter(F.col("content"))
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def each(paths: pd.Series, heads: pd.Series) -> pd.Series:
         import yaml
 
         def listed(x) -> list[str]:
@@ -39,25 +46,27 @@ def parse_pages(files: DataFrame, as_of: str) -> DataFrame:
         def day(x):
             return pd.to_datetime(str(x), errors="coerce").date() if x and not pd.isna(pd.to_datetime(str(x), errors="coerce")) else pd.Timestamp(as_of).date()
 
-        for pdf in batches:
-            rows = []
-            for path, top, text in zip(pdf["path"], pdf["head"], pdf["body"], strict=True):
-                try:
-                    m = yaml.safe_load(top) if top else {}
-                except yaml.YAMLError:
-                    m = {}
-                except ValueError:
-                    continue
-                m = m or {}
-                if not isinstance(m, dict):
-                    continue
-                stem = re.sub(r"\.md$", "", path.rsplit("/", 1)[-1])
-                tags = list(dict.fromkeys(t for t in (str(x).strip().lower().replace(" ", "-") for x in listed(m.get("tags"))) if t))
-                domain = str(m.get("domain", "")).strip().lower()
-                rows.append((path, str(m.get("title") or stem), text.rstrip("\n"), tags, listed(m.get("sources")), domain if domain in DOMAINS else "misc", day(m.get("created")), day(m.get("updated")), bool(m.get("archived", False)), str(m.get("id") or "")))
-            yield pd.DataFrame(rows, columns=["path", "title", "body", "tags", "sources", "domain", "created", "updated", "archived", "id"])
-
-    return files.select("path", head.alias("head"), body.alias("body")).mapInPandas(each, PAGE)
+        out = []
+        for path, top in zip(paths, heads, strict=True):
+            out.append([])
+            try:
+                m = yaml.safe_load(top) if top else {}
+            except yaml.YAMLError:
+                m = {}
+            except ValueError:
+                continue
+            m = m or {}
+            if not isinstance(m, dict):
+                continue
+            stem = re.sub(r"\.md$", "", path.rsplit("/", 1)[-1])
+            tags = list(dict.fromkeys(t for t in (str(x).strip().lower().replace(" ", "-") for x in listed(m.get("tags"))) if t))
+            domain = str(m.get("domain", "")).strip().lower()
+            out[-1].append({"title": str(m.get("title") or stem), "tags": tags, "sources": listed(m.get("sources")), "domain": domain if domain in DOMAINS else "misc", "created": day(m.get("created")), "updated": day(m.get("updated")), "archived": bool(m.get("archived", False)), "id": str(m.get("id") or "")})
+        return pd.Series(out, dtype=object)
+
+    parsed = F.pandas_udf(each, f"array<struct<{META}>>")
+    rows = files.select("path", F.rtrim(body, F.lit("\n")).alias("body"), F.explode(parsed("path", head)).alias("m"))
+    return rows.select(*["path" if c == "path" else "body" if c == "body" else f"m.{c}" for c in (x.split()[0] for x in PAGE.split(", "))])
 
 
 def wiki_pages(files: DataFrame, as_of: str, archived: bool | None = False) -> DataFrame:
