@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunking import sentences, window_chunks
-from .ranking import hope, hope_grade
+from .ranking import hope_grade, hope_parts, size_score
 from .similarity import cohesion_of, near_share
 
 # The sizes tried, and how much of a chunk is compared.
@@ -17,15 +17,19 @@ def chunk_sizes(df: DataFrame, key: str, text: str, sizes: tuple[int, ...] = SIZ
     """(key, max_tokens, chunk_count, avg_hope, hope_grade, duplicate_rate, recommendation): a row per text and size.
 
     A text is read once and cut at every size; chunks are scored as rows, and the sums of a text and size are combined before
-    they are shuffled. Blank texts have no chunks and no rows.
+    they are shuffled. Where a text fits it is one chunk, scored once for all such sizes. Blank texts have no chunks and no rows.
     """
-    cut = F.array(*[F.struct(F.lit(size).alias("max_tokens"), F.filter(window_chunks(F.col(text), size), lambda c: c != "").alias("chunks")) for size in sizes])
-    each = df.select(key, F.explode(cut).alias("c")).select(key, "c.max_tokens", "c.chunks").where(F.size("chunks") > 0)
-    each = each.select(key, "max_tokens", F.size("chunks").alias("chunk_count"), F.round(near_share(F.transform("chunks", lambda c: F.left(c, F.lit(SHOWN)))), 12).alias("dup"), "chunks")
-    rows = each.select(key, "max_tokens", "chunk_count", "dup", F.explode("chunks").alias("chunk")).withColumn("icc", F.round(cohesion_of(sentences(F.col("chunk"))), 3))
+    n, none = F.char_length(text), F.array().cast("array<int>")
+    own = [F.struct(F.when(n > 4 * size, F.array(F.lit(size))).otherwise(none).alias("sizes"), F.when(n > 4 * size, window_chunks(F.col(text), size)).alias("chunks")) for size in sizes]
+    whole = F.struct(F.filter(F.array(*map(F.lit, sizes)), lambda size: n <= 4 * size).alias("sizes"), F.array(F.col(text)).alias("chunks"))
+    each = df.select(key, F.explode(F.filter(F.array(*own, whole), lambda c: F.size(c.sizes) > 0)).alias("c"))
+    each = each.select(key, "c.sizes", F.filter("c.chunks", lambda c: c != "").alias("chunks")).where(F.size("chunks") > 0)
+    each = each.select(key, "sizes", F.size("chunks").alias("chunk_count"), F.round(near_share(F.transform("chunks", lambda c: F.left(c, F.lit(SHOWN)))), 12).alias("dup"), "chunks")
+    rows = each.select(key, "sizes", "chunk_count", "dup", F.explode("chunks").alias("chunk")).withColumn("icc", F.round(cohesion_of(sentences(F.col("chunk"))), 3))
     by = [key, "max_tokens", "chunk_count", "dup"]
     names = ("rc", "icc", "dcc", "bi", "sc")
-    means = hope(rows, [*by, "icc"], most=F.col("max_tokens")).groupBy(*by).agg(*[F.round(F.avg(c), 3).alias(c) for c in names])
+    parts = hope_parts(rows, [key, "sizes", "chunk_count", "dup", "icc"]).withColumn("max_tokens", F.explode("sizes"))
+    means = parts.withColumn("sc", size_score(F.col("n"), F.col("max_tokens"))).groupBy(*by).agg(*[F.round(F.avg(c), 3).alias(c) for c in names])
     scored = means.withColumn("avg_hope", F.round(sum((F.col(c) for c in names), F.lit(0.0)) / len(names), 3))
     good, dup = F.col("avg_hope") >= 0.7, F.col("dup")
     verdict = F.when((F.col("chunk_count") == 1) & good, "OPTIMAL").when(good & (dup < 0.15), "GOOD").when(dup >= 0.3, "HIGH_DUPLICATION").when(F.col("avg_hope") < 0.5, "POOR_QUALITY").otherwise("OK")
