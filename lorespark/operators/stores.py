@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -146,16 +146,21 @@ def upsert_vectors(vectors: DataFrame, new: DataFrame, gone: DataFrame | None =
 
 
 def backfill_vectors(claims: DataFrame, vectors: DataFrame, embed: Callable[[list[str]], list[list[float]]], batch: int = 32) -> tuple[dict[str, DataFrame], DataFrame]:
-    """Active claims that lack a vector get one, their texts embedded `batch` at a time; superseded ones stay without."""
+    """Active claims that lack a vector get one, their texts embedded `batch` at a time; superseded ones stay without.
+
+    Equal texts come together, so that a batch of rows embeds each of its texts once; a text of very many claims may lie in several tasks.
+    """
     bare = claims.where("valid_to IS NULL").select(F.col("id").alias("claim_id"), "text").join(vectors.select("claim_id"), "claim_id", "left_anti")
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for at in range(0, len(pdf), batch):
-                some = pdf.iloc[at : at + batch]
-                yield pd.DataFrame({"claim_id": some["claim_id"], "embedding": pd.Series([list(map(float, v)) for v in embed(some["text"].tolist())], index=some.index)})
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in batches:
+            coded = some.column("text").dictionary_encode(null_encoding="encode")
+            texts = coded.dictionary.to_pylist()
+            made = [list(map(float, v)) for at in range(0, len(texts), batch) for v in embed(texts[at : at + batch])]
+            yield pa.RecordBatch.from_arrays([some.column("claim_id").cast(pa.int64()), pa.array(made, pa.list_(pa.float32())).take(coded.indices)], ["claim_id", "embedding"])
 
-    new = bare.mapInPandas(each, "claim_id long, embedding array<float>")
+    near = bare.withColumn("_h", F.xxhash64("text")).hint("rebalance", "_h").sortWithinPartitions("_h").select("claim_id", "text")
+    new = near.mapInArrow(each, "claim_id long, embedding array<float>")
     return {"claim_vectors": vectors.unionByName(new)}, _counts(claims.sparkSession, vectors_backfilled=bare)
 
 

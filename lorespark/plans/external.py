@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -15,6 +16,11 @@ Embed = Callable[[list[str]], list[list[float]]]
 Ask = Callable[[str], str]
 
 
+@lru_cache(65536)
+def _hash(word: str) -> int:
+    return int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
+
+
 def hash_embedder(dim: int = 64) -> Embed:
     """A stand-in for tests: words hashed to signs."""
 
@@ -22,7 +28,7 @@ def hash_embedder(dim: int = 64) -> Embed:
         out = np.zeros((len(texts), dim))
         for k, t in enumerate(texts):
             for w in (t or "").lower().split():
-                h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
+                h = _hash(w)
                 out[k, h % dim] += 1 if h >> 63 else -1
         return out.tolist()
 
