@@ -9,22 +9,24 @@ from .chunking import sentences, window_chunks
 from .ranking import hope_grade, hope_parts, size_score
 from .similarity import cohesion_of, near_share
 
-# The sizes tried, and how much of a chunk is compared.
-SIZES, SHOWN = (256, 512, 1024, 2048, 4096, 6000), 300
+# The sizes tried.
+SIZES = (256, 512, 1024, 2048, 4096, 6000)
 
 
 def chunk_sizes(df: DataFrame, key: str, text: str, sizes: tuple[int, ...] = SIZES) -> DataFrame:
     """(key, max_tokens, chunk_count, avg_hope, hope_grade, duplicate_rate, recommendation): a row per text and size.
 
     A text is read once and cut at every size; chunks are scored as rows, and the sums of a text and size are combined before
-    they are shuffled. Where a text fits it is one chunk, scored once for all such sizes. Blank texts have no chunks and no rows.
+    they are shuffled. Where a text fits it is one chunk, scored once for all such sizes; one alone is compared with nothing. Chunks
+    are compared whole. Blank texts have no chunks and no rows.
     """
     n, none = F.char_length(text), F.array().cast("array<int>")
     own = [F.struct(F.when(n > 4 * size, F.array(F.lit(size))).otherwise(none).alias("sizes"), F.when(n > 4 * size, window_chunks(F.col(text), size)).alias("chunks")) for size in sizes]
     whole = F.struct(F.filter(F.array(*map(F.lit, sizes)), lambda size: n <= 4 * size).alias("sizes"), F.array(F.col(text)).alias("chunks"))
     each = df.select(key, F.explode(F.filter(F.array(*own, whole), lambda c: F.size(c.sizes) > 0)).alias("c"))
     each = each.select(key, "c.sizes", F.filter("c.chunks", lambda c: c != "").alias("chunks")).where(F.size("chunks") > 0)
-    each = each.select(key, "sizes", F.size("chunks").alias("chunk_count"), F.round(near_share(F.transform("chunks", lambda c: F.left(c, F.lit(SHOWN)))), 12).alias("dup"), "chunks")
+    several = F.when(F.size("chunks") > 1, F.col("chunks")).otherwise(F.array().cast("array<string>"))
+    each = each.select(key, "sizes", F.size("chunks").alias("chunk_count"), F.round(near_share(several), 12).alias("dup"), "chunks")
     rows = each.select(key, "sizes", "chunk_count", "dup", F.explode("chunks").alias("chunk")).withColumn("icc", F.round(cohesion_of(sentences(F.col("chunk"))), 3))
     by = [key, "max_tokens", "chunk_count", "dup"]
     names = ("rc", "icc", "dcc", "bi", "sc")
