@@ -165,7 +165,8 @@ def links(work: Workspace, fps: DataFrame, max_bits: int = MAX_BITS, n_segments:
     masks = F.array(*[F.lit(m).cast("long") for m in _masks(width, max_bits // n_segments)])
     probes = table.withColumn("mask", F.explode(masks)).select("seg", F.col("value").bitwiseXOR(F.col("mask")).alias("value"), "fp")
     owners = table.groupBy("seg", "value").agg(F.count("*").alias("n"))
-    hits = work.table(probes.join(owners.select("seg", "value"), ["seg", "value"]))
+    # both are exploded, and far larger than Spark takes them for: left to itself it may broadcast the probes
+    hits = work.table(probes.hint("merge").join(owners.select("seg", "value"), ["seg", "value"]))
     busy = hits.select("seg", "value").union(owners.where("n > 1").select("seg", "value")).distinct()
     return _met(table, hits, busy, ["seg", "value"], None, max_bits)
 
@@ -221,7 +222,7 @@ def similar(spark: SparkSession, docs: DataFrame, similarity: float = 0.8, shing
     owners = named.select("component", F.explode(own).alias("value")).groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     probes = named.select("fp", "component", F.explode(F.array_except("probes", own)).alias("value"))
     new = (F.col("low") != F.col("component")) | (F.col("high") != F.col("component"))
-    hits = work.table(probes.join(owners, "value").where(new).select("value", "fp"))
+    hits = work.table(probes.hint("merge").join(owners, "value").where(new).select("value", "fp"))
     more = _met(table, hits, hits.select("value").distinct(), ["value"], wide, bits, similarity)
     return _grouped(work, marked.select("doc_id", "fp"), fps.select("fp", "low_id"), first.union(more))
 

@@ -753,3 +753,26 @@ def test_more_pieces_keep_the_laws(spark, monkeypatch):
         ends = sorted((a, a + n) for a, n in spans)
         assert ends[0][0] == 0 and all(a[1] == b[0] for a, b in zip(ends, ends[1:], strict=False) if b[0] != b[1])
     assert sum(r.taken for r in mixing.taken(spark, docs).collect()) > 0
+
+
+def test_probes_are_never_broadcast(spark, monkeypatch):
+    draw = np.random.default_rng(3)
+    own = draw.integers(-(2**63), 2**63 - 1, 3000)
+    made = spark.createDataFrame([(int(x),) for x in [*own, *(own[:50] ^ 5)]], "fp long")
+    work = simhash_dedup.Workspace(spark, "probes")
+    fps, plans = work.table(made.coalesce(1)), []
+
+    def table(df, sort=None):
+        df.collect()
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+
+    monkeypatch.setattr(work, "table", table)
+    # as with larger tables: what the probes are taken for lies below this, what their owners are above it
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100k")
+    try:
+        edges = simhash_dedup.links(work, fps).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert {frozenset(e) for e in edges} == {frozenset((int(x), int(x) ^ 5)) for x in own[:50]}
+    assert len(plans) == 1 and "BroadcastHashJoin" not in plans[0].split("Initial Plan")[0]
